@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, source_mix
+from tessella.llm import exact_dedup, sentencepiece_codec, source_mix, token_counts
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op8_source_mix": source_mix.op8_source_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
