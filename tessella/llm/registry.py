@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, sentencepiece_codec, source_mix, token_counts
+from tessella.llm import exact_dedup, license_scan, mpeg_media, sentencepiece_codec, source_mix, token_counts
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_license_scan": license_scan.op3_license_scan,
+    "op4_mpeg_media": mpeg_media.op4_mpeg_media,
     "op8_source_mix": source_mix.op8_source_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 SQL = {
+    "op3_license_scan": license_scan.OP3_SQL,
     "op8_source_mix": source_mix.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
