@@ -52,3 +52,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: 2**17 words of 64 bits: 1 MB, whatever the input.
+BITMAP_WORDS = 1 << 17
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among ids' keys: no row of ids is lost, few others stay while ids are few.
+
+    One bit stands for each hash. The bitmap has BITMAP_WORDS rows at most, so it is broadcast; where ids are so many
+    that it fills up, more rows stay and the join that follows reads more.
+    """
+
+    def word(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS))
+
+    def bit(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c, F.lit("bit")), F.lit(64)).cast("int")
+
+    mask = F.expr("shiftleft(1L, _b)")
+    bits = ids.select(word(F.col(key)).alias("_w"), bit(F.col(key)).alias("_b")).groupBy("_w").agg(F.bit_or(mask).alias("_m"))
+    out = rows.withColumn("_k", word(F.col(key))).withColumn("_p", bit(F.col(key)))
+    out = out.join(F.broadcast(bits), F.col("_k") == F.col("_w")).filter(F.expr("getbit(_m, _p) = 1"))
+    return out.drop("_k", "_p", "_w", "_m")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, license_scan, mpeg_media, sentencepiece_codec, source_mix, token_counts
+from tessella.llm import exact_dedup, language_id, license_scan, mpeg_media, sentencepiece_codec, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_mpeg_media": mpeg_media.op4_mpeg_media,
+    "op6_language_id": language_id.op6_language_id,
     "op8_source_mix": source_mix.op8_source_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {
