@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, language_id, license_scan, mpeg_media, sentencepiece_codec, source_mix, token_counts, toxicity
+from tessella.llm import exact_dedup, jaccard_join, language_id, license_scan, mpeg_media, sentencepiece_codec, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_mpeg_media": mpeg_media.op4_mpeg_media,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_language_id": language_id.op6_language_id,
     "op8_source_mix": source_mix.op8_source_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op3_license_scan": license_scan.OP3_SQL,
     "op8_source_mix": source_mix.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
