@@ -58,11 +58,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BITMAP_WORDS = 1 << 17
 
 
-def maybe_among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose key may be among ids' keys: no row of ids is lost, few others stay while ids are few.
+def _in_bitmap(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows with _maybe: whether a row's key may be among ids' keys.
 
     One bit stands for each hash. The bitmap has BITMAP_WORDS rows at most, so it is broadcast; where ids are so many
-    that it fills up, more rows stay and the join that follows reads more.
+    that it fills up, more rows may be among them and the join that follows reads more.
     """
 
     def word(c: Column) -> Column:
@@ -71,8 +71,19 @@ def maybe_among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     def bit(c: Column) -> Column:
         return F.pmod(F.xxhash64(c, F.lit("bit")), F.lit(64)).cast("int")
 
-    mask = F.expr("shiftleft(1L, _b)")
-    bits = ids.select(word(F.col(key)).alias("_w"), bit(F.col(key)).alias("_b")).groupBy("_w").agg(F.bit_or(mask).alias("_m"))
+    bits = ids.select(word(F.col(key)).alias("_w"), bit(F.col(key)).alias("_b")).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_m"))
     out = rows.withColumn("_k", word(F.col(key))).withColumn("_p", bit(F.col(key)))
-    out = out.join(F.broadcast(bits), F.col("_k") == F.col("_w")).filter(F.expr("getbit(_m, _p) = 1"))
-    return out.drop("_k", "_p", "_w", "_m")
+    out = out.join(F.broadcast(bits), F.col("_k") == F.col("_w"), "left")
+    return out.withColumn("_maybe", F.coalesce(F.expr("getbit(_m, _p) = 1"), F.lit(False))).drop("_k", "_p", "_w", "_m")
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among ids' keys: no row of ids is lost, few others stay while ids are few."""
+    return _in_bitmap(rows, ids, key).filter("_maybe").drop("_maybe")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is not among ids' keys (a null key is never). Only rows that may be are shuffled."""
+    marked = _in_bitmap(rows, ids, key)
+    rest = marked.filter("_maybe").drop("_maybe").join(ids.select(key).distinct(), key, "left_anti")
+    return marked.filter("not _maybe").drop("_maybe").unionByName(rest.select(rows.columns))

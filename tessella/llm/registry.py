@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, jaccard_join, language_id, license_scan, mpeg_media, sentencepiece_codec, source_mix, token_counts, toxicity
+from tessella.llm import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mpeg_media, sentencepiece_codec, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mpeg_media": mpeg_media.op4_mpeg_media,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_language_id": language_id.op6_language_id,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_source_mix": source_mix.op8_source_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NON_SPACE, texts, written
+from tessella.llm.common import NON_SPACE, written
 
 #: Sources in code point order, null last, take these weights in turn.
 WEIGHTS = (5, 2, 1)
@@ -42,26 +42,30 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], max_repeats: int)
     return out.select("source", "source_size", "n_docs", "target", "copies", "rest", (ratio - F.col("copies")).alias("share"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs.
-
-    size is the number of words (null text: 0). Each document gets the whole copies that its source's ratio of target
-    to size makes certain. What is left of the target is a fixed-size sample, the size counted in words: documents
-    are ranked by the odds of a uniform number divided by the odds of their inclusion and taken in this order while
-    they fit; then that one of the source's other documents is added whose size comes nearest to the gap, if it lessens it.
-    A hot source is never in one task: ranks are summed over about sqrt(n) slices of each source first, and only
-    the slice in which the target is reached is ordered. A null source is a source; repeated rows count each;
-    a null doc_id draws the number of the empty string; an empty table gives no rows.
+def _sized(docs: DataFrame, seed: str) -> DataFrame:
+    """docs with _src, _size and _u."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NON_SPACE)).cast("long")
+    return docs.withColumns({"_src": F.col("source").cast("string"), "_size": size, "_u": uniform(F.col("doc_id"), seed)})
+
+
+def _odds(share: Column) -> Column:
+    """What documents are ranked by; null where no sample is drawn."""
+    return F.when((share > 0) & (share < 1), (F.col("_u") / (1 - F.col("_u"))) / (share / (1 - share)))
+
+
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
+    """A row for each source: source, source_size, target, copies (certain ones), share, end, fill.
+
+    What is left of a target beside the certain copies is a fixed-size sample, the size counted in words: documents are
+    ranked by the odds of a uniform number divided by the odds of their inclusion and taken in this order while they
+    fit; `end` is the first that does not. Then `fill`, that one of the source's other documents, is added whose
+    size comes nearest to the gap, if it lessens it. A hot source is never in one task: ranks are summed over about
+    sqrt(n) slices of each source first, and only the slice in which the target is reached is ordered.
     """
-    u = uniform(F.col("doc_id"), seed)
-    sized = texts(docs, F.col("source").cast("string").alias("source")).select("doc_id", "source", F.regexp_count("text", F.lit(NON_SPACE)).cast("long").alias("size"), u.alias("u"))
-    sized = written(sized, "mix-sizes")
+    sized = written(_sized(docs, seed).select("doc_id", F.col("_src").alias("source"), F.col("_size").alias("size"), "_u"), "mix-sizes")
     sources = written(source_targets(sized, weights, max_repeats), "mix-sources").withColumnRenamed("source", "src")
-    slices = F.ceil(F.sqrt(F.greatest("n_docs", F.lit(1))))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("share") / (1 - F.col("share")))
-    rows = sized.join(sources, F.col("source").eqNullSafe(F.col("src"))).withColumn("slice", F.floor(F.col("u") * slices))
-    rows = rows.withColumn("q", F.when((F.col("share") > 0) & (F.col("share") < 1), odds))
-    drawn = rows.filter("q is not null")
+    rows = sized.join(sources, F.col("source").eqNullSafe(F.col("src"))).withColumn("q", _odds(F.col("share")))
+    drawn = rows.filter("q is not null").withColumn("slice", F.floor(F.col("_u") * F.ceil(F.sqrt("n_docs"))))
 
     sums = drawn.groupBy("src", "slice", "rest").agg(F.sum("size").alias("in_slice"))
     ahead = F.coalesce(F.sum("in_slice").over(Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -71,23 +75,36 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     inner = Window.partitionBy("src").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     here = drawn.join(last, F.col("src").eqNullSafe(F.col("at_src")) & (F.col("slice") == F.col("at_slice")))
     here = here.withColumn("upto", F.col("ahead") + F.sum("size").over(inner)).withColumn("over", F.max((F.col("upto") > F.col("rest")).cast("int")).over(inner))
-    # the order's first document that no longer fits ends the sample
     ends = here.groupBy("src").agg(F.min(F.when(F.col("over") == 1, F.struct("q", "doc_id", "size"))).alias("end"), F.coalesce(F.max(F.when(F.col("over") == 0, F.col("upto"))), F.max("ahead")).alias("got"), F.max("rest").alias("most"))
-    ends = written(ends.select("src", "end", (F.col("most") - F.col("got")).alias("gap")), "mix-ends").withColumnRenamed("src", "end_src")
+    ends = written(ends.select(F.col("src").alias("end_src"), "end", (F.col("most") - F.col("got")).alias("gap")), "mix-ends")
     past = drawn.join(ends, F.col("src").eqNullSafe(F.col("end_src"))).filter(F.struct("q", "doc_id", "size") >= F.col("end"))
     fill = past.groupBy("src", "gap").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "q", "doc_id", "size")).alias("f"))
-    fill = written(fill.filter("f.miss < gap").select(F.col("src").alias("fill_src"), F.struct("f.q", "f.doc_id", "f.size").alias("fill")), "mix-fills")
+    fill = fill.filter("f.miss < gap").select(F.col("src").alias("fill_src"), F.struct("f.q", "f.doc_id", "f.size").alias("fill"))
+    plan = sources.join(ends, F.col("src").eqNullSafe(F.col("end_src")), "left").join(fill, F.col("src").eqNullSafe(F.col("fill_src")), "left")
+    return written(plan.select(F.col("src").alias("source"), "source_size", "target", "copies", "share", "end", "fill"), "mix-plan")
+
 
-    out = rows.join(ends, F.col("src").eqNullSafe(F.col("end_src")), "left").join(fill, F.col("src").eqNullSafe(F.col("fill_src")), "left")
-    me = F.struct("q", "doc_id", "size")
-    sampled = F.col("q").isNotNull() & (F.col("end").isNull() | (me < F.col("end")) | F.coalesce(me.eqNullSafe(F.col("fill")), F.lit(False)))
-    copies = F.col("copies") + F.coalesce(sampled, F.lit(False)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
+    """docs with mix_size, mix_source_size, mix_target and mix_copies: how often the mix takes each row.
+
+    mix_size is the number of words (null text: 0). Each document gets the whole copies that its source's ratio of
+    target to size makes certain, and one more if the plan's sample has it. Documents are not shuffled: the plan has a row for
+    each source. A null source is a source; repeated rows count each, and are all taken or none; a null doc_id draws
+    the number of the empty string; an empty table gives no rows; columns of the new names are replaced.
+    """
+    plan = mix_plan(docs, weights, max_repeats, seed).select(F.struct("*").alias("_p"))
+    rows = _sized(docs, seed).join(plan, F.col("_src").eqNullSafe(F.col("_p.source")))
+    me = F.struct(_odds(F.col("_p.share")).alias("q"), F.col("doc_id"), F.col("_size").alias("size"))
+    sampled = me["q"].isNotNull() & (F.col("_p.end").isNull() | (me < F.col("_p.end")) | F.coalesce(me.eqNullSafe(F.col("_p.fill")), F.lit(False)))
+    copies = F.col("_p.copies") + F.coalesce(sampled, F.lit(False)).cast("long")
+    rows = rows.withColumns({"mix_size": F.col("_size"), "mix_source_size": F.col("_p.source_size"), "mix_target": F.col("_p.target"), "mix_copies": copies})
+    return rows.drop("_src", "_size", "_u", "_p")
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
     mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    taken = (F.col("mix_size") * F.col("mix_copies")).alias("taken")
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken)
 
 
 OP8_SQL = r"""
