@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tessella.plans import base, events, fundamentals, knowledge, portfolio, relational, retrieval  # noqa: F401  they register themselves
+
+QUERIES, SQL = base.QUERIES, base.SQL
