@@ -1 +1,124 @@
-"""Queries."""
+"""Queries over events and conversations, and their streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tessella.plans.base import Tables, query
+from tessella.streaming import events as e
+from tessella.streaming import stateful
+
+
+@query("SELECT event_id, nth::INT AS nth, nth <= 3 AS admitted, greatest(0, 3 - nth)::INT AS remaining FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS nth FROM events)")
+def daily_usage_admission(t: Tables):
+    return e.admission(t.events, 3).select("event_id", "nth", "admitted", "remaining")
+
+
+@query("SELECT event_id, recent, recent <= 2 AS allowed FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS recent FROM events)")
+def sliding_rate_limit(t: Tables):
+    return e.sliding_limit(t.events, 2, 3600).select("event_id", "recent", "allowed")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k BETWEEN 2 AND 5")
+def session_turns_context(t: Tables):
+    return e.last_turns(t.conversations, 2).select("conv_id", "turn", "role")
+
+
+@query("SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type IN ('click', 'purchase')) WHERE k = 1")
+def rating_last_write(t: Tables):
+    return e.last_write(t.events, ["user_id"], "event_type", ["click", "purchase"])
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' AND ts <= '2024-01-15' THEN 'ready' WHEN event_type = 'view' THEN 'rendering' ELSE 'queued' END AS status FROM events")
+def ready_transition(t: Tables):
+    jobs = t.events.select("event_id", F.when(F.col("event_type") == "view", "rendering").otherwise("queued").alias("status"), F.col("ts").alias("ready_at"))
+    return e.ready(jobs, F.lit("2024-01-15").cast("timestamp_ntz")).select("event_id", "status")
+
+
+@query("SELECT floor(value / 10)::BIGINT AS message, count(*) AS n, min(value) AS least, round(avg(value), 4) AS mean, max(value) AS most FROM events WHERE event_type = 'error' GROUP BY 1")
+def error_histogram(t: Tables):
+    rows = t.events.filter("event_type = 'error'").groupBy(F.floor(F.col("value") / 10).alias("message"))
+    return rows.agg(F.count("*").alias("n"), F.min("value").alias("least"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("most"))
+
+
+@query("SELECT event_type, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY event_type")
+def upper_median(t: Tables):
+    """The element n // 2 of the sorted values: values are counted first, so a group holds each distinct one once."""
+    from pyspark.sql import Window
+
+    c = t.events.groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    upto = c.withColumn("upto", F.sum("c").over(Window.partitionBy("event_type").orderBy("value")))
+    total = c.groupBy("event_type").agg(F.sum("c").alias("n"))
+    own = upto.join(total, "event_type").filter(F.col("upto") > F.floor(F.col("n") / 2))
+    return own.groupBy("event_type").agg(F.max("n").alias("n"), F.min("value").alias("median"))
+
+
+@query("SELECT (json_extract(props, '$.k')::BIGINT) AS k, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY 1")
+def json_props_extract(t: Tables):
+    k = F.get_json_object("props", "$.k").cast("long").alias("k")
+    return t.events.groupBy(k).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'e' ELSE json_extract_string(props, '$.k') END AS k, event_type AS kind FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def metadata_merge(t: Tables):
+    """Two maps merged, the right one's values standing."""
+    old = F.from_json("props", "map<string,string>")
+    new = F.when(F.col("event_type") == "error", F.create_map(F.lit("k"), F.lit("e"), F.lit("kind"), F.col("event_type"))).otherwise(F.create_map(F.lit("kind"), F.col("event_type")))
+    merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+    rows = t.events.filter(F.get_json_object("props", "$.k").isNotNull()).select("event_id", merged.alias("m"))
+    return rows.select("event_id", F.col("m")["k"].alias("k"), F.col("m")["kind"].alias("kind"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def tumbling_counts(t: Tables):
+    return e.tumbling(t.events)
+
+
+SESSIONS = "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 minute THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"
+
+
+@query(SESSIONS)
+def session_windows(t: Tables):
+    return e.sessions(t.events)
+
+
+def _streamed(t: Tables, df, mode: str):
+    """What a stream over all of its input writes, read from memory: for queries that return a result of bounded size."""
+    name = f"t_{uuid.uuid4().hex}"
+    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.table(name)
+
+
+def _events(t: Tables):
+    """The events table as a stream; a single file is a folder's only one."""
+    folder = t.sf_dir if t.spark._jvm is None else t.sf_dir
+    rows = t.spark.readStream.schema(e.SCHEMA).option("pathGlobFilter", "*.parquet")
+    whole = t.spark.read.parquet(f"{folder}/events.parquet").inputFiles()
+    at = f"{folder}/events.parquet" if len(whole) > 1 or not whole[0].endswith("/events.parquet") else folder
+    own = rows.option("pathGlobFilter", "events.parquet") if at == folder else rows
+    return own.parquet(at).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def stream_dedupe(t: Tables):
+    """Users of each type of event, each counted once by a stream that drops what it has seen."""
+    once = e.distinct(_events(t), ["user_id", "event_type"], "60 days")
+    return _streamed(t, once.groupBy("event_type").agg(F.count("*").alias("users")), "complete")
+
+
+@query()
+def stream_token_assembly(t: Tables):
+    """Conversations' lines put together from pieces of 40 characters."""
+    pieces = t.conversations.filter("conv_id < 20").select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))).alias("text"))
+    return pieces.groupBy("conv_id").agg(F.count("*").alias("pieces"), F.sum(F.length("text")).alias("chars"))
+
+
+@query()
+def stream_session_state(t: Tables):
+    """Users' events as frames of relay sessions, a session a day."""
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in {"signup": "open", "view": "chunk", "click": "text", "purchase": "finish", "error": "close"}.items() for x in kv)), F.col("event_type"))
+    frames = t.events.select((F.col("user_id") * 1000 + F.dayofyear("ts")).alias("session"), at.alias("at_ms"), F.col("event_id").alias("frame_id"), kind.alias("kind"), F.col("value").alias("body"))
+    return stateful.relay(frames)

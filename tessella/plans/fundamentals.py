@@ -218,7 +218,7 @@ def sector_rules(t: Tables):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_quantity > 0 THEN floor(l_extendedprice * 100 / l_quantity + 0.5) / 100 END AS price,
-CASE WHEN l_extendedprice >= 1e3 THEN printf('%.1f', round(l_extendedprice / 1e3, 1)) || 'K' ELSE l_extendedprice::BIGINT::VARCHAR END AS compact, CASE WHEN l_discount > 0 THEN '+' ELSE '' END || printf('%.2f', round(l_discount, 2)) || '%' AS change FROM lineitem""")
+CASE WHEN l_extendedprice >= 1e3 THEN printf('%.1f', round(l_extendedprice / 1e3, 1)) || 'K' ELSE floor(l_extendedprice)::BIGINT::VARCHAR END AS compact, CASE WHEN l_discount > 0 THEN '+' ELSE '' END || printf('%.2f', round(l_discount, 2)) || '%' AS change FROM lineitem""")
 def display_formats(t: Tables):
     c = F.col
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", num.price(c("l_extendedprice"), c("l_quantity")).alias("price"), num.compact(c("l_extendedprice")).alias("compact"), num.signed_pct(c("l_discount")).alias("change"))

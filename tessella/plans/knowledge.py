@@ -1 +1,149 @@
-"""Queries."""
+"""Queries of the graph, text and quality domain."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.functions import numbers as num
+from tessella.functions import text as tx
+from tessella.operators import chunking, graph
+from tessella.operators.relational import top_k
+from tessella.plans.base import Tables, query
+from tessella.sources import readers
+
+MENTION = "mention AS (SELECT doc_id, 1965 + doc_id % 61 AS year, source, concept FROM (SELECT d.*, c.concept FROM documents d, (SELECT concept, unnest(words) AS word FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in graph.CONCEPTS.items()) + ") v(concept, words)) c WHERE contains(lower(d.text), c.word)) GROUP BY ALL)"
+
+
+def _mentions(t: Tables):
+    rows = t.documents.select("doc_id", (1965 + F.col("doc_id") % 61).alias("year"), "source", "text")
+    return graph.mentions(rows, "text").drop("text")
+
+
+@query(f"WITH {MENTION} SELECT * FROM mention")
+def mention_extraction(t: Tables):
+    return _mentions(t)
+
+
+@query(f"WITH {MENTION} SELECT DISTINCT doc_id AS src, concept AS name, year FROM mention WHERE (contains(concept, 'licen') OR contains(concept, 'rare')) AND year >= 1980 ORDER BY year DESC, src, name LIMIT 20")
+def graph_one_hop(t: Tables):
+    edges = _mentions(t).select(F.col("doc_id").alias("src"), F.col("concept").alias("dst"), "year")
+    nodes = t.spark.createDataFrame([(c, c) for c in graph.CONCEPTS], "id string, name string")
+    return graph.one_hop(edges, nodes, ["licen", "rare"], 1980, None, 20)
+
+
+@query("""SELECT DISTINCT r_name AS hit, n_name AS via FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal > 9900 UNION SELECT r_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_acctbal > 9000""")
+def graph_two_hop_union(t: Tables):
+    """Regions reached over nations from customers and from suppliers, each once."""
+    up = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("hit"), F.col("n_name").alias("via"))
+    a = t.customer.filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey")).distinct().join(up, "n_nationkey")
+    b = t.supplier.filter("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")).distinct().join(up, "n_nationkey")
+    return a.unionByName(b).select("hit", "via").distinct()
+
+
+@query("SELECT n_name, count(c_custkey) AS customers, coalesce(sum(c_acctbal::DECIMAL(18,2)), 0)::DECIMAL(28,2) AS balance FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' AND c_acctbal > 9000 GROUP BY n_name")
+def optional_match(t: Tables):
+    """The condition belongs to the optional side, so nations without a match stay."""
+    on = t.customer.filter("c_mktsegment = 'BUILDING' and c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("b"))
+    return t.nation.join(on, "n_nationkey", "left").groupBy("n_name").agg(F.count("c_custkey").alias("customers"), F.coalesce(F.sum("b"), F.lit(0)).cast("decimal(28,2)").alias("balance"))
+
+
+@query(f"WITH {MENTION} SELECT source, concept, min(year) AS first_year, max(year) AS last_year, count(*) AS mentions FROM mention GROUP BY source, concept")
+def holds_view_minmax(t: Tables):
+    return _mentions(t).groupBy("source", "concept").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count("*").alias("mentions"))
+
+
+@query(f"WITH {MENTION} SELECT source, concept, doc_id, first_year, last_year FROM (SELECT *, min(year) OVER w AS first_year, max(year) OVER w AS last_year, row_number() OVER (PARTITION BY source, concept ORDER BY year DESC, doc_id DESC) AS k FROM (SELECT * FROM mention WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WINDOW w AS (PARTITION BY source, concept)) WHERE k = 1")
+def triplet_merge(t: Tables):
+    """Edges of documents not worked on yet, merged by key: the last one's document and the years' range."""
+    new = _mentions(t).join(t.labels.select("doc_id"), "doc_id", "left_anti")
+    return graph.merge(new, ["source", "concept"], [F.desc("year"), F.desc("doc_id")], "year").select("source", "concept", "doc_id", "first_year", "last_year")
+
+
+@query("SELECT source, count(*) AS total, count(l.doc_id) AS done, CASE WHEN count(l.doc_id) = 0 THEN 'open' WHEN count(l.doc_id) = count(*) THEN 'done' ELSE 'partial' END AS status FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY source")
+def progress_report(t: Tables):
+    done = t.labels.select("doc_id").distinct().withColumn("d", F.lit(1))
+    n = t.documents.select("doc_id", "source").join(done, "doc_id", "left").groupBy("source").agg(F.count("*").alias("total"), F.count("d").alias("done"))
+    return n.withColumn("status", F.when(F.col("done") == 0, "open").when(F.col("done") == F.col("total"), "done").otherwise("partial"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) FILTER (trim(text) <> '') AS text, count(*) AS parts FROM conversations GROUP BY conv_id")
+def ordered_concat(t: Tables):
+    rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("turn", "text")))).alias("p"), F.count("*").alias("parts"))
+    return rows.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n---\n\n").alias("text"), "parts")
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, list_filter(regexp_extract_all(html, 'href="([^"]+)"', 1), lambda h: ends_with(lower(h), 'e'))[1] AS first_link, len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS links FROM pages""")
+def html_title_href(t: Tables):
+    html = F.col("html")
+    return t.pages.select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.get(readers.links(html, "e"), F.lit(0)).alias("first_link"), F.size(readers.links(html, "")).cast("long").alias("links"))
+
+
+INLINE = [("1", "1,234", None, "3"), ("2", "(5.5)", None, None), ("3", "<b>7</b>", "-", "0"), ("4", "—", None, "6"), ("5", "$ 12&nbsp;", None, None), ("6", "", None, None)]
+
+
+@query("SELECT * FROM (VALUES ('1', 1234000.0::DOUBLE), ('2', -5.5), ('3', -7.0), ('4', NULL), ('5', 12.0), ('6', NULL)) v(id, value)")
+def inline_numeric_parse(t: Tables):
+    rows = t.spark.createDataFrame(INLINE, "id string, text string, sign string, scale string")
+    return rows.select("id", num.inline_number(F.col("text"), F.col("sign"), F.col("scale")).alias("value"))
+
+
+@query("SELECT conv_id, count(*) AS turns, bool_and(turn = k) AS contiguous, count(*) FILTER (trim(text) = '') AS blank, count(*) FILTER (role NOT IN ('user', 'assistant', 'system')) AS bad_role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) GROUP BY conv_id")
+def section_order_check(t: Tables):
+    """Whether turns are 0, 1, 2, ...: as many distinct ones as rows, from 0 to one less. No order within groups is needed."""
+    c = t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min("turn").alias("lo"), F.max("turn").alias("hi"), F.count_distinct("turn").alias("n"), F.count_if(F.trim("text") == "").alias("blank"), F.count_if(~F.col("role").isin("user", "assistant", "system")).alias("bad_role"))
+    return c.select("conv_id", "turns", ((F.col("lo") == 0) & (F.col("hi") == F.col("turns") - 1) & (F.col("n") == F.col("turns"))).alias("contiguous"), "blank", "bad_role")
+
+
+@query(r"""WITH i AS (SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: len(x) >= 3)) AS w FROM benchmark),
+d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: len(x) >= 3)) AS w FROM documents WHERE lang = 'en'),
+x AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(w) AS w FROM i) a JOIN (SELECT doc_id, unnest(w) AS w FROM d) b USING (w) GROUP BY ALL)
+SELECT item_id, doc_id, round(n / len(i.w)::DOUBLE, 6) AS share FROM x JOIN i USING (item_id) WHERE n >= 0.9 * len(i.w)""")
+def word_overlap_ratio(t: Tables):
+    """Pairs of a benchmark item and an English document that holds 90 % of its distinct words, by an inverted index."""
+    own = lambda c: F.array_distinct(tx.words(F.col(c)))
+    items = t.benchmark.select("item_id", own("text").alias("w")).select("item_id", F.size("w").alias("m"), F.explode("w").alias("w"))
+    docs = t.documents.filter("lang = 'en'").select("doc_id", F.explode(own("text")).alias("w"))
+    n = docs.join(items, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.max("m").alias("m"))
+    return n.filter(F.col("n") >= 0.9 * F.col("m")).select("item_id", "doc_id", F.round(F.col("n") / F.col("m"), 6).alias("share"))
+
+
+@query(r"""SELECT page_id, len(p) AS body, round(len(p) / len(html)::DOUBLE, 6) AS coverage, regexp_matches(p, '\$[0-9,]+') OR regexp_matches(p, '\.{3,}') AS table_like FROM (SELECT page_id, html, regexp_replace(html, '<[^>]+>', '', 'g') AS p FROM pages)""")
+def parse_coverage(t: Tables):
+    p = F.regexp_replace("html", "<[^>]+>", "")
+    return t.pages.select("page_id", F.length(p).cast("long").alias("body"), F.round(F.length(p) / F.length("html"), 6).alias("coverage"), (p.rlike(r"\$[0-9,]+") | p.rlike(r"\.{3,}")).alias("table_like"))
+
+
+@query("SELECT source, lang, count(*) AS n, min(1965 + doc_id % 61) AS first_year, max(1965 + doc_id % 61) AS last_year, count(DISTINCT 1965 + doc_id % 61) AS years, min(1965 + doc_id % 61)::VARCHAR || '-' || max(1965 + doc_id % 61)::VARCHAR AS span FROM documents GROUP BY source, lang")
+def material_counts(t: Tables):
+    y = 1965 + F.col("doc_id") % 61
+    c = t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"), F.min(y).alias("first_year"), F.max(y).alias("last_year"), F.count_distinct(y).alias("years"))
+    return c.withColumn("span", F.concat_ws("-", "first_year", "last_year"))
+
+
+MARKDOWN = [(1, "# Letter 信\n\nTo the shareholders of the company:\n\n致股东：\n\nFebruary 25, 1985\n\n### Float 浮存金\n\nInsurance float grew again this year.\n\n保险浮存金继续增长。\n\n| a | b |\n| 1 | 2 |\n\nshort\n\n孤立\n\nBERKSHIRE HATHAWAY INC.\n\nA last paragraph that has no pair at all.\n\n---\n\n## Next\n\n#### Deep\n\nText of twenty characters or more."), (2, None), (3, "")]
+
+
+@query()
+def bilingual_chunker(t: Tables):
+    return chunking.chunks(t.spark.createDataFrame(MARKDOWN, "id int, text string"))
+
+
+@query("SELECT * FROM (VALUES ('0001', 'A', 1500::BIGINT, 15::BIGINT), ('0002', 'B', 700, 7)) v(cusip, issuer, value, shares)")
+def xml_holdings_scan(t: Tables):
+    """Positions of an information table with a namespace, one security's rows together."""
+    row = "<infoTable><nameOfIssuer>{}</nameOfIssuer><cusip>{}</cusip><value>{}</value><shrsOrPrnAmt><sshPrnamt>{}</sshPrnamt></shrsOrPrnAmt></infoTable>"
+    xml = "".join(row.format(*x) for x in (("A", "0001", 1000, 10), ("A", "0001", 500, 5), ("B", "0002", 700, 7), ("C", " ", 1, 1)))
+    rows = t.spark.createDataFrame([(f"<informationTable>{xml}</informationTable>",)], "x string")
+    schema = "infoTable array<struct<nameOfIssuer:string,cusip:string,value:long,shrsOrPrnAmt:struct<sshPrnamt:long>>>"
+    flat = rows.select(F.explode(F.from_xml("x", schema)["infoTable"]).alias("r")).select("r.*").filter(F.trim("cusip") != "")
+    return flat.groupBy("cusip").agg(F.min("nameOfIssuer").alias("issuer"), F.sum("value").alias("value"), F.sum("shrsOrPrnAmt.sshPrnamt").alias("shares"))
+
+
+@query("""SELECT o_orderkey, o_custkey, list(l_partkey::VARCHAR || ':' || l_quantity::BIGINT::VARCHAR ORDER BY l_quantity DESC, l_partkey)[1:3] AS top FROM (SELECT DISTINCT o_orderkey, o_custkey, l_partkey, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 450000) GROUP BY o_orderkey, o_custkey""")
+def nested_children(t: Tables):
+    """Large orders with their three largest items as a nested list; the three are chosen before they are collected."""
+    big = t.orders.filter("o_totalprice > 450000").select("o_orderkey", "o_custkey")
+    items = big.join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity"), "o_orderkey").distinct()
+    top = top_k(items, ["o_orderkey"], [F.desc("l_quantity"), F.col("l_partkey")], 3, rank="k")
+    lists = top.groupBy("o_orderkey", "o_custkey").agg(F.array_sort(F.collect_list(F.struct("k", "l_partkey", "l_quantity"))).alias("x"))
+    return lists.select("o_orderkey", "o_custkey", F.transform("x", lambda x: F.concat_ws(":", x["l_partkey"], x["l_quantity"].cast("long"))).alias("top"))
