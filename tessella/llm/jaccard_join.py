@@ -33,6 +33,8 @@ ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint6
 #: 2**SKETCH_BITS counters in parts of CELLS.
 SKETCH_BITS, CELLS = 22, 1 << 16
 BLOCK = 256
+#: Of a shingle in the prefixes of so many classes at most, pairs are listed; of others, each class with the smallest.
+LISTED = 64
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -243,10 +245,16 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     found = written(found.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known"), "jaccard-prefixes")
     sized = found.filter("n_shingles > 0")
 
-    # coarse groups: a shingle joins the classes that have it in their prefix to the smallest of them
-    held = sized.select(F.explode("prefix").alias("shingle"), "node").distinct()
-    least = held.groupBy("shingle").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v < most").select("shingle", "v")
-    coarse = written(components(held.join(least, "shingle").select(F.col("node").alias("u"), "v"), "jaccard-coarse"), "jaccard-coarse")
+    # coarse groups: pairs of a shingle's classes whose sizes allow the threshold; of a shingle with many, stars
+    classes = sized.groupBy("node").agg(F.first("prefix").alias("prefix"), F.max("n_shingles").alias("n"))
+    own = Window.partitionBy("shingle")
+    held = classes.select(F.explode("prefix").alias("shingle"), "node", "n").withColumn("m", F.count("*").over(own)).withColumn("v", F.min("node").over(own))
+    held = written(held.filter("m > 1"), "jaccard-held")
+    a, b = (held.filter(F.col("m") <= LISTED).select("shingle", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "uv")
+    sized_alike = 100 * F.least("nu", "nv") >= join.percent * F.greatest("nu", "nv")
+    pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("u") > F.col("v")) & sized_alike).select("u", "v")
+    stars = held.filter((F.col("m") > LISTED) & (F.col("node") != F.col("v"))).select(F.col("node").alias("u"), "v")
+    coarse = written(components(pairs.unionByName(stars), "jaccard-coarse"), "jaccard-coarse")
 
     # one text for each class of a group; the blocks of a group hold BLOCK classes at most
     classes = sized.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"))
