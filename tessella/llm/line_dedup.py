@@ -26,8 +26,15 @@ def _partition(length: Column, number: int, parts: int) -> tuple[Column, Column]
     return base * number + longer + 1, base + (F.lit(number) >= F.lit(parts) - extra).cast("int")
 
 
-def _keys(line: Column, n: Column, edits: int) -> Column:
-    """array<struct<key, indexed>>: of segments and probes of a line of n characters."""
+def _segments(line: Column, n: Column, edits: int) -> Column:
+    """array<long>: keys of the segments of a line of n characters."""
+    cut = [_partition(n, i, edits + 1) for i in range(edits + 1)]
+    return F.array(*(F.xxhash64(n, F.lit(i), F.substring(line, start, length)) for i, (start, length) in enumerate(cut)))
+
+
+def _probes(line: Column, n: Column, edits: int) -> Column:
+    """array<struct<key, shorter>>: keys of the substrings of a line of n characters that may be segments of lines `shorter`
+    characters shorter."""
     parts, out = edits + 1, []
     for shorter in range(parts):
         for i in range(parts):
@@ -35,15 +42,15 @@ def _keys(line: Column, n: Column, edits: int) -> Column:
             # a match that leaves at most i edits before the segment and edits - i after it
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 at = start + shift
-                key = F.xxhash64(n - shorter, F.lit(i), F.substring(line, at, length))
-                inside = (at >= 1) & (at + length - 1 <= n) & (n - shorter >= parts)
-                out.append(F.when(inside, F.struct(key.alias("key"), F.lit(shorter == 0 and shift == 0).alias("indexed"), F.lit(shorter).alias("shorter"))))
-    return F.array_compact(F.array(*out))
+                key = F.when((at >= 1) & (at + length - 1 <= n), F.xxhash64(n - shorter, F.lit(i), F.substring(line, at, length)))
+                out.append(F.struct(key.alias("key"), F.lit(shorter).alias("shorter")))
+    return F.array(*out)
 
 
 def _letters(line: Column) -> Column:
     """Eight counts, modulo 256, in the bytes of a long."""
-    counts = [((F.length(line) - F.length(F.replace(line, F.lit(c)))) % 256).cast("long") for c in LETTERS]
+    size = F.octet_length(line)  # of the same line each time; the bytes that go are the letters'
+    counts = [((size - F.octet_length(F.replace(line, F.lit(c)))) % 256).cast("long") for c in LETTERS]
     out = counts[0]
     for k, c in enumerate(counts[1:], 1):
         out = out.bitwiseOR(F.shiftleft(c, 8 * k))
@@ -67,11 +74,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def similar_lines(lines: DataFrame, edits: int = 2, least_chars: int = 20) -> DataFrame:
     """(a, b, distance), a < b: pairs of different lines, as 64-bit hashes, of least_chars characters at least and within the distance."""
-    ids = lines.filter(F.length("line") >= least_chars).select(F.xxhash64("line").alias("id"), "line")
-    n = F.length("line")
-    rows = ids.select("id", _letters(F.col("line")).alias("letters"), F.explode(_keys(F.col("line"), n, edits)).alias("k")).select("id", "letters", "k.*").distinct()
-    index = rows.filter("indexed").select("key", F.col("id").alias("a"), F.col("letters").alias("x"))
-    probes = rows.select("key", F.col("id").alias("b"), F.col("letters").alias("y"), "shorter")
+    if least_chars < 2 * edits + 1:
+        raise ValueError("lines have to be longer than twice the distance, so that every segment has a character")
+    # the length is a column of its own: else each use would count a line's characters again
+    ids = lines.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n")).filter(F.col("n") >= least_chars)
+    rows = ids.withColumn("letters", _letters(F.col("line")))
+    line, n = F.col("line"), F.col("n")
+    index = rows.select("id", "letters", F.explode(_segments(line, n, edits)).alias("key")).distinct().toDF("a", "x", "key")
+    probes = rows.select("id", "letters", F.explode(_probes(line, n, edits)).alias("k")).select("id", "letters", "k.*").filter("key is not null").distinct().toDF("b", "y", "key", "shorter")
     # lines of equal length find each other from either side
     met = (index["key"] == probes["key"]) & (F.col("a") != F.col("b")) & ((F.col("shorter") > 0) | (F.col("a") < F.col("b"))) & _near(F.col("x"), F.col("y"), edits)
     pairs = index.join(probes, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
