@@ -46,8 +46,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and token_ids of each row."""
-    rows = docs.select("doc_id", "source", sentencepiece_codec.encode(F.col("text")).alias("token_ids"))
-    return rows.select("doc_id", "source", F.size("token_ids").alias("n_tokens"), "token_ids")
+    # a batch of long texts and their ids has to fit beside what earlier stages left in an executor
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return sentencepiece_codec.encoded(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 STAGES = [

@@ -145,6 +145,25 @@ def encode(text: Column, path: str | None = None) -> Column:
     return run(text)
 
 
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs with n_tokens and token_ids in place of text. Ids are handed on in parts of a batch, so that memory stays bounded
+    however many tokens a batch has."""
+    codec = Codec.load(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = 0
+            for part in _chunks(batch.pop("text").fillna("").tolist(), 1_000_000):
+                ids = [x.astype(np.int32) for x in codec.encode(part)]
+                own = batch.iloc[at : at + len(part)]
+                yield own.assign(n_tokens=[len(x) for x in ids], token_ids=ids)
+                at += len(part)
+
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens int", "token_ids array<int>"])
+    return docs.select(*(f"`{f.name}`" for f in others), "text").mapInPandas(run, schema)
+
+
 def decode(ids: Column, path: str | None = None) -> Column:
     """The text of an array of ids; null for null."""
     codec = Codec.load(path)
