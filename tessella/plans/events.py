@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -84,35 +85,54 @@ def session_windows(t: Tables):
     return e.sessions(t.events)
 
 
-def _streamed(t: Tables, df, mode: str):
-    """What a stream over all of its input writes, read from memory: for queries that return a result of bounded size."""
+def _shared(t: Tables) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or in tests, where it is unset, under /tmp."""
+    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _appended(t: Tables, df):
+    """What a stream over all of its input appends, as files."""
+    at = _shared(t)
+    df.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(f"{at}/rows")
+
+
+def _completed(t: Tables, df):
+    """The final state of an aggregate of bounded size over a stream, from memory."""
     name = f"t_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.format("memory").queryName(name).option("checkpointLocation", _shared(t)).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return t.spark.table(name)
 
 
-def _events(t: Tables):
-    """The events table as a stream; a single file is a folder's only one."""
-    folder = t.sf_dir if t.spark._jvm is None else t.sf_dir
-    rows = t.spark.readStream.schema(e.SCHEMA).option("pathGlobFilter", "*.parquet")
-    whole = t.spark.read.parquet(f"{folder}/events.parquet").inputFiles()
-    at = f"{folder}/events.parquet" if len(whole) > 1 or not whole[0].endswith("/events.parquet") else folder
-    own = rows.option("pathGlobFilter", "events.parquet") if at == folder else rows
-    return own.parquet(at).withColumn("ts", F.col("ts").cast("timestamp"))
+def _stream(t: Tables, name: str, schema: str):
+    """A table as a stream; where it is one file, that file of its folder."""
+    path, rows, files = f"{t.sf_dir}/{name}.parquet", t.spark.readStream.schema(schema), getattr(t, name).inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):
+        rows, path = rows.option("pathGlobFilter", f"{name}.parquet"), t.sf_dir
+    return rows.parquet(path)
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def stream_dedupe(t: Tables):
     """Users of each type of event, each counted once by a stream that drops what it has seen."""
-    once = e.distinct(_events(t), ["user_id", "event_type"], "60 days")
-    return _streamed(t, once.groupBy("event_type").agg(F.count("*").alias("users")), "complete")
+    rows = _stream(t, "events", e.SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
+    once = e.distinct(rows, ["user_id", "event_type"], "60 days")
+    return _completed(t, once.groupBy("event_type").agg(F.count("*").alias("users")))
+
+
+@query("SELECT conv_id, sum(len(regexp_extract_all(text, '(?s).{1,40}')))::BIGINT AS pieces, sum(len(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
+def conversation_pieces(t: Tables):
+    """How many pieces of 40 characters a relay would send of each conversation."""
+    pieces = t.conversations.select("conv_id", F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0)).alias("p"), F.length("text").alias("n"))
+    return pieces.groupBy("conv_id").agg(F.sum(F.size("p")).alias("pieces"), F.sum("n").alias("chars"))
 
 
 @query()
 def stream_token_assembly(t: Tables):
-    """Conversations' lines put together from pieces of 40 characters."""
-    pieces = t.conversations.filter("conv_id < 20").select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))).alias("text"))
-    return pieces.groupBy("conv_id").agg(F.count("*").alias("pieces"), F.sum(F.length("text")).alias("chars"))
+    """The lines of conversations, put together by a stream from turns as pieces."""
+    pieces = _stream(t, "conversations", "conv_id long, turn long, role string, text string").select("conv_id", "turn", "text")
+    return _appended(t, stateful.assembled(pieces, None))
 
 
 @query()

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def assembled(pieces: DataFrame, minutes: int = 30) -> DataFrame:
+def assembled(pieces: DataFrame, minutes: int | None = 30) -> DataFrame:
     """conv_id, seq, kind, body: the whole lines of a conversation's pieces (conv_id, turn, text), in order of turns.
 
     A line may begin in one piece and end in a later one. kind is 'sources' for a conversation's first line, else
     'delta'. The piece 'done' ends the conversation: what is left is its last line, then comes 'done' with the whole.
-    Without pieces for `minutes` the state goes.
+    Without pieces for `minutes` the state goes; None keeps it, as a stream that ends by itself needs (a time-out by
+    the clock makes a stream run on).
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,10 +37,11 @@ def assembled(pieces: DataFrame, minutes: int = 30) -> DataFrame:
                 out.append((key[0], seq, "done", answer))
                 seq, rest, answer = 0, "", ""
         state.update((seq, rest, answer))
-        state.setTimeoutDuration(minutes * 60_000)
+        if minutes is not None:
+            state.setTimeoutDuration(minutes * 60_000)
         yield pd.DataFrame(out, columns=["conv_id", "seq", "kind", "body"])
 
-    return pieces.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, seq int, kind string, body string", "seq int, rest string, answer string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return pieces.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, seq int, kind string, body string", "seq int, rest string, answer string", "append", GroupStateTimeout.NoTimeout if minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def relay(frames: DataFrame, guard_ms: int = 90, fallback_ms: int = 80) -> DataFrame:
