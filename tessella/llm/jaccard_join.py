@@ -33,6 +33,8 @@ ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint6
 #: 2**SKETCH_BITS counters in parts of CELLS.
 SKETCH_BITS, CELLS = 22, 1 << 16
 BLOCK = 256
+#: Characters whose shingles a task makes at once.
+CHARS = 1_000_000
 #: Of a shingle in the prefixes of so many classes at most, pairs are listed; of others, each class with the smallest.
 LISTED = 64
 
@@ -108,7 +110,7 @@ def frequency_levels(docs: DataFrame, join: Join) -> np.ndarray:
 
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for part in _chunks(batch.text.tolist()):
+            for part in _chunks(batch.text.tolist(), CHARS):
                 own = np.concatenate(shingle_sets(part, join.words)) >> np.uint64(64 - SKETCH_BITS)
                 cells += np.bincount(own.astype(np.int64), minlength=len(cells)).astype(np.uint32)
         if cells.any():
@@ -207,7 +209,7 @@ def _compare(rows: DataFrame, levels, join: Join, by: list[str]) -> DataFrame:
             if own.joined.nunique() < 2:
                 continue
             sets = {}
-            for s in (s for part in _chunks(own.text.tolist()) for s in shingle_sets(part, join.words)):
+            for s in (s for part in _chunks(own.text.tolist(), CHARS) for s in shingle_sets(part, join.words)):
                 sets.setdefault(_node(s), s)
             own = own.drop_duplicates("node").sort_values("node")
             own = own[own.node.isin(sets)]  # another row may have the doc_id of a class's text
@@ -298,7 +300,7 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 def _numbered(items: list[str]) -> Iterator[tuple[int, list[str]]]:
     at = 0
-    for part in _chunks(items):
+    for part in _chunks(items, CHARS):
         yield at, part
         at += len(part)
 
