@@ -50,7 +50,7 @@ def yoy_grid(t: Tables):
     return f.year_grid(sparse(t), "value")
 
 
-@query("WITH" + PIVOT + """ SELECT entity_id, fy, CASE WHEN p IS NULL THEN NULL WHEN v - p > abs(p) * 0.03 THEN 'up' WHEN p - v > abs(p) * 0.03 THEN 'down' ELSE 'flat' END AS trend
+@query("WITH" + PIVOT + """ SELECT entity_id, fy, CASE WHEN p IS NULL OR v IS NULL THEN NULL WHEN v - p > abs(p) * 0.03 THEN 'up' WHEN p - v > abs(p) * 0.03 THEN 'down' ELSE 'flat' END AS trend
 FROM (SELECT entity_id, fy, "1_urgent"::DOUBLE AS v, lag("1_urgent"::DOUBLE) OVER (PARTITION BY entity_id ORDER BY fy) AS p, row_number() OVER (PARTITION BY entity_id ORDER BY fy DESC) AS k FROM wide) WHERE k <= 7""")
 def metric_trend(t: Tables):
     from pyspark.sql import Window
