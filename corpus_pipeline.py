@@ -20,7 +20,8 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose score, by models of the labelled rows of docs, is under TOXIC."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", toxicity.score(F.col("text"), model)).filter(F.col("_score") < TOXIC).drop("_score")
+    gone = written(toxicity.scores(docs, model).filter(F.col("score") >= TOXIC).select(F.col("row").alias("_row")), "pipeline-toxic")
+    return without(docs.withColumn("_row", toxicity.row_key()), gone, "_row").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

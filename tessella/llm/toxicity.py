@@ -9,12 +9,9 @@ words cancel out of the comparison, and a text's score depends on its length-nor
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +23,11 @@ WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """ratios: log of the toxic by the ordinary estimate, of words whose estimates differ. slope, offset: from the log
-    of a text's length-normalised difference to the log odds of label 1."""
+    """ratios: (key, ratio), a Parquet table of the log of the toxic by the ordinary estimate, of words whose estimates
+    differ; None without labels of both kinds. slope, offset: from the log of a text's length-normalised difference to
+    the log odds of label 1."""
 
-    ratios: dict[str, float]
+    ratios: DataFrame | None
     slope: float
     offset: float
 
@@ -38,12 +36,12 @@ class ToxicModel:
 LEAST = 1e-3
 
 
-def _contexts(rows: DataFrame, with_word: bool = False) -> DataFrame:
-    """(w, left): 64 bits of each word; 32 of the word before it and one of the text's class. For each place in each text."""
-    words = rows.select("toxic", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
-    at = words.select("toxic", "words", F.posexplode("words").alias("i", "word"))
+def _placed(rows: DataFrame, *more: str) -> DataFrame:
+    """(*more, w, left): 64 bits of each word; 32 of the word before it, 0 at the start. For each place in each text."""
+    words = rows.select(*more, F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
+    at = words.select(*more, "words", F.posexplode("words").alias("i", "word"))
     left = F.when(F.col("i") > 0, F.hash(F.get("words", F.col("i") - 1))).otherwise(0)
-    return at.select(F.xxhash64("word").alias("w"), (left.cast("long") * 2 + F.col("toxic")).alias("left"), *["word"] * with_word)
+    return at.select(*more, F.xxhash64("word").alias("w"), left.alias("left"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -55,35 +53,34 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return maybe_among(rows, toxic, "doc_id").join(toxic.hint("merge"), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, discount: float = 2.0, factor: float = math.e**2, least_share: float = 1e-5, fit_rows: int = 20_000) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, discount: float = 2.0, factor: float = math.e**2, fit_rows: int = 20_000) -> ToxicModel:
     """Learns from the labelled rows outside the held-out fold.
 
-    Counts cover all of these rows. A word has to stand in more than `discount` contexts of toxic texts and hold
-    least_share of all of these, so at most 1 / least_share words come to the driver. The two numbers that turn
-    differences into odds are fitted to fit_rows labelled rows at most, drawn by a hash of their ids. Without labels of
-    both kinds the model is empty and all texts score 0.
+    Counts cover all of these rows, and every word that stands in more than `discount` contexts of toxic texts is
+    compared, so the model grows with them; it stays in files. The two numbers that turn differences into odds are
+    fitted to fit_rows labelled rows at most, drawn by a hash of their ids. Without labels of both kinds the model is
+    empty and all texts score 0.
     """
     rows = written(labelled(docs, labels), "toxicity-rows")
     # a pair of word and left context counts once in a class
-    pairs, toxic = _contexts(rows).distinct(), F.pmod(F.col("left"), F.lit(2)) == 1
+    pairs = _placed(rows, "toxic").select("w", (F.col("left").cast("long") * 2 + F.col("toxic")).alias("left")).distinct()
+    toxic = F.pmod(F.col("left"), F.lit(2)) == 1
     counts = written(pairs.groupBy("w").agg(F.count_if(toxic).alias("t"), F.count_if(~toxic).alias("o")), "toxicity-counts")
     sums = counts.agg(F.sum("t"), F.sum("o"), F.sum(F.least("t", F.lit(discount))), F.sum(F.least("o", F.lit(discount)))).first()
     n_t, n_o, free_t, free_o = (float(x or 0) for x in sums)
     if not n_t or not n_o:
-        return ToxicModel({}, 0.0, -math.inf)
+        return ToxicModel(None, 0.0, -math.inf)
     shared = (F.col("t") + F.col("o")) / (n_t + n_o)
 
     def estimate(c: str, n: float, free: float):
         return F.greatest(F.col(c) - discount, F.lit(0.0)) / n + free / n * shared
 
     ratio = F.log(estimate("t", n_t, free_t) / estimate("o", n_o, free_o))
-    found = counts.filter((F.col("t") > discount) & (F.col("t") >= least_share * n_t)).select("w", ratio.alias("ratio")).filter(F.col("ratio") > math.log(factor))
-    found = written(found, "toxicity-words")
-    named = _contexts(rows.filter("toxic = 1"), with_word=True).join(found, "w").groupBy("w").agg(F.min("word").alias("word"), F.max("ratio").alias("ratio"))
-    ratios = {r["word"]: r["ratio"] for r in named.collect()}
+    ratios = counts.filter(F.col("t") > discount).select(F.col("w").alias("key"), ratio.alias("ratio")).filter(F.col("ratio") > math.log(factor))
+    ratios = written(ratios, "toxicity-ratios")
     share = min(1.0, fit_rows / max(1, rows.count()))
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(10**6)) < share * 10**6)
-    scored = drawn.select("toxic", _difference(ratios)(F.lower("text")).alias("d")).toPandas()
+    scored = _differences(drawn, ratios, "toxic").select("toxic", "d").toPandas()
     return ToxicModel(ratios, *_logistic(np.log(scored.d.to_numpy(float) + LEAST), scored.toxic.to_numpy(float)))
 
 
@@ -98,28 +95,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return slope, float(w[1] - slope * x.mean()) if len(x) else 0.0
 
 
-def _difference(ratios: dict[str, float]):
-    """The mean over a text's words of the log ratio of its estimates; 0 without words."""
+def row_key() -> Column:
+    """Names a row by its doc_id and its text, so rows of one doc_id with different texts are told apart."""
+    return F.concat_ws("/", F.col("doc_id").cast("long").cast("string"), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string"))
 
-    @F.pandas_udf("double")
-    def difference(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find, known = re.compile(WORD).findall, ratios.get
-        for batch in batches:
-            out = []
-            for t in batch:
-                words = find(t)
-                out.append(sum(filter(None, map(known, words))) / len(words) if words else 0.0)
-            yield pd.Series(out, dtype=float)
 
-    return difference
+def _differences(rows: DataFrame, ratios: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, *more, row, copies, d) for each different row of (doc_id, text, *more): how often it stands there, and
+    the mean over its words of the log ratio of their estimates; 0 without words.
+
+    Words are joined with the table of ratios; those that cannot be in it are dropped before. Each row gives its
+    number of words besides, so that repeated rows add to both sides of the mean.
+    """
+    rows, by = rows.withColumn("row", row_key()), ["doc_id", *more, "row"]
+    met = maybe_among(_placed(rows, *by).select(*by, F.col("w").alias("key")), ratios, "key").join(ratios, "key")
+    words = F.regexp_count(F.lower("text"), F.lit(WORD)).cast("long")
+    parts = rows.select(*by, F.lit(1).alias("one"), words.alias("n"), F.lit(0.0).alias("ratio"))
+    parts = parts.unionByName(met.select(*by, F.lit(0).alias("one"), F.lit(0).cast("long").alias("n"), "ratio"))
+    sums = parts.groupBy(*by).agg(F.sum("one").alias("copies"), F.sum("n").alias("n"), F.sum("ratio").alias("ratio"))
+    return sums.select(*by, "copies", F.coalesce(F.try_divide("ratio", "n"), F.lit(0.0)).alias("d"))
 
 
-def score(text: Column, model: ToxicModel) -> Column:
-    """0 to 1, from a text column alone. A null text counts as empty and scores as a text without toxic words does."""
-    if not model.ratios:
-        return F.lit(0.0)
-    difference = _difference(model.ratios)(F.lower(F.coalesce(text, F.lit(""))))
-    return 1 / (1 + F.exp(-(F.lit(model.slope) * F.log(difference + LEAST) + F.lit(model.offset))))
+def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """doc_id, row (see row_key), copies, score (0 to 1) for each different row of docs by doc_id and text. A null text
+    counts as empty and scores as a text without toxic words does."""
+    rows = texts(docs)
+    if model.ratios is None:
+        return rows.groupBy("doc_id", row_key().alias("row")).agg(F.count("*").alias("copies")).withColumn("score", F.lit(0.0))
+    odds = F.lit(model.slope) * F.log(F.col("d") + LEAST) + F.lit(model.offset)
+    return _differences(rows, model.ratios).select("doc_id", "row", "copies", (1 / (1 + F.exp(-odds))).alias("score"))
 
 
 def toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> DataFrame:
@@ -127,7 +131,7 @@ def toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> Data
 
     Repeated rows repeat; other columns are not looked at; an empty table gives no rows.
     """
-    rows = texts(docs).select("doc_id", score(F.col("text"), model).alias("score"))
+    rows = scores(docs, model).select("doc_id", F.explode(F.array_repeat("score", F.col("copies").cast("int"))).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
