@@ -1,9 +1,11 @@
-"""Toxicity by class-conditional Kneser-Ney models of words.
-
-Each class counts in how many different left contexts a word stands, so that copies of one document count once. A
-class's estimate is its discounted count, and what discounting sets free goes to both classes' shared counts. Words on
-which the two estimates differ by less than a factor take the shared estimate in both classes, so rare and ordinary
-words cancel out of the comparison, and a text's score depends on its length-normalised difference of log-likelihoods.
+"""Toxicity by class-conditional Kneser-Ney models of words and pairs of words.
+
+Each class counts in how many different left contexts a word or a pair of words stands, so that copies of one document
+count once. A class's estimate is its discounted count, and what discounting sets free goes to both classes' shared
+counts. A pair that either class has more often than the discount is compared given its first word; elsewhere the
+word is compared alone. Estimates that differ by less than a factor, either way, take the shared one in both classes, so
+rare and ordinary words cancel out of the comparison, and a text's score depends on its length-normalised difference of
+log-likelihoods, in which ordinary evidence offsets toxic evidence.
 """
 
 from __future__ import annotations
@@ -23,25 +25,26 @@ WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """ratios: (key, ratio), a Parquet table of the log of the toxic by the ordinary estimate, of words whose estimates
-    differ; None without labels of both kinds. slope, offset: from the log of a text's length-normalised difference to
-    the log odds of label 1."""
+    """ratios: (key, ratio), a Parquet table of the log of the toxic by the ordinary estimate of words, and of
+    what pairs of words add to that of their second word; None without labels of both kinds. slope, offset: from the
+    inverse hyperbolic sine of a text's length-normalised difference by LEAST to the log odds of label 1."""
 
     ratios: DataFrame | None
     slope: float
     offset: float
 
 
-#: Added to a text's difference before its logarithm is taken.
+#: Differences beyond this count by their logarithm.
 LEAST = 1e-3
 
 
 def _placed(rows: DataFrame, *more: str) -> DataFrame:
-    """(*more, w, left): 64 bits of each word; 32 of the word before it, 0 at the start. For each place in each text."""
+    """(*more, w, left, before): 64 bits of each word; 32 each of the one before it and of the one before that, 0 where
+    the text starts. For each place in each text."""
     words = rows.select(*more, F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
     at = words.select(*more, "words", F.posexplode("words").alias("i", "word"))
-    left = F.when(F.col("i") > 0, F.hash(F.get("words", F.col("i") - 1))).otherwise(0)
-    return at.select(*more, F.xxhash64("word").alias("w"), left.alias("left"))
+    left, before = (F.when(F.col("i") >= k, F.hash(F.get("words", F.col("i") - k))).otherwise(0) for k in (1, 2))
+    return at.select(*more, F.xxhash64("word").alias("w"), left.alias("left"), before.alias("before"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -56,32 +59,57 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, discount: float = 2.0, factor: float = math.e**2, fit_rows: int = 20_000) -> ToxicModel:
     """Learns from the labelled rows outside the held-out fold.
 
-    Counts cover all of these rows, and every word that stands in more than `discount` contexts of toxic texts is
+    Counts cover all of these rows, and every word and pair that stands in more than `discount` contexts of a class is
     compared, so the model grows with them; it stays in files. The two numbers that turn differences into odds are
     fitted to fit_rows labelled rows at most, drawn by a hash of their ids. Without labels of both kinds the model is
     empty and all texts score 0.
     """
     rows = written(labelled(docs, labels), "toxicity-rows")
-    # a pair of word and left context counts once in a class
-    pairs = _placed(rows, "toxic").select("w", (F.col("left").cast("long") * 2 + F.col("toxic")).alias("left")).distinct()
-    toxic = F.pmod(F.col("left"), F.lit(2)) == 1
-    counts = written(pairs.groupBy("w").agg(F.count_if(toxic).alias("t"), F.count_if(~toxic).alias("o")), "toxicity-counts")
-    sums = counts.agg(F.sum("t"), F.sum("o"), F.sum(F.least("t", F.lit(discount))), F.sum(F.least("o", F.lit(discount)))).first()
-    n_t, n_o, free_t, free_o = (float(x or 0) for x in sums)
+    toxic = F.col("toxic") == 1
+    # a pair of words counts once in a class for each word before it, as a word does for each word before it
+    pairs = _placed(rows, "toxic").distinct().groupBy("w", "left").agg(F.count_if(toxic).alias("t"), F.count_if(~toxic).alias("o"))
+    pairs = written(pairs, "toxicity-pairs")
+    words = pairs.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"))
+    words = written(words, "toxicity-words")
+    sums = words.agg(*_totals(discount)).first()
+    n_t, n_o = float(sums.n_t or 0), float(sums.n_o or 0)
     if not n_t or not n_o:
         return ToxicModel(None, 0.0, -math.inf)
-    shared = (F.col("t") + F.col("o")) / (n_t + n_o)
-
-    def estimate(c: str, n: float, free: float):
-        return F.greatest(F.col(c) - discount, F.lit(0.0)) / n + free / n * shared
-
-    ratio = F.log(estimate("t", n_t, free_t) / estimate("o", n_o, free_o))
-    ratios = counts.filter(F.col("t") > discount).select(F.col("w").alias("key"), ratio.alias("ratio")).filter(F.col("ratio") > math.log(factor))
+    seen = F.greatest("t", "o") > discount
+    whole = {k: F.lit(float(v)) for k, v in sums.asDict().items()}
+    words = words.filter(seen).select("w", _ratio(whole, discount, factor).alias("own")).filter("own != 0")
+    words = written(words, "toxicity-ratios-of-words")
+    # a pair that is seen has its own ratio in place of its word's
+    lefts = pairs.groupBy("left").agg(*_totals(discount))
+    after = _ratio({k: F.col(k) for k in whole}, discount, factor)
+    known = pairs.filter(seen).join(lefts, "left").select("w", F.xxhash64("w", "left").alias("key"), after.alias("after")).join(words, "w", "left")
+    changes = known.select("key", (F.col("after") - F.coalesce("own", F.lit(0.0))).alias("ratio"))
+    ratios = words.select(F.col("w").alias("key"), F.col("own").alias("ratio")).unionByName(changes).filter("ratio != 0")
     ratios = written(ratios, "toxicity-ratios")
     share = min(1.0, fit_rows / max(1, rows.count()))
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(10**6)) < share * 10**6)
     scored = _differences(drawn, ratios, "toxic").select("toxic", "d").toPandas()
-    return ToxicModel(ratios, *_logistic(np.log(scored.d.to_numpy(float) + LEAST), scored.toxic.to_numpy(float)))
+    return ToxicModel(ratios, *_logistic(np.arcsinh(scored.d.to_numpy(float) / LEAST), scored.toxic.to_numpy(float)))
+
+
+def _totals(discount: float) -> list[Column]:
+    """Of counts t and o: their sums, and what discounting sets free of each."""
+    frees = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"free_{c}") for c in "to"]
+    return [F.sum("t").alias("n_t"), F.sum("o").alias("n_o"), *frees]
+
+
+def _ratio(given: dict[str, Column], discount: float, factor: float) -> Column:
+    """Log of the toxic by the ordinary estimate from counts t and o and their totals, 0 where they differ by less than
+    factor either way. What discounting frees goes to the shared count, which stands alone where a class saw nothing:
+    else a class with less text would seem to have evidence against whatever it did not see."""
+    shared = (F.col("t") + F.col("o")) / (given["n_t"] + given["n_o"])
+
+    def estimate(c: str) -> Column:
+        own = (F.greatest(F.col(c) - discount, F.lit(0.0)) + given[f"free_{c}"] * shared) / given[f"n_{c}"]
+        return F.when(given[f"n_{c}"] > 0, own).otherwise(shared)
+
+    ratio = F.log(estimate("t") / estimate("o"))
+    return F.when(F.abs(ratio) > math.log(factor), ratio).otherwise(0.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -104,11 +132,12 @@ def _differences(rows: DataFrame, ratios: DataFrame, *more: str) -> DataFrame:
     """(doc_id, *more, row, copies, d) for each different row of (doc_id, text, *more): how often it stands there, and
     the mean over its words of the log ratio of their estimates; 0 without words.
 
-    Words are joined with the table of ratios; those that cannot be in it are dropped before. Each row gives its
+    Words and pairs are joined with the table of ratios; those that cannot be in it are dropped before. Each row gives its
     number of words besides, so that repeated rows add to both sides of the mean.
     """
     rows, by = rows.withColumn("row", row_key()), ["doc_id", *more, "row"]
-    met = maybe_among(_placed(rows, *by).select(*by, F.col("w").alias("key")), ratios, "key").join(ratios, "key")
+    keys = _placed(rows, *by).select(*by, F.explode(F.array("w", F.xxhash64("w", "left"))).alias("key"))
+    met = maybe_among(keys, ratios, "key").join(ratios, "key")
     words = F.regexp_count(F.lower("text"), F.lit(WORD)).cast("long")
     parts = rows.select(*by, F.lit(1).alias("one"), words.alias("n"), F.lit(0.0).alias("ratio"))
     parts = parts.unionByName(met.select(*by, F.lit(0).alias("one"), F.lit(0).cast("long").alias("n"), "ratio"))
@@ -122,7 +151,7 @@ def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
     rows = texts(docs)
     if model.ratios is None:
         return rows.groupBy("doc_id", row_key().alias("row")).agg(F.count("*").alias("copies")).withColumn("score", F.lit(0.0))
-    odds = F.lit(model.slope) * F.log(F.col("d") + LEAST) + F.lit(model.offset)
+    odds = F.lit(model.slope) * F.asinh(F.col("d") / LEAST) + F.lit(model.offset)
     return _differences(rows, model.ratios).select("doc_id", "row", "copies", (1 / (1 + F.exp(-odds))).alias("score"))
 
 

@@ -33,6 +33,23 @@ def test_rare_toxic_words_count_in_a_large_table(spark):
     assert by == [("1", found), ("2", clean), ("2", found), ("None", by[3][1]), ("None", by[3][1])]
 
 
+def test_toxic_phrases_and_ordinary_evidence_count(spark):
+    rng, common = random.Random(4), [a + b + "q" for a in "abcdefghij" for b in "abcdefghij"]
+    docs = []
+    for k in range(120):
+        words = rng.choices(common, k=300)
+        for more in [["redq", "blueq"], ["slurry"]] * 2 if k % 2 == 0 else [["blueq", "redq"], ["kindly"]] * 2:
+            at = rng.randrange(len(words))
+            words[at:at] = more
+        docs.append((k, " ".join(words)))
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    new = ["aaq redq blueq aaq", "aaq blueq redq aaq", "aaq slurry aaq kindly", "aaq slurry aaq aaq", "aaq aaq aaq aaq"]
+    rows = toxicity.toxicity(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), model)
+    phrase, turned, offset, toxic, clean = (r.score for r in rows.orderBy("doc_id").collect())
+    assert phrase > clean > turned and toxic > offset and toxic > clean
+
+
 def test_pipeline_drops_toxic_rows_by_their_own_text(spark, monkeypatch):
     found = spark.createDataFrame([(1, "bad"), (None, "bad")], "doc_id long, text string").select("doc_id", toxicity.row_key().alias("row"), F.lit(0.9).alias("score"))
     monkeypatch.setattr(toxicity, "fit", lambda docs, labels: None)
