@@ -53,35 +53,68 @@ def _odds(share: Column) -> Column:
     return F.when((share > 0) & (share < 1), (F.col("_u") / (1 - F.col("_u"))) / (share / (1 - share)))
 
 
+def _taken(me: Column, rounds: Column) -> Column:
+    """Whether a document (q, doc_id, size) is in the sample of one of the rounds."""
+
+    def within(r: Column) -> Column:
+        return (r["start"].isNull() | (me >= r["start"])) & (r["end"].isNull() | (me < r["end"])) & (me["size"] <= r["room"])
+
+    return me["q"].isNotNull() & F.coalesce(F.exists(rounds, within), F.lit(False))
+
+
+def _round(drawn: DataFrame, opened: DataFrame) -> DataFrame:
+    """opened (src, start, room) with end and gap: of each source's documents from start on that are no larger than
+    room, the first at which the sum is above room, null if there is none, and what those before it leave of room."""
+    mine = opened.withColumnRenamed("src", "own")
+    rows = drawn.join(mine, F.col("src").eqNullSafe(F.col("own"))).filter((F.col("start").isNull() | (F.col("me") >= F.col("start"))) & (F.col("size") <= F.col("room")))
+    sums = rows.groupBy("src", "slice", "room").agg(F.sum("size").alias("in_slice"))
+    ahead = F.coalesce(F.sum("in_slice").over(Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = written(sums.withColumn("ahead", ahead), "mix-slices")
+    last = sums.filter("ahead <= room and ahead + in_slice > room").groupBy("src").agg(F.min(F.struct("slice", "ahead")).alias("x")).select("src", "x.slice", "x.ahead").toDF("at_src", "at_slice", "ahead")
+    inner = Window.partitionBy("src").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.join(last, F.col("src").eqNullSafe(F.col("at_src")) & (F.col("slice") == F.col("at_slice")))
+    here = here.withColumn("upto", F.col("ahead") + F.sum("size").over(inner))
+    over = F.col("upto") > F.col("room")
+    # sizes are not negative, so the running sum stays above once it is
+    ends = here.groupBy("src").agg(F.min(F.when(over, F.col("me"))).alias("end"), F.coalesce(F.max(F.when(~over, F.col("upto"))), F.max("ahead")).alias("got"))
+    totals = sums.groupBy("src").agg(F.sum("in_slice").alias("all"))
+    out = opened.join(ends.withColumnRenamed("src", "end_src"), F.col("src").eqNullSafe(F.col("end_src")), "left").join(totals.withColumnRenamed("src", "all_src"), F.col("src").eqNullSafe(F.col("all_src")), "left")
+    return out.select("src", "start", "room", "end", (F.col("room") - F.coalesce("got", "all", F.lit(0))).alias("gap"))
+
+
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
-    """A row for each source: source, source_size, target, copies (certain ones), share, end, fill.
+    """A row for each source: source, source_size, target, copies (certain ones), share, rounds, fill.
 
     What is left of a target beside the certain copies is a fixed-size sample, the size counted in words: documents are
-    ranked by the odds of a uniform number divided by the odds of their inclusion and taken in this order while they
-    fit; `end` is the first that does not. Then `fill`, that one of the source's other documents, is added whose
-    size comes nearest to the gap, if it lessens it. A hot source is never in one task: ranks are summed over about
-    sqrt(n) slices of each source first, and only the slice in which the target is reached is ordered.
+    ranked by the odds of a uniform number divided by the odds of their inclusion and taken in this order where they
+    fit; those that do not are passed over. Each round takes the documents from `start` up to `end`, the first that
+    does not fit, of those no larger than the `room` it began with; rounds go on until none fits. Then `fill`, that one
+    of the source's other documents, is added whose size comes nearest to the gap, if it lessens it. A hot source is
+    never in one task: ranks are summed over about sqrt(n) slices of each source first, and only the slice in which the
+    room is used up is ordered.
     """
     sized = written(_sized(docs, seed).select("doc_id", F.col("_src").alias("source"), F.col("_size").alias("size"), "_u"), "mix-sizes")
     sources = written(source_targets(sized, weights, max_repeats), "mix-sources").withColumnRenamed("source", "src")
     rows = sized.join(sources, F.col("source").eqNullSafe(F.col("src"))).withColumn("q", _odds(F.col("share")))
-    drawn = rows.filter("q is not null").withColumn("slice", F.floor(F.col("_u") * F.ceil(F.sqrt("n_docs"))))
-
-    sums = drawn.groupBy("src", "slice", "rest").agg(F.sum("size").alias("in_slice"))
-    ahead = F.coalesce(F.sum("in_slice").over(Window.partitionBy("src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = sums.withColumn("ahead", ahead).filter("ahead <= rest and ahead + in_slice > rest")
-    last = written(last.groupBy("src").agg(F.min(F.struct("slice", "ahead")).alias("x")).select("src", "x.slice", "x.ahead"), "mix-slices").toDF("at_src", "at_slice", "ahead")
-
-    inner = Window.partitionBy("src").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    here = drawn.join(last, F.col("src").eqNullSafe(F.col("at_src")) & (F.col("slice") == F.col("at_slice")))
-    here = here.withColumn("upto", F.col("ahead") + F.sum("size").over(inner)).withColumn("over", F.max((F.col("upto") > F.col("rest")).cast("int")).over(inner))
-    ends = here.groupBy("src").agg(F.min(F.when(F.col("over") == 1, F.struct("q", "doc_id", "size"))).alias("end"), F.coalesce(F.max(F.when(F.col("over") == 0, F.col("upto"))), F.max("ahead")).alias("got"), F.max("rest").alias("most"))
-    ends = written(ends.select(F.col("src").alias("end_src"), "end", (F.col("most") - F.col("got")).alias("gap")), "mix-ends")
-    past = drawn.join(ends, F.col("src").eqNullSafe(F.col("end_src"))).filter(F.struct("q", "doc_id", "size") >= F.col("end"))
+    drawn = rows.filter("q is not null").withColumn("slice", F.floor(F.col("_u") * F.ceil(F.sqrt("n_docs")))).withColumn("me", F.struct("q", "doc_id", "size"))
+
+    opened = sources.filter("share > 0 and share < 1").select("src", F.lit(None).cast(drawn.schema["me"].dataType).alias("start"), F.col("rest").alias("room"))
+    done = []
+    while not opened.isEmpty():
+        done.append(written(_round(drawn.select("src", "doc_id", "size", "q", "slice", "me"), opened), "mix-round").withColumn("nth", F.lit(len(done))))
+        opened = done[-1].filter("end is not null and gap >= 1").select("src", F.col("end").alias("start"), F.col("gap").alias("room"))
+    if not done:
+        done = [_round(drawn.select("src", "doc_id", "size", "q", "slice", "me"), opened).withColumn("nth", F.lit(0))]
+    rounds = done[0]
+    for more in done[1:]:
+        rounds = rounds.unionByName(more)
+    rounds = rounds.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("nth", "start", "end", "room"))).alias("rounds"), F.max_by("gap", "nth").alias("gap"))
+    rounds = written(rounds.withColumnRenamed("src", "round_src"), "mix-rounds")
+    past = drawn.join(rounds, F.col("src").eqNullSafe(F.col("round_src"))).filter(~_taken(F.col("me"), F.col("rounds")))
     fill = past.groupBy("src", "gap").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "q", "doc_id", "size")).alias("f"))
     fill = fill.filter("f.miss < gap").select(F.col("src").alias("fill_src"), F.struct("f.q", "f.doc_id", "f.size").alias("fill"))
-    plan = sources.join(ends, F.col("src").eqNullSafe(F.col("end_src")), "left").join(fill, F.col("src").eqNullSafe(F.col("fill_src")), "left")
-    return written(plan.select(F.col("src").alias("source"), "source_size", "target", "copies", "share", "end", "fill"), "mix-plan")
+    plan = sources.join(rounds, F.col("src").eqNullSafe(F.col("round_src")), "left").join(fill, F.col("src").eqNullSafe(F.col("fill_src")), "left")
+    return written(plan.select(F.col("src").alias("source"), "source_size", "target", "copies", "share", "rounds", "fill"), "mix-plan")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
@@ -95,7 +128,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats
     plan = mix_plan(docs, weights, max_repeats, seed).select(F.struct("*").alias("_p"))
     rows = _sized(docs, seed).join(plan, F.col("_src").eqNullSafe(F.col("_p.source")))
     me = F.struct(_odds(F.col("_p.share")).alias("q"), F.col("doc_id"), F.col("_size").alias("size"))
-    sampled = me["q"].isNotNull() & (F.col("_p.end").isNull() | (me < F.col("_p.end")) | F.coalesce(me.eqNullSafe(F.col("_p.fill")), F.lit(False)))
+    sampled = _taken(me, F.col("_p.rounds")) | (me["q"].isNotNull() & F.coalesce(me.eqNullSafe(F.col("_p.fill")), F.lit(False)))
     copies = F.col("_p.copies") + F.coalesce(sampled, F.lit(False)).cast("long")
     rows = rows.withColumns({"mix_size": F.col("_size"), "mix_source_size": F.col("_p.source_size"), "mix_target": F.col("_p.target"), "mix_copies": copies})
     return rows.drop("_src", "_size", "_u", "_p")

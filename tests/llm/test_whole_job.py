@@ -6,7 +6,7 @@ import zlib
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import toxicity
+from tessella.llm import source_mix, toxicity
 
 
 def many_contexts(spark, rare=("slurry",)):
@@ -50,6 +50,30 @@ def test_toxic_phrases_and_ordinary_evidence_count(spark):
     assert phrase > clean > turned and toxic > offset and toxic > clean
 
 
+def test_mix_passes_over_texts_that_do_not_fit(spark):
+    rng = random.Random(8)
+    docs = [(k, "a " * 500, "long") for k in range(200)] + [(900 + k, "a " * 100_000, "long") for k in range(6)]
+    docs += [(2000 + k, "a " * rng.randint(1, 900), "many") for k in range(300)] + [(5000, "a " * 250_000, "other")]
+    mixed = source_mix.mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string"), weights=(1, 2, 5), max_repeats=3)
+    rows = [r.asDict() for r in mixed.drop("text").withColumn("u", source_mix.uniform(F.col("doc_id"), "mix")).collect()]
+    for source in ("long", "many"):
+        own = [r for r in rows if r["source"] == source]
+        size, target = own[0]["mix_source_size"], own[0]["mix_target"]
+        whole = min(3, int(target // size))
+        # in order of the uniform number, each document that still fits
+        room, taken = target - whole * size, set()
+        for r in sorted(own, key=lambda r: r["u"]):
+            if r["mix_size"] <= room:
+                room -= r["mix_size"]
+                taken.add(r["doc_id"])
+        rest = [(abs(room - r["mix_size"]), r["u"], r["doc_id"]) for r in own if r["doc_id"] not in taken]
+        if rest and min(rest)[0] < room:
+            taken.add(min(rest)[2])
+            room = min(rest)[0]
+        assert {r["doc_id"] for r in own if r["mix_copies"] > whole} == taken
+        assert abs(sum(r["mix_size"] * r["mix_copies"] for r in own) - target) <= 500
+
+
 def test_pipeline_drops_toxic_rows_by_their_own_text(spark, monkeypatch):
     found = spark.createDataFrame([(1, "bad"), (None, "bad")], "doc_id long, text string").select("doc_id", toxicity.row_key().alias("row"), F.lit(0.9).alias("score"))
     monkeypatch.setattr(toxicity, "fit", lambda docs, labels: None)
