@@ -25,18 +25,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of equal texts, and one of repeated rows."""
-    found = written(exact_dedup.exact_dedup(docs, keep="largest"), "pipeline-copies")
-    gone = found.filter("not kept").select("doc_id")
-    repeated = written(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
-    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return without(docs, gone.unionByName(repeated)).unionByName(once.select(docs.columns))
+    """Keeps the row with the largest doc_id of equal texts, and one of repeated rows. Rows are named by doc_id and text."""
+    named = lambda digest: F.when(F.col("doc_id").isNotNull(), F.concat_ws("/", F.col("doc_id").cast("string"), digest)).alias("_row")
+    found = written(exact_dedup.exact_dedup(docs, keep="largest").select("kept", named(F.col("text_sha256"))), "pipeline-copies")
+    gone = found.filter("not kept").select("_row")
+    repeated = written(found.filter("kept and _row is not null").groupBy("_row").count().filter("count > 1").select("_row"), "pipeline-repeated")
+    rows = docs.withColumn("_row", named(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    once = rows.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return without(rows, gone.unionByName(repeated), "_row").unionByName(once.select(rows.columns)).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    """Keeps the document with the smallest doc_id of each group linked by a Jaccard similarity of 0.8 of five-word
+    shingles. Rows are named by doc_id and text; near copies that share the smallest doc_id all stay."""
     found = written(jaccard_join.jaccard_classes(docs, jaccard_join.Join(words=5, percent=80)), "pipeline-near")
-    return without(docs, found.filter("doc_id != component_id").select("doc_id"))
+    gone = found.filter("doc_id != component_id").select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("text_id").cast("string")).alias("_row"))
+    return without(docs.withColumn("_row", toxicity.row_key()), gone, "_row").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -224,7 +224,7 @@ def _compare(rows: DataFrame, levels, join: Join, by: list[str]) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id for each row of docs.
+    """doc_id, text_id (64 bits of the text), n_shingles, class_id, component_id for each row of docs.
 
     Rows with equal shingle sets have one class_id; component_id is the smallest doc_id that links reach, the row's own
     included. A row without words (a null text counts as empty) is linked with nothing: its component is its doc_id. A
@@ -240,10 +240,10 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
             for at, part in _numbered(batch.text.tolist()):
                 sets = shingle_sets(part, join.words)
                 own = batch.iloc[at : at + len(part)]
-                yield pd.DataFrame({"doc_id": own.doc_id.to_numpy(), "known": own.known.to_numpy(), "n_shingles": [len(s) for s in sets], "node": [_node(s) for s in sets], "check": [_node(s, ORDERS[2]) for s in sets], "prefix": [prefixes(s, levels.value, join, 0).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]})
+                yield pd.DataFrame({"doc_id": own.doc_id.to_numpy(), "known": own.known.to_numpy(), "text_id": own.text_id.to_numpy(), "n_shingles": [len(s) for s in sets], "node": [_node(s) for s in sets], "check": [_node(s, ORDERS[2]) for s in sets], "prefix": [prefixes(s, levels.value, join, 0).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]})
 
-    plain = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text")
-    found = plain.mapInPandas(described, "doc_id long, known boolean, n_shingles long, node long, check long, prefix array<long>")
+    plain = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), F.xxhash64("text").alias("text_id"), "text")
+    found = plain.mapInPandas(described, "doc_id long, known boolean, text_id long, n_shingles long, node long, check long, prefix array<long>")
     found = written(found.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known"), "jaccard-prefixes")
     sized = found.filter("n_shingles > 0")
 
@@ -293,8 +293,8 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "component").select("node", "check", F.col("doc_id").alias("class_id"), "component_id")
     named = written(named, "jaccard-classes")
-    out = sized.drop("prefix").join(named, ["node", "check"], "left").select("doc_id", "n_shingles", "class_id", "component_id")
-    lone = found.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    out = sized.drop("prefix").join(named, ["node", "check"], "left").select("doc_id", "text_id", "n_shingles", "class_id", "component_id")
+    lone = found.filter("n_shingles = 0").select("doc_id", "text_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return out.unionByName(lone)
 
 

@@ -81,3 +81,15 @@ def test_pipeline_drops_toxic_rows_by_their_own_text(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "bad"), (1, "good"), (None, "good"), (None, "bad"), (2, None)], "doc_id long, text string")
     left = corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.001").collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in left) == [("1", "good"), ("2", "None"), ("None", "good")]
+
+
+def test_pipeline_names_copies_by_id_and_text(spark):
+    say = lambda docs: sorted((str(r.doc_id), str(r.text)) for r in docs.collect())
+    rows = [(5, "A"), (7, "A"), (5, "B"), (9, "C"), (9, "C"), (9, "D"), (10, "D"), (None, "A"), (11, None), (11, "")]
+    kept = say(corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), ""))
+    assert [k for k in kept if k[0] != "11"] == [("10", "D"), ("5", "B"), ("7", "A"), ("9", "C"), ("None", "A")]
+    assert len(kept) == 6
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(3, long), (5, long + " more"), (5, "a text of its own that nothing else is like"), (6, "short")]
+    kept = say(corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), ""))
+    assert kept == [("3", long), ("5", rows[2][1]), ("6", "short")]
