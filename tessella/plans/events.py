@@ -46,14 +46,20 @@ def error_histogram(t: Tables):
 
 @query("SELECT event_type, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY event_type")
 def upper_median(t: Tables):
-    """The element n // 2 of the sorted values: values are counted first, so a group holds each distinct one once."""
+    """The element n // 2 of the sorted values: values are counted first, slices of a type's range then summed, and only
+    the slice that holds the element is ordered."""
     from pyspark.sql import Window
 
     c = t.events.groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    upto = c.withColumn("upto", F.sum("c").over(Window.partitionBy("event_type").orderBy("value")))
-    total = c.groupBy("event_type").agg(F.sum("c").alias("n"))
-    own = upto.join(total, "event_type").filter(F.col("upto") > F.floor(F.col("n") / 2))
-    return own.groupBy("event_type").agg(F.max("n").alias("n"), F.min("value").alias("median"))
+    range_ = c.groupBy("event_type").agg(F.sum("c").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.ceil(F.sqrt(F.count("*"))).alias("k"))
+    # rises with the value; a type of one value, or values out of a range's reach, is one slice
+    part = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * F.col("k")), F.lit(0))
+    c = c.join(range_, "event_type").withColumn("part", part)
+    sums = c.groupBy("event_type", "part").agg(F.sum("c").alias("s"))
+    ahead = sums.withColumn("ahead", F.sum("s").over(Window.partitionBy("event_type").orderBy("part")) - F.col("s"))
+    own = c.join(ahead, ["event_type", "part"]).filter((F.col("ahead") <= F.floor(F.col("n") / 2)) & (F.col("ahead") + F.col("s") > F.floor(F.col("n") / 2)))
+    upto = own.withColumn("upto", F.col("ahead") + F.sum("c").over(Window.partitionBy("event_type").orderBy("value")))
+    return upto.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("event_type").agg(F.max("n").alias("n"), F.min("value").alias("median"))
 
 
 @query("SELECT (json_extract(props, '$.k')::BIGINT) AS k, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY 1")

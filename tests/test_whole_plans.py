@@ -17,3 +17,11 @@ def test_overlap_in_every_language_at_seven_tenths(spark, tmp_path):
     want = {(i, d, round(len(own(a) & own(b)) / len(own(a)), 6)) for i, a in items for d, b, _ in docs if own(a) and 10 * len(own(a) & own(b)) >= 7 * len(own(a))}
     got = registry.QUERIES["word_overlap_ratio"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == want and len(got) == 7
+
+
+def test_upper_median_orders_one_slice(spark, tmp_path):
+    groups = {"a": [float(k * k % 997) for k in range(500)], "b": [2.5] * 7, "c": [3.0, 1.0], "d": [-1.0, 4.0, 4.0]}
+    spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    df = registry.QUERIES["upper_median"](spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {(k, len(v), sorted(v)[len(v) // 2]) for k, v in groups.items()}
+    assert "part" in df._jdf.queryExecution().optimizedPlan().toString()
