@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,9 +38,12 @@ def held_out(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where it is unset, one made here."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessella.shared.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master, where it may be unset, one made here."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or spark.conf.get("tessella.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[\d*]+(,\d+)?\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("tessella.shared.dir", found)
     return found.rstrip("/")
@@ -54,36 +58,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: 2**17 words of 64 bits: 1 MB, whatever the input.
-BITMAP_WORDS = 1 << 17
+#: Words of 64 bits of a bitmap at least and at most: 16 MB, whatever the input.
+LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 21
 
 
-def _in_bitmap(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """rows with _maybe: whether a row's key may be among ids' keys.
+def _in_bitmap(rows: DataFrame, ids: DataFrame, key: str, mark: str) -> DataFrame:
+    """rows with column `mark`: whether a row's key may be among ids' keys.
 
-    One bit stands for each hash. The bitmap has BITMAP_WORDS rows at most, so it is broadcast; where ids are so many
-    that it fills up, more rows may be among them and the join that follows reads more.
+    One bit stands for each hash. The bitmap follows the number of ids up to MOST_WORDS rows, so it is broadcast; where
+    ids are so many that it fills up, more rows may be among them and the join that follows reads more.
     """
+    own = mark.removesuffix("maybe")
+    words = min(MOST_WORDS, max(LEAST_WORDS, 1 << max(0, (ids.count() // 4).bit_length())))
 
     def word(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS))
+        return F.pmod(F.xxhash64(c), F.lit(words))
 
     def bit(c: Column) -> Column:
         return F.pmod(F.xxhash64(c, F.lit("bit")), F.lit(64)).cast("int")
 
-    bits = ids.select(word(F.col(key)).alias("_w"), bit(F.col(key)).alias("_b")).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_m"))
-    out = rows.withColumn("_k", word(F.col(key))).withColumn("_p", bit(F.col(key)))
-    out = out.join(F.broadcast(bits), F.col("_k") == F.col("_w"), "left")
-    return out.withColumn("_maybe", F.coalesce(F.expr("getbit(_m, _p) = 1"), F.lit(False))).drop("_k", "_p", "_w", "_m")
+    bits = ids.select(word(F.col(key)).alias(f"{own}w"), F.shiftleft(F.lit(1).cast("long"), 0).alias("one"), bit(F.col(key)).alias("b"))
+    bits = bits.select(f"{own}w", F.expr("shiftleft(one, b)").alias("m")).groupBy(f"{own}w").agg(F.bit_or("m").alias(f"{own}m"))
+    out = rows.join(F.broadcast(bits), word(rows[key]) == bits[f"{own}w"], "left")
+    return out.withColumn(mark, F.coalesce(F.getbit(F.col(f"{own}m"), bit(rows[key])) == 1, F.lit(False))).drop(f"{own}m", f"{own}w")
+
+
+def _mark() -> str:
+    """A column name that no table has."""
+    return f"_{uuid.uuid4().hex}maybe"
 
 
 def maybe_among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose key may be among ids' keys: no row of ids is lost, few others stay while ids are few."""
-    return _in_bitmap(rows, ids, key).filter("_maybe").drop("_maybe")
+    """The rows whose key may be among ids' keys: no row of ids is lost, few others stay while ids are few. ids is counted
+    first, so it should be a written table."""
+    return _in_bitmap(rows, ids, key, mark := _mark()).filter(F.col(mark)).drop(mark)
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows whose key is not among ids' keys (a null key is never). Only rows that may be are shuffled."""
-    marked = _in_bitmap(rows, ids, key)
-    rest = marked.filter("_maybe").drop("_maybe").join(ids.select(key).distinct(), key, "left_anti")
-    return marked.filter("not _maybe").drop("_maybe").unionByName(rest.select(rows.columns))
+    """The rows whose key is not among ids' keys (a null key never is). Only rows that may be are shuffled."""
+    marked = _in_bitmap(rows, ids, key, mark := _mark())
+    rest = marked.filter(F.col(mark)).drop(mark).join(ids.select(key).distinct(), key, "left_anti")
+    return marked.filter(~F.col(mark)).drop(mark).unionByName(rest.select(rows.columns))
+
+
+def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """64 bits that name a row by its doc_id and its text, so rows of one doc_id with different texts are told apart."""
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("-")), F.coalesce(text, F.lit("")))

@@ -1,42 +1,45 @@
 """N-gram Jaccard join with prefix filters under several global orders.
 
-1. A sketch of fixed size counts shingles over all documents; its levels put rare shingles first in every order.
-2. Each text becomes the prefix of its shingle set under the first order. Texts with equal sets are one class from here
-   on. Classes that share a prefix shingle form coarse groups (connected components over shingles and classes, which
-   are as many edges as prefixes have shingles, never pairs).
-3. Only texts of groups with several classes are read again. A pair of a group's classes is verified if their prefixes
-   meet under every order and their sizes allow the threshold, unless they are connected already. Groups are split
-   into blocks: each block is compared with itself and the first one; then classes outside a group's largest component
-   are compared with all blocks, so that every pair of different components has been compared, and no task holds more
-   than two blocks.
+1. Texts with equal shingle sets are one class; a class is one row from here on.
+2. A set that is linked to another lacks at most n - ceil(t * n) of its shingles there. So of its shingles in a fixed part
+   of the hash space all but so many stand in another class too; classes for which that is not so are linked with nothing.
+   Chunks of documents count what they share among themselves and send each shingle once, so that a frequent shingle
+   is never more rows than there are chunks.
+3. Exact frequencies of the remaining classes' shingles give the global orders: rare ones first, within a level of
+   frequency by each order's own hash. A set's index prefix meets the probe prefix of every larger set it is linked to,
+   under every order.
+4. Under each order classes are lined up by their first shared shingle and sizes, and neighbours are verified. That links
+   most of a group of near copies by about as many pairs as it has classes. Pairs that are left, of classes that are not yet
+   connected, are those whose prefixes meet under the first order, then under the others too; they are verified by
+   the exact size of the intersection. Pairs that are connected already are never listed.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import maybe_among, texts, written
+from tessella.llm.common import maybe_among, row_id, texts, written
 from tessella.llm.components import components
 from tessella.llm.token_counts import _chunks
 
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INVERSE = np.uint64(pow(int(P), -1, 2**64))
-#: A multiplier for each global order.
-ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
-#: 2**SKETCH_BITS counters in parts of CELLS.
-SKETCH_BITS, CELLS = 22, 1 << 16
-BLOCK = 256
+MULTIPLIERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
+#: Global orders of shingles.
+ORDERS = 3
 #: Characters whose shingles a task makes at once.
-CHARS = 1_000_000
-#: Of a shingle in the prefixes of so many classes at most, pairs are listed; of others, each class with the smallest.
-LISTED = 64
+CHARS = 4_000_000
+#: Classes in one line of neighbours at most; longer lines are cut at random.
+LINE = 4096
+#: Stand for any two classes where a chunk has several with a shingle.
+LOW, HIGH = -(2**63), 2**63 - 1
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -75,14 +78,14 @@ def shingle_sets(batch: list[str], words: int) -> list[np.ndarray]:
     out = []
     rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
     for k in range(words):
-        rolled = mixed(rolled + hashes[k : k + len(rolled)] * ORDERS[k % 3] + np.uint64(k))
+        rolled = mixed(rolled + hashes[k : k + len(rolled)] * MULTIPLIERS[k % 3] + np.uint64(k))
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= words:
             out.append(np.unique(rolled[a : b - words + 1]))
         elif b > a:
             h = np.array([b - a], np.uint64)
             for x in hashes[a:b]:
-                h = mixed(h * ORDERS[1] + x)
+                h = mixed(h * MULTIPLIERS[1] + x)
             out.append(h)
         else:
             out.append(np.zeros(0, np.uint64))
@@ -96,213 +99,195 @@ class Join:
     words: int = 5
     percent: int = 80
 
-    def prefix(self, n: int) -> int:
-        """A set of n shingles shares one of its first so many, under any order, with every set it is linked to."""
-        return n - -(-self.percent * n // 100) + 1
+    def missing(self, n):
+        """Shingles of a set of n that a set it is linked to may lack."""
+        return n - -(-self.percent * n // 100)
 
+    @property
+    def part(self) -> float:
+        """The part of the hash space in which shared shingles are counted: twice what may be missing."""
+        return min(1.0, 2 * (100 - self.percent) / 100)
 
-def frequency_levels(docs: DataFrame, join: Join) -> np.ndarray:
-    """The whole logarithm of each counter of the sketch. Counters cover every text; their number is fixed, so what
-    comes to the driver is too. Tasks' counters are added in groups of 256 tasks first."""
+    def probe(self, n: Column) -> Column:
+        """How many of a set's first shingles meet the index prefix of every smaller set it is linked to."""
+        return n - F.ceil(n * self.percent / 100) + 1
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    def index(self, n: Column) -> Column:
+        return n - F.ceil(n * (2 * self.percent) / (100 + self.percent)) + 1
 
-        cells = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
-            for part in _chunks(batch.text.tolist(), CHARS):
-                own = np.concatenate(shingle_sets(part, join.words)) >> np.uint64(64 - SKETCH_BITS)
-                cells += np.bincount(own.astype(np.int64), minlength=len(cells)).astype(np.uint32)
-        if cells.any():
-            task = TaskContext.get().partitionId()
-            parts = cells.reshape(-1, CELLS)
-            yield pd.DataFrame({"part": np.arange(len(parts)), "batch": task // 256, "cells": [zlib.compress(p.tobytes(), 1) for p in parts]})
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CELLS, np.uint32)
-        for raw in group.cells:
-            own = np.frombuffer(zlib.decompress(raw), np.uint32)
-            total += np.minimum(own, np.uint32(2**32 - 1) - total)
-        return pd.DataFrame({"part": group.part.iloc[:1], "batch": group.batch.iloc[:1], "cells": [zlib.compress(total.tobytes(), 1)]})
-
-    sketch = docs.select("text").mapInPandas(count, schema := "part int, batch int, cells binary")
-    sums = sketch.groupBy("part", "batch").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).collect()
-    cells = np.zeros((1 << SKETCH_BITS) // CELLS * CELLS, np.uint32).reshape(-1, CELLS)
-    for r in sums:
-        cells[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.uint32)
-    return np.log2(cells.ravel() + 1.0).astype(np.uint8)
-
-
-def prefixes(own: np.ndarray, levels: np.ndarray, join: Join, order: int) -> np.ndarray:
-    """The first shingles of a set under an order: rare levels first, within a level by the order's own hash."""
-    level = levels[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    key = level << np.uint64(58) | mixed(own * ORDERS[order]) >> np.uint64(6)
-    n = join.prefix(len(own))
-    return own if n >= len(own) else own[np.argpartition(key, n - 1)[:n]]
-
-
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def link(self, i: int, j: int) -> None:
-        self.up[self.root(j)] = self.root(i)
-
-
-def _meet(lists: list[np.ndarray]) -> np.ndarray:
-    """Which of the sets have an element in common, as a square matrix."""
-    n = len(lists)
-    keys = np.concatenate(lists)
-    row = np.repeat(np.arange(n), [len(x) for x in lists])
-    _, column, times = np.unique(keys, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
-    out, width = np.zeros((n, n), np.float32), int(column.max()) + 1 if len(column) else 0
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for low in range(0, width, 4096):
-        a, b = np.searchsorted(column, [low, low + 4096])
-        slab = np.zeros((n, min(4096, width - low)), np.float32)
-        slab[row[a:b], column[a:b] - low] = 1
-        out += slab @ slab.T
-    return out > 0
-
-
-def links(sets: list[np.ndarray], joined: Forest, levels: np.ndarray, join: Join, across: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs that reach the threshold, without those that are connected already: enough to connect all that are linked.
-    across: only pairs of rows with different values are compared."""
-    n = np.array([len(s) for s in sets])
-    candidates = 100 * np.minimum.outer(n, n) >= join.percent * np.maximum.outer(n, n)
-    candidates &= np.tri(len(n), k=-1, dtype=bool).T
-    if across is not None:
-        candidates &= across[:, None] != across[None, :]
-    for order in range(len(ORDERS)):
-        if not candidates.any():
-            return []
-        candidates &= _meet([prefixes(s, levels, join, order) for s in sets])
-    out = []
-    for i, j in np.argwhere(candidates).tolist():
-        if joined.root(i) != joined.root(j):
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= join.percent * (len(sets[i]) + len(sets[j]) - both):
-                joined.link(i, j)
-                out.append((i, j))
-    return out
+    def linked(self, both: Column, a: Column, b: Column) -> Column:
+        return 100 * both >= self.percent * (a + b - both)
+
+    def sizes(self, a: Column, b: Column) -> Column:
+        """Whether sizes allow a link; a is the smaller one."""
+        return 100 * a >= self.percent * b
 
 
-def _node(own: np.ndarray, order: np.uint64 = np.uint64(1)) -> int:
+def _node(own: np.ndarray, by: np.uint64 = np.uint64(1)) -> int:
     """64 bits for a set."""
-    return int(mixed(own * order).sum(dtype=np.uint64).astype(np.int64)) if len(own) else 0
+    return int(mixed(own * by).sum(dtype=np.uint64).astype(np.int64)) if len(own) else 0
 
 
-def _compare(rows: DataFrame, levels, join: Join, by: list[str]) -> DataFrame:
-    """Edges (u, v) between rows (node, joined, part, text) of a group. Rows of one part with different joined are compared."""
+def _check(own: np.ndarray) -> int:
+    return _node(own, MULTIPLIERS[2])
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in group.groupby("part"):
-            if own.joined.nunique() < 2:
-                continue
-            sets = {}
-            for s in (s for part in _chunks(own.text.tolist(), CHARS) for s in shingle_sets(part, join.words)):
-                sets.setdefault(_node(s), s)
-            own = own.drop_duplicates("node").sort_values("node")
-            own = own[own.node.isin(sets)]  # another row may have the doc_id of a class's text
-            node, label, sets = own.node.tolist(), own.joined.to_numpy(), [sets[k] for k in own.node]
-            forest, first = Forest(len(node)), {}
-            for i, x in enumerate(label):
-                forest.link(first.setdefault(x, i), i)
-            out += [(node[i], node[j]) for i, j in links(sets, forest, levels.value, join, label)]
-        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
-    return rows.select(*dict.fromkeys([*by, "node", "joined", "part", "text"])).groupBy(*by).applyInPandas(compare, "u long, v long")
+def _parts(batch: pd.DataFrame, words: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """A batch in chunks of CHARS characters with their texts' shingle sets."""
+    at = 0
+    for part in _chunks(batch.text.tolist(), CHARS):
+        yield batch.iloc[at : at + len(part)], shingle_sets(part, words)
+        at += len(part)
 
 
-def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, text_id (64 bits of the text), n_shingles, class_id, component_id for each row of docs.
+def described(rows: DataFrame, join: Join) -> DataFrame:
+    """(doc_id, row_id, n, node, check) of each row: its set's size and two hashes of 64 bits."""
 
-    Rows with equal shingle sets have one class_id; component_id is the smallest doc_id that links reach, the row's own
-    included. A row without words (a null text counts as empty) is linked with nothing: its component is its doc_id. A
-    row without doc_id shares the class of rows with equal sets and their links, and has null where none has an id.
-    Repeated rows share a class; other columns are not looked at; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    rows = texts(docs)
-    levels = spark.sparkContext.broadcast(frequency_levels(rows, join))
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, sets in _parts(batch, join.words):
+                yield own[["doc_id", "known", "row_id"]].assign(n=[len(s) for s in sets], node=[_node(s) for s in sets], check=[_check(s) for s in sets])
+
+    plain = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "row_id", "text")
+    out = plain.mapInPandas(describe, "doc_id long, known boolean, row_id long, n long, node long, check long")
+    return out.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "row_id", "n", "node", "check")
 
-    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def sharing(rows: DataFrame, join: Join) -> DataFrame:
+    """(node) of the sets that may be linked to another one, by the shingles they share in a part of the hash space."""
+    limit = np.uint64(min(2**64 - 1, int(join.part * 2**64)))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at, part in _numbered(batch.text.tolist()):
-                sets = shingle_sets(part, join.words)
-                own = batch.iloc[at : at + len(part)]
-                yield pd.DataFrame({"doc_id": own.doc_id.to_numpy(), "known": own.known.to_numpy(), "text_id": own.text_id.to_numpy(), "n_shingles": [len(s) for s in sets], "node": [_node(s) for s in sets], "check": [_node(s, ORDERS[2]) for s in sets], "prefix": [prefixes(s, levels.value, join, 0).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]})
-
-    plain = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), F.xxhash64("text").alias("text_id"), "text")
-    found = plain.mapInPandas(described, "doc_id long, known boolean, text_id long, n_shingles long, node long, check long, prefix array<long>")
-    found = written(found.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known"), "jaccard-prefixes")
-    sized = found.filter("n_shingles > 0")
-
-    # coarse groups: pairs of a shingle's classes whose sizes allow the threshold; of a shingle with many, stars
-    classes = sized.groupBy("node").agg(F.first("prefix").alias("prefix"), F.max("n_shingles").alias("n"))
-    own = Window.partitionBy("shingle")
-    held = classes.select(F.explode("prefix").alias("shingle"), "node", "n").withColumn("m", F.count("*").over(own)).withColumn("v", F.min("node").over(own))
-    held = written(held.filter("m > 1"), "jaccard-held")
-    a, b = (held.filter(F.col("m") <= LISTED).select("shingle", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "uv")
-    sized_alike = 100 * F.least("nu", "nv") >= join.percent * F.greatest("nu", "nv")
-    pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("u") > F.col("v")) & sized_alike).select("u", "v")
-    stars = held.filter((F.col("m") > LISTED) & (F.col("node") != F.col("v"))).select(F.col("node").alias("u"), "v")
-    coarse = written(components(pairs.unionByName(stars), "jaccard-coarse"), "jaccard-coarse")
-
-    # one text for each class of a group; the blocks of a group hold BLOCK classes at most
-    classes = sized.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"))
-    members = coarse.join(classes, "node").filter("doc_id is not null")
-    sizes = coarse.groupBy("component").agg(F.count("*").alias("m"))
-    members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.ceil(F.col("m") / BLOCK)).cast("int"))
-    members = written(members.select("doc_id", "node", F.col("component").alias("part"), "m", "block"), "jaccard-members")
-    chosen = written(maybe_among(rows, members, "doc_id").join(members, "doc_id"), "jaccard-texts").withColumn("joined", F.col("node"))
-    small = chosen.filter(F.col("m") <= BLOCK)
-    packs = max(1, -(-members.filter(F.col("m") <= BLOCK).count() // (2 * BLOCK)))
-    edges = _compare(small.withColumn("pack", F.pmod(F.xxhash64("part"), F.lit(packs))), levels, join, ["pack"])
-    if large := members.filter(F.col("m") > BLOCK).count():
-        wide = chosen.filter(F.col("m") > BLOCK)
-        # every block with itself and the first one
-        with_first = F.when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(0), (F.ceil(F.col("m") / BLOCK) - 1).cast("int")))
-        edges = edges.unionByName(_compare(wide.withColumn("pair", F.explode(with_first)), levels, join, ["part", "pair"]))
-        edges = written(edges, "jaccard-edges")
-        joined = written(components(edges, "jaccard-joined"), "jaccard-joined").withColumnRenamed("component", "label")
-        wide = wide.drop("joined").join(joined, "node", "left").withColumn("joined", F.coalesce("label", "node")).drop("label")
-        # classes outside the group's largest component so far with all of the group
-        counts = wide.groupBy("part", "joined").agg(F.count("*").alias("k"))
-        top = counts.groupBy("part").agg(F.max_by("joined", F.struct("k", "joined")).alias("top"), F.count("*").alias("labels"))
-        wide = wide.join(top, "part").filter("labels > 1")
-        apart = wide.filter("joined != top")
-        strips = apart.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("strips"))
-        wide = wide.join(strips, "part").withColumn("strip", F.when(F.col("joined") != F.col("top"), F.pmod(F.xxhash64("node", F.lit("strip")), F.col("strips")).cast("int")))
-        whole = wide.select("part", "node", "joined", "text", "block", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("with"))
-        lone = wide.filter("strip is not null").select("part", "node", "joined", "text", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / BLOCK) - 1).cast("int"))).alias("block"), F.col("strip").alias("with"))
-        edges = edges.unionByName(_compare(whole.unionByName(lone), levels, join, ["part", "block", "with"]))
-    joined = written(components(written(edges, "jaccard-edges"), "jaccard-joined"), "jaccard-joined")
-
-    # the smallest doc_id of each component, and every row's own
-    named = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "component").select("node", "check", F.col("doc_id").alias("class_id"), "component_id")
-    named = written(named, "jaccard-classes")
-    out = sized.drop("prefix").join(named, ["node", "check"], "left").select("doc_id", "text_id", "n_shingles", "class_id", "component_id")
-    lone = found.filter("n_shingles = 0").select("doc_id", "text_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(lone)
+            for _, sets in _parts(batch, join.words):
+                sets = {_node(s): s for s in sets if len(s)}
+                if not sets:
+                    continue
+                nodes = np.array(list(sets), np.int64)
+                own = [s[: np.searchsorted(s, limit)] for s in sets.values()]
+                need = np.array([len(o) - join.missing(len(s)) for o, s in zip(own, sets.values(), strict=True)])
+                who, keys = np.repeat(np.arange(len(own)), [len(o) for o in own]), np.concatenate(own)
+                order = np.argsort(keys, kind="stable")
+                who, keys = who[order], keys[order]
+                start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+                times = np.diff(np.r_[start, len(keys)])
+                alone, several = start[times == 1], keys[start[times > 1]].view(np.int64)
+                met = np.bincount(who[np.repeat(times > 1, times)], minlength=len(own)) if len(keys) else np.zeros(len(own), int)
+                yield pd.DataFrame({"key": keys[alone].view(np.int64), "node": nodes[who[alone]], "more": np.int32(1), "sums": False})
+                for mark in (LOW, HIGH):
+                    yield pd.DataFrame({"key": several, "node": np.full(len(several), mark), "more": np.int32(0), "sums": False})
+                yield pd.DataFrame({"key": nodes, "node": nodes, "more": (met - need).astype(np.int32), "sums": True})
+
+    found = rows.select("text").mapInPandas(count, "key long, node long, more int, sums boolean")
+    w = Window.partitionBy("key")
+    shared = found.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).filter("sums or (lo != hi and more > 0)")
+    return shared.groupBy("node").agg(F.sum("more").alias("more")).filter("more >= 0").select("node")
+
+
+def shared_sets(rows: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """(cid, n, held): classes' shingles that several classes have, as structs of level and key. classes: (cid, row_id, n, node, check)."""
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, sets in _parts(batch, join.words):
+                # another row may have the row_id of a class's text
+                right = [(_node(s), _check(s)) == (a, b) for s, a, b in zip(sets, own.node, own.check, strict=True)]
+                yield pd.DataFrame({"cid": own.cid[right], "n": own.n[right], "keys": [s.view(np.int64) for s, r in zip(sets, right, strict=True) if r]})
+
+    chosen = maybe_among(rows.select("row_id", "text"), classes, "row_id").join(classes, "row_id")
+    sets = written(chosen.select("cid", "n", "node", "check", "text").mapInPandas(sets_of, "cid long, n long, keys array<long>"), "jaccard-sets")
+    each = sets.select("cid", "n", F.explode("keys").alias("key"))
+    counts = each.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key", F.floor(F.log2("times")).cast("int").alias("level"))
+    held = each.join(counts, "key").groupBy("cid", "n").agg(F.collect_set(F.struct("level", "key")).alias("held"))
+    # a row that repeats gives its shingles twice, so some of them may stand in one class only
+    return held.filter(F.size("held") >= F.ceil(F.col("n") * join.percent / 100))
+
+
+def _first(join: Join, order: int, most: Column) -> Column:
+    """A set's first keys under an order, as many as `most` leaves beside those that no other class has."""
+    ranked = F.array_sort(F.transform("held", lambda h: F.struct(h["level"].alias("level"), F.xxhash64(h["key"], F.lit(order)).alias("by"), h["key"].alias("key"))))
+    left = F.greatest(F.lit(0), most - (F.col("n") - F.size("held"))).cast("int")
+    return F.transform(F.slice(ranked, F.lit(1), left), lambda r: r["key"])
+
+
+def _neighbours(sets: DataFrame, join: Join, order: int) -> DataFrame:
+    """Edges (u, v) between linked neighbours in lines of classes with the same first key under an order."""
+    first = sets.withColumn("at", F.get(f"probe{order}", F.lit(0))).filter("at is not null").select("cid", "n", "at", "keys")
+    lines = first.groupBy("at").agg(F.count("*").alias("m")).filter("m > 1")
+    # a long line is cut into parts, which other orders join again
+    placed = first.join(lines, "at").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(order)), F.ceil(F.col("m") / LINE)))
+    w = Window.partitionBy("at", "part").orderBy("n", F.xxhash64("cid", F.lit(-order)), "cid")
+    edges = []
+    for back in (1, 2):
+        before = F.lag(F.struct("cid", "n", "keys"), back).over(w).alias(f"b{back}")
+        edges.append(before)
+    beside = placed.select("cid", "n", "keys", *edges)
+    both = [F.when(join.sizes(F.col(f"b{k}.n"), F.col("n")) & join.linked(F.size(F.array_intersect("keys", f"b{k}.keys")), F.col("n"), F.col(f"b{k}.n")), F.col(f"b{k}.cid")) for k in (1, 2)]
+    return beside.select(F.col("cid").alias("u"), F.explode(F.array_compact(F.array(*both))).alias("v"))
+
+
+def _remaining(sets: DataFrame, labels: DataFrame, join: Join) -> DataFrame:
+    """Edges (u, v) between linked classes with different labels (cid, label; a class without one is its own)."""
+    named = sets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
+    posted = named.select("cid", "n", "label", F.posexplode("probe0").alias("place", "key"), F.size("index0").alias("indexed"))
+    posted = written(posted.select("cid", "n", "label", "key", (F.col("place") < F.col("indexed")).alias("early")), "jaccard-postings")
+    sizes = posted.groupBy("key", "label").agg(F.count("*").alias("m"))
+    tops = sizes.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    open_ = written(posted.join(tops.select("key", "top"), "key"), "jaccard-open")
+    a = open_.filter("label != top").select("key", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "label", "early")))
+    b = open_.select("key", "top", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "label", "early")))
+    smaller = F.struct("n_a", "cid_a") < F.struct("n_b", "cid_b")
+    # of two classes outside the largest one each finds the other: one of them is enough
+    once = (F.col("label_b") == F.col("top")) | (F.col("cid_a") < F.col("cid_b"))
+    fits = F.when(smaller, join.sizes(F.col("n_a"), F.col("n_b")) & F.col("early_a")).otherwise(join.sizes(F.col("n_b"), F.col("n_a")) & F.col("early_b"))
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("label_a") != F.col("label_b")) & once & fits)
+    pairs = met.select(F.when(smaller, F.col("cid_a")).otherwise(F.col("cid_b")).alias("u"), F.when(smaller, F.col("cid_b")).otherwise(F.col("cid_a")).alias("v")).distinct()
+    orders = range(1, ORDERS)
+    u = sets.select(F.col("cid").alias("u"), *(f"index{k}" for k in orders))
+    v = sets.select(F.col("cid").alias("v"), *(f"probe{k}" for k in orders))
+    meet = reduce(lambda x, y: x & y, (F.arrays_overlap(f"index{k}", f"probe{k}") for k in orders))
+    pairs = written(pairs.join(u, "u").join(v, "v").filter(meet).select("u", "v"), "jaccard-pairs")
+    u, v = (sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"keys{x}")) for x in "uv")
+    known = pairs.join(u, "u").join(v, "v")
+    return known.filter(join.linked(F.size(F.array_intersect("keysu", "keysv")), F.col("nu"), F.col("nv"))).select("u", "v")
 
 
-def _numbered(items: list[str]) -> Iterator[tuple[int, list[str]]]:
-    at = 0
-    for part in _chunks(items, CHARS):
-        yield at, part
-        at += len(part)
+def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """doc_id, row_id (64 bits of doc_id and text), n_shingles, class_id, component_id for each row of docs.
+
+    Rows with equal shingle sets have one class_id, its smallest doc_id; component_id is the smallest doc_id that links
+    reach, the row's own included. A row without words (a null text counts as empty) is linked with nothing: its component
+    is its doc_id. A row without doc_id shares the class of rows with equal sets and their links, and has null where none
+    has an id. Repeated rows share a class; long texts are taken whole; other columns are not looked at; an empty table
+    gives no rows.
+    """
+    rows = texts(docs).withColumn("row_id", row_id())
+    found = written(described(rows, join), "jaccard-rows")
+    sized = found.filter("n > 0")
+    classes = sized.groupBy("node", "check").agg(F.min("n").alias("n"), F.min("row_id").alias("row_id"), F.min("doc_id").alias("class_id"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
+    nodes = written(sharing(rows, join), "jaccard-sharing")
+    chosen = written(classes.join(nodes, "node", "left_semi").select("cid", "row_id", "n", "node", "check"), "jaccard-chosen")
+    sets = shared_sets(rows, chosen, join)
+    firsts = [_first(join, k, f(F.col("n"))).alias(f"{name}{k}") for k in range(ORDERS) for name, f in (("probe", join.probe), ("index", join.index))]
+    sets = written(sets.select("cid", "n", F.transform("held", lambda h: h["key"]).alias("keys"), *firsts).filter("size(probe0) > 0"), "jaccard-sets")
+
+    edges = written(reduce(DataFrame.unionByName, (_neighbours(sets, join, k) for k in range(ORDERS))), "jaccard-edges")
+    labels = written(components(edges, "jaccard-labels"), "jaccard-labels")
+    more = written(_remaining(sets, labels, join), "jaccard-edges")
+    # links between components join their labels
+    name = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"l{x}"))
+    across = more.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+    joined = written(components(across, "jaccard-joined"), "jaccard-joined").toDF("label", "joined")
+    ends = classes.select("cid", "node", "check", "class_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    ends = ends.withColumn("label", F.coalesce("component", "cid")).join(joined, "label", "left").withColumn("joined", F.coalesce("joined", "label"))
+
+    # the smallest doc_id of each component
+    smallest = ends.groupBy("joined").agg(F.min("class_id").alias("component_id"))
+    named = written(ends.join(smallest, "joined").select("node", "check", "class_id", "component_id"), "jaccard-named")
+    out = sized.join(named, ["node", "check"], "left").select("doc_id", "row_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    lone = found.filter("n = 0").select("doc_id", "row_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(lone)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

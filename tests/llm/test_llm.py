@@ -168,13 +168,30 @@ def near_texts(seed=5):
     return out
 
 
-def test_jaccard_in_blocks_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
-    monkeypatch.setattr(jaccard_join, "LISTED", 6)
-    texts = near_texts()
+@pytest.mark.parametrize(("words", "percent", "line"), [(3, 90, 4096), (3, 90, 3), (5, 80, 4096), (5, 80, 2), (2, 50, 2)])
+def test_jaccard_against_brute_force(spark, monkeypatch, words, percent, line):
+    """Short lines of neighbours leave many links to the pairs that remain."""
+    monkeypatch.setattr(jaccard_join, "LINE", line)
+    texts = near_texts(words * percent)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(rows, jaccard_join.Join(3, 90)).collect()}
-    assert got == components_by_hand(texts, 3, 90)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(rows, jaccard_join.Join(words, percent)).collect()}
+    assert got == components_by_hand(texts, words, percent)
+
+
+def test_jaccard_of_more_classes_than_one_line_on_a_shingle(spark, monkeypatch):
+    """90 texts that have most of their words in common, of which some are linked: classes of one shingle are more than a line."""
+    monkeypatch.setattr(jaccard_join, "LINE", 16)
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for _ in range(90):
+        x = list(common)
+        for _ in range(rng.choice((1, 2, 3))):
+            x[rng.randrange(len(x))] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(x))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(rows, jaccard_join.Join(1, 90)).collect()}
+    assert got == components_by_hand(texts, 1, 90)
 
 
 def test_mix_comes_near_its_targets(spark):
