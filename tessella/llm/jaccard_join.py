@@ -35,7 +35,7 @@ MULTIPLIERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.
 #: Global orders of shingles.
 ORDERS = 3
 #: Characters whose shingles a task makes at once.
-CHARS = 4_000_000
+CHARS = 1_000_000
 #: Classes in one line of neighbours at most; longer lines are cut at random.
 LINE = 4096
 #: Stand for any two classes where a chunk has several with a shingle.
