@@ -2,69 +2,148 @@
 
 A line of n characters is cut into edits + 1 segments of nearly equal length. Another line of n to n + edits characters
 within that distance has one of these segments as it stands, in one of few places that the segment's number and the
-lines' lengths allow. So each line is indexed by (its length, segment number, segment) and probes the indexes of lines
-that are as long or shorter with its own substrings. Rows of the join are hashes, ids and counts of some letters; the
-counts of lines within the distance differ little, which the join checks before it emits a pair. Lines are joined
-to pairs of ids only then and verified by the built-in banded edit distance.
+lines' lengths allow. So each different line gives a key for each of its segments (with its length and the segment's
+number) and for each of its substrings that may be a segment of a line that is as long or shorter.
+
+1. Keys are counted, which shuffles one number for a key and task; only keys that a segment has and several lines meet in
+   are looked at again. Of a key that many lines meet in, the rest of these lines is cut once more in the same way.
+2. A line is compared with the first line of each of its keys; only lines that are not found near to it are compared with
+   all earlier lines of the key. So a large group of near copies gives one pair for each line.
+3. Pairs are verified by a banded bit-parallel edit distance: a column's differences within the band are bits of a long.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import maybe_among, texts, written
 
-#: Frequent letters of Latin scripts, one byte of the sketch for each.
-LETTERS = "eantiors"
+#: From so many characters on, so many edits make a near copy. A shorter line is another line once it is edited.
+BANDS = ((5, 1), (20, 2))
+#: Lines of a key that more lines meet in are cut once more.
+HOT = 64
 
 
-def _partition(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of a segment; the last length % parts segments are one longer."""
-    base, extra = F.floor(length / parts).cast("int"), length % parts
+def _segment(n: Column, number: int, parts: int) -> tuple[Column, Column]:
+    """Start (from 1) and length of a segment of a line of n characters; the last n % parts segments are one longer."""
+    base, extra = F.floor(n / parts).cast("int"), n % parts
     longer = F.greatest(F.lit(0), F.lit(number) - (F.lit(parts) - extra))
     return base * number + longer + 1, base + (F.lit(number) >= F.lit(parts) - extra).cast("int")
 
 
-def _segments(line: Column, n: Column, edits: int) -> Column:
-    """array<long>: keys of the segments of a line of n characters."""
-    cut = [_partition(n, i, edits + 1) for i in range(edits + 1)]
-    return F.array(*(F.xxhash64(n, F.lit(i), F.substring(line, start, length)) for i, (start, length) in enumerate(cut)))
-
-
-def _probes(line: Column, n: Column, edits: int) -> Column:
-    """array<struct<key, shorter>>: keys of the substrings of a line of n characters that may be segments of lines `shorter`
-    characters shorter."""
-    parts, out = edits + 1, []
-    for shorter in range(parts):
-        for i in range(parts):
-            start, length = _partition(n - shorter, i, parts)
-            # a match that leaves at most i edits before the segment and edits - i after it
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                at = start + shift
-                key = F.when((at >= 1) & (at + length - 1 <= n), F.xxhash64(n - shorter, F.lit(i), F.substring(line, at, length)))
-                out.append(F.struct(key.alias("key"), F.lit(shorter).alias("shorter")))
-    return F.array(*out)
-
-
-def _letters(line: Column) -> Column:
-    """Eight counts, modulo 256, in the bytes of a long."""
-    size = F.octet_length(line)  # of the same line each time; the bytes that go are the letters'
-    counts = [((size - F.octet_length(F.replace(line, F.lit(c)))) % 256).cast("long") for c in LETTERS]
-    out = counts[0]
-    for k, c in enumerate(counts[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(c, 8 * k))
+def _key(own: bool, shorter: int, line: Column, n: Column, number: int, at: Column, size: Column, more: tuple[Column, ...]) -> Column:
+    fits = (at >= 1) & (at + size - 1 <= n)
+    key = F.when(fits, F.xxhash64(*more, n - shorter, F.lit(number), F.substring(line, at, size)))
+    return F.struct(key.alias("key"), F.lit(own).alias("own"), F.lit(shorter).alias("shorter"), at.alias("at"), size.alias("size"))
+
+
+def _own(line: Column, n: Column, edits: int, *more: Column) -> list[Column]:
+    """Keys of a line's segments."""
+    return [_key(True, 0, line, n, i, *_segment(n, i, edits + 1), more) for i in range(edits + 1)]
+
+
+def _substrings(line: Column, n: Column, edits: int, shorter: int, *more: Column, in_place: bool = False) -> list[Column]:
+    """Keys of a line's substrings that may be segments of lines `shorter` characters shorter. in_place: also those that
+    are its own segments."""
+    out = []
+    for i in range(edits + 1):
+        start, size = _segment(n - shorter, i, edits + 1)
+        # a match that leaves at most i edits before the segment and edits - i after it
+        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
+            if shorter or shift or in_place:
+                out.append(_key(False, shorter, line, n, i, start + shift, size, more))
     return out
 
 
-def _near(a: Column, b: Column, edits: int) -> Column:
-    """Whether counts differ by 2 * edits at most in all: an edit changes two of them by one."""
-    total = F.lit(0)
-    for k in range(len(LETTERS)):
-        x, y = (F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255)) for c in (a, b))
-        d = F.abs(x - y)
-        total = total + F.least(d, 256 - d)
-    return total <= 2 * edits
+def _chosen(length: Column, bands: tuple[tuple[int, int], ...], keys) -> Column:
+    """keys(edits) of the band that the length is in, no key below all bands."""
+    out = F.array().cast("array<struct<key: bigint, own: boolean, shorter: int, at: int, size: int>>")
+    for least, edits in sorted(bands):
+        out = F.when(length >= least, F.array(*keys(edits))).otherwise(out)
+    return out
+
+
+def keys_of(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
+    """lines (line, n, ...) with key, own, shorter, at and size for each key of each line."""
+    line, n = F.col("line"), F.col("n")
+    most = max(edits for _, edits in bands)
+    keys = [_chosen(n, bands, lambda e: _own(line, n, e))]
+    keys += [_chosen(n - s, bands, lambda e, s=s: _substrings(line, n, e, s) if s <= e else []) for s in range(most + 1)]
+    return lines.withColumn("k", F.explode(F.concat(*keys))).select(*lines.columns, "k.*").filter("key is not null")
+
+
+def _inner_keys(rows: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
+    """The same of what is left of lines without the segment by which they met others."""
+    size = F.col("size")
+    rest = F.concat(F.substring(F.col("line"), F.lit(1), F.col("at") - 1), F.substring(F.col("line"), F.col("at") + size, F.col("n")))
+    rows = rows.select("lid", F.col("key").alias("outer"), F.col("own").alias("index"), F.col("shorter").alias("by"), (F.col("n") - F.col("shorter")).alias("least"), rest.alias("line"), (F.col("n") - size).alias("n"))
+    line, n, outer = F.col("line"), F.col("n"), F.col("outer")
+    most = max(edits for _, edits in bands)
+    keys = [F.when(F.col("index"), _chosen(F.col("least"), bands, lambda e: _own(line, n, e, outer)))]
+    keys += [F.when(F.col("by") == s, _chosen(F.col("least"), bands, lambda e, s=s: _substrings(line, n, e, s, outer, in_place=True) if s <= e else [])) for s in range(most + 1)]
+    none = F.array().cast("array<struct<key: bigint, own: boolean, shorter: int, at: int, size: int>>")
+    return rows.withColumn("k", F.explode(F.concat(*(F.coalesce(k, none) for k in keys)))).select("lid", "k.key", "k.own").filter("key is not null").distinct()
+
+
+def _met(keys: DataFrame) -> DataFrame:
+    """(key, m): keys that a segment has and several rows meet in."""
+    counts = keys.groupBy("key").agg(F.count_if("own").alias("own"), F.count("*").alias("m"))
+    return counts.filter("own > 0 and m > 1").select("key", "m")
+
+
+def banded_distance(a: Column, b: Column, edits: int) -> Column:
+    """The edit distance of two texts if it is `edits` at most (30 at most), else a larger number; null if either is null.
+
+    Bit p of a column j's longs stands for row j - edits + p of the band: whether the row's value is one more (vp) or one
+    less (vn) than that of the row above. The value is followed down the band's last diagonal, then along a's last row.
+    """
+    width = 2 * edits + 1
+    mask = (1 << width) - 1
+    rows, columns = F.split(a, ""), F.split(b, "")
+    n_rows, n_columns = F.length(a), F.length(b)
+    long = lambda x: F.lit(x).cast("long")
+    bit = lambda x, p: F.call_function("shiftrightunsigned", x, p).bitwiseAND(long(1))
+
+    def step(s: Column, j: Column) -> Column:
+        char = F.get(columns, j - 1)
+        same = long(0)
+        for p in range(width):
+            i = j - edits + p
+            same = same + F.when((i >= 1) & (i <= n_rows) & (F.get(rows, i - 1) == char), long(1 << p)).otherwise(long(0))
+        return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["value"].alias("value"), same.alias("same"), j.alias("j"))
+
+    def diagonal(s: Column) -> Column:
+        vp, vn, same = s["vp"], s["vn"], s["same"]
+        kept = ((same.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(same).bitwiseOR(vn).bitwiseAND(long(mask))
+        return F.struct(vp.alias("vp"), vn.alias("vn"), s["value"].alias("value"), kept.alias("d0"), s["j"].alias("j"))
+
+    def across(s: Column) -> Column:
+        vp, vn, d0 = s["vp"], s["vn"], s["d0"]
+        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(long(mask))
+        return F.struct(s["value"].alias("value"), d0.alias("d0"), s["j"].alias("j"), hp.alias("hp"), d0.bitwiseAND(vp).alias("hn"))
+
+    def down(s: Column) -> Column:
+        d0, hp, hn = s["d0"], s["hp"], s["hn"]
+        past = (s["j"] + edits - n_rows).cast("int")  # rows of the band below the last one
+        at = F.lit(width - 1) - past
+        value = F.when(past <= 0, s["value"] + 1 - bit(d0, F.lit(width - 1))).otherwise(s["value"] + bit(hp, at) - bit(hn, at))
+        above = F.shiftrightunsigned(d0, 1)
+        vp = hn.bitwiseOR(F.bitwise_not(above.bitwiseOR(hp))).bitwiseAND(long(mask))
+        return F.struct(vp.alias("vp"), above.bitwiseAND(hp).alias("vn"), value.cast("long").alias("value"))
+
+    def column(s: Column, j: Column) -> Column:
+        # each state is bound by a transform of one element, so it is computed once
+        for f in (lambda x: step(x, j), diagonal, across, down):
+            s = F.get(F.transform(F.array(s), f), F.lit(0))
+        return s
+
+    # in column 0, and in the band's place of column 1, rows 1 to edits + 1 are one more than the row above
+    start = F.struct(long(((1 << (edits + 1)) - 1) << edits).alias("vp"), long(0).alias("vn"), long(edits).alias("value"))
+    followed = F.aggregate(F.sequence(F.lit(1), n_columns), start, column)["value"]
+    long_enough = (n_columns >= 1) & (F.abs(n_rows - n_columns) <= edits) & (n_rows >= edits)
+    far = F.when(F.abs(n_rows - n_columns) > edits, F.lit(edits + 1))
+    return F.when(long_enough, followed.cast("int")).otherwise(F.coalesce(far, F.levenshtein(a, b)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -72,51 +151,88 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def similar_lines(lines: DataFrame, edits: int = 2, least_chars: int = 20) -> DataFrame:
-    """(a, b, distance), a < b: pairs of different lines, as 64-bit hashes, of least_chars characters at least and within the distance."""
-    if least_chars < 2 * edits + 1:
-        raise ValueError("lines have to be longer than twice the distance, so that every segment has a character")
-    # the length is a column of its own: else each use would count a line's characters again
-    ids = lines.select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("n")).filter(F.col("n") >= least_chars)
-    rows = ids.withColumn("letters", _letters(F.col("line")))
-    line, n = F.col("line"), F.col("n")
-    index = rows.select("id", "letters", F.explode(_segments(line, n, edits)).alias("key")).distinct().toDF("a", "x", "key")
-    probes = rows.select("id", "letters", F.explode(_probes(line, n, edits)).alias("k")).select("id", "letters", "k.*").filter("key is not null").distinct().toDF("b", "y", "key", "shorter")
-    # lines of equal length find each other from either side
-    met = (index["key"] == probes["key"]) & (F.col("a") != F.col("b")) & ((F.col("shorter") > 0) | (F.col("a") < F.col("b"))) & _near(F.col("x"), F.col("y"), edits)
-    pairs = index.join(probes, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "lines-pairs")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    text = written(maybe_among(ids, ends, "id").groupBy("id").agg(F.min("line").alias("line")), "lines-texts")
-    both = pairs.join(text.toDF("a", "line_a"), "a").join(text.toDF("b", "line_b"), "b")
-    distance = F.levenshtein("line_a", "line_b", edits)
-    return both.select("a", "b", distance.alias("distance")).filter("distance >= 0")
-
-
-def flagged_lines(docs: DataFrame, edits: int = 2, least_chars: int = 20) -> DataFrame:
+def _named(lines: DataFrame) -> DataFrame:
+    """lines that are not blank, with 128 bits of each, a and b."""
+    return lines.filter(F.trim("line") != "").withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit("b"), F.col("line"))})
+
+
+def different_lines(docs: DataFrame) -> DataFrame:
+    """(lid, a, b, first, times, line, n) of each different line: a number, where it first stands, how often it does."""
+    lines = _named(lines_of(docs)).select("a", "b", F.struct("doc_id", "line_no").alias("place"), "line")
+    found = lines.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.min("line").alias("line"))
+    return written(found.select(F.monotonically_increasing_id().alias("lid"), "*", F.length("line").alias("n")), "lines-different")
+
+
+def _near(pairs: DataFrame, lines: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
+    """Of pairs (early, late) those within the distance of the shorter line's band."""
+    ends = written(pairs.select(F.explode(F.array("early", "late")).alias("lid")).distinct(), "lines-ends")
+    text = written(maybe_among(lines.select("lid", "line", "n"), ends, "lid").join(ends, "lid"), "lines-texts")
+    both = pairs.join(text.toDF("early", "x", "nx"), "early").join(text.toDF("late", "y", "ny"), "late")
+    least, near = F.least("nx", "ny"), F.lit(False)
+    for chars, edits in sorted(bands):
+        near = F.when(least >= chars, banded_distance(F.col("x"), F.col("y"), edits) <= edits).otherwise(near)
+    return both.filter(near).select("early", "late")
+
+
+def near_lines(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot: int = HOT) -> DataFrame:
+    """(lid) of the lines for which a different line within the distance first stands earlier. lines: see different_lines.
+
+    Lines below all bands are never near to another. Places are by (doc_id, line_no), null ids first; of lines
+    that first stand in one place (rows that share a doc_id) the one with the smaller lid is earlier.
+    """
+    if any(chars < 2 * edits + 1 for chars, edits in bands):
+        raise ValueError("a band begins at twice its edits and one, so that segments of what a segment leaves have a character")
+    every = keys_of(lines.select("lid", "line", "n"), bands)
+    met = written(_met(every), "lines-keys")
+    rows = written(maybe_among(every, met, "key").join(met, "key").select("lid", "key", "own", "shorter", "at", "size", "m"), "lines-met")
+    often = rows.filter(F.col("m") > hot)
+    ends = written(often.select("lid").distinct(), "lines-often")
+    text = maybe_among(lines.select("lid", "line", "n"), ends, "lid")
+    inner = written(_inner_keys(often.join(text, "lid"), bands), "lines-inner")
+    inner_met = written(_met(inner), "lines-keys")
+    inner = inner.join(inner_met, "key").select("lid", "key", "own")
+    rows = rows.filter(F.col("m") <= hot).select("lid", "key", "own").unionByName(inner)
+    first = lines.select("lid", F.struct("first", "lid").alias("place"))
+    rows = written(rows.join(first, "lid"), "lines-rows")
+
+    # each line with the first one of each of its keys
+    firsts = rows.groupBy("key").agg(F.min(F.struct("place", "lid", "own")).alias("f")).select("key", F.col("f.lid").alias("early"), F.col("f.own").alias("first_own"))
+    firsts = firsts.withColumnRenamed("key", "of")
+    led = rows.join(firsts, F.col("key") == F.col("of")).filter("lid != early and (own or first_own)")
+    pairs = written(led.select("early", F.col("lid").alias("late")).distinct(), "lines-pairs")
+    near = written(_near(pairs, lines, bands).select(F.col("late").alias("lid")).distinct(), "lines-near")
+    # the others with all that stand earlier
+    late = rows.join(near, "lid", "left_anti").select(F.col("lid").alias("late"), F.col("key").alias("of"), F.col("own").alias("late_own"), F.col("place").alias("at"))
+    early = rows.select(F.col("lid").alias("early"), "key", "own", "place")
+    rest = late.join(early, (F.col("key") == F.col("of")) & (F.col("place") < F.col("at")) & (F.col("own") | F.col("late_own"))).select("early", "late").distinct()
+    rest = written(rest.join(pairs, ["early", "late"], "left_anti"), "lines-pairs")
+    return near.unionByName(_near(rest, lines, bands).select(F.col("late").alias("lid")).distinct())
+
+
+def flagged_lines(docs: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
     """(doc_id, line_no, drop): drop is 'exact' where the same line stands earlier, 'near' where a different one within
     the distance first stands earlier, else null. Earlier is by (doc_id, line_no), null ids first.
 
-    Lines that are blank are never dropped; shorter ones than least_chars only where they are the same. Repeated rows of a
-    doc_id are one place, so they do not drop each other's lines. An empty table gives no rows.
+    bands: from so many characters of the shorter line on, so many edits; below all of them only the same line is a copy.
+    Lines that are blank are not named. Repeated rows of a doc_id are one place, so they do not drop each other's lines. Texts are
+    taken whole, other columns are not looked at, and an empty table gives no rows.
     """
-    lines = lines_of(docs)
-    place = F.struct("doc_id", "line_no")
-    hashed = lines.filter(F.trim("line") != "").select("doc_id", "line_no", F.xxhash64("line").alias("id"), F.md5("line").alias("digest"))
-    firsts = written(hashed.groupBy("id", "digest").agg(F.min(place).alias("first")), "lines-firsts")
-    pairs = written(similar_lines(lines, edits, least_chars), "lines-similar")
-    start = firsts.groupBy("id").agg(F.min("first").alias("first"))
-    sides = pairs.select("a", "b").join(start.toDF("a", "fa"), "a").join(start.toDF("b", "fb"), "b")
-    later = sides.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct().withColumn("near", F.lit(True))
-    marked = firsts.join(later, "id", "left").select("id", "digest", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    flagged = hashed.join(marked, ["id", "digest"])
-    drop = F.when(place.eqNullSafe(F.col("first")), F.when(F.col("near"), F.lit("near"))).otherwise("exact")
-    return flagged.select("doc_id", "line_no", drop.alias("drop"))
-
-
-def line_dedup(docs: DataFrame, edits: int = 2, least_chars: int = 20) -> DataFrame:
-    """doc_id, text for each row of docs: its text without the lines that flagged_lines() drops."""
-    gone = flagged_lines(docs, edits, least_chars).filter("drop is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    different = different_lines(docs)
+    near = written(near_lines(different, bands), "lines-near").withColumn("near", F.lit(True))
+    # lines that stand once and are near to none need no mark
+    marked = different.select("lid", "a", "b", "first", "times").join(near, "lid", "left").filter("times > 1 or near").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    places = _named(lines_of(docs)).select("doc_id", "line_no", "a", "b")
+    drop = F.when(F.col("first").isNull() | F.struct("doc_id", "line_no").eqNullSafe(F.col("first")), F.when(F.col("near"), F.lit("near"))).otherwise("exact")
+    return places.join(written(marked, "lines-marked"), ["a", "b"], "left").select("doc_id", "line_no", drop.alias("drop"))
+
+
+def line_dedup(docs: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
+    """doc_id, text for each row of docs: its text without the lines that flagged_lines() drops.
+
+    A null text becomes an empty one. Rows that share a doc_id lose the same line numbers, so doc_id should name a row. Other
+    columns are not handed on; an empty table gives no rows.
+    """
+    gone = flagged_lines(docs, bands).filter("drop is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     gone = written(gone, "lines-gone").withColumnRenamed("doc_id", "gone_id")
     rows = texts(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     kept = F.transform(F.split("text", "\n", -1), lambda line, i: F.when(~F.coalesce(F.array_contains("gone", i), F.lit(False)), line))
@@ -125,15 +241,13 @@ def line_dedup(docs: DataFrame, edits: int = 2, least_chars: int = 20) -> DataFr
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (not blank), n_exact, n_near (dropped ones), dropped (their numbers, comma-joined)."""
-    flagged = flagged_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = flagged.groupBy("doc_id").agg(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts = flagged_lines(docs).groupBy("doc_id").agg(
         F.count("*").alias("n_lines"),
         F.count_if(F.col("drop") == "exact").alias("n_exact"),
         F.count_if(F.col("drop") == "near").alias("n_near"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("drop").isNotNull(), F.col("line_no")))), ",").alias("dropped"),
     )
     counts = counts.withColumnRenamed("doc_id", "id")
-    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    out = ids.join(counts, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    out = docs.select("doc_id").join(counts, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_exact", "n_near")), F.coalesce("dropped", F.lit("")).alias("dropped"))
-
