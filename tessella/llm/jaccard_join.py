@@ -27,11 +27,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import maybe_among, row_id, texts, written
 from tessella.llm.components import components
+from tessella.llm.hashes import MULTIPLIERS, NOT_SPACE, mixed, word_hashes
 from tessella.llm.token_counts import _chunks
 
-P = np.uint64(0x9E3779B97F4A7C15)
-P_INVERSE = np.uint64(pow(int(P), -1, 2**64))
-MULTIPLIERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 #: Global orders of shingles.
 ORDERS = 3
 #: Characters whose shingles a task makes at once.
@@ -42,39 +40,10 @@ LINE = 4096
 LOW, HIGH = -(2**63), 2**63 - 1
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
-
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of P and of its inverse, n at least."""
-    if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.r_[np.uint64(1), np.multiply.accumulate(np.full(n, p))] for p in (P, P_INVERSE)]
-    return _powers
-
-
 def shingle_sets(batch: list[str], words: int) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes. A-Z is lower-cased, words are runs without ASCII white space;
     fewer words than a shingle has make one of them all; no words, no shingle."""
-    raw = [t.encode() for t in batch]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    ends_at = np.cumsum([len(r) + 1 for r in raw])
-    up, down = _power_tables(len(data))
-    sums = np.r_[np.uint64(0), np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)])]
-    inside = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.r_[False, inside, False]))
-    start, end = edge[::2], edge[1::2]
-    hashes = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    first = np.searchsorted(start, np.r_[0, ends_at])  # each text's first word
+    hashes, first = word_hashes(batch, NOT_SPACE)
     out = []
     rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
     for k in range(words):

@@ -1,115 +1,193 @@
-"""Toxicity by class-conditional Kneser-Ney models of words and pairs of words.
-
-Each class counts in how many different left contexts a word or a pair of words stands, so that copies of one document
-count once. A class's estimate is its discounted count, and what discounting sets free goes to both classes' shared
-counts. A pair that either class has more often than the discount is compared given its first word; elsewhere the
-word is compared alone. Estimates that differ by less than a factor, either way, take the shared one in both classes, so
-rare and ordinary words cancel out of the comparison, and a text's score depends on its length-normalised difference of
-log-likelihoods, in which ordinary evidence offsets toxic evidence.
+"""Toxicity by class-conditional Kneser-Ney models of words given the word before.
+
+Each class (toxic, ordinary) has counts of pairs of words. A class's estimate of a word is its number of left contexts,
+discounted, and what discounting frees goes to the counts that both classes share; its estimate of a word given the one
+before is its count of the pair, discounted, and backs off to the shared estimate of the pair, moved by what the class's
+and the shared estimate of the word differ. So an expression that is rare in both classes has nearly the same estimates.
+
+A toxic text is a mixture: most of its words are ordinary ones and a share of them comes from the toxic model. Its
+log-likelihood less that of the ordinary model, over all words and divided by their number, is what a score grows with.
+
+Pairs whose counts hardly move the estimates back off to their words (as n-gram models are pruned). What a word or a pair
+adds is a table in files. The most frequent words' part of it, of fixed size, is in memory; other words and pairs of a text
+are joined with the table if they may stand in it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import held_out, maybe_among, table, texts, written
+from tessella.llm.common import MOST_WORDS, held_out, maybe_among, row_id, table, texts, written
+from tessella.llm.hashes import LETTERS, MULTIPLIERS, mixed, word_hashes
+from tessella.llm.token_counts import _chunks
+
+#: Characters that a task takes at once.
+CHARS = 1_000_000
+#: So many of the most frequent words are in memory: 4 MB.
+HEAD = 1 << 18
+
+
+@dataclass(frozen=True)
+class Smoothing:
+    """word_discount, pair_discount: taken from counts of contexts and of pairs. strength, floor: a pair backs off with the
+    weight of `strength` times the count of its first word and `floor` besides. share: of a toxic text's words that come
+    from the toxic model. pad: words added to a text's length. least: pairs that move the log ratio by less back off."""
 
-#: Words are runs of ASCII letters and of anything that is not ASCII, in lower case.
-WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+    word_discount: float = 0.75
+    pair_discount: float = 1.0
+    strength: float = 4.0
+    floor: float = 20.0
+    share: float = 0.005
+    pad: int = 30
+    least: float = 0.25
 
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """ratios: (key, ratio), a Parquet table of the log of the toxic by the ordinary estimate of words, and of
-    what pairs of words add to that of their second word; None without labels of both kinds. slope, offset: from the
-    inverse hyperbolic sine of a text's length-normalised difference by LEAST to the log odds of label 1."""
+    """parts: (key, part), a Parquet table of what words and pairs add to a text's sum beside `base`, which each word adds;
+    None without labels of both kinds. head: keys and parts of the most frequent words. maybe: a bitmap of the keys that
+    are not in head. slope, offset: from the inverse hyperbolic sine of a text's mean by SCALE to the log odds of label 1."""
 
-    ratios: DataFrame | None
-    slope: float
-    offset: float
+    parts: DataFrame | None
+    base: float = 0.0
+    head: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0))
+    maybe: np.ndarray | None = None
+    smoothing: Smoothing = Smoothing()
+    slope: float = 0.0
+    offset: float = -math.inf
 
 
-#: Differences beyond this count by their logarithm.
-LEAST = 1e-3
+SCALE = 1e-3
 
 
-def _placed(rows: DataFrame, *more: str) -> DataFrame:
-    """(*more, w, left, before): 64 bits of each word; 32 each of the one before it and of the one before that, 0 where
-    the text starts. For each place in each text."""
-    words = rows.select(*more, F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
-    at = words.select(*more, "words", F.posexplode("words").alias("i", "word"))
-    left, before = (F.when(F.col("i") >= k, F.hash(F.get("words", F.col("i") - k))).otherwise(0) for k in (1, 2))
-    return at.select(*more, F.xxhash64("word").alias("w"), left.alias("left"), before.alias("before"))
+def words_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of all texts in lower case: the number of its text, its hash, the hash of the one before it (0 where
+    the text starts) and the hash of both. Words are runs of ASCII letters and of whatever is not ASCII."""
+    words, first = word_hashes([t.lower() for t in batch], LETTERS)
+    left = np.r_[np.uint64(0), words[:-1]] if len(words) else words
+    left[first[:-1][first[:-1] < len(words)]] = 0
+    return np.repeat(np.arange(len(batch)), np.diff(first)), words, left, mixed(mixed(left + MULTIPLIERS[0]) * MULTIPLIERS[1] + words)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic (0 or 1) of rows outside the held-out fold. A document's largest label counts; rows without a label are none."""
+    """doc_id, row_id, toxic (0 or 1), text of rows outside the held-out fold, one of each text and label. A document's
+    largest label counts; rows without a label are none."""
     toxic = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     toxic = toxic.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
-    rows = texts(docs).filter(~held_out(F.col("doc_id")))
+    rows = texts(docs).withColumn("row_id", row_id())
     # labels grow with the documents, so the plan is the same at every size
-    return maybe_among(rows, toxic, "doc_id").join(toxic.hint("merge"), "doc_id")
-
-
-def fit(docs: DataFrame, labels: DataFrame, discount: float = 2.0, factor: float = math.e**2, fit_rows: int = 20_000) -> ToxicModel:
+    named = rows.select("doc_id", "row_id", F.xxhash64("text").alias("same")).join(toxic.hint("merge"), "doc_id")
+    once = written(named.groupBy("same", "toxic").agg(F.min("row_id").alias("row_id")).select("row_id", "toxic"), "toxicity-labels")
+    return maybe_among(rows, once, "row_id").join(once.hint("merge"), "row_id").dropDuplicates(["row_id"])
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(key, w, l, t, o) from rows (toxic, text): how often word w stands after word l in toxic and in ordinary texts."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = 0
+            for part in _chunks(batch.text.tolist(), CHARS):
+                who, words, left, pairs = words_of(part)
+                toxic = batch.toxic.to_numpy()[at : at + len(part)][who]
+                at += len(part)
+                keys, first, place = np.unique(pairs, return_index=True, return_inverse=True)
+                t, every = np.bincount(place, toxic, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
+                yield pd.DataFrame({"key": keys.view(np.int64), "w": words[first].view(np.int64), "l": left[first].view(np.int64), "t": t, "o": every - t})
+
+    counted = rows.select("toxic", "text").mapInPandas(count, "key long, w long, l long, t long, o long")
+    return counted.groupBy("key").agg(F.min("w").alias("w"), F.min("l").alias("l"), F.sum("t").alias("t"), F.sum("o").alias("o"))
+
+
+def _share_of(n: str, sums: dict, s: Smoothing, shared: Column) -> Column:
+    """A class's estimate of a word from its number of contexts."""
+    return (F.greatest(F.col(n) - s.word_discount, F.lit(0.0)) + F.lit(sums[f"free_{n}"]) * shared) / F.lit(sums[n])
+
+
+def _adds(ratio: Column, share: float) -> Column:
+    return F.log(1 - share + share * F.exp(ratio))
+
+
+def model_parts(pairs: DataFrame, s: Smoothing) -> tuple[DataFrame | None, float, DataFrame | None]:
+    """(key, part) of pairs, the base, and (key, n, part) of words from pairs' counts."""
+    stats = pairs.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("n_t"), F.count_if(F.col("o") > 0).alias("n_o"), F.count("*").alias("n"))
+    stats = written(stats, "toxicity-words")
+    frees = [F.sum(F.least(F.col(c).cast("double"), F.lit(s.word_discount))).alias(f"free_{c}") for c in ("n_t", "n_o")]
+    sums = stats.agg(*(F.sum(c).cast("double").alias(c) for c in ("n_t", "n_o", "n")), F.count("*").alias("words"), *frees).first().asDict()
+    if not sums["n_t"] or not sums["n_o"]:
+        return None, 0.0, None
+    unseen = math.log(sums["free_n_t"] / sums["n_t"]) - math.log(sums["free_n_o"] / sums["n_o"])
+    base = math.log(1 - s.share + s.share * math.exp(unseen))
+    shared = (F.col("n") + 0.5) / F.lit(sums["n"] + 0.5 * sums["words"] + 1)
+    stats = stats.select("w", "n", shared.alias("ps"), *(_share_of(c, sums, s, shared).alias(p) for c, p in (("n_t", "p_t"), ("n_o", "p_o"))))
+    own = F.log(F.col("p_t") / F.col("p_o"))
+    words = written(stats.select(F.col("w").alias("key"), "n", (_adds(own, s.share) - base).alias("part")), "toxicity-parts-of-words")
+
+    # a pair that stands once has no count left after discounting, so only the shared estimate, which cancels
+    met = pairs.filter(F.greatest("t", "o") > s.pair_discount).join(stats.drop("n"), "w")
+    lefts = pairs.groupBy("l").agg(F.sum("t").alias("c_t"), F.sum("o").alias("c_o"), F.count_if(F.col("t") > 0).alias("k_t"), F.count_if(F.col("o") > 0).alias("k_o"), F.count("*").alias("k"))
+    met = met.join(lefts, "l")
+    both = (F.greatest(F.col("t") + F.col("o") - s.pair_discount, F.lit(0.0)) + s.pair_discount * F.col("k") * F.col("ps")) / (F.col("c_t") + F.col("c_o"))
+
+    def given(c: str) -> Column:
+        before = both * F.col(f"p_{c}") / F.col("ps")
+        weight = s.strength * F.col(f"c_{c}") + s.floor
+        seen = (F.greatest(F.col(c) - s.pair_discount, F.lit(0.0)) + (s.pair_discount * F.col(f"k_{c}") + weight) * before) / (F.col(f"c_{c}") + weight)
+        return F.when(F.col(f"c_{c}") > 0, seen).otherwise(before)
+
+    ratio = F.log(given("t") / given("o"))
+    kept = met.select("key", own.alias("own"), ratio.alias("ratio")).filter(F.abs(F.col("ratio") - F.col("own")) >= s.least)
+    return kept.select("key", (_adds(F.col("ratio"), s.share) - _adds(F.col("own"), s.share)).alias("part")), base, words
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """One bit for each hash of a key, in MOST_WORDS words at most whatever the input."""
+    n = min(MOST_WORDS, 1 << max(6, (keys.count() // 4).bit_length()))
+    at, bit = F.col("key").bitwiseAND(n - 1), F.call_function("shiftrightunsigned", F.col("key"), F.lit(58)).cast("int")
+    bits = keys.select(at.alias("at"), F.lit(1).cast("long").alias("one"), bit.alias("bit"))
+    found = bits.groupBy("at").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("m")).toPandas()
+    out = np.zeros(n, np.uint64)
+    out[found["at"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _maybe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    word = bitmap[(keys & np.uint64(len(bitmap) - 1)).astype(np.int64)]
+    return (word >> (keys >> np.uint64(58)) & np.uint64(1)).astype(bool)
+
+
+def fit(docs: DataFrame, labels: DataFrame, smoothing: Smoothing = Smoothing(), fit_rows: int = 20_000) -> ToxicModel:
     """Learns from the labelled rows outside the held-out fold.
 
-    Counts cover all of these rows, and every word and pair that stands in more than `discount` contexts of a class is
-    compared, so the model grows with them; it stays in files. The two numbers that turn differences into odds are
-    fitted to fit_rows labelled rows at most, drawn by a hash of their ids. Without labels of both kinds the model is
-    empty and all texts score 0.
+    An eighth of these rows, by a hash, is not counted: the two numbers that turn means into odds are fitted to fit_rows of
+    them at most. Counts cover all others, so the model grows with them; it stays in files. Without labels of both kinds
+    among the counted rows the model is empty and all texts score 0. Of equal texts with one label one is counted; null ids
+    and null labels are none; null texts count as empty.
     """
-    rows = written(labelled(docs, labels), "toxicity-rows")
-    toxic = F.col("toxic") == 1
-    # a pair of words counts once in a class for each word before it, as a word does for each word before it
-    pairs = _placed(rows, "toxic").distinct().groupBy("w", "left").agg(F.count_if(toxic).alias("t"), F.count_if(~toxic).alias("o"))
-    pairs = written(pairs, "toxicity-pairs")
-    words = pairs.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"))
-    words = written(words, "toxicity-words")
-    sums = words.agg(*_totals(discount)).first()
-    n_t, n_o = float(sums.n_t or 0), float(sums.n_o or 0)
-    if not n_t or not n_o:
-        return ToxicModel(None, 0.0, -math.inf)
-    seen = F.greatest("t", "o") > discount
-    whole = {k: F.lit(float(v)) for k, v in sums.asDict().items()}
-    words = words.filter(seen).select("w", _ratio(whole, discount, factor).alias("own")).filter("own != 0")
-    words = written(words, "toxicity-ratios-of-words")
-    # a pair that is seen has its own ratio in place of its word's
-    lefts = pairs.groupBy("left").agg(*_totals(discount))
-    after = _ratio({k: F.col(k) for k in whole}, discount, factor)
-    known = pairs.filter(seen).join(lefts, "left").select("w", F.xxhash64("w", "left").alias("key"), after.alias("after")).join(words, "w", "left")
-    changes = known.select("key", (F.col("after") - F.coalesce("own", F.lit(0.0))).alias("ratio"))
-    ratios = words.select(F.col("w").alias("key"), F.col("own").alias("ratio")).unionByName(changes).filter("ratio != 0")
-    ratios = written(ratios, "toxicity-ratios")
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(10**6)) < share * 10**6)
-    scored = _differences(drawn, ratios, "toxic").select("toxic", "d").toPandas()
-    return ToxicModel(ratios, *_logistic(np.arcsinh(scored.d.to_numpy(float) / LEAST), scored.toxic.to_numpy(float)))
-
-
-def _totals(discount: float) -> list[Column]:
-    """Of counts t and o: their sums, and what discounting sets free of each."""
-    frees = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"free_{c}") for c in "to"]
-    return [F.sum("t").alias("n_t"), F.sum("o").alias("n_o"), *frees]
-
-
-def _ratio(given: dict[str, Column], discount: float, factor: float) -> Column:
-    """Log of the toxic by the ordinary estimate from counts t and o and their totals, 0 where they differ by less than
-    factor either way. What discounting frees goes to the shared count, which stands alone where a class saw nothing:
-    else a class with less text would seem to have evidence against whatever it did not see."""
-    shared = (F.col("t") + F.col("o")) / (given["n_t"] + given["n_o"])
-
-    def estimate(c: str) -> Column:
-        own = (F.greatest(F.col(c) - discount, F.lit(0.0)) + given[f"free_{c}"] * shared) / given[f"n_{c}"]
-        return F.when(given[f"n_{c}"] > 0, own).otherwise(shared)
-
-    ratio = F.log(estimate("t") / estimate("o"))
-    return F.when(F.abs(ratio) > math.log(factor), ratio).otherwise(0.0)
+    rows = labelled(docs, labels).withColumn("nth", F.pmod(F.xxhash64("row_id", F.lit("fit")), F.lit(8 * 10**6)))
+    pairs = written(pair_counts(rows.filter(F.col("nth") >= 10**6)), "toxicity-pairs")
+    of_pairs, base, words = model_parts(pairs, smoothing)
+    if words is None:
+        return ToxicModel(None)
+    top = words.orderBy(F.desc("n"), "key").limit(HEAD).toPandas()
+    rest = words.join(F.broadcast(words.sparkSession.createDataFrame([(int(top.n.iloc[-1]), int(top.key.iloc[-1]))], "n_last long, key_last long")))
+    rest = rest.filter("n < n_last or n = n_last and key > key_last").select("key", "part")
+    parts = written(rest.unionByName(of_pairs), "toxicity-parts")
+    keys = top.key.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    model = ToxicModel(parts, base, (keys[order], top.part.to_numpy(float)[order]), _bitmap(parts), smoothing)
+    fitted = rows.filter(F.col("nth") < 10**6)
+    share = min(1.0, fit_rows / max(1, fitted.count()))
+    means = _means(fitted.filter(F.col("nth") < share * 10**6), model, "toxic").select("toxic", "mean").toPandas()
+    slope, offset = _logistic(np.arcsinh(means["mean"].to_numpy(float) / SCALE), means.toxic.to_numpy(float))
+    return ToxicModel(parts, base, model.head, model.maybe, smoothing, slope, offset)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -123,42 +201,64 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return slope, float(w[1] - slope * x.mean()) if len(x) else 0.0
 
 
-def row_key() -> Column:
-    """Names a row by its doc_id and its text, so rows of one doc_id with different texts are told apart."""
-    return F.concat_ws("/", F.col("doc_id").cast("long").cast("string"), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string"))
-
-
-def _differences(rows: DataFrame, ratios: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, *more, row, copies, d) for each different row of (doc_id, text, *more): how often it stands there, and
-    the mean over its words of the log ratio of their estimates; 0 without words.
-
-    Words and pairs are joined with the table of ratios; those that cannot be in it are dropped before. Each row gives its
-    number of words besides, so that repeated rows add to both sides of the mean.
-    """
-    rows, by = rows.withColumn("row", row_key()), ["doc_id", *more, "row"]
-    keys = _placed(rows, *by).select(*by, F.explode(F.array("w", F.xxhash64("w", "left"))).alias("key"))
-    met = maybe_among(keys, ratios, "key").join(ratios, "key")
-    words = F.regexp_count(F.lower("text"), F.lit(WORD)).cast("long")
-    parts = rows.select(*by, F.lit(1).alias("one"), words.alias("n"), F.lit(0.0).alias("ratio"))
-    parts = parts.unionByName(met.select(*by, F.lit(0).alias("one"), F.lit(0).cast("long").alias("n"), "ratio"))
-    sums = parts.groupBy(*by).agg(F.sum("one").alias("copies"), F.sum("n").alias("n"), F.sum("ratio").alias("ratio"))
-    return sums.select(*by, "copies", F.coalesce(F.try_divide("ratio", "n"), F.lit(0.0)).alias("d"))
+def _means(rows: DataFrame, model: ToxicModel, *more: str) -> DataFrame:
+    """(doc_id, row_id, *more, copies, mean) for each different row of (doc_id, row_id, text, *more): how often it stands there,
+    and the mean of what its words add."""
+    head, bitmap = (rows.sparkSession.sparkContext.broadcast(x) for x in (model.head, model.maybe))
+    base = model.base
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, parts = head.value
+        for batch in batches:
+            at = 0
+            for part in _chunks(batch.text.tolist(), CHARS):
+                own = batch.iloc[at : at + len(part)].drop(columns="text")
+                at += len(part)
+                who, words, _, pairs = words_of(part)
+                place = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+                known = keys[place] == words
+                n = np.bincount(who, minlength=len(part))
+                total = np.bincount(who, np.where(known, parts[place], 0.0), len(part)) + n * base
+                yield own.assign(n=n, total=total, key=own.row_id, times=0)
+                sought = np.r_[words[~known], pairs]
+                asked = np.r_[who[~known], who]
+                met = _maybe(bitmap.value, sought)
+                asked, sought = asked[met], sought[met]
+                order = np.lexsort((sought, asked))
+                asked, sought = asked[order], sought[order]
+                start = np.flatnonzero(np.r_[True, (asked[1:] != asked[:-1]) | (sought[1:] != sought[:-1])]) if len(asked) else np.zeros(0, int)
+                times = np.diff(np.r_[start, len(asked)])
+                yield own.iloc[asked[start]].assign(n=0, total=0.0, key=sought[start].view(np.int64), times=times)
+
+    by = ["doc_id", "row_id", *more]
+    fields = rows.select(*by)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields.schema)
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), *by[1:], F.col("doc_id").isNotNull().alias("known"), "text")
+    found = rows.mapInPandas(sums, f"{schema}, known boolean, n long, total double, key long, times long")
+    parts = model.parts.withColumnRenamed("key", "of")
+    met = found.join(parts, (F.col("key") == F.col("of")) & (F.col("times") > 0), "left")
+    added = F.coalesce(F.col("times") * F.col("part"), F.lit(0.0))
+    out = met.groupBy("known", *by).agg(F.count_if(F.col("times") == 0).alias("copies"), F.sum("n").alias("n"), F.sum(F.col("total") + added).alias("total"))
+    # rounded, so that the order in which parts are added up does not show
+    mean = F.round(F.col("total") / (F.col("n") + F.col("copies") * model.smoothing.pad), 12)
+    return out.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), *by[1:], "copies", mean.alias("mean"))
 
 
 def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id, row (see row_key), copies, score (0 to 1) for each different row of docs by doc_id and text. A null text
-    counts as empty and scores as a text without toxic words does."""
-    rows = texts(docs)
-    if model.ratios is None:
-        return rows.groupBy("doc_id", row_key().alias("row")).agg(F.count("*").alias("copies")).withColumn("score", F.lit(0.0))
-    odds = F.lit(model.slope) * F.asinh(F.col("d") / LEAST) + F.lit(model.offset)
-    return _differences(rows, model.ratios).select("doc_id", "row", "copies", (1 / (1 + F.exp(-odds))).alias("score"))
+    """doc_id, row_id, copies, score (0 to 1) for each different row of docs by doc_id and text. A null text counts as empty
+    and scores as a text without any evidence does."""
+    rows = texts(docs).withColumn("row_id", row_id())
+    if model.parts is None:
+        return rows.groupBy("doc_id", "row_id").agg(F.count("*").alias("copies")).withColumn("score", F.lit(0.0))
+    odds = F.lit(model.slope) * F.asinh(F.col("mean") / SCALE) + F.lit(model.offset)
+    return _means(rows, model).select("doc_id", "row_id", "copies", (1 / (1 + F.exp(-odds))).alias("score"))
 
 
 def toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score and predicted (1 if score >= threshold) for each row of docs.
+    """doc_id, score and predicted (1 if score >= threshold, else 0) for each row of docs.
 
-    Repeated rows repeat; other columns are not looked at; an empty table gives no rows.
+    Repeated rows repeat; equal texts have equal scores; long texts are scored whole; other columns are not looked at; an
+    empty table gives no rows.
     """
     rows = scores(docs, model).select("doc_id", F.explode(F.array_repeat("score", F.col("copies").cast("int"))).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
