@@ -94,11 +94,17 @@ def maybe_among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return _in_bitmap(rows, ids, key, mark := _mark()).filter(F.col(mark)).drop(mark)
 
 
+def split_by(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is not among ids' keys for certain, and the others."""
+    marked = _in_bitmap(rows, ids, key, mark := _mark())
+    return marked.filter(~F.col(mark)).drop(mark), marked.filter(F.col(mark)).drop(mark)
+
+
 def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key is not among ids' keys (a null key never is). Only rows that may be are shuffled."""
-    marked = _in_bitmap(rows, ids, key, mark := _mark())
-    rest = marked.filter(F.col(mark)).drop(mark).join(ids.select(key).distinct(), key, "left_anti")
-    return marked.filter(~F.col(mark)).drop(mark).unionByName(rest.select(rows.columns))
+    others, rest = split_by(rows, ids, key)
+    rest = rest.join(ids.select(key).distinct(), key, "left_anti")
+    return others.unionByName(rest.select(rows.columns))
 
 
 def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:

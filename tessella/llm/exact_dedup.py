@@ -1,14 +1,16 @@
 """Exact dedup with a log-structured merge index of text digests.
 
 Every task fills memtables with (digest, kept id, rows) and flushes each as sorted runs, one for each range of the
-digest space and with a Bloom filter. A hot text is one entry of a memtable, however many rows hold it. Compaction
-merges the runs of a range: digests that no other run's filter knows pass as they are, the others are merged. Digests
+digest space and with a Bloom filter of as many bits as its entries need. A hot text is one entry of a memtable, however
+many rows hold it. Compaction merges the smallest two runs of a range until one is left: digests that the other run's
+filter does not know pass as they are, the others are merged. Digests
 that hold several rows are hits, and every hit's texts are compared byte by byte; rows of a digest under which
 texts differ are grouped anew by the texts themselves.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import texts, written
+from tessella.llm.common import maybe_among, row_id, split_by, texts, written
 
 NULL_ID = {"largest": -(2**63), "smallest": 2**63 - 1}
 WIDTH = 32
-SALTS = 16
 
 
 class Filter:
@@ -45,8 +46,10 @@ class Filter:
             out &= (self.set[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
-    def join(self, other: Filter) -> None:
-        self.set |= other.set
+
+def bits_for(entries: int) -> int:
+    """Eight bits an entry at least, in powers of two."""
+    return max(64, 1 << (8 * int(entries) - 1).bit_length())
 
 
 def _merged(digests: np.ndarray, ids: np.ndarray, rows: np.ndarray, largest: bool) -> tuple[np.ndarray, ...]:
@@ -60,7 +63,7 @@ def _merged(digests: np.ndarray, ids: np.ndarray, rows: np.ndarray, largest: boo
 RUNS = "range_id int, run string, digests binary, ids binary, n_rows binary, filter binary"
 
 
-def flush_runs(digests: DataFrame, ranges: int, keep: str, memtable_rows: int = 100_000, filter_bits: int = 1 << 16) -> DataFrame:
+def flush_runs(digests: DataFrame, ranges: int, keep: str, memtable_rows: int = 200_000) -> DataFrame:
     """digests (doc_id, digest) to sorted runs: one row for each flushed memtable and range of the digest space."""
     largest, null_id = keep == "largest", NULL_ID[keep]
 
@@ -70,7 +73,7 @@ def flush_runs(digests: DataFrame, ranges: int, keep: str, memtable_rows: int =
         d, ids, rows = _merged(d, table.doc_id.to_numpy(np.int64), np.ones(len(table), np.int64), largest)
         at = d[:, :4].copy().view(">u4").ravel().astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)
         for start, end in zip(s := np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), [*s[1:], len(at)], strict=True):
-            f = Filter(filter_bits)
+            f = Filter(bits_for(end - start))
             f.add(d[start:end].copy())
             yield {"range_id": int(at[start]), "run": run, "digests": d[start:end].tobytes(), "ids": ids[start:end].tobytes(), "n_rows": rows[start:end].tobytes(), "filter": f.set.tobytes()}
 
@@ -91,6 +94,28 @@ def flush_runs(digests: DataFrame, ranges: int, keep: str, memtable_rows: int =
     return rows.mapInPandas(memtables, RUNS)
 
 
+def _compacted(runs: list[tuple], largest: bool) -> tuple[np.ndarray, ...]:
+    """One run of several: the smallest two are merged until one is left. What the other's filter does not know passes as
+    it is."""
+    runs = [(*r, i) for i, r in enumerate(runs)]
+    heap = [(len(r[0]), r[-1]) for r in runs]
+    held, n = {r[-1]: r[:-1] for r in runs}, len(runs)
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (*a, fa), (*b, fb) = (held.pop(heapq.heappop(heap)[1]) for _ in range(2))
+        known = fb.knows(a[0].copy()), fa.knows(b[0].copy())
+        parts = [[x[~k] for x in run] for run, k in zip((a, b), known, strict=True)]
+        if known[0].any() or known[1].any():
+            parts.append(_merged(*(np.concatenate([x[known[0]], y[known[1]]]) for x, y in zip(a, b, strict=True)), largest))
+        merged = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        f = Filter(bits_for(len(merged[0])))
+        f.add(merged[0].copy())
+        held[n] = (*merged, f)
+        heapq.heappush(heap, (len(merged[0]), n))
+        n += 1
+    return held[heap[0][1]][:3]
+
+
 def compact(runs: DataFrame, keep: str) -> DataFrame:
     """Merges the runs of each range to (digest, keep_id, group_size, hit). hit: another row holds the digest."""
     largest, null_id = keep == "largest", NULL_ID[keep]
@@ -100,59 +125,47 @@ def compact(runs: DataFrame, keep: str) -> DataFrame:
         for r in group.sort_values("run").itertuples():
             d = np.frombuffer(r.digests, np.uint8).reshape(-1, WIDTH)
             each.append((d, np.frombuffer(r.ids, np.int64), np.frombuffer(r.n_rows, np.int64), Filter(len(r.filter) * 8, r.filter)))
-        known = [np.zeros(len(e[0]), bool) for e in each]
-        for order in (range(len(each)), range(len(each) - 1, -1, -1)):  # what earlier runs know, then what later ones know
-            seen = None
-            for k in order:
-                if seen is not None:
-                    known[k] |= seen.knows(each[k][0].copy())
-                    seen.join(each[k][3])
-                else:
-                    seen = Filter(len(each[k][3].set) * 8, each[k][3].set.tobytes())
-        out = [tuple(part[~k] for part in e[:3]) for e, k in zip(each, known, strict=True)]
-        if any(k.any() for k in known):
-            hits = [np.concatenate([e[i][k] for e, k in zip(each, known, strict=True)]) for i in range(3)]
-            out.append(_merged(*hits, largest))
-        d, ids, rows = (np.concatenate([o[i] for o in out]) for i in range(3))
+        d, ids, rows = _compacted(each, largest)
         return pd.DataFrame({"digest": [x.tobytes() for x in d], "keep_id": pd.Series(ids).astype("Int64").mask(ids == null_id), "group_size": rows, "hit": rows > 1})
 
     return runs.groupBy("range_id").applyInPandas(merge, "digest binary, keep_id long, group_size long, hit boolean")
 
 
-def _differing(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """The hits' digests under which texts differ by bytes. A text goes to one of SALTS parts of its digest."""
-    hits = index.filter("hit").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = docs.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(hits, ["digest", "salt"])
-    parts = rows.groupBy("digest", "salt").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
-    return parts.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("digest")
-
-
-def exact_dedup(docs: DataFrame, keep: str = "smallest", digest=None, range_rows: int = 500_000) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, keep: str = "smallest", digest=None, range_rows: int = 500_000, memtable_rows: int = 200_000) -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, row_id (64 bits of doc_id and text).
 
     Rows whose texts are identical form a group; a null text counts as empty. The row with the smallest (largest)
     doc_id stays. Repeated rows with one doc_id count each in group_size and share their flag. A null doc_id is
     kept only where its whole group has none; keep_id is null then. An empty table gives no rows. Other columns
     of docs are not looked at. digest: a function from the text's column to 32 bytes, SHA-256 if None.
+
+    A range of the digest space has range_rows rows about. Rows whose digest no other row has are not shuffled.
     """
     sha = F.sha2("text", 256)
-    rows = texts(docs).withColumn("text_sha256", sha).withColumn("digest", F.unhex("text_sha256") if digest is None else digest(F.col("text")))
+    rows = texts(docs).withColumn("row_id", row_id()).withColumn("text_sha256", sha).withColumn("digest", F.unhex("text_sha256") if digest is None else digest(F.col("text")))
     ids = rows.select("doc_id", "digest")
     ranges = max(32, -(-docs.count() // range_rows))
-    index = written(compact(flush_runs(ids, ranges, keep), keep), "dedup-index")
-    out = rows.select("doc_id", "text_sha256", "digest").join(index.drop("hit"), "digest", "left")
-    differing = written(_differing(rows.select("doc_id", "digest", "text"), index), "dedup-differing")
+    index = written(compact(flush_runs(ids, ranges, keep, memtable_rows), keep), "dedup-index")
+    hits = written(index.filter("hit").drop("hit"), "dedup-hits")
+    names = ["doc_id", "row_id", "text_sha256", "digest"]
+    lone, met = split_by(rows.select(names), hits, "digest")
+    # byte by byte: texts of a digest are as one only if the least is the greatest; a hot digest is a row for each task
+    ends = maybe_among(rows.select("digest", "text"), hits, "digest").groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"), F.count("*").alias("n"))
+    differing = written(ends.filter("n > 1 and lo != hi").select("digest"), "dedup-differing")
+    met = met.join(hits, "digest", "left")
+    met = met.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     if not differing.isEmpty():
         best = F.max("doc_id") if keep == "largest" else F.min("doc_id")
         apart = rows.join(differing, "digest", "left_semi")
         groups = apart.groupBy("digest", "text").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
-        out = out.join(differing, "digest", "left_anti").unionByName(apart.join(groups, ["digest", "text"]).drop("text"))
+        met = met.join(differing, "digest", "left_anti").unionByName(apart.join(groups, ["digest", "text"]).drop("text"))
+    out = met.unionByName(lone.withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "row_id")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="largest")
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="largest").drop("row_id")
 
 
 OP9_SQL = """
