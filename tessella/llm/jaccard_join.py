@@ -10,8 +10,8 @@
    under every order.
 4. Under each order classes are lined up by their first shared shingle and sizes, and neighbours are verified. That links
    most of a group of near copies by about as many pairs as it has classes. Pairs that are left, of classes that are not yet
-   connected, are those whose prefixes meet under the first order, then under the others too; they are verified by
-   the exact size of the intersection. Pairs that are connected already are never listed.
+   connected, are those whose prefixes meet under the first order and whose signatures allow it, then those that meet under
+   the others too; they are verified by the exact size of the intersection. Pairs that are connected already are never listed.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ ORDERS = 3
 CHARS = 1_000_000
 #: Classes in one line of neighbours at most; longer lines are cut at random.
 LINE = 4096
+#: Longs of a signature. Each shingle turns one of its bits over, so sets differ in as many shingles at least as their
+#: signatures do in bits.
+SIGNS = 4
 #: Stand for any two classes where a chunk has several with a shingle.
 LOW, HIGH = -(2**63), 2**63 - 1
 
@@ -87,6 +90,11 @@ class Join:
     def linked(self, both: Column, a: Column, b: Column) -> Column:
         return 100 * both >= self.percent * (a + b - both)
 
+    def unlike(self, a: Column, b: Column) -> Column:
+        """Whether signatures differ in more bits than linked sets of these structs (n, signs) have unlike shingles."""
+        bits = sum((F.bit_count(F.get(a["signs"], k).bitwiseXOR(F.get(b["signs"], k))) for k in range(SIGNS)), F.lit(0))
+        return bits * (100 + self.percent) > (a["n"] + b["n"]) * (100 - self.percent)
+
     def sizes(self, a: Column, b: Column) -> Column:
         """Whether sizes allow a link; a is the smaller one."""
         return 100 * a >= self.percent * b
@@ -101,6 +109,11 @@ def _check(own: np.ndarray) -> int:
     return _node(own, MULTIPLIERS[2])
 
 
+def _signs(own: np.ndarray) -> np.ndarray:
+    odd = np.bincount((own & np.uint64(64 * SIGNS - 1)).astype(np.int64), minlength=64 * SIGNS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _parts(batch: pd.DataFrame, words: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     """A batch in chunks of CHARS characters with their texts' shingle sets."""
     at = 0
@@ -154,22 +167,24 @@ def sharing(rows: DataFrame, join: Join) -> DataFrame:
 
 
 def shared_sets(rows: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """(cid, n, held): classes' shingles that several classes have, as structs of level and key. classes: (cid, row_id, n, node, check)."""
+    """(cid, n, signs, held): classes' shingles that several classes have, as structs of level and key, and the signatures
+    of their whole sets. classes: (cid, row_id, n, node, check)."""
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for own, sets in _parts(batch, join.words):
                 # another row may have the row_id of a class's text
                 right = [(_node(s), _check(s)) == (a, b) for s, a, b in zip(sets, own.node, own.check, strict=True)]
-                yield pd.DataFrame({"cid": own.cid[right], "n": own.n[right], "keys": [s.view(np.int64) for s, r in zip(sets, right, strict=True) if r]})
+                yield pd.DataFrame({"cid": own.cid[right], "n": own.n[right], "signs": [_signs(s) for s, r in zip(sets, right, strict=True) if r], "keys": [s.view(np.int64) for s, r in zip(sets, right, strict=True) if r]})
 
     chosen = maybe_among(rows.select("row_id", "text"), classes, "row_id").join(classes, "row_id")
-    sets = written(chosen.select("cid", "n", "node", "check", "text").mapInPandas(sets_of, "cid long, n long, keys array<long>"), "jaccard-sets")
+    sets = written(chosen.select("cid", "n", "node", "check", "text").mapInPandas(sets_of, "cid long, n long, signs array<long>, keys array<long>"), "jaccard-sets")
     each = sets.select("cid", "n", F.explode("keys").alias("key"))
     counts = each.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key", F.floor(F.log2("times")).cast("int").alias("level"))
     held = each.join(counts, "key").groupBy("cid", "n").agg(F.collect_set(F.struct("level", "key")).alias("held"))
     # a row that repeats gives its shingles twice, so some of them may stand in one class only
-    return held.filter(F.size("held") >= F.ceil(F.col("n") * join.percent / 100))
+    held = held.filter(F.size("held") >= F.ceil(F.col("n") * join.percent / 100))
+    return held.join(sets.groupBy("cid").agg(F.first("signs").alias("signs")), "cid")
 
 
 def _first(join: Join, order: int, most: Column) -> Column:
@@ -198,18 +213,19 @@ def _neighbours(sets: DataFrame, join: Join, order: int) -> DataFrame:
 def _remaining(sets: DataFrame, labels: DataFrame, join: Join) -> DataFrame:
     """Edges (u, v) between linked classes with different labels (cid, label; a class without one is its own)."""
     named = sets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
-    posted = named.select("cid", "n", "label", F.posexplode("probe0").alias("place", "key"), F.size("index0").alias("indexed"))
-    posted = written(posted.select("cid", "n", "label", "key", (F.col("place") < F.col("indexed")).alias("early")), "jaccard-postings")
+    posted = named.select("cid", "n", "signs", "label", F.posexplode("probe0").alias("place", "key"), F.size("index0").alias("indexed"))
+    posted = written(posted.select("cid", F.struct("n", "signs").alias("set"), "label", "key", (F.col("place") < F.col("indexed")).alias("early")), "jaccard-postings")
     sizes = posted.groupBy("key", "label").agg(F.count("*").alias("m"))
     tops = sizes.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     open_ = written(posted.join(tops.select("key", "top"), "key"), "jaccard-open")
-    a = open_.filter("label != top").select("key", *(F.col(c).alias(f"{c}_a") for c in ("cid", "n", "label", "early")))
-    b = open_.select("key", "top", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "label", "early")))
-    smaller = F.struct("n_a", "cid_a") < F.struct("n_b", "cid_b")
+    a = open_.filter("label != top").select("key", *(F.col(c).alias(f"{c}_a") for c in ("cid", "set", "label", "early")))
+    b = open_.select("key", "top", *(F.col(c).alias(f"{c}_b") for c in ("cid", "set", "label", "early")))
+    n_a, n_b = F.col("set_a.n"), F.col("set_b.n")
+    smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("cid_a") < F.col("cid_b")))
     # of two classes outside the largest one each finds the other: one of them is enough
     once = (F.col("label_b") == F.col("top")) | (F.col("cid_a") < F.col("cid_b"))
-    fits = F.when(smaller, join.sizes(F.col("n_a"), F.col("n_b")) & F.col("early_a")).otherwise(join.sizes(F.col("n_b"), F.col("n_a")) & F.col("early_b"))
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("label_a") != F.col("label_b")) & once & fits)
+    fits = F.when(smaller, join.sizes(n_a, n_b) & F.col("early_a")).otherwise(join.sizes(n_b, n_a) & F.col("early_b"))
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("label_a") != F.col("label_b")) & once & fits & ~join.unlike(F.col("set_a"), F.col("set_b")))
     pairs = met.select(F.when(smaller, F.col("cid_a")).otherwise(F.col("cid_b")).alias("u"), F.when(smaller, F.col("cid_b")).otherwise(F.col("cid_a")).alias("v")).distinct()
     orders = range(1, ORDERS)
     u = sets.select(F.col("cid").alias("u"), *(f"index{k}" for k in orders))
@@ -239,7 +255,7 @@ def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     chosen = written(classes.join(nodes, "node", "left_semi").select("cid", "row_id", "n", "node", "check"), "jaccard-chosen")
     sets = shared_sets(rows, chosen, join)
     firsts = [_first(join, k, f(F.col("n"))).alias(f"{name}{k}") for k in range(ORDERS) for name, f in (("probe", join.probe), ("index", join.index))]
-    sets = written(sets.select("cid", "n", F.transform("held", lambda h: h["key"]).alias("keys"), *firsts).filter("size(probe0) > 0"), "jaccard-sets")
+    sets = written(sets.select("cid", "n", "signs", F.transform("held", lambda h: h["key"]).alias("keys"), *firsts).filter("size(probe0) > 0"), "jaccard-sets")
 
     edges = written(reduce(DataFrame.unionByName, (_neighbours(sets, join, k) for k in range(ORDERS))), "jaccard-edges")
     labels = written(components(edges, "jaccard-labels"), "jaccard-labels")
