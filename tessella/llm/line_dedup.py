@@ -100,17 +100,15 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    rows, columns = F.split(a, ""), F.split(b, "")
     n_rows, n_columns = F.length(a), F.length(b)
     long = lambda x: F.lit(x).cast("long")
     bit = lambda x, p: F.call_function("shiftrightunsigned", x, p).bitwiseAND(long(1))
 
-    def step(s: Column, j: Column) -> Column:
-        char = F.get(columns, j - 1)
+    def step(s: Column, j: Column, texts_: Column) -> Column:
+        char = F.get(texts_["columns"], j - 1)
         same = long(0)
         for p in range(width):
-            i = j - edits + p
-            same = same + F.when((i >= 1) & (i <= n_rows) & (F.get(rows, i - 1) == char), long(1 << p)).otherwise(long(0))
+            same = same + F.when(F.get(texts_["rows"], j + p) == char, long(1 << p)).otherwise(long(0))
         return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["value"].alias("value"), same.alias("same"), j.alias("j"))
 
     def diagonal(s: Column) -> Column:
@@ -132,20 +130,38 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
         vp = hn.bitwiseOR(F.bitwise_not(above.bitwiseOR(hp))).bitwiseAND(long(mask))
         return F.struct(vp.alias("vp"), above.bitwiseAND(hp).alias("vn"), value.cast("long").alias("value"))
 
-    def column(s: Column, j: Column) -> Column:
-        # each state is bound by a transform of one element, so it is computed once
-        for f in (lambda x: step(x, j), diagonal, across, down):
-            s = F.get(F.transform(F.array(s), f), F.lit(0))
-        return s
+    def bound(x: Column, f) -> Column:
+        """f(x) with x computed once: it is an element that a transform sees."""
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def column(s: Column, j: Column, texts_: Column) -> Column:
+        return bound(bound(bound(step(s, j, texts_), diagonal), across), down)
 
     # in column 0, and in the band's place of column 1, rows 1 to edits + 1 are one more than the row above
     start = F.struct(long(((1 << (edits + 1)) - 1) << edits).alias("vp"), long(0).alias("vn"), long(edits).alias("value"))
-    followed = F.aggregate(F.sequence(F.lit(1), n_columns), start, column)["value"]
+    # `edits` places without a character stand before and after the rows, so that every place of the band is one
+    none = F.array_repeat(F.lit("").cast("string"), edits + 1)
+    chars = F.struct(F.concat(none, F.split(a, ""), none).alias("rows"), F.split(b, "").alias("columns"))
+    followed = bound(chars, lambda t: F.aggregate(F.sequence(F.lit(1), n_columns), start, lambda s, j: column(s, j, t))["value"])
     long_enough = (n_columns >= 1) & (F.abs(n_rows - n_columns) <= edits) & (n_rows >= edits)
     far = F.when(F.abs(n_rows - n_columns) > edits, F.lit(edits + 1))
     return F.when(long_enough, followed.cast("int")).otherwise(F.coalesce(far, F.levenshtein(a, b)))
 
 
+#: Frequent letters of Latin scripts.
+LETTERS = "eantiors"
+
+
+def _letters(line: Column) -> Column:
+    """How often each of a few letters stands in a line."""
+    return F.array(*(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c))) for c in LETTERS))
+
+
+def _alike(a: Column, b: Column, edits: int) -> Column:
+    """Whether letters' counts allow the distance: an edit changes two of them by one."""
+    return sum((F.abs(F.get(a, k) - F.get(b, k)) for k in range(len(LETTERS))), F.lit(0)) <= 2 * edits
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no from 0, line): texts split at line feeds. A null text has one empty line."""
     return texts(docs).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
@@ -166,11 +182,12 @@ def different_lines(docs: DataFrame) -> DataFrame:
 def _near(pairs: DataFrame, lines: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
     """Of pairs (early, late) those within the distance of the shorter line's band."""
     ends = written(pairs.select(F.explode(F.array("early", "late")).alias("lid")).distinct(), "lines-ends")
-    text = written(maybe_among(lines.select("lid", "line", "n"), ends, "lid").join(ends, "lid"), "lines-texts")
-    both = pairs.join(text.toDF("early", "x", "nx"), "early").join(text.toDF("late", "y", "ny"), "late")
+    text = written(maybe_among(lines.select("lid", "line", "n"), ends, "lid").join(ends, "lid").withColumn("letters", _letters(F.col("line"))), "lines-texts")
+    both = pairs.join(text.toDF("early", "x", "nx", "lx"), "early").join(text.toDF("late", "y", "ny", "ly"), "late")
     least, near = F.least("nx", "ny"), F.lit(False)
     for chars, edits in sorted(bands):
-        near = F.when(least >= chars, banded_distance(F.col("x"), F.col("y"), edits) <= edits).otherwise(near)
+        within = F.when(_alike(F.col("lx"), F.col("ly"), edits), banded_distance(F.col("x"), F.col("y"), edits) <= edits)
+        near = F.when(least >= chars, F.coalesce(within, F.lit(False))).otherwise(near)
     return both.filter(near).select("early", "late")
 
 
