@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import MOST_WORDS, held_out, maybe_among, row_id, table, texts, written
-from tessella.llm.hashes import LETTERS, MULTIPLIERS, mixed, word_hashes
+from tessella.llm.hashes import LETTERS, word_hashes
 from tessella.llm.token_counts import _chunks
 
 #: Characters that a task takes at once.
-CHARS = 1_000_000
-#: So many of the most frequent words are in memory: 4 MB.
-HEAD = 1 << 18
+CHARS = 500_000
+#: So many of the most frequent words are in memory: 2 MB.
+HEAD = 1 << 17
+#: Stands for the word before a text's first one. TURN: bits by which a left word's hash is turned in a pair's key.
+START, TURN = np.uint64(0x9E3779B97F4A7C15), 17
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ class Smoothing:
 
     word_discount: float = 0.75
     pair_discount: float = 1.0
-    strength: float = 4.0
+    strength: float = 1.0
     floor: float = 20.0
     share: float = 0.005
     pad: int = 30
@@ -68,12 +70,17 @@ SCALE = 1e-3
 
 
 def words_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of all texts in lower case: the number of its text, its hash, the hash of the one before it (0 where
-    the text starts) and the hash of both. Words are runs of ASCII letters and of whatever is not ASCII."""
+    """For each word of all texts in lower case: the number of its text, its hash, the hash of the one before it (START where
+    the text starts) and the key of both. Words are runs of ASCII letters and of whatever is not ASCII."""
     words, first = word_hashes([t.lower() for t in batch], LETTERS)
-    left = np.r_[np.uint64(0), words[:-1]] if len(words) else words
-    left[first[:-1][first[:-1] < len(words)]] = 0
-    return np.repeat(np.arange(len(batch)), np.diff(first)), words, left, mixed(mixed(left + MULTIPLIERS[0]) * MULTIPLIERS[1] + words)
+    left = np.r_[START, words[:-1]] if len(words) else words
+    left[first[:-1][first[:-1] < len(words)]] = START
+    return np.repeat(np.arange(len(batch)), np.diff(first)), words, left, words ^ (left << np.uint64(TURN) | left >> np.uint64(64 - TURN))
+
+
+def pair_key(word: Column, left: Column) -> Column:
+    """The same key of two hashes."""
+    return word.bitwiseXOR(F.shiftleft(left, TURN).bitwiseOR(F.shiftrightunsigned(left, 64 - TURN)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -89,7 +96,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """(key, w, l, t, o) from rows (toxic, text): how often word w stands after word l in toxic and in ordinary texts."""
+    """(w, l, t, o) from rows (toxic, text): how often word w stands after word l in toxic and in ordinary texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -100,10 +107,10 @@ def pair_counts(rows: DataFrame) -> DataFrame:
                 at += len(part)
                 keys, first, place = np.unique(pairs, return_index=True, return_inverse=True)
                 t, every = np.bincount(place, toxic, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
-                yield pd.DataFrame({"key": keys.view(np.int64), "w": words[first].view(np.int64), "l": left[first].view(np.int64), "t": t, "o": every - t})
+                yield pd.DataFrame({"w": words[first].view(np.int64), "l": left[first].view(np.int64), "t": t, "o": every - t})
 
-    counted = rows.select("toxic", "text").mapInPandas(count, "key long, w long, l long, t long, o long")
-    return counted.groupBy("key").agg(F.min("w").alias("w"), F.min("l").alias("l"), F.sum("t").alias("t"), F.sum("o").alias("o"))
+    counted = rows.select("toxic", "text").mapInPandas(count, "w long, l long, t long, o long")
+    return counted.groupBy("w", "l").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 def _share_of(n: str, sums: dict, s: Smoothing, shared: Column) -> Column:
@@ -143,16 +150,16 @@ def model_parts(pairs: DataFrame, s: Smoothing) -> tuple[DataFrame | None, float
         return F.when(F.col(f"c_{c}") > 0, seen).otherwise(before)
 
     ratio = F.log(given("t") / given("o"))
-    kept = met.select("key", own.alias("own"), ratio.alias("ratio")).filter(F.abs(F.col("ratio") - F.col("own")) >= s.least)
+    kept = met.select(pair_key(F.col("w"), F.col("l")).alias("key"), own.alias("own"), ratio.alias("ratio")).filter(F.abs(F.col("ratio") - F.col("own")) >= s.least)
     return kept.select("key", (_adds(F.col("ratio"), s.share) - _adds(F.col("own"), s.share)).alias("part")), base, words
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """One bit for each hash of a key, in MOST_WORDS words at most whatever the input."""
     n = min(MOST_WORDS, 1 << max(6, (keys.count() // 4).bit_length()))
-    at, bit = F.col("key").bitwiseAND(n - 1), F.call_function("shiftrightunsigned", F.col("key"), F.lit(58)).cast("int")
+    at, bit = F.col("key").bitwiseAND(n - 1), F.shiftrightunsigned("key", 58).cast("int")
     bits = keys.select(at.alias("at"), F.lit(1).cast("long").alias("one"), bit.alias("bit"))
-    found = bits.groupBy("at").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("m")).toPandas()
+    found = bits.groupBy("at").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("m")).toArrow().to_pandas()
     out = np.zeros(n, np.uint64)
     out[found["at"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64).view(np.uint64)
     return out
@@ -176,9 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, smoothing: Smoothing = Smoothing(),
     of_pairs, base, words = model_parts(pairs, smoothing)
     if words is None:
         return ToxicModel(None)
-    top = words.orderBy(F.desc("n"), "key").limit(HEAD).toPandas()
-    rest = words.join(F.broadcast(words.sparkSession.createDataFrame([(int(top.n.iloc[-1]), int(top.key.iloc[-1]))], "n_last long, key_last long")))
-    rest = rest.filter("n < n_last or n = n_last and key > key_last").select("key", "part")
+    top = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow().to_pandas()
+    n_last, key_last = F.lit(int(top.n.iloc[-1])), F.lit(int(top.key.iloc[-1]))
+    rest = words.filter((F.col("n") < n_last) | (F.col("n") == n_last) & (F.col("key") > key_last)).select("key", "part")
     parts = written(rest.unionByName(of_pairs), "toxicity-parts")
     keys = top.key.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
