@@ -21,11 +21,15 @@ def with_weights(rows: DataFrame, by: list[str], value: str = "value_usd") -> Da
     return rows.join(total, by).withColumn("pct", pct).drop("_total")
 
 
-def change_sets(rows: DataFrame, key: str = "security_id", threshold: float = 0.08, inclusive: bool = False) -> DataFrame:
-    """holder_id, key, kind, now_pct, prev_pct, delta: the latest quarter of each holder against the one before it that
-    the holder has. Null percentages count as 0. The threshold is on the difference in percentage points, itself outside
+def change_sets(rows: DataFrame, key: str = "security_id", threshold: float = 0.08, inclusive: bool = False, target: int | None = None) -> DataFrame:
+    """holder_id, key, kind, now_pct, prev_pct, delta: the latest quarter of each holder, or the target one, against the one
+    before it that the holder has. Null percentages count as 0. The threshold is on the difference in percentage points, itself outside
     of add and trim unless inclusive."""
-    two = latest_ordinals(rows, ["holder_id"], "q")
+    if target is None:
+        two = latest_ordinals(rows, ["holder_id"], "q")
+    else:
+        before = latest_ordinals(rows.filter(F.col("q") < target), ["holder_id"], "q", 1).withColumn("nth", F.lit(2))
+        two = rows.filter(F.col("q") == target).withColumn("nth", F.lit(1)).unionByName(before)
     side = lambda n, name: two.filter(F.col("nth") == n).select("holder_id", key, F.coalesce("pct", F.lit(0.0)).alias(name))
     both = side(1, "now_pct").join(side(2, "prev_pct"), ["holder_id", key], "full")
     delta = F.round(F.coalesce("now_pct", F.lit(0.0)) - F.coalesce("prev_pct", F.lit(0.0)), 4)

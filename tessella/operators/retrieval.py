@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,6 +77,78 @@ def keyword_hits(rows: DataFrame, text: str, tokens: list[str]) -> DataFrame:
     return rows.filter(tx.has_all(c, tokens)).withColumn("score", F.round(n / F.sqrt(F.length(c).cast("double")), 6))
 
 
+@dataclass(frozen=True)
+class WebQuery:
+    """A full text query: every clause has to match, and one of its alternatives does; no phrase of `without` may."""
+
+    clauses: tuple[tuple[str, ...], ...]
+    without: tuple[str, ...] = ()
+
+
+def web_query(query: str) -> WebQuery:
+    """Words and "phrases in quotes"; `or` between two of them makes alternatives, a minus before one excludes it. Other
+    punctuation is ignored."""
+    clauses, without, either = [], [], False
+    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
+        term = " ".join(re.findall(r"\w+", phrase or word.lstrip("-"))).lower()
+        minus = minus or ("-" if word.startswith("-") else "")
+        if not phrase and term == "or" and not minus:
+            either = bool(clauses)
+        elif term and minus:
+            without.append(term)
+        elif term and either:
+            clauses[-1].append(term)
+            either = False
+        elif term:
+            clauses.append([term])
+    return WebQuery(tuple(map(tuple, clauses)), tuple(without))
+
+
+def _holds(c: Column, term: str) -> Column:
+    return c.rlike(r"(?i)(?<![A-Za-z0-9_])" + r"[^A-Za-z0-9_]+".join(map(re.escape, term.split())) + r"(?![A-Za-z0-9_])")
+
+
+def web_match(c: Column, query: WebQuery) -> Column:
+    """Whether a text matches. A query without clauses matches nothing."""
+    if not query.clauses:
+        return F.lit(False)
+    out = F.lit(True)
+    for alternatives in query.clauses:
+        out = out & reduce(lambda x, y: x | y, (_holds(c, t) for t in alternatives))
+    for term in query.without:
+        out = out & ~_holds(c, term)
+    return out
+
+
+def web_hits(rows: DataFrame, text: str, query: WebQuery) -> DataFrame:
+    """Rows that match, scored by how often they hold the words of the clauses for their length."""
+    c = F.col(text)
+    tokens = sorted({w for clause in query.clauses for term in clause for w in term.split()})
+    n = sum((F.regexp_count(F.lower(c), F.lit(re.escape(t))) for t in tokens), F.lit(0))
+    return rows.filter(web_match(c, query)).withColumn("score", F.round(n / F.sqrt(F.length(c).cast("double")), 6))
+
+
+def timeline_hits(rows: DataFrame, text: str, keywords: str, strict: list[str], limit: int, key: str = "id") -> DataFrame:
+    """key, year, score: one hit of each year, the earliest years first. Texts that hold the keywords' first alternative as it
+    stands and all strict tokens come first; without any of them, several strict tokens give nothing, else the full
+    text query is asked. The strict tokens are looked for after the limit. One plan: the second source is read only where the
+    first is empty."""
+    c = F.col(text)
+    term = keywords.split("|")[0].strip()
+    plain = first_per_year(rows.filter(c.contains(term)).withColumn("score", F.lit(0.1)), limit, F.col(key)) if term else rows.filter("false").withColumn("score", F.lit(0.1))
+    plain = plain.filter(tx.has_all(c, strict)).select(key, "year", "score")
+    if len(strict) > 1:
+        return plain
+    asked = first_per_year(web_hits(rows, text, web_query(keywords)), limit, F.desc("score"), F.col(key))
+    return otherwise(plain, asked.filter(tx.has_all(c, strict)).select(key, "year", "score"))
+
+
+def otherwise(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The rows of the first, or of the second if the first has none."""
+    found = first.limit(1).agg(F.count("*").alias("_found"))
+    return first.unionByName(second.join(F.broadcast(found), F.col("_found") == 0).drop("_found"))  # one row
+
+
 def first_per_year(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
     """One hit for each year, of the earliest years."""
     return top_k(hits, ["year"], list(order)).orderBy("year").limit(limit)
@@ -153,16 +226,26 @@ class Cache:
 
 
 def search(rows: DataFrame, question: str, query_vector: list[float] | None = None, asked: Plan | None = None, text: str = "content", key: str = "id", limit: int | None = None) -> DataFrame:
-    """key, score, retrieval, rank: hits of a question in rows (key, year, text, embedding). Without keyword and vector
-    hits the question's own words are looked for one by one."""
+    """key, score, retrieval, rank: hits of a question in rows (key, year, text, embedding). A timeline takes one hit of each year.
+    Where neither keywords nor vectors hit, the question's own words are a full text query of ten hits."""
     p = asked or plan(question)
     keyword_n, semantic_n, fused_n = p.budgets
     own = in_years(rows, p.year_from, p.year_to)
     found = [t.strip(".'&-") for t in re.findall(r"[A-Za-z][A-Za-z0-9.&'-]*", p.keywords)]
     tokens = list(dict.fromkeys(t for t in found if len(t) >= 4 and t.lower() not in tx.STOP_WORDS))[:8]
-    keyword = ranked(keyword_hits(own.drop("embedding"), text, tokens), keyword_n, F.desc("score"), F.col(key)) if tokens else ranked(own.filter("false").withColumn("score", F.lit(0.0)), 1, F.col(key))
+    bare = own.drop("embedding")
+    if p.timeline:
+        hits = timeline_hits(bare, text, p.keywords, tokens, keyword_n, key)
+        keyword = ranked(hits, keyword_n, F.col("year"), F.desc("score"), F.col(key))
+    else:
+        hits = keyword_hits(bare, text, tokens) if tokens else bare.filter("false").withColumn("score", F.lit(0.0))
+        keyword = ranked(hits, keyword_n, F.desc("score"), F.col(key))
+    keyword = keyword.select(key, "score", "rank")
     if query_vector is None:
         semantic = keyword.filter("false")
     else:
         semantic = score_floor(knn(own.drop(text), F.lit(query_vector), semantic_n, key=key))
-    return fuse(keyword, semantic, WEIGHTS[p.kind], min(max(limit or fused_n, 1), 20), key)
+    most = min(max(limit or fused_n, 1), 20)
+    fused = fuse(keyword, semantic, WEIGHTS[p.kind], most, key)
+    raw = ranked(web_hits(bare, text, web_query(question)), 10, F.desc("score"), F.col(key))
+    return otherwise(fused, raw.select(key, "score", F.lit("keyword").alias("retrieval"), "rank"))

@@ -67,12 +67,12 @@ def available_quarters(t: Tables):
 
 @query(sql(HOLDING, TWO, CHANGES, select="SELECT holder_id, security_id, kind, now_pct, prev_pct, delta FROM changes"))
 def change_set_latest(t: Tables):
-    return p.change_sets(weight(t))
+    return p.change_sets(weight(t, latest=2))
 
 
 @query(sql(HOLDING, TWO, CHANGES, TOP, select="SELECT holder_id, kind, nth::INT AS nth, security_id, now_pct, prev_pct, delta FROM ranked WHERE nth <= 5"))
 def change_set_topk(t: Tables):
-    return p.top_changes(p.change_sets(weight(t))).select("holder_id", "kind", "nth", "security_id", "now_pct", "prev_pct", "delta")
+    return p.top_changes(p.change_sets(weight(t, latest=2))).select("holder_id", "kind", "nth", "security_id", "now_pct", "prev_pct", "delta")
 
 
 @query(sql(HOLDING, TWO, CHANGES, TOP, select="""
@@ -81,7 +81,7 @@ SELECT holder_id, count(*) FILTER (kind = 'new') AS new_n, count(*) FILTER (kind
 FROM ranked r WHERE nth <= 5 GROUP BY holder_id"""))
 def change_set_summary(t: Tables):
     """Counts of changes after each kind is cut to five, and the five largest positions' share."""
-    w = weight(t)
+    w = weight(t, latest=2)
     cut = p.top_changes(p.change_sets(w))
     counts = cut.groupBy("holder_id").agg(*(F.count_if(F.col("kind") == k).alias(f"{k}_n") for k in ("new", "add", "trim", "exit")), F.count("*").alias("changed"))
     latest = latest_ordinals(w, ["holder_id"], "q", 1)
@@ -94,7 +94,7 @@ SELECT n.holder_id, n.security_id, n.shares, b.shares AS prev_shares, round(CASE
        CASE WHEN b.shares IS NULL THEN 'New' WHEN b.shares <= 0 OR abs((n.shares - b.shares) / b.shares * 100) < 1 THEN 'Unchanged' WHEN n.shares > b.shares THEN 'Added' ELSE 'Reduced' END AS activity
 FROM (SELECT * FROM two WHERE nth = 1) n LEFT JOIN (SELECT * FROM two WHERE nth = 2) b USING (holder_id, security_id)"""))
 def holding_activity(t: Tables):
-    two = latest_ordinals(holding(t), ["holder_id"], "q")
+    two = latest_ordinals(holding(t, latest=2), ["holder_id"], "q")
     prev = two.filter("nth = 2").select("holder_id", "security_id", F.col("shares").alias("prev_shares"))
     out = two.filter("nth = 1").join(prev, ["holder_id", "security_id"], "left")
     pct = p.share_delta_pct(F.col("prev_shares"), F.col("shares"))
@@ -103,7 +103,7 @@ def holding_activity(t: Tables):
 
 @query(sql(HOLDING, TWO, select="SELECT holder_id, security_id, pct, value_usd FROM two b WHERE nth = 2 AND NOT EXISTS (SELECT 1 FROM two n WHERE n.nth = 1 AND n.holder_id = b.holder_id AND n.security_id = b.security_id)"))
 def exits_anti(t: Tables):
-    two = latest_ordinals(weight(t), ["holder_id"], "q")
+    two = latest_ordinals(weight(t, latest=2), ["holder_id"], "q")
     return two.filter("nth = 2").join(two.filter("nth = 1"), ["holder_id", "security_id"], "left_anti").select("holder_id", "security_id", "pct", "value_usd")
 
 
@@ -124,7 +124,7 @@ sums AS (SELECT holder_id, company_key, round(sum(greatest(coalesce(pct, 0), 0))
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY holder_id ORDER BY pct DESC, company_key) AS k FROM sums) WHERE k <= 10)""", select="""
 SELECT holder_id, company_key, pct, tickers FROM top UNION ALL SELECT holder_id, 'Others', round(greatest(0, 100 - sum(pct)), 2), '' FROM top GROUP BY holder_id"""))
 def company_weight_rollup_others(t: Tables):
-    latest = latest_ordinals(weight(t), ["holder_id"], "q", 1).join(company(t), "security_id")
+    latest = latest_ordinals(weight(t, latest=1), ["holder_id"], "q", 1).join(company(t), "security_id")
     return p.company_rollup(latest, ["holder_id"])
 
 
@@ -134,7 +134,7 @@ r AS (SELECT w.*, row_number() OVER (PARTITION BY holder_id, q ORDER BY pct DESC
 SELECT holder_id, q, count(*) AS positions, round(sum(pct) FILTER (rn <= 5), 2) AS top5, round(sum(pct) FILTER (rn <= 10), 2) AS top10 FROM r GROUP BY holder_id, q"""))
 def concentration_trend(t: Tables):
     """Positions and the shares of the five and ten largest, of the last eight quarters."""
-    rows = latest_ordinals(weight(t), ["holder_id"], "q", 8).drop("nth")
+    rows = latest_ordinals(weight(t, latest=8), ["holder_id"], "q", 8).drop("nth")
     counts = rows.groupBy("holder_id", "q").agg(F.count("*").alias("positions"))
     top = top_k(rows, ["holder_id", "q"], [F.desc("pct"), F.col("security_id")], 10, rank="rn")
     sums = top.groupBy("holder_id", "q").agg(F.round(F.sum(F.when(F.col("rn") <= 5, F.col("pct"))), 2).alias("top5"), F.round(F.sum("pct"), 2).alias("top10"))
@@ -143,7 +143,7 @@ def concentration_trend(t: Tables):
 
 @query(sql(HOLDING, COMPANY, TWO, select="SELECT holder_id, coalesce(nullif(sector, ''), 'unknown') AS sector, round(sum(pct), 1) AS pct, count(*) AS positions FROM two JOIN company USING (security_id) WHERE nth = 1 GROUP BY ALL"))
 def sector_breakdown(t: Tables):
-    latest = latest_ordinals(weight(t), ["holder_id"], "q", 1).join(company(t), "security_id", "left")
+    latest = latest_ordinals(weight(t, latest=1), ["holder_id"], "q", 1).join(company(t), "security_id", "left")
     sector = F.coalesce(F.nullif("sector", F.lit("")), F.lit("unknown"))
     return latest.groupBy("holder_id", sector.alias("sector")).agg(F.round(F.sum("pct"), 1).alias("pct"), F.count("*").alias("positions"))
 
@@ -177,7 +177,7 @@ def sold_out_last_held(t: Tables):
 
 
 def _events(t: Tables):
-    return p.master_events(weight(t).join(company(t).select("security_id", "company_key"), "security_id"))
+    return p.master_events(weight(t, latest=2).join(company(t).select("security_id", "company_key"), "security_id"))
 
 
 def ev(select: str) -> str:
@@ -228,7 +228,7 @@ s4 AS (FROM s3 UNION ALL (SELECT * FROM heads WHERE place = 4 AND company_key NO
 s5 AS (FROM s4 UNION ALL (SELECT * FROM heads WHERE place = 5 AND company_key NOT IN (SELECT company_key FROM s4) ORDER BY score DESC, company_key LIMIT 1))
 SELECT row_number() OVER (ORDER BY place)::INT AS nth, bucket, company_key, score FROM s5 QUALIFY nth <= 3""").replace("\n\n, pool", ",\npool"))
 def signal_pick(t: Tables):
-    return p.signal_pick(_events(t).persist())
+    return p.signal_pick(_events(t))
 
 
 @query(sql(HOLDING, COMPANY, TWO, select="""
@@ -237,7 +237,7 @@ SELECT holder_id, security_id, company_key, sector, s_name AS holder_name, value
   FROM two LEFT JOIN company c USING (security_id) LEFT JOIN supplier s ON s.s_suppkey = holder_id WHERE two.nth = 1) WHERE k <= 10"""))
 def master_snapshot_join(t: Tables):
     """The ten largest positions of each holder's latest quarter with company, sector and holder's name; tables without a match give nulls."""
-    top = top_k(latest_ordinals(weight(t), ["holder_id"], "q", 1).drop("nth"), ["holder_id"], [F.desc("pct"), F.col("security_id")], 10, rank="nth")
+    top = top_k(latest_ordinals(weight(t, latest=1), ["holder_id"], "q", 1).drop("nth"), ["holder_id"], [F.desc("pct"), F.col("security_id")], 10, rank="nth")
     named = top.join(company(t), "security_id", "left").join(t.supplier.select(F.col("s_suppkey").alias("holder_id"), F.col("s_name").alias("holder_name")), "holder_id", "left")
     return named.select("holder_id", "security_id", "company_key", "sector", "holder_name", "value_usd", "pct", "nth")
 
@@ -251,6 +251,6 @@ c AS (SELECT coalesce(n.holder_id, b.holder_id) AS holder_id, coalesce(n.securit
   FROM n FULL JOIN b ON n.holder_id = b.holder_id AND n.security_id = b.security_id)""", select="""
 SELECT holder_id, kind, nth::INT AS nth, security_id, delta FROM (SELECT *, row_number() OVER (PARTITION BY holder_id, kind ORDER BY abs(delta) DESC, security_id) AS nth FROM c WHERE kind <> 'unchanged') WHERE nth <= 7"""))
 def change_set_script_variant(t: Tables):
-    """A given quarter (2000 Q0 ordinal 8000) against the one the holder had before, seven changes of each kind."""
-    rows = weight(t).filter(F.col("q") <= 8000)
-    return p.top_changes(p.change_sets(rows), 7).select("holder_id", "kind", "nth", "security_id", "delta")
+    """A given quarter (1999 Q4, ordinal 8000) against the one that the holder had before, seven changes of each kind. Of a
+    holder without that quarter all earlier positions are exits."""
+    return p.top_changes(p.change_sets(weight(t, latest=2, upto=8000), target=8000), 7).select("holder_id", "kind", "nth", "security_id", "delta")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.portfolio import with_weights
+from tessella.operators.relational import top_k
 
 HOLDING = """
 holding AS (
@@ -28,17 +29,31 @@ chunk AS (
   FROM (SELECT doc_id, source, lang, unnest(regexp_split_to_array(text, '\n+')) AS content, generate_subscripts(regexp_split_to_array(text, '\n+'), 1) AS ord FROM documents))"""
 
 
-def holding(t) -> DataFrame:
-    """holder_id, security_id, period_year, period_quarter, q (their ordinal), shares, value_usd."""
+def _ordinal(at) -> Column:
+    return F.year(at) * 4 + F.quarter(at)
+
+
+def holding(t, latest: int | None = None, upto: int | None = None) -> DataFrame:
+    """holder_id, security_id, period_year, period_quarter, q (their ordinal), shares, value_usd.
+
+    latest: only each holder's so many latest quarters (of those up to an ordinal). They are found from the distinct pairs of
+    holder and quarter first, so nothing else is rolled up.
+    """
     at = F.col("l_shipdate")
-    rows = t.lineitem.select((F.col("l_suppkey") % 3).alias("holder_id"), F.col("l_partkey").alias("security_id"), F.year(at).alias("period_year"), F.quarter(at).alias("period_quarter"), "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    lines = t.lineitem
+    if latest is not None:
+        pairs = lines.select((F.col("l_suppkey") % 3).alias("h"), _ordinal(at).alias("own_q")).distinct()
+        pairs = pairs if upto is None else pairs.filter(F.col("own_q") <= upto)
+        kept = top_k(pairs, ["h"], [F.desc("own_q")], latest)
+        lines = lines.join(kept, (F.col("l_suppkey") % 3 == F.col("h")) & (_ordinal(at) == F.col("own_q")))
+    rows = lines.select((F.col("l_suppkey") % 3).alias("holder_id"), F.col("l_partkey").alias("security_id"), F.year(at).alias("period_year"), F.quarter(at).alias("period_quarter"), "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
     out = rows.groupBy("holder_id", "security_id", "period_year", "period_quarter").agg(F.sum("l_quantity").cast("long").alias("shares"), F.round(F.sum("price")).cast("long").alias("value_usd"))
     return out.withColumn("q", F.col("period_year") * 4 + F.col("period_quarter"))
 
 
-def weight(t) -> DataFrame:
+def weight(t, latest: int | None = None, upto: int | None = None) -> DataFrame:
     """holding with pct of its holder's quarter."""
-    return with_weights(holding(t), ["holder_id", "q"])
+    return with_weights(holding(t, latest, upto), ["holder_id", "q"])
 
 
 def company(t) -> DataFrame:
