@@ -200,19 +200,24 @@ def primary_term(keywords: Column) -> Column:
     return F.trim(F.split_part(keywords, F.lit("|"), F.lit(1)))
 
 
+def strip(c: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def strip_header(c: Column, within: int = 30) -> Column:
     """A text after the last of its first lines that is blank or names where it comes from."""
     lines = F.split(c, "\n")
 
     def heads(line: Column, i: Column) -> Column:
-        t = F.trim(line)
+        t = strip(line)
         found = (t == "") | ((t == "---") & (i < 20))
         for start in HEADER_LINES:
             found = found | t.startswith(start)
         return F.when(found & (i < within), i).otherwise(0)
 
     last = F.array_max(F.transform(lines, heads))
-    return F.trim(F.array_join(F.slice(lines, last + 2, F.size(lines)), "\n"))
+    return strip(F.array_join(F.slice(lines, last + 2, F.size(lines)), "\n"))
 
 
 WIDE = r"[\x{4e00}-\x{9fff}\x{3000}-\x{303f}\x{ff00}-\x{ffef}]+"
@@ -226,12 +231,12 @@ def only_language(c: Column, chinese: bool) -> Column:
 
     def heading(t: Column) -> Column:
         if not chinese:
-            return F.trim(F.regexp_replace(t, WIDE, ""))
+            return strip(F.regexp_replace(t, WIDE, ""))
         zh = F.regexp_extract(t, r"([\x{4e00}-\x{9fff}][\x{4e00}-\x{9fff}\x{3000}-\x{303f}\x{ff00}-\x{ffef}\s·\-—]+)", 1)
-        return F.when(zh != "", F.concat_ws(" ", F.regexp_extract(t, "^#+", 0), F.trim(zh))).otherwise(t)
+        return F.when(zh != "", F.concat_ws(" ", F.regexp_extract(t, "^#+", 0), strip(zh))).otherwise(t)
 
     def step(s: Column, line: Column) -> Column:
-        t = F.trim(line)
+        t = strip(line)
         table = t.startswith("|") | t.rlike(r"^---[\s|:]+")
         target = F.when(s["inside"], s["target"]).otherwise(mine(t))
         kept = F.when(table, F.when(target, line)).when(t == "", line).when(t.startswith("#"), heading(t)).when(mine(t), line)
@@ -240,5 +245,5 @@ def only_language(c: Column, chinese: bool) -> Column:
 
     start = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("target"), none.alias("lines"))
     joined = F.array_join(F.aggregate(F.split(c, "\n"), start, step)["lines"], "\n")
-    out = F.trim(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
+    out = strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
     return once(out, lambda x: F.when(x == "", c).otherwise(x)) if chinese else out

@@ -161,3 +161,38 @@ def test_plans_have_no_cartesian_and_cut_groups_early(spark):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BatchEvalPython" not in plan
     plan = registry.QUERIES["knn_cosine"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_web_queries(spark):
+    q = retrieval.web_query
+    assert q('a "b c" or d -e -"f g" OR').clauses == (("a",), ("b c", "d")) and q('a "b c" or d -e -"f g"').without == ("e", "f g")
+    assert q("").clauses == q("- | or").clauses == ()
+    assert q("moat | float").clauses == (("moat",), ("float",))
+    texts = {"of": "One of, the few", "no": "off the", "x": "the of"}
+    rows = spark.createDataFrame(list(texts.items()), "k string, t string")
+    match = lambda s: {r.k for r in rows.filter(retrieval.web_match(F.col("t"), q(s))).collect()}
+    assert match('"of the"') == {"of"} and match("of the") == {"of", "x"} and match("the -of") == {"no"} and match("-of") == set()
+
+
+def test_one_language_of_a_text(spark):
+    text = "# Float 浮存金\n\nInsurance float.\n\n保险浮存金。\n\n| a | b |\n| 数 | 2 |\n\n| 表 | x |\n| 1 | 2 |\n\n\n\nEnd."
+    assert one(spark, tx.only_language(F.lit(text), False)) == "# Float\n\nInsurance float.\n\n| a | b |\n| 数 | 2 |\n\nEnd."
+    assert one(spark, tx.only_language(F.lit(text), True)) == "# 浮存金\n\n保险浮存金。\n\n| 表 | x |\n| 1 | 2 |"
+    assert one(spark, tx.only_language(F.lit("No such text."), True)) == "No such text."
+    assert one(spark, tx.strip_header(F.lit("原文信息\n- 标题: x\n---\nBody\nmore"))) == "Body\nmore"
+    assert one(spark, tx.strip_header(F.lit(None).cast("string"))) is None
+
+
+def test_target_quarter_that_a_holder_lacks(spark):
+    rows = [(1, 7, 9, 50.0), (1, 8, 9, 50.0), (1, 7, 10, 40.0), (2, 7, 8, 100.0), (2, 6, 7, 100.0), (2, 5, 11, 1.0)]
+    rows = spark.createDataFrame(rows, "holder_id int, security_id int, q int, pct double")
+    found = {(r.holder_id, r.security_id): r.kind for r in portfolio.change_sets(rows, target=10).collect()}
+    assert found == {(1, 7): "trim", (1, 8): "exit", (2, 7): "exit"}
+
+
+def test_search_asks_the_raw_question_where_nothing_hits(spark):
+    rows = spark.createDataFrame([(1, 1990, "what was it for", [1.0, 0.0]), (2, 1991, "nothing", [0.0, 1.0])], "id int, year int, content string, embedding array<double>")
+    found = retrieval.search(rows, "was for").collect()
+    assert [(r.id, r.retrieval, r["rank"]) for r in found] == [(1, "keyword", 1)]
+    assert retrieval.search(rows, "zzzq for").count() == 0
+    assert {r.id for r in retrieval.search(rows, "was for", [0.0, 1.0]).collect()} == {1, 2}
