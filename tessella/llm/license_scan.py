@@ -1,10 +1,12 @@
 """License scans by a positional index of rare words, with DataFrame functions only.
 
-Templates are short word sequences. A first pass counts in how many documents each of their words stands; the words'
-inverse document frequencies say which word of a template is rarest. The scan looks up these rare words in each file,
-turns every place into the start that the template would have (place less the word's position in it), and compares the
-template at these starts only: the share of its weight that stands in place, and its mandatory key phrase.
-A file is a row of its own throughout, so nothing but the word counts is shuffled.
+Templates are word sequences, from names of licences to whole notices. A first pass counts in how many documents each
+of their words stands; the words' inverse document frequencies give their weights. Of each template the rarest words are
+indexed, as many as weigh more than what a match may lack, so each match holds one of them. The scan looks up these words
+in each file and turns every place into the start that the template would have (place less the word's position in it);
+of a template that has to stand whole, starts by two words are intersected. The template is compared at these starts only:
+the share of its weight that stands in place, and its mandatory key phrase. A file is a row of its own throughout, so
+nothing but the word counts is shuffled.
 """
 
 from __future__ import annotations
@@ -23,8 +25,7 @@ WORD, ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-
 
 @dataclass(frozen=True)
 class Template:
-    """share: of the words' weight that has to stand in place (below 1, one of the two rarest words has to be there).
-    key_words: so many words at the start are mandatory."""
+    """share: of the words' weight that has to stand in place. key_words: so many words at the start are mandatory."""
 
     label: str
     phrase: str
@@ -37,6 +38,30 @@ class Template:
         return self.phrase.split()
 
 
+# Public licences' notices, as their words.
+MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the "
+    "software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+    "and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall "
+    "be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but "
+    "not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+)
+ISC = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and "
+    "this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all "
+    "implied warranties of merchantability and fitness"
+)
+APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+    "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+    "basis without warranties or conditions of any kind either express or implied"
+)
+BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source "
+    "code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright "
+    "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+
 TEMPLATES = (
     Template("gpl", "gnu general public license", base=True),
     Template("apache", "apache license", base=True),
@@ -53,6 +78,10 @@ TEMPLATES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", share=0.8, key_words=4),
     Template("bsd", "redistribution and use in source and binary forms with or without modification", share=0.8, key_words=3),
     Template("apache", "licensed under the apache license version 2 0", share=0.8, key_words=5),
+    Template("mit-text", MIT, share=0.8, key_words=4),
+    Template("isc-text", ISC, share=0.8, key_words=4),
+    Template("apache-notice", APACHE, share=0.8, key_words=5),
+    Template("bsd-text", BSD, share=0.8, key_words=3),
 )
 
 
@@ -72,16 +101,31 @@ def word_weights(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
     return {w: round(math.log((n.get("", 0) + 1) / (n.get(w, 0) + 1)) + 1, 6) for w in vocabulary}
 
 
+def anchors(template: Template, weight: dict[str, float]) -> list[int]:
+    """Positions of the rarest words, as many as weigh more than a match may lack: it has one of them."""
+    order = sorted(range(len(template.words)), key=lambda k: (-weight[template.words[k]], k))
+    total, held, out = sum(weight[w] for w in template.words), 0.0, []
+    for k in order:
+        out.append(k)
+        held += weight[template.words[k]]
+        if held > (1 - template.share) * total + 1e-6 * total:
+            return out
+    return out
+
+
 def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and found for each row of docs.
 
-    found: array<struct<template int, start int, share double, sure boolean>>, the starts compared, sure ones being
-    matches. score: the largest share (0 without any). A null text counts as empty: no words, empty labels, null places.
-    Rows are independent: repeated rows repeat, other columns are not looked at, an empty table gives no rows.
+    found: array<struct<template int, start int, share double>>, the matches. score: the largest share (0 without any). A null
+    text counts as empty: no words, empty labels, null places. Long texts are scanned whole. Rows are independent: repeated
+    rows repeat, other columns are not looked at, an empty table gives no rows.
     """
     weight = word_weights(docs, templates)
-    anchors = [sorted(range(len(t.words)), key=lambda k: (-weight[t.words[k]], k))[: 1 if t.share >= 1 else 2] for t in templates]
-    rare = sorted({t.words[k] for t, ks in zip(templates, anchors, strict=True) for k in ks})
+    rarest = [anchors(t, weight) for t in templates]
+    for k, t in enumerate(templates):
+        if t.share >= 1 and len(t.words) > 1:  # two words, whose starts are intersected
+            rarest[k] = sorted(range(len(t.words)), key=lambda j: (-weight[t.words[j]], j))[:2]
+    rare = sorted({t.words[j] for t, js in zip(templates, rarest, strict=True) for j in js})
     rows = texts(docs).select("doc_id", F.regexp_extract_all("text", F.lit(ANY_CASE), F.lit(0)).alias("words"))
     rows = rows.withColumn("n", F.size("words"))
     rows = rows.withColumn("places", F.array_compact(F.transform("words", lambda w, i: F.when(_in(w, rare), i))))
@@ -89,27 +133,28 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
 
     def compared(k: int) -> Column:
         t, total = templates[k], sum(weight[w] for w in templates[k].words)
+        own = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(weight[w]).alias("weight"), F.lit(j < t.key_words).alias("key")) for j, w in enumerate(t.words)))
 
-        def starts_by(a: int) -> Column:
-            return F.transform(F.filter("hits", lambda h: h["w"] == t.words[a]), lambda h: h["i"] - a)
+        def starts_by(j: int) -> Column:
+            return F.transform(F.filter("hits", lambda h: h["w"] == t.words[j]), lambda h: h["i"] - j)
 
-        starts = F.array_distinct(F.concat(*map(starts_by, anchors[k])))
+        starts = [starts_by(j) for j in rarest[k]]
+        starts = F.array_intersect(*starts) if t.share >= 1 and len(starts) == 2 else F.array_distinct(F.concat(*starts))
         starts = F.filter(starts, lambda s: (s >= 0) & (s + len(t.words) <= F.col("n")))
 
         def at(s: Column) -> Column:
-            same = [ascii_lower(F.get("words", s + j)) == w for j, w in enumerate(t.words)]
-            share = F.round(sum((F.when(e, weight[w]).otherwise(0.0) for e, w in zip(same, t.words, strict=True)), F.lit(0.0)) / total, 6)
-            sure = share >= t.share
-            for e in same[: t.key_words]:
-                sure = sure & e
-            return F.struct(F.lit(k).alias("template"), s.alias("start"), share.alias("share"), sure.alias("sure"))
-
-        return F.transform(starts, at)
-
-    rows = rows.withColumn("found", F.concat(*map(compared, range(len(templates)))))
-    sure = F.filter("found", lambda x: x["sure"])
-    base = F.filter(sure, lambda x: x["template"].isin([k for k, t in enumerate(templates) if t.base]))
-    rows = rows.withColumn("sure", sure).withColumn("base", base)
+            same = F.zip_with(F.slice("words", s + 1, F.lit(len(t.words))), own, lambda w, o: F.struct((ascii_lower(w) == o["w"]).alias("same"), o["weight"].alias("weight"), o["key"].alias("key")))
+            share = F.aggregate(F.filter(same, lambda x: x["same"]), F.lit(0.0), lambda acc, x: acc + x["weight"])
+            keyed = F.forall(same, lambda x: x["same"] | ~x["key"])
+            return F.struct(F.lit(k).alias("template"), s.alias("start"), F.when(keyed, F.round(share / total, 6)).otherwise(-1.0).alias("share"))
+
+        return F.filter(F.transform(starts, at), lambda x: x["share"] >= t.share)
+
+    # most files have no place at all
+    none = F.array().cast("array<struct<template: int, start: int, share: double>>")
+    rows = rows.withColumn("found", F.when(F.size("hits") > 0, F.concat(*map(compared, range(len(templates))))).otherwise(none))
+    base = F.filter(F.col("found"), lambda x: x["template"].isin([k for k, t in enumerate(templates) if t.base]))
+    rows = rows.withColumn("base", base)
     label = F.array(*(F.lit(t.label) for t in templates))
     named = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: F.get(label, x["template"])))), ",")
     start = F.transform("base", lambda x: x["start"].cast("long"))
@@ -120,7 +165,7 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
         F.array_min(start).alias("first_word"),
         F.array_max(start).alias("last_word"),
         named("base").alias("base_labels"),
-        named("sure").alias("labels"),
+        named("found").alias("labels"),
         F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0)).alias("score"),
         "found",
     )
@@ -140,8 +185,7 @@ d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(c
 w AS (SELECT rid, p, word FROM (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS p FROM d) WHERE word IN (SELECT word FROM tw)),
 df AS (SELECT word, count(DISTINCT rid) AS n FROM w GROUP BY word),
 tww AS (SELECT tw.*, round(ln(((SELECT count(*) FROM d) + 1)::DOUBLE / (coalesce(df.n, 0) + 1)) + 1, 6) AS weight FROM tw LEFT JOIN df ON df.word = tw.word),
-anchors AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY weight DESC, k) AS nth FROM tww) WHERE nth = 1 OR nth = 2 AND need < 1),
-starts AS (SELECT DISTINCT w.rid, a.tid, w.p - a.k AS s FROM w JOIN anchors a ON a.word = w.word JOIN d ON d.rid = w.rid WHERE w.p >= a.k AND w.p - a.k + a.m <= len(d.words)),
+starts AS (SELECT DISTINCT w.rid, a.tid, w.p - a.k AS s FROM w JOIN tww a ON a.word = w.word JOIN d ON d.rid = w.rid WHERE w.p >= a.k AND w.p - a.k + a.m <= len(d.words)),
 shares AS (
   SELECT s.rid, s.tid, s.s, any_value(x.label) AS label, any_value(x.base) AS base,
          round(sum(CASE WHEN w.rid IS NOT NULL THEN x.weight ELSE 0 END) / sum(x.weight), 6) AS share,
@@ -151,7 +195,7 @@ sure AS (SELECT *, keyed AND share >= need AS sure FROM shares),
 found AS (
   SELECT rid, count(*) FILTER (sure AND base) AS n_base, min(s) FILTER (sure AND base) AS first_word, max(s) FILTER (sure AND base) AS last_word,
          coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (sure AND base), '') AS base_labels,
-         coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (sure), '') AS labels, max(share) AS score
+         coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (sure), '') AS labels, coalesce(max(share) FILTER (sure), 0.0) AS score
   FROM sure GROUP BY rid)
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(f.n_base, 0) AS n_base, f.first_word, f.last_word,
        coalesce(f.base_labels, '') AS base_labels, coalesce(f.labels, '') AS labels, coalesce(f.score, 0.0) AS score
