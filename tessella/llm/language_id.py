@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,8 @@ from tessella.llm.token_counts import _chunks
 ORDERS, BITS = 3, 21
 #: The most frequent n-grams of a text or language that are compared.
 PROFILE = 300
-_OTHER = re.compile(r"[\W\d_]+")
+#: Runs of whatever is no letter: \w has numbers besides, of three categories of which \d is one.
+_OTHER = re.compile(r"[\W\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]+")
 
 
 def grams(text: str) -> np.ndarray:
