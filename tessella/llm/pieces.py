@@ -22,6 +22,8 @@ BASE, SPREAD, SIEVE_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB866
 NEVER = np.int32(2**31 - 1)
 #: Substrings that are looked up at once.
 ELEMENTS = 1 << 21
+#: Longer words are cut where no piece reaches across.
+LONG = 64
 
 
 def _sieve(keys: np.ndarray) -> np.ndarray:
@@ -63,6 +65,8 @@ class Pieces:
         for own in by_length.values():
             ids.append(np.array(own))
             keys.append(prefix_hashes(np.array([self.symbols[i] for i in own]))[:, -1])
+        inner = [np.array([self.symbols[i] for i in own], np.uint64) for n, own in by_length.items() if n > 1]
+        self.inner = np.unique(np.concatenate([np.zeros(0, np.uint64), *((x[:, :-1] << np.uint64(32) | x[:, 1:]).ravel() for x in inner)]))
         ids, keys = np.concatenate(ids), np.concatenate(keys)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order].astype(np.int32)
@@ -157,10 +161,35 @@ class Pieces:
                 part = own[start : start + block]
                 yield part, to_codes([words[i] for i in part]).reshape(len(part), length)
 
+    def parts_of(self, words: list, to_codes) -> tuple[list, np.ndarray]:
+        """Words cut where no piece holds the two symbols beside the cut, if they are long, and of which word each part is.
+        Merging, which never crosses such a place, gives a word's parts what it gives the word; scores, whose sums are
+        rounded along the word, are left whole."""
+        parts, of = [], []
+        for i, w in enumerate(words):
+            if len(w) <= LONG or self.scores is not None:
+                parts.append(w)
+                of.append(i)
+                continue
+            codes = to_codes([w]).astype(np.uint64)
+            pair = codes[:-1] << np.uint64(32) | codes[1:]
+            at = np.minimum(np.searchsorted(self.inner, pair), len(self.inner) - 1)
+            cuts = [0, *(np.flatnonzero(self.inner[at] != pair) + 1).tolist(), len(w)]
+            parts += [w[x:y] for x, y in zip(cuts, cuts[1:])]
+            of += [i] * (len(cuts) - 1)
+        return parts, np.array(of, np.int64)
+
+    def _joined(self, words: list, of: np.ndarray, out: list, add) -> list:
+        if len(of) == len(words):
+            return out
+        start = np.searchsorted(of, np.arange(len(words) + 1))
+        return [out[x] if y == x + 1 else add(out[x:y]) for x, y in zip(start, start[1:])]
+
     def ids_of(self, words: list, to_codes) -> list[np.ndarray]:
         """The ids of each word's pieces, in the order of words."""
-        out: list = [None] * len(words)
-        for part, codes in self.groups(words, to_codes):
+        parts, of = self.parts_of(words, to_codes)
+        out: list = [None] * len(parts)
+        for part, codes in self.groups(parts, to_codes):
             last, back, count = self.advance(codes)
             rows, at, steps = np.arange(len(part)), np.full(len(part), codes.shape[1]), []
             while (at > 0).any():
@@ -170,23 +199,21 @@ class Pieces:
             flat = np.split(ids[ids >= 0], np.cumsum(count[-1])[:-1])
             for i, x in zip(part, flat, strict=True):
                 out[i] = x
-        return out
-
-    def counts_of(self, words: list, to_codes) -> list[int]:
-        """The number of each word's pieces."""
-        out: list = [0] * len(words)
-        for part, codes in self.groups(words, to_codes):
-            for i, x in zip(part, self.advance(codes)[2][-1].tolist(), strict=True):
-                out[i] = x
-        return out
+        return self._joined(words, of, out, np.concatenate)
 
     def prefixes_of(self, words: list, to_codes) -> list[np.ndarray]:
         """The number of pieces of every prefix of each word, the empty one first."""
-        out: list = [None] * len(words)
-        for part, codes in self.groups(words, to_codes):
-            for i, x in zip(part, self.advance(codes)[2].T, strict=True):
+        parts, of = self.parts_of(words, to_codes)
+        out: list = [None] * len(parts)
+        for part, codes in self.groups(parts, to_codes):
+            for i, x in zip(part, np.ascontiguousarray(self.advance(codes)[2].T), strict=True):
                 out[i] = x
-        return out
+
+        def add(own: list[np.ndarray]) -> np.ndarray:
+            before = np.cumsum([0, *(x[-1] for x in own)])
+            return np.concatenate([own[0][:1], *(x[1:] + n for x, n in zip(own, before))])
+
+        return self._joined(words, of, out, add)
 
 
 def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> tuple[list[int], tuple[int, int, int] | None]:

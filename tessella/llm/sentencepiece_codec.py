@@ -23,7 +23,7 @@ SPACE = "▁"
 NORMAL, BYTE, UNIGRAM, BPE = 1, 6, 1, 2
 
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED, LONGEST = 400_000, 256
 _remembered: dict[str, dict[str, bytes]] = {}
 
 
@@ -96,13 +96,14 @@ class Codec:
         return [p if p[0] in self.known else [self.byte_ids[b] for b in p.encode()] for p in found]
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of words as 16-bit numbers, new ones encoded all at once."""
+        """The ids of words as 16-bit numbers, new ones encoded all at once. Words are remembered between chunks but for long
+        ones, so that what is kept is bounded in bytes."""
         known = _remembered.setdefault(self.name, {})
         new = [w for w in words if w not in known]
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list(words)
-        split = []
+        split, long = [], {}
         for w in new:
             body = w.lstrip(SPACE)
             run = len(w) - len(body)
@@ -119,8 +120,8 @@ class Codec:
             elif run:
                 free = flat[:1] == [self.space]  # nothing took the last space: it merges with the others
                 flat = self._run(run + free) + flat[free:]
-            known[w] = np.array(flat, np.uint16).tobytes()
-        return known
+            (known if len(w) <= LONGEST else long)[w] = np.array(flat, np.uint16).tobytes()
+        return known | long if long else known
 
     def encode(self, items: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in items]
@@ -134,7 +135,8 @@ class Codec:
 
 
 def encode(text: Column, path: str | None = None) -> Column:
-    """array<int>: the ids that the model's library gives, without added ones. Null counts as empty; empty: no ids."""
+    """array<int>: the ids that the model's library gives, without added ones. Null counts as empty; empty: no ids. Long texts
+    are encoded whole, equal texts have equal ids, and no other column is looked at."""
     codec = Codec.load(path)
 
     @F.pandas_udf("array<int>")
@@ -146,7 +148,8 @@ def encode(text: Column, path: str | None = None) -> Column:
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with n_tokens and token_ids in place of text. Ids are handed on in parts of a batch, so that memory stays bounded
+    """docs with n_tokens and token_ids in place of text; columns of these names are replaced. A null text counts as empty: no
+    ids. Repeated rows repeat; an empty table gives no rows. Ids are handed on in parts of a batch, so that memory stays bounded
     however many tokens a batch has."""
     codec = Codec.load(path)
 
@@ -159,7 +162,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield own.assign(n_tokens=[len(x) for x in ids], token_ids=ids)
                 at += len(part)
 
-    others = [f for f in docs.schema.fields if f.name != "text"]
+    others = [f for f in docs.schema.fields if f.name not in ("text", "n_tokens", "token_ids")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens int", "token_ids array<int>"])
     return docs.select(*(f"`{f.name}`" for f in others), "text").mapInPandas(run, schema)
 

@@ -21,7 +21,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 
 #: Words whose counts a Python worker remembers.
 REMEMBERED = 400_000
-_remembered: dict[str, dict[str, int]] = {}
+_remembered: dict[str, tuple[dict[str, int], dict[str, bytes]]] = {}
 
 
 def default_path() -> str:
@@ -73,16 +73,24 @@ class Counter:
             out += find(part)
         return out
 
-    def learn(self, words: set[str]) -> dict[str, int]:
-        """The counts of words, new ones all at once."""
-        known = _remembered.setdefault(self.name, {None: 1})
-        if new := [w for w in words if w not in known]:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                known[None] = 1
+    def learn(self, words: set[str]) -> tuple[dict[str, int], dict[str, bytes | np.ndarray]]:
+        """The counts of words and of all their prefixes, new ones all at once. Words are remembered between chunks but for
+        long ones, so that what is kept is bounded in bytes."""
+        counts, prefixes = _remembered.setdefault(self.name, ({}, {}))
+        if new := [w for w in words if w is not None and w not in counts]:
+            if len(counts) + len(new) > REMEMBERED:
+                counts.clear()
+                prefixes.clear()
                 new = list(words - {None})
-            known.update(zip(new, self.pieces.counts_of([w.encode() for w in new], self.codes), strict=True))
-        return known
+            found = dict(zip(new, self.pieces.prefixes_of([w.encode() for w in new], self.codes), strict=True))
+            short = {w: p for w, p in found.items() if len(p) <= 256}
+            prefixes.update((w, p.astype(np.uint8).tobytes()) for w, p in short.items())
+            counts.update((w, int(p[-1])) for w, p in short.items())
+            if len(short) < len(found):
+                long = {w: p for w, p in found.items() if w not in short}
+                return counts | {w: int(p[-1]) for w, p in long.items()} | {None: 1}, prefixes | long
+        counts[None] = 1
+        return counts, prefixes
 
     def __getstate__(self):
         return self.__dict__ | {"_compiled": None}
@@ -104,36 +112,37 @@ def _chunks(items: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
 def _counted(counter: Counter, items: list[str], limit: int) -> list[tuple[int, int]]:
     """(n_tokens, cut) of each text."""
     split = [counter.words(t) for t in items]
-    known = counter.learn(set().union(*split))
-    out, crossing = [], []
-    for k, words in enumerate(split):
-        n = sum(map(known.__getitem__, words))
-        out.append((n, -1))
-        if n > limit:
-            upto = list(accumulate(map(known.__getitem__, words)))
-            at = int(np.searchsorted(upto, limit, "right"))
-            crossing.append((k, at, limit - (upto[at - 1] if at else 0)))
-    for k, at, left in crossing:
-        before = sum(len(w.encode()) if w is not None else counter.special_bytes for w in split[k][:at])
-        out[k] = (out[k][0], before + (_piece_end(counter, split[k][at].encode(), left) if left else 0))
+    counts, prefixes = counter.learn(set().union(*split))
+    out = []
+    for words in split:
+        upto = list(accumulate(map(counts.__getitem__, words)))
+        n = upto[-1] if upto else 0
+        if n <= limit:
+            out.append((n, -1))
+            continue
+        at = int(np.searchsorted(upto, limit, "right"))
+        before = sum(len(w.encode()) if w is not None else counter.special_bytes for w in words[:at])
+        left = limit - (upto[at - 1] if at else 0)
+        out.append((n, before + (_longest(words[at].encode(), _counts(prefixes[words[at]]), left) if words[at] is not None else 0)))
     return out
 
 
-def _piece_end(counter: Counter, word: bytes, pieces: int) -> int:
-    """Bytes of a word's first so many pieces."""
-    last, back, count = counter.pieces.advance(counter.codes([word]).reshape(1, -1))
-    at = len(word)
-    while count[at, 0] > pieces:
-        at -= int(back[at, 0])
-    return at
+def _counts(kept: bytes | np.ndarray) -> np.ndarray:
+    return np.frombuffer(kept, np.uint8).astype(np.int64) if isinstance(kept, bytes) else kept.astype(np.int64)
+
+
+def _longest(word: bytes, counts: np.ndarray, left: int) -> int:
+    """Bytes of a word's longest prefix of whole characters that takes so many tokens at most, by the counts of its prefixes."""
+    return max(j for j in np.flatnonzero(counts <= left).tolist() if j == len(word) or word[j] & 0xC0 != 0x80)
 
 
 def token_counts(text: Column, path: str | None = None, limit: int = 1024) -> Column:
     """struct<n_tokens long, cut long> of a text column, null counting as empty.
 
     n_tokens: tokens of the whole text, without added ones; special tokens' strings inside the text are one token
-    each. cut: bytes of the longest run of whole tokens from the start that holds at most limit tokens; -1 if all fit.
-    The count of every prefix of a word is kept while it is encoded, so the cut needs no second encoding of the text.
+    each. cut: bytes of the longest prefix of whole characters that takes at most limit tokens; -1 if all fit. The count of
+    every prefix of a word is kept while it is encoded, so the cut is looked up and nothing is encoded again. Empty texts
+    have 0 tokens, equal texts equal values, and no other column is looked at.
     """
     counter = Counter(path or default_path())
 
@@ -147,7 +156,7 @@ def token_counts(text: Column, path: str | None = None, limit: int = 1024) -> Co
 
 
 def prefix_counts(text: Column, path: str | None = None) -> Column:
-    """array<int>: for each prefix of the text in bytes, the tokens of the words before its last word and of the part
+    """array<int> (null counts as empty): for each prefix of the text in bytes, the tokens of the words before its last word and of the part
     of that word. Element n + 1 answers how many tokens the first n bytes take, without another encoding."""
     counter = Counter(path or default_path())
 
@@ -158,10 +167,10 @@ def prefix_counts(text: Column, path: str | None = None) -> Column:
             for t in batch.fillna(""):
                 words = counter.words(t)
                 own = sorted({w for w in words if w})
-                table = dict(zip(own, counter.pieces.prefixes_of([w.encode() for w in own], counter.codes), strict=True))
+                table = counter.learn(set(own))[1]
                 parts, n = [np.zeros(1, np.int64)], 0
                 for w in words:
-                    c = table[w][1:] if w is not None else np.ones(counter.special_bytes, np.int64)
+                    c = _counts(table[w])[1:] if w is not None else np.ones(counter.special_bytes, np.int64)
                     parts.append(c + n)
                     n += int(c[-1])
                 out.append(np.concatenate(parts))
