@@ -25,65 +25,69 @@ BANDS = ((5, 1), (20, 2))
 HOT = 64
 
 
-def _segment(n: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of a segment of a line of n characters; the last n % parts segments are one longer."""
-    base, extra = F.floor(n / parts).cast("int"), n % parts
-    longer = F.greatest(F.lit(0), F.lit(number) - (F.lit(parts) - extra))
-    return base * number + longer + 1, base + (F.lit(number) >= F.lit(parts) - extra).cast("int")
+KEY = "struct<key: bigint, own: boolean, shorter: int, at: int, size: int>"
 
 
-def _key(own: bool, shorter: int, line: Column, n: Column, number: int, at: Column, size: Column, more: tuple[Column, ...]) -> Column:
-    fits = (at >= 1) & (at + size - 1 <= n)
-    key = F.when(fits, F.xxhash64(*more, n - shorter, F.lit(number), F.substring(line, at, size)))
-    return F.struct(key.alias("key"), F.lit(own).alias("own"), F.lit(shorter).alias("shorter"), at.alias("at"), size.alias("size"))
-
-
-def _own(line: Column, n: Column, edits: int, *more: Column) -> list[Column]:
-    """Keys of a line's segments."""
-    return [_key(True, 0, line, n, i, *_segment(n, i, edits + 1), more) for i in range(edits + 1)]
-
-
-def _substrings(line: Column, n: Column, edits: int, shorter: int, *more: Column, in_place: bool = False) -> list[Column]:
-    """Keys of a line's substrings that may be segments of lines `shorter` characters shorter. in_place: also those that
-    are its own segments."""
+def _places(bands: tuple[tuple[int, int], ...]) -> list[tuple[int, bool, int, int, int]]:
+    """(edits, own, shorter, number, shift): where a line's segments, and its substrings that may be segments of lines
+    `shorter` characters shorter, stand."""
     out = []
-    for i in range(edits + 1):
-        start, size = _segment(n - shorter, i, edits + 1)
-        # a match that leaves at most i edits before the segment and edits - i after it
-        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-            if shorter or shift or in_place:
-                out.append(_key(False, shorter, line, n, i, start + shift, size, more))
+    for edits in sorted({e for _, e in bands}):
+        for i in range(edits + 1):
+            out.append((edits, True, 0, i, 0))
+            for shorter in range(edits + 1):
+                # a match that leaves at most i edits before the segment and edits - i after it
+                for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
+                    if shorter or shift:
+                        out.append((edits, False, shorter, i, shift))
     return out
 
 
-def _chosen(length: Column, bands: tuple[tuple[int, int], ...], keys) -> Column:
-    """keys(edits) of the band that the length is in, no key below all bands."""
-    out = F.array().cast("array<struct<key: bigint, own: boolean, shorter: int, at: int, size: int>>")
+def _edits(length: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    out = F.lit(0)
     for least, edits in sorted(bands):
-        out = F.when(length >= least, F.array(*keys(edits))).otherwise(out)
+        out = F.when(length >= least, edits).otherwise(out)
     return out
 
 
+def _keys(line: Column, n: Column, banded: Column, wanted, bands: tuple[tuple[int, int], ...], *more: Column) -> Column:
+    """array<struct<key, own, shorter, at, size>> of a line of n characters, for the wanted places. banded: the length by which
+    a band is chosen. One small expression for all places: a large one would not be compiled at run time."""
+    names = ("edits", "own", "shorter", "number", "shift")
+    places = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, p, strict=True))) for p in _places(bands)))
+    own = F.filter(places, lambda p: wanted(p) & (p["edits"] == _edits(banded - p["shorter"], bands)))
+
+    def cut(p: Column) -> Column:
+        least, parts = n - p["shorter"], p["edits"] + 1
+        base, first_long = F.floor(least / parts).cast("int"), parts - least % parts
+        # the last least % parts segments are one longer
+        at = base * p["number"] + F.greatest(F.lit(0), p["number"] - first_long) + 1 + p["shift"]
+        return F.struct(p["own"].alias("own"), p["shorter"].alias("shorter"), p["number"].alias("number"), at.alias("at"), (base + (p["number"] >= first_long).cast("int")).alias("size"))
+
+    def key(p: Column) -> Column:
+        fits = (p["at"] >= 1) & (p["at"] + p["size"] - 1 <= n)
+        hashed = F.xxhash64(*more, n - p["shorter"], p["number"], F.substring(line, p["at"], p["size"]))
+        return F.struct(F.when(fits, hashed).alias("key"), p["own"].alias("own"), p["shorter"].alias("shorter"), p["at"].alias("at"), p["size"].alias("size"))
+
+    return F.transform(F.transform(own, cut), key).cast(f"array<{KEY}>")
+
+
 def keys_of(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
     """lines (line, n, ...) with key, own, shorter, at and size for each key of each line."""
-    line, n = F.col("line"), F.col("n")
-    most = max(edits for _, edits in bands)
-    keys = [_chosen(n, bands, lambda e: _own(line, n, e))]
-    keys += [_chosen(n - s, bands, lambda e, s=s: _substrings(line, n, e, s) if s <= e else []) for s in range(most + 1)]
-    return lines.withColumn("k", F.explode(F.concat(*keys))).select(*lines.columns, "k.*").filter("key is not null")
+    keys = _keys(F.col("line"), F.col("n"), F.col("n"), lambda p: F.lit(True), bands)
+    return lines.withColumn("k", F.explode(keys)).select(*lines.columns, "k.*").filter("key is not null")
 
 
 def _inner_keys(rows: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
-    """The same of what is left of lines without the segment by which they met others."""
+    """(lid, key, own) of what is left of lines without the segment by which they met others. A line whose segment it was gives
+    segments of the rest; every line gives substrings of its rest for the length at which they met."""
     size = F.col("size")
     rest = F.concat(F.substring(F.col("line"), F.lit(1), F.col("at") - 1), F.substring(F.col("line"), F.col("at") + size, F.col("n")))
-    rows = rows.select("lid", F.col("key").alias("outer"), F.col("own").alias("index"), F.col("shorter").alias("by"), (F.col("n") - F.col("shorter")).alias("least"), rest.alias("line"), (F.col("n") - size).alias("n"))
-    line, n, outer = F.col("line"), F.col("n"), F.col("outer")
-    most = max(edits for _, edits in bands)
-    keys = [F.when(F.col("index"), _chosen(F.col("least"), bands, lambda e: _own(line, n, e, outer)))]
-    keys += [F.when(F.col("by") == s, _chosen(F.col("least"), bands, lambda e, s=s: _substrings(line, n, e, s, outer, in_place=True) if s <= e else [])) for s in range(most + 1)]
-    none = F.array().cast("array<struct<key: bigint, own: boolean, shorter: int, at: int, size: int>>")
-    return rows.withColumn("k", F.explode(F.concat(*(F.coalesce(k, none) for k in keys)))).select("lid", "k.key", "k.own").filter("key is not null").distinct()
+    rows = rows.select("lid", F.col("key").alias("outer"), F.col("own").alias("index"), F.col("shorter").alias("by"), "n", rest.alias("line"), (F.col("n") - size).alias("left"))
+    # a segment in place is a substring too: lines of equal length meet by it
+    keys = _keys(F.col("line"), F.col("left"), F.col("n"), lambda p: F.when(p["own"], F.lit(True)).otherwise(p["shorter"] == F.col("by")) & (~p["own"] | (F.col("by") == 0)), bands, F.col("outer"))
+    out = rows.withColumn("k", F.explode(keys)).select("lid", "k.key", (F.col("k.own") & F.col("index")).alias("own"))
+    return out.filter("key is not null").distinct()
 
 
 def _met(keys: DataFrame) -> DataFrame:
@@ -149,7 +153,7 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
 
 
 #: Frequent letters of Latin scripts.
-LETTERS = "eantiors"
+LETTERS = "eantiorslhducmpg"
 
 
 def _letters(line: Column) -> Column:
@@ -157,9 +161,10 @@ def _letters(line: Column) -> Column:
     return F.array(*(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c))) for c in LETTERS))
 
 
-def _alike(a: Column, b: Column, edits: int) -> Column:
-    """Whether letters' counts allow the distance: an edit changes two of them by one."""
-    return sum((F.abs(F.get(a, k) - F.get(b, k)) for k in range(len(LETTERS))), F.lit(0)) <= 2 * edits
+def _alike(a: Column, b: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """Whether letters' counts of lines (n, letters) allow the distance: an edit changes two of them by one."""
+    off = F.aggregate(F.zip_with(a["letters"], b["letters"], lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    return off <= 2 * _edits(F.least(a["n"], b["n"]), bands)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -179,15 +184,13 @@ def different_lines(docs: DataFrame) -> DataFrame:
     return written(found.select(F.monotonically_increasing_id().alias("lid"), "*", F.length("line").alias("n")), "lines-different")
 
 
-def _near(pairs: DataFrame, lines: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
+def _near(pairs: DataFrame, text: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
     """Of pairs (early, late) those within the distance of the shorter line's band."""
-    ends = written(pairs.select(F.explode(F.array("early", "late")).alias("lid")).distinct(), "lines-ends")
-    text = written(maybe_among(lines.select("lid", "line", "n"), ends, "lid").join(ends, "lid").withColumn("letters", _letters(F.col("line"))), "lines-texts")
-    both = pairs.join(text.toDF("early", "x", "nx", "lx"), "early").join(text.toDF("late", "y", "ny", "ly"), "late")
+    x, y = (text.select(F.col("lid").alias(side), F.col("line").alias(name), F.col("size.n").alias(f"n{name}")) for side, name in (("early", "x"), ("late", "y")))
+    both = pairs.join(x, "early").join(y, "late")
     least, near = F.least("nx", "ny"), F.lit(False)
     for chars, edits in sorted(bands):
-        within = F.when(_alike(F.col("lx"), F.col("ly"), edits), banded_distance(F.col("x"), F.col("y"), edits) <= edits)
-        near = F.when(least >= chars, F.coalesce(within, F.lit(False))).otherwise(near)
+        near = F.when(least >= chars, banded_distance(F.col("x"), F.col("y"), edits) <= edits).otherwise(near)
     return both.filter(near).select("early", "late")
 
 
@@ -202,28 +205,27 @@ def near_lines(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, hot
     every = keys_of(lines.select("lid", "line", "n"), bands)
     met = written(_met(every), "lines-keys")
     rows = written(maybe_among(every, met, "key").join(met, "key").select("lid", "key", "own", "shorter", "at", "size", "m"), "lines-met")
-    often = rows.filter(F.col("m") > hot)
-    ends = written(often.select("lid").distinct(), "lines-often")
-    text = maybe_among(lines.select("lid", "line", "n"), ends, "lid")
-    inner = written(_inner_keys(often.join(text, "lid"), bands), "lines-inner")
-    inner_met = written(_met(inner), "lines-keys")
-    inner = inner.join(inner_met, "key").select("lid", "key", "own")
+    ends = written(rows.select("lid").distinct(), "lines-ends")
+    text = maybe_among(lines.select("lid", "line", "n", "first"), ends, "lid").join(ends, "lid")
+    text = written(text.select("lid", "line", F.struct("first", "lid").alias("place"), F.struct("n", _letters(F.col("line")).alias("letters")).alias("size")), "lines-texts")
+    often = rows.filter(F.col("m") > hot).drop("m").join(text.select("lid", "line", F.col("size.n").alias("n")), "lid")
+    inner = written(_inner_keys(often, bands), "lines-inner")
+    inner = inner.join(written(_met(inner), "lines-keys"), "key").select("lid", "key", "own")
     rows = rows.filter(F.col("m") <= hot).select("lid", "key", "own").unionByName(inner)
-    first = lines.select("lid", F.struct("first", "lid").alias("place"))
-    rows = written(rows.join(first, "lid"), "lines-rows")
+    rows = written(rows.join(text.select("lid", "place", F.col("size").alias("has")), "lid"), "lines-rows")
 
     # each line with the first one of each of its keys
-    firsts = rows.groupBy("key").agg(F.min(F.struct("place", "lid", "own")).alias("f")).select("key", F.col("f.lid").alias("early"), F.col("f.own").alias("first_own"))
-    firsts = firsts.withColumnRenamed("key", "of")
-    led = rows.join(firsts, F.col("key") == F.col("of")).filter("lid != early and (own or first_own)")
-    pairs = written(led.select("early", F.col("lid").alias("late")).distinct(), "lines-pairs")
-    near = written(_near(pairs, lines, bands).select(F.col("late").alias("lid")).distinct(), "lines-near")
+    firsts = rows.groupBy(F.col("key").alias("of")).agg(F.min_by(F.struct("lid", "own", "has"), "place").alias("f"))
+    led = rows.join(firsts, (F.col("key") == F.col("of")) & (F.col("lid") != F.col("f.lid")) & (F.col("own") | F.col("f.own")) & _alike(F.col("has"), F.col("f.has"), bands))
+    pairs = written(led.select(F.col("f.lid").alias("early"), F.col("lid").alias("late")).distinct(), "lines-pairs")
+    near = written(_near(pairs, text, bands).select(F.col("late").alias("lid")).distinct(), "lines-near")
     # the others with all that stand earlier
-    late = rows.join(near, "lid", "left_anti").select(F.col("lid").alias("late"), F.col("key").alias("of"), F.col("own").alias("late_own"), F.col("place").alias("at"))
-    early = rows.select(F.col("lid").alias("early"), "key", "own", "place")
-    rest = late.join(early, (F.col("key") == F.col("of")) & (F.col("place") < F.col("at")) & (F.col("own") | F.col("late_own"))).select("early", "late").distinct()
+    late = rows.join(near, "lid", "left_anti").select(F.col("lid").alias("late"), F.col("key").alias("of"), F.col("own").alias("late_own"), F.col("place").alias("late_place"), F.col("has").alias("late_has"))
+    early = rows.select(F.col("lid").alias("early"), "key", "own", "place", "has")
+    met = (F.col("key") == F.col("of")) & (F.col("place") < F.col("late_place")) & (F.col("own") | F.col("late_own")) & _alike(F.col("has"), F.col("late_has"), bands)
+    rest = late.join(early, met).select("early", "late").distinct()
     rest = written(rest.join(pairs, ["early", "late"], "left_anti"), "lines-pairs")
-    return near.unionByName(_near(rest, lines, bands).select(F.col("late").alias("lid")).distinct())
+    return near.unionByName(_near(rest, text, bands).select(F.col("late").alias("lid")).distinct())
 
 
 def flagged_lines(docs: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
