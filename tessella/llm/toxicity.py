@@ -30,8 +30,8 @@ from tessella.llm.token_counts import _chunks
 
 #: Characters that a task takes at once.
 CHARS = 500_000
-#: So many of the most frequent words are in memory: 2 MB.
-HEAD = 1 << 17
+#: So many of the most frequent words are in memory: 8 MB.
+HEAD = 1 << 19
 #: Stands for the word before a text's first one. TURN: bits by which a left word's hash is turned in a pair's key.
 START, TURN = np.uint64(0x9E3779B97F4A7C15), 17
 
@@ -44,11 +44,11 @@ class Smoothing:
 
     word_discount: float = 0.75
     pair_discount: float = 1.0
-    strength: float = 1.0
+    strength: float = 0.5
     floor: float = 20.0
     share: float = 0.005
     pad: int = 30
-    least: float = 0.25
+    least: float = 0.5
 
 
 @dataclass(frozen=True)
