@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tessella.plans import base, events, fundamentals, knowledge, portfolio, questions, relational, retrieval  # noqa: F401  they register themselves
+from tessella.plans import base, companies, events, fundamentals, knowledge, portfolio, questions, relational, retrieval  # noqa: F401  they register themselves
 
 QUERIES, SQL = base.QUERIES, base.SQL
