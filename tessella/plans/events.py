@@ -134,7 +134,8 @@ def conversation_pieces(t: Tables):
     return pieces.groupBy("conv_id").agg(F.sum(F.size("p")).alias("pieces"), F.sum("n").alias("chars"))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, string_split(string_agg(text, '' ORDER BY turn), chr(10)) AS l FROM conversations GROUP BY conv_id)
+SELECT conv_id, (i - 1)::INT AS seq, CASE WHEN i = 1 THEN 'sources' ELSE 'delta' END AS kind, l[i] AS body FROM (SELECT conv_id, l, unnest(range(1, len(l))) AS i FROM c)""")
 def stream_token_assembly(t: Tables):
     """The lines of conversations, put together by a stream from turns as pieces."""
     pieces = _stream(t, "conversations", "conv_id long, turn long, role string, text string").select("conv_id", "turn", "text")

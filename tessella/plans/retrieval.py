@@ -206,7 +206,10 @@ def eval_compare(t: Tables):
     return s.select("type", F.round(d, 4).alias("delta"), F.round(pct, 2).alias("pct"), ((F.col("type") != "fact") | (F.col("cand") >= F.col("base"))).alias("pass"))
 
 
-@query()
+@query(f"""WITH {DOCS}, w AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM docs)),
+h AS (SELECT id, p, max(CASE WHEN w = 'that' THEN p END) OVER o AS a, max(CASE WHEN w = 'with' THEN p END) OVER o AS b, max(CASE WHEN w = 'this' THEN p END) OVER o AS c FROM w WHERE w IN ('that', 'with', 'this') WINDOW o AS (PARTITION BY id ORDER BY p)),
+x AS (SELECT id, least(a, b, c) AS s, min(p) AS p FROM h WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY ALL)
+SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM (SELECT id, round(sum(3.0::DOUBLE / (p - s + 1)), 6) AS score FROM x GROUP BY id) QUALIFY rank <= 20""")
 def cover_density_rank(t: Tables):
     """The best documents by how densely they hold the terms (shorter stretches that hold all count more)."""
     from tessella.operators.ranking import cover_density
