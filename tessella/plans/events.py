@@ -92,9 +92,12 @@ def session_windows(t: Tables):
 
 
 def _shared(t: Tables) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or in tests, where it is unset, under /tmp."""
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, in spark.checkpoint.dir; where it is unset, under /tmp on a local master only."""
+    context = t.spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base and not context.master.startswith("local") or not base and context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _appended(t: Tables, df):

@@ -37,7 +37,7 @@ def docs(t: Tables):
 
 def _knn(t: Tables, k: int = 10):
     """The query's vector is one row: it is broadcast to the scan of the others."""
-    q = F.broadcast(t.embeddings.filter(F.col("vec_id") == QUERY_ID).select(F.col("embedding").alias("q")))
+    q = F.broadcast(t.embeddings.filter(F.col("vec_id") == QUERY_ID).select(F.col("embedding").alias("q")).limit(1))
     rows = t.embeddings.select(F.col("vec_id").alias("id"), "embedding").crossJoin(q)
     return r.knn(rows, F.col("q"), k).drop("q")
 
