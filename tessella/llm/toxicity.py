@@ -209,10 +209,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
 
 
 def _means(rows: DataFrame, model: ToxicModel, *more: str) -> DataFrame:
-    """(doc_id, row_id, *more, copies, mean) for each different row of (doc_id, row_id, text, *more): how often it stands there,
-    and the mean of what its words add."""
+    """(doc_id, row_id, *more, mean) for each row: the mean of what its words add.
+
+    One pass gives a row for each text with what is known in memory, and a row for each of its words and pairs that may stand in
+    the table; these carry a row's number in that pass and nothing else of it.
+    """
     head, bitmap = (rows.sparkSession.sparkContext.broadcast(x) for x in (model.head, model.maybe))
-    base = model.base
+    base, by = model.base, ["doc_id", "row_id", *more]
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, parts = head.value
@@ -226,7 +229,7 @@ def _means(rows: DataFrame, model: ToxicModel, *more: str) -> DataFrame:
                 known = keys[place] == words
                 n = np.bincount(who, minlength=len(part))
                 total = np.bincount(who, np.where(known, parts[place], 0.0), len(part)) + n * base
-                yield own.assign(n=n, total=total, key=own.row_id, times=0)
+                yield own.assign(n=n, total=total, key=own.rid, times=0)
                 sought = np.r_[words[~known], pairs]
                 asked = np.r_[who[~known], who]
                 met = _maybe(bitmap.value, sought)
@@ -235,30 +238,30 @@ def _means(rows: DataFrame, model: ToxicModel, *more: str) -> DataFrame:
                 asked, sought = asked[order], sought[order]
                 start = np.flatnonzero(np.r_[True, (asked[1:] != asked[:-1]) | (sought[1:] != sought[:-1])]) if len(asked) else np.zeros(0, int)
                 times = np.diff(np.r_[start, len(asked)])
-                yield own.iloc[asked[start]].assign(n=0, total=0.0, key=sought[start].view(np.int64), times=times)
+                none = own.iloc[:1].iloc[np.zeros(len(start), int)].assign(**{c: 0 for c in by}, known=False)
+                yield none.assign(rid=own.rid.to_numpy()[asked[start]], n=0, total=0.0, key=sought[start].view(np.int64), times=times)
 
-    by = ["doc_id", "row_id", *more]
-    fields = rows.select(*by)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields.schema)
-    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), *by[1:], F.col("doc_id").isNotNull().alias("known"), "text")
-    found = rows.mapInPandas(sums, f"{schema}, known boolean, n long, total double, key long, times long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+    rows = rows.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), *by[1:], F.col("doc_id").isNotNull().alias("known"), "text")
+    found = rows.mapInPandas(sums, f"rid long, {schema}, known boolean, n long, total double, key long, times long")
     parts = model.parts.withColumnRenamed("key", "of")
     met = found.join(parts, (F.col("key") == F.col("of")) & (F.col("times") > 0), "left")
     added = F.coalesce(F.col("times") * F.col("part"), F.lit(0.0))
-    out = met.groupBy("known", *by).agg(F.count_if(F.col("times") == 0).alias("copies"), F.sum("n").alias("n"), F.sum(F.col("total") + added).alias("total"))
+    first = [F.max(F.when(F.col("times") == 0, F.col(c))).alias(c) for c in (*by, "known")]
+    out = met.groupBy("rid").agg(*first, F.sum("n").alias("n"), F.sum(F.col("total") + added).alias("total"))
     # rounded, so that the order in which parts are added up does not show
-    mean = F.round(F.col("total") / (F.col("n") + F.col("copies") * model.smoothing.pad), 12)
-    return out.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), *by[1:], "copies", mean.alias("mean"))
+    mean = F.round(F.col("total") / (F.col("n") + model.smoothing.pad), 12)
+    return out.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), *by[1:], mean.alias("mean"))
 
 
 def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id, row_id, copies, score (0 to 1) for each different row of docs by doc_id and text. A null text counts as empty
-    and scores as a text without any evidence does."""
+    """doc_id, row_id, score (0 to 1) for each row of docs. A null text counts as empty and scores as a text without any
+    evidence does."""
     rows = texts(docs).withColumn("row_id", row_id())
     if model.parts is None:
-        return rows.groupBy("doc_id", "row_id").agg(F.count("*").alias("copies")).withColumn("score", F.lit(0.0))
+        return rows.select("doc_id", "row_id", F.lit(0.0).alias("score"))
     odds = F.lit(model.slope) * F.asinh(F.col("mean") / SCALE) + F.lit(model.offset)
-    return _means(rows, model).select("doc_id", "row_id", "copies", (1 / (1 + F.exp(-odds))).alias("score"))
+    return _means(rows, model).select("doc_id", "row_id", (1 / (1 + F.exp(-odds))).alias("score"))
 
 
 def toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> DataFrame:
@@ -267,8 +270,7 @@ def toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.7) -> Data
     Repeated rows repeat; equal texts have equal scores; long texts are scored whole; other columns are not looked at; an
     empty table gives no rows.
     """
-    rows = scores(docs, model).select("doc_id", F.explode(F.array_repeat("score", F.col("copies").cast("int"))).alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scores(docs, model).select("doc_id", "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
