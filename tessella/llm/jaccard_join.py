@@ -38,7 +38,7 @@ CHARS = 1_000_000
 LINE = 4096
 #: Longs of a signature. Each shingle turns one of its bits over, so sets differ in as many shingles at least as their
 #: signatures do in bits.
-SIGNS = 4
+SIGNS = 8
 #: Stand for any two classes where a chunk has several with a shingle.
 LOW, HIGH = -(2**63), 2**63 - 1
 
@@ -213,19 +213,23 @@ def _neighbours(sets: DataFrame, join: Join, order: int) -> DataFrame:
 def _remaining(sets: DataFrame, labels: DataFrame, join: Join) -> DataFrame:
     """Edges (u, v) between linked classes with different labels (cid, label; a class without one is its own)."""
     named = sets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
-    posted = named.select("cid", "n", "signs", "label", F.posexplode("probe0").alias("place", "key"), F.size("index0").alias("indexed"))
-    posted = written(posted.select("cid", F.struct("n", "signs").alias("set"), "label", "key", (F.col("place") < F.col("indexed")).alias("early")), "jaccard-postings")
+    posted = named.select("cid", "n", "signs", "keys", "label", F.posexplode("probe0").alias("place", "key"), F.size("index0").alias("indexed"), (F.col("n") - F.size("keys")).alias("alone"))
+    # left: the set's shingles from the key on; those that no other class has stand before all others
+    left = F.col("n") - F.col("alone") - F.col("place")
+    posted = written(posted.select("cid", F.struct("n", "signs").alias("set"), "label", "key", (F.col("place") < F.col("indexed")).alias("early"), left.alias("left")), "jaccard-postings")
     sizes = posted.groupBy("key", "label").agg(F.count("*").alias("m"))
     tops = sizes.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     open_ = written(posted.join(tops.select("key", "top"), "key"), "jaccard-open")
-    a = open_.filter("label != top").select("key", *(F.col(c).alias(f"{c}_a") for c in ("cid", "set", "label", "early")))
-    b = open_.select("key", "top", *(F.col(c).alias(f"{c}_b") for c in ("cid", "set", "label", "early")))
+    a = open_.filter("label != top").select("key", *(F.col(c).alias(f"{c}_a") for c in ("cid", "set", "label", "early", "left")))
+    b = open_.select("key", "top", *(F.col(c).alias(f"{c}_b") for c in ("cid", "set", "label", "early", "left")))
     n_a, n_b = F.col("set_a.n"), F.col("set_b.n")
     smaller = (n_a < n_b) | ((n_a == n_b) & (F.col("cid_a") < F.col("cid_b")))
     # of two classes outside the largest one each finds the other: one of them is enough
     once = (F.col("label_b") == F.col("top")) | (F.col("cid_a") < F.col("cid_b"))
     fits = F.when(smaller, join.sizes(n_a, n_b) & F.col("early_a")).otherwise(join.sizes(n_b, n_a) & F.col("early_b"))
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("label_a") != F.col("label_b")) & once & fits & ~join.unlike(F.col("set_a"), F.col("set_b")))
+    # from the first key that both sets have on, they share no more than either has left
+    within = join.linked(F.least("left_a", "left_b"), n_a, n_b)
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("label_a") != F.col("label_b")) & once & fits & within & ~join.unlike(F.col("set_a"), F.col("set_b")))
     pairs = met.select(F.when(smaller, F.col("cid_a")).otherwise(F.col("cid_b")).alias("u"), F.when(smaller, F.col("cid_b")).otherwise(F.col("cid_a")).alias("v")).distinct()
     orders = range(1, ORDERS)
     u = sets.select(F.col("cid").alias("u"), *(f"index{k}" for k in orders))
