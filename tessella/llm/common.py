@@ -54,7 +54,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     nothing above it, and Spark knows the size of what it reads, so its own size check decides on broadcasts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
