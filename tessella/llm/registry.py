@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mpeg_media, ranked_search, sentencepiece_codec, source_mix, token_counts, toxicity
+from tessella.llm import exact_dedup, importance_resampling, jaccard_join, language_id, license_scan, line_dedup, mpeg_media, ranked_search, secret_scan, sentencepiece_codec, source_mix, token_counts, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_source_mix": source_mix.op8_source_mix,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
     "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_importance_resampling": importance_resampling.op13_importance_resampling,
 }
 
 SQL = {
@@ -24,4 +26,5 @@ SQL = {
     "op8_source_mix": source_mix.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op12_ranked_search": ranked_search.OP12_SQL,
+    "op13_importance_resampling": importance_resampling.OP13_SQL,
 }
