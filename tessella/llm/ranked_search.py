@@ -28,7 +28,7 @@ from tessella.llm.common import maybe_among, table, texts, written
 
 #: Postings of a block; documents and characters of a segment at most (a longer text is a segment of its own); characters
 #: that are split at once; documents of a window; items that meet a segment together.
-BLOCK, SEGMENT_DOCS, SEGMENT_CHARS, PIECE, WINDOW, ITEMS = 128, 32_768, 32_000_000, 1 << 22, 128, 256
+BLOCK, SEGMENT_DOCS, SEGMENT_CHARS, PIECE, WINDOW, ITEMS = 128, 32_768, 16_000_000, 1 << 20, 128, 256
 
 #: What an impact is in units of: 1000 * tf / (tf + 12 * m / 1000) by 64-bit integers.
 UNIT = 1_000_000_000
@@ -89,44 +89,55 @@ def _packed(values: np.ndarray, width: np.ndarray, at: np.ndarray, out: np.ndarr
         out[at[own] + b] = values[own] >> 8 * b & 255
 
 
-def segment_rows(ids: np.ndarray, known: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], terms: list[bytes], m: np.ndarray) -> Iterator[dict]:
-    """The rows of one segment: the header (ids and norms) first, then each term's heads and data. counts: for each document
-    the numbers of its terms and how often each stands in it."""
-    order = np.lexsort((ids, ~known))  # local numbers follow doc_id, unknown ones last
-    yield {"term": None, "n_docs": len(ids), "heads": ids[order].tobytes(), "data": m[order].tobytes() + known[order].tobytes()}
-    local = np.empty(len(ids), np.int64)
-    local[order] = np.arange(len(ids))
-    term = np.concatenate([c[0] for c in counts])
-    tf = np.concatenate([c[1] for c in counts]).astype(np.int64)
-    doc = np.repeat(local, [len(c[0]) for c in counts])
-    by = np.lexsort((doc, term))
-    term, tf, doc = term[by], tf[by], doc[by]
+def _compressed(term: np.ndarray, doc: np.ndarray, tf: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each list begins among the postings (ordered by term and document), where its heads begin, all heads, and all data."""
     lists = _starts(term)
     lengths = np.diff(np.r_[lists, len(term)])
-    nth = np.arange(len(term)) - np.repeat(lists, lengths)
+    nth = np.arange(len(term), dtype=np.int32) - np.repeat(lists, lengths).astype(np.int32)
     blocks = np.flatnonzero(nth % BLOCK == 0)
     n = np.diff(np.r_[blocks, len(term)])
-    gap = np.diff(doc, prepend=0)
+    gap = np.diff(doc, prepend=doc[:1])
     gap[blocks] = 0
     heads = np.zeros(len(blocks), HEAD)
     heads["first"], heads["last"], heads["n"] = doc[blocks], doc[blocks + n - 1], n
-    heads["impact"] = np.maximum.reduceat(impacts(tf, m[order][doc]), blocks)
+    heads["impact"] = np.maximum.reduceat(impacts(tf.astype(np.int64), norms[doc]), blocks)
     heads["gap_bytes"], heads["tf_bytes"] = _byte_width(np.maximum.reduceat(gap, blocks)), _byte_width(np.maximum.reduceat(tf, blocks))
-    sizes = n * (heads["gap_bytes"].astype(np.int64) + heads["tf_bytes"])
-    block_at = np.r_[0, np.cumsum(sizes)]
-    inside = np.arange(len(term)) - np.repeat(blocks, n)
-    gap_width, tf_width = (np.repeat(heads[c].astype(np.int64), n) for c in ("gap_bytes", "tf_bytes"))
-    data = np.zeros(block_at[-1], np.uint8)
-    start = np.repeat(block_at[:-1], n)
-    _packed(gap, gap_width, start + inside * gap_width, data)
-    _packed(tf, tf_width, start + np.repeat(n * heads["gap_bytes"], n) + inside * tf_width, data)
+    block_at = np.r_[0, np.cumsum(n * (heads["gap_bytes"].astype(np.int64) + heads["tf_bytes"]))]
     of_list = np.searchsorted(blocks, np.r_[lists, len(term)])
     heads["at"] = block_at[:-1] - np.repeat(block_at[of_list[:-1]], np.diff(of_list))
+    data, inside = np.zeros(block_at[-1], np.uint8), nth % BLOCK
+    gap_width, tf_width = (np.repeat(heads[c], n) for c in ("gap_bytes", "tf_bytes"))
+    start = np.repeat(block_at[:-1], n)
+    _packed(gap, gap_width, start + inside * gap_width.astype(np.int32), data)
+    start += np.repeat(n * heads["gap_bytes"], n)
+    _packed(tf, tf_width, start + inside * tf_width.astype(np.int32), data)
+    return lists, of_list, heads, data
+
+
+def segment_rows(ids: np.ndarray, known: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], terms: list[bytes], norms: np.ndarray, rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """The rows of one segment: the header (ids and norms) first, then each term's heads and data by term, a few at a time.
+    counts: for each document the numbers of its terms and how often each stands in it."""
+    order = np.lexsort((ids, ~known))  # local numbers follow doc_id, unknown ones last
+    norms, known = norms[order], known[order]
+    yield pd.DataFrame({"term": [None], "n_docs": len(ids), "heads": [ids[order].tobytes()], "data": [norms.tobytes() + known.tobytes()]})
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(counts[k][0]) for k in order])
+    term, tf = (np.concatenate([counts[k][c] for k in order]) for c in (0, 1))
+    by = np.argsort(term, kind="stable")
+    term, tf, doc = term[by], tf[by], doc[by]
+    lists, of_list, heads, data = _compressed(term, doc, tf, norms)
+    numbers, lengths = term[lists], np.diff(np.r_[lists, len(term)])
+    sizes = heads["n"].astype(np.int64) * (heads["gap_bytes"].astype(np.int64) + heads["tf_bytes"])
+    data_at = np.r_[0, np.cumsum(np.add.reduceat(sizes, of_list[:-1]))]
     raw_heads, raw = heads.tobytes(), data.tobytes()
-    numbers = term[lists]
-    for k in sorted(range(len(lists)), key=lambda k: terms[numbers[k]]):
-        a, b = of_list[k], of_list[k + 1]
-        yield {"term": terms[numbers[k]], "n_docs": int(lengths[k]), "heads": raw_heads[a * HEAD.itemsize : b * HEAD.itemsize], "data": raw[block_at[a] : block_at[b]]}
+    by_name = sorted(range(len(lists)), key=lambda k: terms[numbers[k]])
+    for at in range(0, len(by_name), rows):
+        some = by_name[at : at + rows]
+        yield pd.DataFrame({
+            "term": [terms[numbers[k]] for k in some],
+            "n_docs": lengths[some],
+            "heads": [raw_heads[of_list[k] * HEAD.itemsize : of_list[k + 1] * HEAD.itemsize] for k in some],
+            "data": [raw[data_at[k] : data_at[k + 1]] for k in some],
+        })
 
 
 INDEX = "segment string, term binary, n_docs int, heads binary, data binary"
@@ -154,11 +165,9 @@ def build_index(docs: DataFrame, segment_docs: int = SEGMENT_DOCS, segment_chars
         def flush() -> Iterator[pd.DataFrame]:
             lengths = np.array([c[1].sum() for _, _, c in held], np.int64)
             ids, known = np.array([i for i, _, _ in held], np.int64), np.array([k for _, k, _ in held], bool)
-            rows = segment_rows(ids, known, [c for _, _, c in held], list(numbers), length_norms(lengths, some, terms))
-            part = pd.DataFrame(rows)
-            part.insert(0, "segment", f"{TaskContext.get().partitionId()}-{n_segments}")
-            for at in range(0, len(part), 20_000):
-                yield part.iloc[at : at + 20_000]
+            for part in segment_rows(ids, known, [c for _, _, c in held], list(numbers), length_norms(lengths, some, terms)):
+                part.insert(0, "segment", f"{TaskContext.get().partitionId()}-{n_segments}")
+                yield part
 
         for batch in batches:
             for i, k, text in zip(batch.doc_id, batch.known, batch.text, strict=True):
@@ -166,8 +175,8 @@ def build_index(docs: DataFrame, segment_docs: int = SEGMENT_DOCS, segment_chars
                     yield from flush()
                     held, numbers, chars, n_segments = [], {}, 0, n_segments + 1
                 if counts := term_counts(text):
-                    own = np.fromiter((numbers.setdefault(t, len(numbers)) for t in counts), np.int64, len(counts))
-                    held.append((i, k, (own, np.fromiter(counts.values(), np.int64, len(counts)))))
+                    own = np.fromiter((numbers.setdefault(t, len(numbers)) for t in counts), np.int32, len(counts))
+                    held.append((i, k, (own, np.fromiter(counts.values(), np.uint32, len(counts)))))
                     chars += len(text)
         if held:
             yield from flush()
@@ -294,11 +303,10 @@ def search(index: Index, items: DataFrame, k: int = 20) -> DataFrame:
             for item, w in zip(r.asked["item"], r.asked["w"], strict=True):
                 if w > 0:
                     of.setdefault(int(item), []).append((p, int(w)))
-        out = []
-        for item, own_lists in of.items():
-            docs, scores = best(own_lists, len(ids), k)
-            out.append(pd.DataFrame({"item": item, "doc_id": pd.Series(ids[docs], dtype="Int64").mask(~known[docs]), "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"item": [], "doc_id": [], "score": []})
+        found = [(item, *best(own, len(ids), k)) for item, own in of.items()]
+        docs, scores = (np.concatenate([np.zeros(0, np.int64), *(x[c] for x in found)]) for c in (1, 2))
+        items = np.repeat(np.array([x[0] for x in found], np.int64), [len(x[1]) for x in found])
+        return pd.DataFrame({"item": items, "doc_id": pd.Series(ids[docs], dtype="Int64").mask(~known[docs]), "score": scores})
 
     found = postings.unionByName(headers).groupBy("segment", "block").applyInPandas(meet, "item long, doc_id long, score long")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
