@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,17 +18,25 @@ from tessella.llm.token_counts import _chunks
 ORDERS, BITS = 3, 21
 #: The most frequent n-grams of a text or language that are compared.
 PROFILE = 300
-#: Runs of whatever is no letter: \w has numbers besides, of three categories of which \d is one.
-_OTHER = re.compile(r"[\W\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]+")
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(k).isalpha() for k in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 def grams(text: str) -> np.ndarray:
     """Keys of all n-grams of a text's letters in lower case. Any run of other characters is one space, which stands
     at word ends; no n-gram reaches across it."""
-    letters = _OTHER.sub(" ", text.lower()).strip()
-    if not letters:
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[c]
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]  # a letter, or what follows one
+    c = np.where(letter, c, 32)[kept].astype(np.uint64)
+    if not len(c):
         return np.zeros(0, np.uint64)
-    c = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    c = np.r_[np.uint64(32), c]
     space = c == 32
     two = c[:-1] << np.uint64(BITS) | c[1:]
     three = (two[:-1] << np.uint64(BITS) | c[2:])[~space[1:-1]]
