@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tessella.plans.base import Tables, query
+from tessella.sources.shared import new_folder
 from tessella.streaming import events as e
+from tessella.streaming import sessions as live
 from tessella.streaming import stateful
 
 
@@ -91,18 +92,9 @@ def session_windows(t: Tables):
     return e.sessions(t.events)
 
 
-def _shared(t: Tables) -> str:
-    """A new folder that driver and executors share, in spark.checkpoint.dir; where it is unset, under /tmp on a local master only."""
-    context = t.spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base and not context.master.startswith("local") or not base and context.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _appended(t: Tables, df):
     """What a stream over all of its input appends, as files."""
-    at = _shared(t)
+    at = new_folder(t.spark, "stream")
     df.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(df.schema).parquet(f"{at}/rows")
 
@@ -110,7 +102,7 @@ def _appended(t: Tables, df):
 def _completed(t: Tables, df):
     """The final state of an aggregate of bounded size over a stream, from memory."""
     name = f"t_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).option("checkpointLocation", _shared(t)).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.format("memory").queryName(name).option("checkpointLocation", new_folder(t.spark, "stream")).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return t.spark.table(name)
 
 
@@ -145,10 +137,40 @@ def stream_token_assembly(t: Tables):
     return _appended(t, stateful.assembled(pieces, None))
 
 
+KINDS = {"signup": "open", "view": "chunk", "click": "text", "purchase": "finish", "error": "close"}
+
+
+def _frames(events, session):
+    """Events as frames of relay sessions."""
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), F.col("event_type"))
+    return events.select(session.alias("session"), at.alias("at_ms"), F.col("event_id").alias("frame_id"), kind.alias("kind"), F.col("value").cast("string").alias("body"))
+
+
 @query()
 def stream_session_state(t: Tables):
     """Users' events as frames of relay sessions, a session a day."""
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
-    kind = F.element_at(F.create_map(*(F.lit(x) for kv in {"signup": "open", "view": "chunk", "click": "text", "purchase": "finish", "error": "close"}.items() for x in kv)), F.col("event_type"))
-    frames = t.events.select((F.col("user_id") * 1000 + F.dayofyear("ts")).alias("session"), at.alias("at_ms"), F.col("event_id").alias("frame_id"), kind.alias("kind"), F.col("value").alias("body"))
-    return stateful.relay(frames)
+    return live.relay(_frames(t.events, F.col("user_id") * 1000 + F.dayofyear("ts")))
+
+
+@query(f"""WITH f AS (SELECT user_id AS session, epoch_ms(ts) AS at_ms, event_id, event_type AS kind, value FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY at_ms, event_id) AS p FROM f),
+b AS (SELECT session, min(p) FILTER (kind = 'signup') AS opens, coalesce(min(p) FILTER (kind = 'purchase'), 1e9) AS finishes, coalesce(min(p) FILTER (kind = 'error'), 1e9) AS closes FROM o GROUP BY session),
+c AS (SELECT o.*, closes, (SELECT max(at_ms) FROM f) AS upto, (SELECT max(x.at_ms) + 170 FROM o x WHERE x.session = o.session AND x.kind = 'signup' AND x.p < closes) AS ready FROM o JOIN b USING (session) WHERE kind = 'view' AND p < least(finishes, closes) AND opens < closes)
+SELECT session, (row_number() OVER (PARTITION BY session ORDER BY p))::INT AS nth, value FROM c WHERE ready <= upto OR closes < 1e9""")
+def stream_session_chunks(t: Tables):
+    """Each user's events as one live session: the chunks that it sends, in order, by a stream with state and timers."""
+    from pyspark.sql import Window
+
+    events = _stream(t, "events", e.SCHEMA)
+    with live.keyed_state(t.spark):
+        sent = _appended(t, live.relay_stream(_frames(events, F.col("user_id"))))
+    chunks = sent.filter("kind = 'chunk'")
+    return chunks.select("session", F.row_number().over(Window.partitionBy("session").orderBy("seq")).alias("nth"), F.col("body").cast("double").alias("value"))
+
+
+@query("SELECT user_id, event_id, recent, recent <= 2 AS allowed FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS recent FROM events)")
+def stream_rate_limit(t: Tables):
+    """The sliding limit, by a stream that keeps a user's recent times in state."""
+    with live.keyed_state(t.spark):
+        return _appended(t, live.limited_stream(_stream(t, "events", e.SCHEMA), 2, 3600))

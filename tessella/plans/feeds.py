@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import identifiers as ids
 from tessella.functions import numbers as num
 from tessella.plans.base import Tables, query
-from tessella.plans.events import _shared
+from tessella.sources.shared import new_folder
 from tessella.sources import readers
 
 FORMS = ("10-K", "10-K/A", "20-F", "13F-HR", "8-K")
@@ -93,7 +93,7 @@ def information_table(t: Tables):
     tag = lambda n, c: F.concat(F.lit(f"<ns1:{n}>"), c, F.lit(f"</ns1:{n}>"))
     cusip = F.when(k % 11 == 0, " ").otherwise((k % 100).cast("string"))
     row = F.concat(F.lit('<ns1:infoTable xmlns:ns1="urn:x">'), tag("nameOfIssuer", F.concat(F.lit("N "), "p_name")), tag("cusip", cusip), tag("value", F.col("p_size").cast("string")), F.lit("<ns1:shrsOrPrnAmt>"), tag("sshPrnamt", k.cast("string")), F.lit("</ns1:shrsOrPrnAmt></ns1:infoTable>"))
-    t.part.select(row.alias("value")).write.text(at := _shared(t))
+    t.part.select(row.alias("value")).write.text(at := new_folder(t.spark, "feed"))
     found = readers.holdings_xml(t.spark, at).filter(F.trim("cusip") != "")
     return found.groupBy(F.col("cusip").cast("long").alias("cusip")).agg(F.min("nameOfIssuer").alias("issuer"), F.sum("value").alias("value"), F.sum("shares").alias("shares"))
 

@@ -1,6 +1,6 @@
-"""Stateful stream operators: assembly of lines from pieces, and the sessions of a relay.
+"""Stateful stream operators: assembly of lines from pieces.
 
-State is kept for a key only (a conversation, a session), small and ended by the stream itself or by a time-out.
+State is kept for a conversation only, and ended by the stream itself or by a time-out.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -26,67 +25,21 @@ def assembled(pieces: DataFrame, minutes: int | None = 30) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        seq, rest, answer = state.get if state.exists else (0, "", "")
-        out = []
+        seq, rest, answer = state.get if state.exists else (0, "", [])
+        answer, out = list(answer), []
         for r in pd.concat(batches).sort_values("turn").itertuples():
             *lines, rest = (rest + r.text).split("\n") if r.text != "done" else [*([rest] if rest else []), ""]
             for line in lines:
                 out.append((key[0], seq, "sources" if seq == 0 else "delta", line))
-                answer, seq = answer + line * (seq > 0), seq + 1
+                if seq > 0:
+                    answer.append(line)
+                seq += 1
             if r.text == "done":
-                out.append((key[0], seq, "done", answer))
-                seq, rest, answer = 0, "", ""
+                out.append((key[0], seq, "done", "".join(answer)))
+                seq, rest, answer = 0, "", []
         state.update((seq, rest, answer))
         if minutes is not None:
             state.setTimeoutDuration(minutes * 60_000)
         yield pd.DataFrame(out, columns=["conv_id", "seq", "kind", "body"])
 
-    return pieces.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, seq int, kind string, body string", "seq int, rest string, answer string", "append", GroupStateTimeout.NoTimeout if minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def relay(frames: DataFrame, guard_ms: int = 90, fallback_ms: int = 80) -> DataFrame:
-    """session, seq, kind, at_ms, body: what a relay sends on of its sessions' frames (session, at_ms, frame_id, kind, body).
-
-    Frames 'chunk' wait until the session is ready: guard_ms after 'ack', or fallback_ms + guard_ms after 'open' without one. Then
-    they flow in order. 'finish' lets nothing more in. 'text' frames go to the subscriber as they come; 'close' sends
-    the last text as final, if none was, and ends the session. Sessions are worked on as batches of whole sessions; the order
-    within one is by at_ms and frame_id.
-    """
-
-    def play(group: pd.DataFrame) -> pd.DataFrame:
-        out, waiting, ready_at, open_to, text, final = [], [], None, True, None, False
-        key = group.session.iloc[0]
-
-        def send(kind: str, at: int, body) -> None:
-            out.append((key, len(out), kind, int(at), body))
-
-        def flush(now: float) -> None:
-            if ready_at is not None and ready_at <= now:
-                for at, body in waiting:
-                    send("chunk", max(at, ready_at), body)
-                waiting.clear()
-
-        for f in group.sort_values(["at_ms", "frame_id"]).itertuples():
-            flush(f.at_ms)
-            if f.kind == "open":
-                ready_at = f.at_ms + fallback_ms + guard_ms
-            elif f.kind == "ack" and (ready_at is None or ready_at > f.at_ms + guard_ms):
-                ready_at = f.at_ms + guard_ms
-            elif f.kind == "chunk" and open_to:
-                waiting.append((f.at_ms, f.body))
-                flush(f.at_ms)
-            elif f.kind == "finish":
-                open_to = False
-            elif f.kind in ("text", "final"):
-                text, final = f.body, f.kind == "final"
-                send(f.kind, f.at_ms, f.body)
-            elif f.kind == "close":
-                flush(float("inf"))
-                if text is not None and not final:
-                    send("final", f.at_ms, text)
-                send("closed", f.at_ms, None)
-                break
-        return pd.DataFrame(out, columns=["session", "seq", "kind", "at_ms", "body"])
-
-    schema = "session long, seq int, kind string, at_ms long, body string"
-    return frames.select("session", "at_ms", "frame_id", "kind", F.col("body").cast("string").alias("body")).groupBy("session").applyInPandas(play, schema)
+    return pieces.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, seq int, kind string, body string", "seq int, rest string, answer array<string>", "append", GroupStateTimeout.NoTimeout if minutes is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -9,7 +9,7 @@ from tessella.functions import numbers as num
 from tessella.functions import text as tx
 from tessella.operators import chunking, portfolio, ranking, relational, retrieval
 from tessella.sources import readers
-from tessella.streaming import events, stateful
+from tessella.streaming import events, sessions, stateful
 
 
 def one(spark, column):
@@ -134,7 +134,7 @@ def test_files(spark, tmp_path):
 
 def test_relay_session(spark):
     rows = [(1, 0, 1, "open", None), (1, 10, 2, "chunk", "a"), (1, 20, 3, "ack", None), (1, 200, 4, "chunk", "b"), (1, 210, 5, "finish", None), (1, 220, 6, "chunk", "late"), (1, 230, 7, "text", "hi"), (1, 300, 8, "close", None), (1, 310, 9, "text", "after")]
-    out = stateful.relay(spark.createDataFrame(rows, "session long, at_ms long, frame_id long, kind string, body string")).orderBy("seq").collect()
+    out = sessions.relay(spark.createDataFrame(rows, "session long, at_ms long, frame_id long, kind string, body string")).orderBy("seq").collect()
     assert [(r.kind, r.at_ms, r.body) for r in out] == [("chunk", 110, "a"), ("chunk", 200, "b"), ("text", 230, "hi"), ("final", 300, "hi"), ("closed", 300, None)]
 
 
