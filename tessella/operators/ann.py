@@ -203,7 +203,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "id",
         length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
         return np.where(length > 0, np.round((q @ x.T) / np.where(length > 0, length, 1), 6), -np.inf)
 
-    found = _meet(rows, queries.withColumn("list", F.lit(0)), score, k).filter("score > -2")
+    found = _meet(rows, queries.filter("vector is not null").withColumn("list", F.lit(0)), score, k).filter("score > -2")
     return top_k(found, ["qid"], [F.desc("score"), F.col("id")], k, rank="rank")
 
 
