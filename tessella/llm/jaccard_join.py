@@ -41,6 +41,8 @@ LINE = 4096
 SIGNS = 8
 #: Stand for any two classes where a chunk has several with a shingle.
 LOW, HIGH = -(2**63), 2**63 - 1
+#: Frequent shingles that a task remembers to have marked, 16 MB of them.
+MARKED = 1 << 21
 
 
 def shingle_sets(batch: list[str], words: int) -> list[np.ndarray]:
@@ -140,6 +142,7 @@ def sharing(rows: DataFrame, join: Join) -> DataFrame:
     limit = np.uint64(min(2**64 - 1, int(join.part * 2**64)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marked = np.zeros(0, np.int64)
         for batch in batches:
             for _, sets in _parts(batch, join.words):
                 sets = {_node(s): s for s in sets if len(s)}
@@ -154,6 +157,9 @@ def sharing(rows: DataFrame, join: Join) -> DataFrame:
                 start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
                 times = np.diff(np.r_[start, len(keys)])
                 alone, several = start[times == 1], keys[start[times > 1]].view(np.int64)
+                # a task marks a frequent shingle once, so that a hot one has two rows for each task
+                several = several[~np.isin(several, marked, assume_unique=True)]
+                marked = np.union1d(marked, several) if len(marked) < MARKED else several
                 met = np.bincount(who[np.repeat(times > 1, times)], minlength=len(own)) if len(keys) else np.zeros(len(own), int)
                 yield pd.DataFrame({"key": keys[alone].view(np.int64), "node": nodes[who[alone]], "more": np.int32(1), "sums": False})
                 for mark in (LOW, HIGH):
