@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import identifiers as ids
 from tessella.functions import numbers as num
+from tessella.operators import transcripts
 from tessella.plans.base import Tables, query
+from tessella.sources import filing_pages, readers
 from tessella.sources.shared import new_folder
-from tessella.sources import readers
 
 FORMS = ("10-K", "10-K/A", "20-F", "13F-HR", "8-K")
 
@@ -108,3 +109,44 @@ def issuer_titles(t: Tables):
     amount = F.when(k % 3 == 0, F.concat(F.lit("$"), k.cast("string"), F.lit("B"))).when(k % 3 == 1, F.concat(k.cast("string"), F.lit(" M of assets"))).otherwise("unknown")
     name = F.concat(F.when(k % 2 == 0, "Delta Airls ").otherwise("DELTA AIRLS  "), F.char(70 + k % 20), b, F.when(k % 2 == 0, " Inc Del").otherwise(" Corp. NEW"))
     return t.supplier.select("s_suppkey", ids.share_class(title).alias("share_class"), num.assets_in_yi(amount).alias("assets"), ids.issuer_match_key(name).alias("match_key"))
+
+
+ANNUAL = ("10-K", "10-K/A", "20-F", "20-F/A")
+
+
+@query("""WITH f AS (SELECT c_nationkey AS id, o_orderkey, ['10-K', '10-K/A', '20-F', '13F-HR', '8-K'][o_orderkey % 5 + 1] AS form, strftime(o_orderdate, '%Y-%m-%d') AS report_date, 'A-' || (o_orderkey % 97)::VARCHAR AS accession FROM orders JOIN customer ON c_custkey = o_custkey),
+l AS (SELECT * FROM f WHERE form IN ('10-K', '10-K/A', '20-F', '20-F/A') QUALIFY row_number() OVER (PARTITION BY id, accession ORDER BY o_orderkey DESC) = 1)
+SELECT id, form, accession, report_date, 'd' || o_orderkey::VARCHAR AS document, (row_number() OVER (PARTITION BY id ORDER BY report_date DESC, accession))::INT AS nth FROM l""")
+def paged_annual_filings(t: Tables):
+    """Annual filings of nations' feeds of a page of recent filings and pages of a hundred older ones, newest report first."""
+    rows = t.orders.join(t.customer.select("c_custkey", F.col("c_nationkey").alias("id")), F.col("c_custkey") == F.col("o_custkey"))
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    one = F.struct("o_orderkey", form.alias("form"), day.alias("day"), F.concat(F.lit("A-"), (F.col("o_orderkey") % 97).cast("string")).alias("acc"), F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("doc"))
+    paged = rows.groupBy("id", F.floor(F.col("o_orderkey") / 600).cast("int").alias("page")).agg(F.array_sort(F.collect_list(one)).alias("x"))
+    names = {"form": "form", "filingDate": "day", "accessionNumber": "acc", "reportDate": "day", "primaryDocument": "doc"}
+    feed = paged.select("id", "page", F.to_json(F.struct(*(F.transform("x", _field(c)).alias(n) for n, c in names.items()))).alias("value"))
+    feed.write.partitionBy("id", "page").text(at := new_folder(t.spark, "pages"))
+    found = filing_pages.newest(filing_pages.filing_pages(t.spark, at), ANNUAL)
+    return found.select("id", "form", "accession", "report_date", "document", "nth")
+
+
+MEETING = r"^\s*(?:19|20)\d{2}\s+MEETING\s+\(\d{2}:\d{2}:\d{2}\)\s*$"
+
+
+@query(rf"""WITH p AS (SELECT conv_id % 12 AS key, conv_id, turn, CASE WHEN turn % 3 = 0 THEN chr(10) || (1986 + (conv_id + turn) % 9)::VARCHAR || ' MEETING (01:02:' || lpad((turn % 60)::VARCHAR, 2, '0') || ')' || chr(10) ELSE '' END || CASE WHEN role = 'assistant' THEN 'WB: ' ELSE '' END || text || CASE WHEN turn % 5 = 2 THEN chr(10) || 'ON ' || upper(role) || ' ' || turn::VARCHAR ELSE '' END AS text FROM conversations),
+l AS (SELECT key, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM p),
+s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{MEETING}') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY conv_id, turn, pos) AS section FROM l),
+g AS (SELECT key, section, list(rtrim(line, ' ') ORDER BY conv_id, turn, pos) AS ls FROM s WHERE section > 0 GROUP BY key, section),
+b AS (SELECT key, section, trim(ls[1]) AS header, list_filter(ls[2:], lambda x: x <> '') AS body FROM g),
+d AS (SELECT *, trim(body[-1]) AS z FROM b WHERE len(list_filter(body, lambda x: regexp_matches(x, '(?i)\b(WB|CM)\s*:'))) > 0),
+c AS (SELECT key, section, regexp_extract(header, '\d+', 0)::INT AS year, header, body, CASE WHEN length(z) > 3 AND length(z) < 50 AND z = upper(z) AND NOT contains(z, ':') THEN z END AS topic FROM d)
+SELECT key, year, header, topic, array_to_string(CASE WHEN topic IS NULL THEN body ELSE body[:len(body) - 1] END, chr(10)) AS content, (row_number() OVER (PARTITION BY key, year ORDER BY section))::INT AS nth FROM c""")
+def transcript_sections(t: Tables):
+    """Conversations in a dozen long texts, cut into meetings, those with dialogue, by year."""
+    turn, text = F.col("turn"), F.col("text")
+    head = F.concat(F.lit("\n"), (1986 + (F.col("conv_id") + turn) % 9).cast("string"), F.lit(" MEETING (01:02:"), F.lpad((turn % 60).cast("string"), 2, "0"), F.lit(")\n"))
+    tail = F.concat(F.lit("\nON "), F.upper("role"), F.lit(" "), turn.cast("string"))
+    whole = F.concat(F.when(turn % 3 == 0, head).otherwise(""), F.when(F.col("role") == "assistant", "WB: ").otherwise(""), text, F.when(turn % 5 == 2, tail).otherwise(""))
+    parts = t.conversations.select((F.col("conv_id") % 12).alias("key"), F.struct("conv_id", "turn").alias("part"), whole.alias("text"))
+    return transcripts.sections(parts, MEETING, r"\d+", r"(?i)\b(WB|CM)\s*:")
