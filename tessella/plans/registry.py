@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tessella.plans import base, companies, events, feeds, fundamentals, knowledge, portfolio, questions, relational, retrieval, search, writes  # noqa: F401  they register themselves
+from tessella.plans import base, companies, events, feeds, fundamentals, knowledge, portfolio, questions, relational, reports, retrieval, search, writes  # noqa: F401  they register themselves
 
 QUERIES, SQL = base.QUERIES, base.SQL
