@@ -8,6 +8,7 @@ from tessella.operators import companies as c
 from tessella.operators import portfolio as p
 from tessella.plans.base import Tables, query
 from tessella.plans.portfolio import _events, ev
+from tessella.sources.shared import written
 
 ENTITY = """
 o AS (SELECT o_custkey, count(*) AS financials FROM orders GROUP BY o_custkey),
@@ -63,8 +64,7 @@ def ticker_discovery(t: Tables):
 @query(ev("SELECT 'home' AS key, 8::BIGINT AS version, 'events' AS source, 1::INT AS nth, company_key, score FROM (SELECT company_key, score FROM first_buy ORDER BY score DESC, company_key LIMIT 1) UNION ALL SELECT 'none', 1, 'defaults', 1, 'BRK', 0.0"))
 def signal_snapshot(t: Tables):
     """The first card as the next version of a snapshot, and the defaults where there are no events."""
-    events = _events(t)
-    cards = p.signal_pick(events, 1)
+    cards = written(p.signal_pick(written(_events(t), "events"), 1), "cards")
     before = t.spark.createDataFrame([("home", 3), ("home", 7), ("other", 9)], "key string, version long")
     both = c.snapshot(cards, before, "home", []).unionByName(c.snapshot(cards.filter("nth > 9"), before, "none", [("first_buy", "BRK", 0.0)]))
     return both.select("key", "version", "source", F.explode("payload").alias("x")).select("key", "version", "source", "x.nth", "x.company_key", "x.score")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions import numbers as num
 from tessella.functions import text as tx
 from tessella.operators import chunking, graph
 from tessella.operators.relational import top_k
 from tessella.plans.base import Tables, query
 from tessella.sources import readers
+from tessella.sources.shared import written
 
 MENTION = "mention AS (SELECT doc_id, 1965 + doc_id % 61 AS year, source, concept FROM (SELECT d.*, c.concept FROM documents d, (SELECT concept, unnest(words) AS word FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in graph.CONCEPTS.items()) + ") v(concept, words)) c WHERE contains(lower(d.text), c.word)) GROUP BY ALL)"
 
@@ -31,12 +31,12 @@ def graph_one_hop(t: Tables):
     return graph.one_hop(edges, nodes, ["licen", "rare"], 1980, None, 20)
 
 
-@query("""SELECT DISTINCT r_name AS hit, n_name AS via FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal > 9900 UNION SELECT r_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_acctbal > 9000""")
+@query("""SELECT DISTINCT r_name AS hit, n_name AS via FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey UNION SELECT r_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
 def graph_two_hop_union(t: Tables):
     """Regions reached over nations from customers and from suppliers, each once."""
     up = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("hit"), F.col("n_name").alias("via"))
-    a = t.customer.filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey")).distinct().join(up, "n_nationkey")
-    b = t.supplier.filter("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")).distinct().join(up, "n_nationkey")
+    a = t.customer.select(F.col("c_nationkey").alias("n_nationkey")).distinct().join(up, "n_nationkey")
+    b = t.supplier.select(F.col("s_nationkey").alias("n_nationkey")).distinct().join(up, "n_nationkey")
     return a.unionByName(b).select("hit", "via").distinct()
 
 
@@ -78,15 +78,6 @@ def html_title_href(t: Tables):
     return t.pages.select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.get(readers.links(html, "e"), F.lit(0)).alias("first_link"), F.size(readers.links(html, "")).cast("long").alias("links"))
 
 
-INLINE = [("1", "1,234", None, "3"), ("2", "(5.5)", None, None), ("3", "<b>7</b>", "-", "0"), ("4", "—", None, "6"), ("5", "$ 12&nbsp;", None, None), ("6", "", None, None)]
-
-
-@query("SELECT * FROM (VALUES ('1', 1234000.0::DOUBLE), ('2', -5.5), ('3', -7.0), ('4', NULL), ('5', 12.0), ('6', NULL)) v(id, value)")
-def inline_numeric_parse(t: Tables):
-    rows = t.spark.createDataFrame(INLINE, "id string, text string, sign string, scale string")
-    return rows.select("id", num.inline_number(F.col("text"), F.col("sign"), F.col("scale")).alias("value"))
-
-
 @query("SELECT conv_id, count(*) AS turns, bool_and(turn = k) AS contiguous, count(*) FILTER (trim(text) = '') AS blank, count(*) FILTER (role NOT IN ('user', 'assistant', 'system')) AS bad_role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) GROUP BY conv_id")
 def section_order_check(t: Tables):
     """Whether turns are 0, 1, 2, ...: as many distinct ones as rows, from 0 to one less. No order within groups is needed."""
@@ -105,16 +96,16 @@ def word_overlap_ratio(t: Tables):
     """
     own = lambda c: F.array_distinct(tx.words(F.col(c)))
     items = t.benchmark.select("item_id", own("text").alias("iw"))
-    docs = t.documents.select("doc_id", own("text").alias("dw"))
-    places = items.select("item_id", F.size("iw").alias("m"), F.explode("iw").alias("w"))
-    counts = docs.select(F.explode("dw").alias("w")).join(places.select("w").distinct(), "w").groupBy("w").agg(F.count("*").alias("df"))
+    places = written(items.select("item_id", F.size("iw").alias("m"), F.explode("iw").alias("w")), "item-words")
+    # texts are split once: of their words those of some item are kept
+    held = written(t.documents.select("doc_id", F.explode(own("text")).alias("w")).join(places.select("w").distinct(), "w"), "overlap-words")
+    counts = held.groupBy("w").agg(F.count("*").alias("df"))
     # a word that no document has comes first
     ranked = top_k(places.join(counts, "w", "left").withColumn("df", F.coalesce("df", F.lit(0))), ["item_id"], [F.col("df"), F.col("w")], 2**31 - 1, rank="nth")
     rare = ranked.filter(F.col("nth") <= F.col("m") - F.ceil(F.col("m") * 7 / 10) + 1).select("item_id", "w")
-    met = docs.select("doc_id", F.explode("dw").alias("w")).join(rare, "w").select("item_id", "doc_id").distinct()
-    both = met.join(items, "item_id").join(docs, "doc_id")
-    n, m = F.size(F.array_intersect("iw", "dw")), F.size("iw")
-    return both.filter(10 * n >= 7 * m).select("item_id", "doc_id", F.round(n / m, 6).alias("share"))
+    met = held.join(rare, "w").select("item_id", "doc_id").distinct()
+    both = met.join(held, "doc_id").join(places, ["item_id", "w"]).groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.max("m").alias("m"))
+    return both.filter(10 * F.col("n") >= 7 * F.col("m")).select("item_id", "doc_id", F.round(F.col("n") / F.col("m"), 6).alias("share"))
 
 
 @query(r"""SELECT page_id, len(p) AS body, round(len(p) / len(html)::DOUBLE, 6) AS coverage, regexp_matches(p, '\$[0-9,]+') OR regexp_matches(p, '\.{3,}') AS table_like FROM (SELECT page_id, html, regexp_replace(html, '<[^>]+>', '', 'g') AS p FROM pages)""")
@@ -130,23 +121,40 @@ def material_counts(t: Tables):
     return c.withColumn("span", F.concat_ws("-", "first_year", "last_year"))
 
 
-MARKDOWN = [(1, "# Letter 信\n\nTo the shareholders of the company:\n\n致股东：\n\nFebruary 25, 1985\n\n### Float 浮存金\n\nInsurance float grew again this year.\n\n保险浮存金继续增长。\n\n| a | b |\n| 1 | 2 |\n\nshort\n\n孤立\n\nBERKSHIRE HATHAWAY INC.\n\nA last paragraph that has no pair at all.\n\n---\n\n## Next\n\n#### Deep\n\nText of twenty characters or more."), (2, None), (3, "")]
+_PIECES = """flatten(list_transform(string_split_regex(text, '\\n+'), lambda x, i: [
+  CASE WHEN i % 7 = 1 THEN '## Part ' || i::VARCHAR || ' 部分' WHEN i % 7 = 4 THEN '#### Sub ' || i::VARCHAR WHEN i % 7 = 6 THEN '### 小节 ' || i::VARCHAR ELSE '' END, x, CASE WHEN i % 4 = 0 THEN 'February 25, 1985' ELSE '' END,
+  CASE WHEN i % 3 = 0 THEN '中文第' || i::VARCHAR || '段' ELSE '' END, CASE WHEN i % 5 = 0 THEN '| a | ' || i::VARCHAR || ' |' || chr(10) || '| b | c |' ELSE '' END]))"""
+
+
+def _skipped() -> str:
+    return " OR ".join(f"regexp_matches(para, '{p}')" for p in tx._SKIPPED)
 
 
-@query()
+@query(f"""WITH e AS (SELECT doc_id, unnest({_PIECES}) AS raw, generate_subscripts({_PIECES}, 1) AS pos FROM documents),
+p AS (SELECT doc_id, pos, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS para FROM e WHERE regexp_replace(raw, '^\\s+|\\s+$', '', 'g') <> ''),
+h AS (SELECT *, trim(split_part(para, chr(10), 1)) AS line FROM p),
+l AS (SELECT *, length(regexp_extract(line, '^(#{{1,4}})\\s+(.+)$', 1)) AS level, regexp_extract(line, '^(#{{1,4}})\\s+(.+)$', 2) AS head, regexp_matches(para, '[\\x{{4e00}}-\\x{{9fff}}]') AS cjk FROM h),
+k AS (SELECT *, CASE WHEN level > 0 THEN 'heading' WHEN len(list_filter(string_split(para, chr(10)), lambda x: contains(x, '|'))) > 1 THEN 'table'
+  WHEN NOT cjk AND para = upper(para) AND regexp_matches(para, '[A-Z]{{2}}') AND NOT contains(para, '|') OR {_skipped()} THEN 'skip' WHEN cjk THEN 'zh' ELSE 'en' END AS kind FROM l),
+n AS (SELECT *, CASE WHEN level > 0 THEN nullif(trim(regexp_extract(head, '^[^\\x{{4e00}}-\\x{{9fff}}]*', 0)), '') END AS en, CASE WHEN level > 0 THEN nullif(trim(regexp_extract(head, '[\\x{{4e00}}-\\x{{9fff}}].*$', 0)), '') END AS zh FROM k WHERE kind <> 'skip'),
+u AS (SELECT *, last_value(CASE WHEN level BETWEEN 1 AND 2 THEN pos END IGNORE NULLS) OVER w AS up, last_value(CASE WHEN level > 0 THEN pos END IGNORE NULLS) OVER w AS at, lead(kind) OVER w AS next_kind, lead(para) OVER w AS next_para FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+t AS (SELECT u.*, s.level AS s_level, s.en AS s_en, s.zh AS s_zh, a.en AS a_en, a.zh AS a_zh FROM u LEFT JOIN n s ON s.doc_id = u.doc_id AND s.pos = u.at LEFT JOIN n a ON a.doc_id = u.doc_id AND a.pos = u.up)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos))::INT AS ord, CASE WHEN s_level <= 2 THEN s_en WHEN s_level > 2 THEN CASE WHEN a_en IS NOT NULL AND s_en IS NOT NULL THEN a_en || ' > ' || s_en ELSE coalesce(s_en, a_en) END END AS title,
+  CASE WHEN s_level <= 2 THEN s_zh WHEN s_level > 2 THEN CASE WHEN a_zh IS NOT NULL AND s_zh IS NOT NULL THEN a_zh || ' > ' || s_zh ELSE coalesce(s_zh, a_zh) END END AS title_zh,
+  para AS content_en, CASE WHEN kind = 'en' AND next_kind = 'zh' THEN next_para END AS content_zh, kind = 'table' AS is_table FROM t WHERE kind = 'table' OR kind = 'en' AND length(para) >= 20""")
 def bilingual_chunker(t: Tables):
-    return chunking.chunks(t.spark.createDataFrame(MARKDOWN, "id int, text string"))
-
-
-@query("SELECT * FROM (VALUES ('0001', 'A', 1500::BIGINT, 15::BIGINT), ('0002', 'B', 700, 7)) v(cusip, issuer, value, shares)")
-def xml_holdings_scan(t: Tables):
-    """Positions of an information table with a namespace, one security's rows together."""
-    row = "<infoTable><nameOfIssuer>{}</nameOfIssuer><cusip>{}</cusip><value>{}</value><shrsOrPrnAmt><sshPrnamt>{}</sshPrnamt></shrsOrPrnAmt></infoTable>"
-    xml = "".join(row.format(*x) for x in (("A", "0001", 1000, 10), ("A", "0001", 500, 5), ("B", "0002", 700, 7), ("C", " ", 1, 1)))
-    rows = t.spark.createDataFrame([(f"<informationTable>{xml}</informationTable>",)], "x string")
-    schema = "infoTable array<struct<nameOfIssuer:string,cusip:string,value:long,shrsOrPrnAmt:struct<sshPrnamt:long>>>"
-    flat = rows.select(F.explode(F.from_xml("x", schema)["infoTable"]).alias("r")).select("r.*").filter(F.trim("cusip") != "")
-    return flat.groupBy("cusip").agg(F.min("nameOfIssuer").alias("issuer"), F.sum("value").alias("value"), F.sum("shrsOrPrnAmt.sshPrnamt").alias("shares"))
+    """Chunks of documents as markdown with headings, tables, dates and Chinese paragraphs between their own."""
+    n = lambda i: i.cast("string")
+
+    def pieces(x, k):
+        i = k + 1
+        head = F.when(i % 7 == 1, F.concat(F.lit("## Part "), n(i), F.lit(" 部分"))).when(i % 7 == 4, F.concat(F.lit("#### Sub "), n(i))).when(i % 7 == 6, F.concat(F.lit("### 小节 "), n(i))).otherwise("")
+        zh = F.when(i % 3 == 0, F.concat(F.lit("中文第"), n(i), F.lit("段"))).otherwise("")
+        table = F.when(i % 5 == 0, F.concat(F.lit("| a | "), n(i), F.lit(" |\n| b | c |"))).otherwise("")
+        return F.array(head, x, F.when(i % 4 == 0, "February 25, 1985").otherwise(""), zh, table)
+
+    text = F.array_join(F.flatten(F.transform(F.split("text", "\n+"), pieces)), "\n\n")
+    return chunking.chunks(t.documents.select("doc_id", text.alias("text")), "doc_id")
 
 
 @query("""SELECT o_orderkey, o_custkey, list(l_partkey::VARCHAR || ':' || l_quantity::BIGINT::VARCHAR ORDER BY l_quantity DESC, l_partkey)[1:3] AS top FROM (SELECT DISTINCT o_orderkey, o_custkey, l_partkey, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY o_orderkey, o_custkey""")

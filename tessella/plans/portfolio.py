@@ -8,6 +8,7 @@ from tessella.operators import portfolio as p
 from tessella.operators.relational import keep_max, latest_ordinals, top_k
 from tessella.plans.base import Tables, query
 from tessella.sources.adapters import COMPANY, HOLDING, company, holding, weight
+from tessella.sources.shared import written
 
 TWO = """
 quarters AS (SELECT holder_id, q, row_number() OVER (PARTITION BY holder_id ORDER BY q DESC) AS nth FROM (SELECT DISTINCT holder_id, q FROM holding)),
@@ -206,7 +207,7 @@ def divergence_cards(t: Tables):
 
 @query(ev("SELECT * FROM adds UNION ALL SELECT * FROM trims"))
 def add_trim_cards(t: Tables):
-    events = _events(t)
+    events = written(_events(t), "events")
     return p.add_cards(events).unionByName(p.trim_cards(events))
 
 
@@ -228,7 +229,8 @@ s4 AS (FROM s3 UNION ALL (SELECT * FROM heads WHERE place = 4 AND company_key NO
 s5 AS (FROM s4 UNION ALL (SELECT * FROM heads WHERE place = 5 AND company_key NOT IN (SELECT company_key FROM s4) ORDER BY score DESC, company_key LIMIT 1))
 SELECT row_number() OVER (ORDER BY place)::INT AS nth, bucket, company_key, score FROM s5 QUALIFY nth <= 3""").replace("\n\n, pool", ",\npool"))
 def signal_pick(t: Tables):
-    return p.signal_pick(_events(t))
+    """Six pools read the events, which are written once."""
+    return p.signal_pick(written(_events(t), "events"))
 
 
 @query(sql(HOLDING, COMPANY, TWO, select="""

@@ -10,14 +10,14 @@ from tessella.operators import retrieval as r
 from tessella.plans.base import Tables, query
 from tessella.plans.retrieval import DOCS, QUESTIONS, docs
 
-ASKED = "asked AS (SELECT conv_id, turn, [" + ", ".join(f"'{s}'" for _, s in QUESTIONS) + f"][(conv_id * 7 + turn) % {len(QUESTIONS)} + 1] || ' ' || substr(text, 1, 40) AS question FROM conversations)"
+ASKED = "asked AS (SELECT conv_id, turn, [" + ", ".join(f"'{s}'" for _, s in QUESTIONS) + f"][(conv_id * 7 + turn) % {len(QUESTIONS)} + 1] || ' ' || text AS question FROM conversations)"
 ROW = "json_object('task_type', CASE event_id % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'fact' ELSE event_type END"
 
 
 def asked(t: Tables):
-    """A question for each turn of a conversation: one of the given ones and the turn's start."""
+    """A question for each turn of a conversation: one of the given ones and the whole turn."""
     which = F.element_at(F.array(*(F.lit(s) for _, s in QUESTIONS)), ((F.col("conv_id") * 7 + F.col("turn")) % len(QUESTIONS) + 1).cast("int"))
-    return t.conversations.select("conv_id", "turn", F.concat(which, F.lit(" "), F.substring("text", 1, 40)).alias("question"))
+    return t.conversations.select("conv_id", "turn", F.concat(which, F.lit(" "), "text").alias("question"))
 
 
 @query(f"""WITH {ASKED} SELECT conv_id, turn, regexp_matches(question, '{tx.TEMPORAL}') AS temporal, regexp_matches(question, '{tx.MENTION}') AS mention, regexp_matches(question, '{tx.COMPARE}') AS compare, regexp_matches(question, '{tx.METHOD}') AS method,
@@ -34,6 +34,20 @@ def question_intent(t: Tables):
     return asked(t).select("conv_id", "turn", what.alias("intent"), mode.alias("answer_mode"))
 
 
+@query(f"""WITH {ASKED}, y AS (SELECT *, regexp_extract_all(question, '(?:19|20)[0-9]{{2}}')::INT[] AS ys FROM asked) SELECT conv_id, turn, list_min(ys) AS year_from, list_max(ys) AS year_to,
+CASE WHEN regexp_matches(question, '{tx.EARLIEST}') THEN 'earliest' WHEN regexp_matches(question, '{tx.LATEST}') THEN 'latest' WHEN regexp_matches(question, '{tx.EVOLUTION}') THEN 'evolution'
+WHEN list_min(ys) <> list_max(ys) THEN 'range' WHEN len(ys) > 0 THEN 'point' ELSE 'none' END AS mode FROM y""")
+def temporal_mode(t: Tables):
+    rows = asked(t).select("conv_id", "turn", "question", tx.year_range(F.col("question")).alias("y")).select("conv_id", "turn", "question", "y.*")
+    return rows.select("conv_id", "turn", "year_from", "year_to", tx.temporal_mode(F.col("question"), F.col("year_from"), F.col("year_to")).alias("mode"))
+
+
+@query(f"""WITH {ASKED} SELECT conv_id, turn, regexp_matches(question, '{tx.TEMPORAL}') AS timeline, regexp_matches(question, '{tx.COMPARE}') AS compare, CASE WHEN regexp_matches(question, '{tx.METHOD}') THEN 'method' ELSE 'fact' END AS task FROM asked""")
+def planner_rules(t: Tables):
+    c = F.col("question")
+    return asked(t).select("conv_id", "turn", c.rlike(tx.TEMPORAL).alias("timeline"), c.rlike(tx.COMPARE).alias("compare"), F.when(c.rlike(tx.METHOD), "method").otherwise("fact").alias("task"))
+
+
 def _topics() -> str:
     return ", ".join("CASE WHEN " + " OR ".join(f"contains(q, '{w}')" for w in names) + " THEN [" + ", ".join(f"'{k}'" for k in kept) + "] ELSE [] END" for names, kept in tx.TOPICS)
 

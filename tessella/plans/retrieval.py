@@ -97,12 +97,12 @@ def rrf_timeline(t: Tables):
 
 
 @query(f"""WITH {DOCS}, h AS (SELECT id, text, 1.0::DOUBLE AS score FROM docs WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])that($|[^A-Za-z0-9_])') ORDER BY id LIMIT 5),
-x AS (SELECT id, text, round(len(text)::DOUBLE / 1000, 3) AS score FROM docs WHERE lang = 'fr' AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])avec($|[^A-Za-z0-9_])') AND NOT EXISTS (SELECT 1 FROM h WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])avec($|[^A-Za-z0-9_])')) ORDER BY score DESC, id LIMIT 8)
+x AS (SELECT id, text, round(len(text)::DOUBLE / 1000, 3) AS score FROM docs WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])avec($|[^A-Za-z0-9_])') AND NOT EXISTS (SELECT 1 FROM h WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])avec($|[^A-Za-z0-9_])')) ORDER BY score DESC, id LIMIT 8)
 SELECT id, max(score) AS score FROM (FROM h UNION ALL FROM x) GROUP BY id""")
 def compare_coverage(t: Tables):
     d = docs(t)
     hits = d.filter(tx.has_token(F.col("text"), "that")).orderBy("id").limit(5).select("id", "text", F.lit(1.0).alias("score"))
-    extra = d.filter("lang = 'fr'").select("id", "text", F.round(F.length("text").cast("double") / 1000, 3).alias("score"))
+    extra = d.select("id", "text", F.round(F.length("text").cast("double") / 1000, 3).alias("score"))
     return r.cover_missing(hits, extra, "text", ("that", "avec")).select("id", "score")
 
 
@@ -127,26 +127,6 @@ def year_extraction(t: Tables):
 
 
 QUESTIONS = [(1, "When did Apple first appear in 2016?"), (2, "护城河的变化"), (3, "Compare GEICO vs Progressive, 1999 to 2021"), (4, "why moat"), (5, "latest view on float"), (6, "Letters of 1988"), (7, ""), (8, "12019 and 2003"), (9, "你好")]
-ASKED = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in QUESTIONS) + ") v(id, question))"
-
-
-def _questions(t: Tables):
-    return t.spark.createDataFrame(QUESTIONS, "id int, question string")
-
-
-@query(f"""WITH {ASKED}, y AS (SELECT *, regexp_extract_all(question, '(?:19|20)[0-9]{{2}}')::INT[] AS ys FROM q) SELECT id, list_min(ys) AS year_from, list_max(ys) AS year_to,
-CASE WHEN regexp_matches(question, '(?i)(最早|首次|第一次|earliest|first)') THEN 'earliest' WHEN regexp_matches(question, '(?i)(最近|最新|latest|most recent)') THEN 'latest' WHEN regexp_matches(question, '(?i)(变化|演变|历年|evolution|over\\s+time)') THEN 'evolution'
-WHEN list_min(ys) <> list_max(ys) THEN 'range' WHEN len(ys) > 0 THEN 'point' ELSE 'none' END AS mode FROM y""")
-def temporal_mode(t: Tables):
-    rows = _questions(t).select("id", "question", tx.year_range(F.col("question")).alias("y")).select("id", "question", "y.*")
-    return rows.select("id", "year_from", "year_to", tx.temporal_mode(F.col("question"), F.col("year_from"), F.col("year_to")).alias("mode"))
-
-
-@query(f"""WITH {ASKED} SELECT id, regexp_matches(question, '(?i)(哪一年|哪年|哪些年|几年|最早|首次|第一次|历年|变化|when did|what year|which year|first mention|earliest|latest|over\\s+time)') AS timeline,
-regexp_matches(question, '(?i)(比较|对比|区别|vs\\.?|versus|相比|compared?\\s+to)') AS compare, CASE WHEN regexp_matches(question, '(?i)(怎么看|看法|认为|原则|方法|如何|怎么做|approach|philosophy|principle|framework|why)') THEN 'method' ELSE 'fact' END AS task FROM q""")
-def planner_rules(t: Tables):
-    c = F.col("question")
-    return _questions(t).select("id", c.rlike(tx.TEMPORAL).alias("timeline"), c.rlike(tx.COMPARE).alias("compare"), F.when(c.rlike(tx.METHOD), "method").otherwise("fact").alias("task"))
 
 
 @query("WITH" + CHUNK + " SELECT chunk_id, ord, content, (SELECT ceil(count(*) / 10)::BIGINT FROM chunk WHERE source = 'src3') AS total_pages FROM (SELECT * FROM chunk WHERE source = 'src3' ORDER BY chunk_id LIMIT 10 OFFSET 10)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.portfolio import with_weights
 from tessella.operators.relational import top_k
+from tessella.sources.shared import written
 
 HOLDING = """
 holding AS (
@@ -25,7 +26,7 @@ financial AS (
 
 CHUNK = r"""
 chunk AS (
-  SELECT doc_id * 1000 + ord AS chunk_id, doc_id, ord, 1965 + doc_id % 61 AS year, source, lang, content
+  SELECT doc_id * 4294967296 + ord AS chunk_id, doc_id, ord, 1965 + doc_id % 61 AS year, source, lang, content
   FROM (SELECT doc_id, source, lang, unnest(regexp_split_to_array(text, '\n+')) AS content, generate_subscripts(regexp_split_to_array(text, '\n+'), 1) AS ord FROM documents))"""
 
 
@@ -44,7 +45,8 @@ def holding(t, latest: int | None = None, upto: int | None = None) -> DataFrame:
     if latest is not None:
         pairs = lines.select((F.col("l_suppkey") % 3).alias("h"), _ordinal(at).alias("own_q")).distinct()
         pairs = pairs if upto is None else pairs.filter(F.col("own_q") <= upto)
-        kept = top_k(pairs, ["h"], [F.desc("own_q")], latest)
+        # written, so that Spark knows how few they are before it plans the join with all lines
+        kept = written(top_k(pairs, ["h"], [F.desc("own_q")], latest), "quarters")
         lines = lines.join(kept, (F.col("l_suppkey") % 3 == F.col("h")) & (_ordinal(at) == F.col("own_q")))
     rows = lines.select((F.col("l_suppkey") % 3).alias("holder_id"), F.col("l_partkey").alias("security_id"), F.year(at).alias("period_year"), F.quarter(at).alias("period_quarter"), "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
     out = rows.groupBy("holder_id", "security_id", "period_year", "period_quarter").agg(F.sum("l_quantity").cast("long").alias("shares"), F.round(F.sum("price")).cast("long").alias("value_usd"))
@@ -70,4 +72,4 @@ def financial(t) -> DataFrame:
 def chunk(t) -> DataFrame:
     """chunk_id, doc_id, ord (from 1), year, source, lang, content: a row for each paragraph."""
     rows = t.documents.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n+")).alias("pos", "content"))
-    return rows.select((F.col("doc_id") * 1000 + F.col("pos") + 1).alias("chunk_id"), "doc_id", (F.col("pos") + 1).cast("long").alias("ord"), (1965 + F.col("doc_id") % 61).alias("year"), "source", "lang", "content")
+    return rows.select((F.col("doc_id") * F.lit(2**32) + F.col("pos") + 1).alias("chunk_id"), "doc_id", (F.col("pos") + 1).cast("long").alias("ord"), (1965 + F.col("doc_id") % 61).alias("year"), "source", "lang", "content")
