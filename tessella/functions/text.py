@@ -32,9 +32,9 @@ HEADER_LINES = ("原文信息", "- 标题", "- 作者", "- 发表", "- 链接",
 
 # Words that do not have to be in a hit.
 STOP_WORDS = (
-    "the and for with what when which who whom where why how did does have has about into from that this your you will were been over time "
-    "first earliest latest mention mentioned"
-).split()
+    "the", "and", "for", "with", "what", "when", "which", "who", "whom", "where", "why", "how", "did", "does", "have", "has", "about", "into", "from", "that", "this",
+    "your", "you", "will", "were", "been", "over", "time", "first", "earliest", "latest", "mention", "mentioned",
+)
 
 # Names and topics that a question's words stand for.
 GLOSSARY = ((r"前进保险|前进公司", "Progressive Corporation"), (r"伯克希尔", "Berkshire Hathaway"))
@@ -54,7 +54,7 @@ def ascii_tokens(c: Column) -> Column:
     """Distinct Latin tokens of two characters at least, in order, without stop words."""
     raw = F.regexp_extract_all(c, F.lit(r"[A-Za-z][A-Za-z0-9.&'-]*"), F.lit(0))
     trimmed = F.transform(raw, lambda w: F.regexp_replace(w, r"[^A-Za-z0-9]+$", ""))
-    return F.array_distinct(F.filter(trimmed, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(STOP_WORDS)))
+    return F.array_distinct(F.filter(trimmed, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(*STOP_WORDS)))
 
 
 def strict_tokens(keywords: Column, question: Column, most: int = 8) -> Column:

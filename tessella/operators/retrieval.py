@@ -6,14 +6,17 @@ Hits are DataFrames (id, year, score, ...) with a rank column. Steps stay one la
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.functions.vectors import cosine
+from tessella.operators import plans_of_models
+from tessella.operators.graph import one_hop
 from tessella.operators.relational import top_k
 
 RRF_K = 50
@@ -33,6 +36,12 @@ class Plan:
     year_to: int | None = None
     keywords: str = ""
     entities: tuple[str, ...] = field(default_factory=tuple)
+    confidence: float = 0.55
+    needs_retrieval: bool = True
+
+    @property
+    def order(self) -> str:
+        return "asc" if self.timeline else "relevance"
 
     @property
     def kind(self) -> str:
@@ -46,11 +55,16 @@ class Plan:
         return keyword, semantic, 18 if self.timeline else 7
 
 
+def named(question: str) -> str:
+    """A question with the names that the glossary's words stand for."""
+    for pattern, name in tx.GLOSSARY:
+        question = re.sub(pattern, name, question)
+    return question
+
+
 def plan(question: str) -> Plan:
     """The rules' plan of a question; a plan from elsewhere can be passed in its stead."""
-    text = question
-    for pattern, name in tx.GLOSSARY:
-        text = re.sub(pattern, name, text)
+    text = named(question)
     years = sorted(int(y) for y in re.findall(r"(?:19|20)\d{2}", text))
     has = lambda p: re.search(p, text) is not None
     low, high = (years[0], years[-1]) if years else (None, None)
@@ -58,6 +72,44 @@ def plan(question: str) -> Plan:
     return Plan("method" if has(tx.METHOD) else "fact", has(tx.TEMPORAL), has(tx.COMPARE), mode, low, high, text)
 
 
+def is_plain(question: str) -> bool:
+    """Whether the rules are enough: small talk, and questions of fifteen characters at most."""
+    short = question.strip()
+    return len(short) <= 15 or bool(re.search(tx.CHAT, short)) or len(short) <= 12 and bool(re.search(tx.CHAT_START, short))
+
+
+def understood(spark: SparkSession, question: str, model: Callable[[str], str] | None = None) -> Plan:
+    """The plan of a question: the rules' where they are enough or there is no model, else what the model (a function from the
+    question to a reply) says, as far as its reply can be used."""
+    if model is None or is_plain(question):
+        return replace(plan(question), confidence=0.9)
+    asked = named(question)
+    rows = spark.createDataFrame([(model(asked), asked)], "reply string, question string")
+    r = plans_of_models.lenient_plan(rows, "reply", "question").first()
+    return Plan(r.task, r.timeline, r.compare, r.temporal_mode, r.year_from, r.year_to, r.keywords, tuple(r.entities), r.confidence, r.needs_retrieval)
+
+
+def anchored(keywords: str, question: str) -> str:
+    """Keywords behind the anchors that the question's words stand for and the keywords lack, as alternatives."""
+    base = keywords.strip()
+    found = [a for p, a in tx.ANCHORS if re.search(p, question) and a.lower() not in base.lower()] if base else []
+    return " | ".join([*found, base])
+
+
+def ascii_tokens(text: str) -> list[str]:
+    """Distinct Latin tokens of two characters at least, in order, without stop words."""
+    found = (re.sub(r"[^A-Za-z0-9]+$", "", t) for t in re.findall(r"[A-Za-z][A-Za-z0-9.&'-]*", text))
+    return list(dict.fromkeys(t for t in found if len(t) >= 2 and t.lower() not in tx.STOP_WORDS))
+
+
+def strict_tokens(keywords: str, question: str, entities: tuple[str, ...] = (), most: int = 8) -> list[str]:
+    """Tokens that a hit has to have: those of the entities, of the keywords' first alternative, and the question's that are long
+    or in capitals."""
+    own = [t for t in ascii_tokens(question) if t.upper() == t or len(t) >= 4]
+    of_entities = [t for e in entities for t in ascii_tokens(e)]
+    return list(dict.fromkeys([*of_entities, *ascii_tokens(keywords.split("|")[0].strip()), *own]))[:most]
+
+
 def in_years(df: DataFrame, low: int | None, high: int | None) -> DataFrame:
     """Rows of the years from low to high, both inside; None is open. Nothing is added to the plan for an open end."""
     if low is not None:
@@ -225,21 +277,46 @@ class Cache:
         self.held[k] = now, value
 
 
-def search(rows: DataFrame, question: str, query_vector: list[float] | None = None, asked: Plan | None = None, text: str = "content", key: str = "id", limit: int | None = None) -> DataFrame:
-    """key, score, retrieval, rank: hits of a question in rows (key, year, text, embedding). A timeline takes one hit of each year.
-    Where neither keywords nor vectors hit, the question's own words are a full text query of ten hits."""
-    p = asked or plan(question)
+def any_hits(rows: DataFrame, text: str, alternatives: list[list[str]]) -> DataFrame:
+    """Rows that hold all tokens of an alternative, scored by how often they hold any for their length."""
+    c = F.col(text)
+    alternatives = [a for a in alternatives if a]
+    if not alternatives:
+        return rows.filter("false").withColumn("score", F.lit(0.0))
+    tokens = sorted({t.lower() for a in alternatives for t in a})
+    n = sum((F.regexp_count(F.lower(c), F.lit(re.escape(t))) for t in tokens), F.lit(0))
+    return rows.filter(reduce(lambda x, y: x | y, (tx.has_all(c, a) for a in alternatives))).withColumn("score", F.round(n / F.sqrt(F.length(c).cast("double")), 6))
+
+
+def in_order(hits: DataFrame, order: str, distinct_years: bool, key: str = "id") -> DataFrame:
+    """A few ranked hits, by year up ('asc') or down ('desc') with the larger score first, or as they are ('relevance'), ranked anew.
+    distinct_years: of each year the one that stood first."""
+    own = top_k(hits, ["year"], [F.col("rank")]) if distinct_years else hits
+    by = {"asc": [F.col("year"), F.desc("score")], "desc": [F.desc("year"), F.desc("score")], "relevance": []}[order]
+    return own.withColumnRenamed("rank", "_at").withColumn("rank", F.row_number().over(Window.orderBy(*by, "_at"))).drop("_at")
+
+
+def search(rows: DataFrame, question: str, query_vector: list[float] | None = None, asked: Plan | None = None, text: str = "content", key: str = "id", limit: int | None = None, model: Callable[[str], str] | None = None, order: str | None = None) -> DataFrame:
+    """key, year, score, retrieval, rank: hits of a question in rows (key, year, text, embedding).
+
+    The question's plan is asked, or the model's, or the rules'. Keywords get the anchors of the question's words as alternatives. A
+    timeline takes one hit of each year, the earliest first, and where the question is whether something is mentioned, a hit has
+    to have its strict tokens. Where neither keywords nor vectors hit, the question's own words are a full text query of ten
+    hits. A comparison of two entities gets hits of the one that is missing. order: of the result, the plan's if None.
+    A plan that needs no retrieval gives no rows.
+    """
+    p = asked or understood(rows.sparkSession, question, model)
     keyword_n, semantic_n, fused_n = p.budgets
-    own = in_years(rows, p.year_from, p.year_to)
-    found = [t.strip(".'&-") for t in re.findall(r"[A-Za-z][A-Za-z0-9.&'-]*", p.keywords)]
-    tokens = list(dict.fromkeys(t for t in found if len(t) >= 4 and t.lower() not in tx.STOP_WORDS))[:8]
+    own = in_years(rows, p.year_from, p.year_to) if p.needs_retrieval else rows.filter("false")
+    keywords = anchored(p.keywords, question)
     bare = own.drop("embedding")
     if p.timeline:
-        hits = timeline_hits(bare, text, p.keywords, tokens, keyword_n, key)
+        strict = strict_tokens(keywords, question, p.entities) if re.search(tx.MENTION, question) else []
+        hits = timeline_hits(bare, text, keywords, strict, keyword_n, key)
         keyword = ranked(hits, keyword_n, F.col("year"), F.desc("score"), F.col(key))
     else:
-        hits = keyword_hits(bare, text, tokens) if tokens else bare.filter("false").withColumn("score", F.lit(0.0))
-        keyword = ranked(hits, keyword_n, F.desc("score"), F.col(key))
+        tokens = [[t for t in ascii_tokens(part) if len(t) >= 4][:8] for part in keywords.split("|")]
+        keyword = ranked(any_hits(bare, text, tokens), keyword_n, F.desc("score"), F.col(key))
     keyword = keyword.select(key, "score", "rank")
     if query_vector is None:
         semantic = keyword.filter("false")
@@ -248,4 +325,36 @@ def search(rows: DataFrame, question: str, query_vector: list[float] | None = No
     most = min(max(limit or fused_n, 1), 20)
     fused = fuse(keyword, semantic, WEIGHTS[p.kind], most, key)
     raw = ranked(web_hits(bare, text, web_query(question)), 10, F.desc("score"), F.col(key))
-    return otherwise(fused, raw.select(key, "score", F.lit("keyword").alias("retrieval"), "rank"))
+    found = otherwise(fused, raw.select(key, "score", F.lit("keyword").alias("retrieval"), "rank"))
+    if p.compare and len(p.entities) > 1:
+        pair = (p.entities[0], p.entities[1])
+        with_text = found.join(bare.select(key, text), key)
+        extra = any_hits(bare, text, [[w for w in e.split() if len(w) >= 3] for e in pair]).select(key, text, "score")
+        scores = cover_missing(with_text, extra, text, pair, key=key).select(key, "score")
+        both = scores.join(found.select(key, "retrieval", F.col("rank").alias("_r")), key, "left")
+        last = both.withColumn("retrieval", F.coalesce("retrieval", F.lit("keyword")))
+        found = ranked(last, 20 + 8, F.col("_r").asc_nulls_last(), F.desc("score"), F.col(key)).drop("_r")
+    years = bare.select(key, "year") if "year" in bare.columns else bare.select(key, F.lit(None).cast("int").alias("year"))
+    return in_order(found.join(years, key), order or p.order, p.timeline, key).select(key, "year", "score", "retrieval", "rank")
+
+
+def search_tool(rows: DataFrame, question: str, year_from: int | None = None, year_to: int | None = None, limit: int = 7, text: str = "content", key: str = "id", **how) -> DataFrame:
+    """key, year, excerpt (600 characters), retrieval, rank of a question's hits in a range of years, as tools are given them."""
+    hits = in_years(search(rows, question, text=text, key=key, **how), year_from, year_to)
+    hits = hits.orderBy("rank").limit(min(max(limit, 1), 20))
+    return hits.join(rows.select(key, F.substring(text, 1, 600).alias("excerpt")), key).select(key, "year", "excerpt", "retrieval", "rank")
+
+
+def document_tool(chunks: DataFrame, sources: DataFrame, source: str | None = None, year: int | None = None, number: int = 1, size: int = 10) -> DataFrame:
+    """Page `number` of a source's chunks (source, ord, ...) with total_pages: of the source that is named, or of the latest one of a
+    year (of all years if None). sources: (source, year)."""
+    found = sources if source is None else sources.filter(F.col("source") == source)
+    if source is None and year is not None:
+        found = found.filter(F.col("year") == year)
+    one = found.orderBy(F.desc("year"), "source").limit(1).select("source")
+    return page(chunks.join(F.broadcast(one), "source", "left_semi"), number, size, F.col("ord"))
+
+
+def graph_tool(edges: DataFrame, nodes: DataFrame, entity: str, year_from: int | None = None, year_to: int | None = None, limit: int = 12) -> DataFrame:
+    """The relations of an entity, latest first."""
+    return one_hop(edges, nodes, [entity.lower()], year_from, year_to, limit)

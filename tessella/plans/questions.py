@@ -139,3 +139,60 @@ def search_without_hits(t: Tables):
     raw = r.search(rows, "was for", text="text").withColumn("asked", F.lit("raw"))
     none = r.search(rows, "zzzq for was", text="text").withColumn("asked", F.lit("none"))
     return raw.unionByName(none).select("asked", "id", "score", "retrieval", "rank")
+
+
+def _anchor_sql(keywords: str, question: str) -> str:
+    found = ", ".join(f"CASE WHEN regexp_matches({question}, '{p}') AND NOT contains(lower({keywords}), '{a.lower()}') THEN '{a}' END" for p, a in tx.ANCHORS)
+    return f"array_to_string(list_filter([{found}, trim({keywords})], lambda x: x IS NOT NULL), ' | ')"
+
+
+ANCHORED = f"""{ASKED}, n AS (SELECT conv_id, turn, question, regexp_replace(regexp_replace(question, '{tx.GLOSSARY[0][0]}', '{tx.GLOSSARY[0][1]}', 'g'), '{tx.GLOSSARY[1][0]}', '{tx.GLOSSARY[1][1]}', 'g') AS named FROM asked),
+k AS (SELECT *, {_anchor_sql("named", "question")} AS keywords FROM n)"""
+
+
+@query(f"WITH {ANCHORED} SELECT conv_id, turn, keywords FROM k")
+def question_anchors(t: Tables):
+    """Questions with glossary names, behind the anchors of their words."""
+    return asked(t).select("conv_id", "turn", tx.anchored(tx.glossary(F.col("question")), F.col("question")).alias("keywords"))
+
+
+def _tokens_sql(c: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+    return f"list_filter(list_transform(regexp_extract_all({c}, '[A-Za-z][A-Za-z0-9.&''-]*'), lambda w: regexp_replace(w, '[^A-Za-z0-9]+$', '')), lambda w: len(w) >= 2 AND lower(w) NOT IN ({stop}))"
+
+
+@query(f"""WITH {ANCHORED}, l AS (SELECT conv_id, turn, list_concat({_tokens_sql("trim(split_part(keywords, '|', 1))")}, list_filter({_tokens_sql("question")}, lambda w: upper(w) = w OR len(w) >= 4)) AS x FROM k)
+SELECT conv_id, turn, array_to_string(list_filter(x, lambda w, i: list_position(x, w) = i)[1:8], ' ') AS tokens FROM l""")
+def question_strict_tokens(t: Tables):
+    """The tokens that a hit of each question has to have."""
+    keywords = tx.anchored(tx.glossary(F.col("question")), F.col("question"))
+    return asked(t).select("conv_id", "turn", F.array_join(tx.strict_tokens(keywords, F.col("question")), " ").alias("tokens"))
+
+
+@query(f"""WITH {DOCS}, a AS (SELECT id, year FROM docs WHERE contains(text, 'of the') QUALIFY row_number() OVER (PARTITION BY year ORDER BY id) = 1 ORDER BY year LIMIT 26),
+r AS (SELECT id, year, row_number() OVER (ORDER BY year, id) AS k FROM a),
+f AS (SELECT id, year, round(0.6::DOUBLE / (50 + k), 9) AS score, row_number() OVER (ORDER BY k) AS pos FROM r QUALIFY pos <= 18)
+SELECT way, id, year, score, retrieval, rank FROM (SELECT 'asc' AS way, id, year, score, 'keyword' AS retrieval, (row_number() OVER (ORDER BY year, score DESC, pos))::INT AS rank FROM f
+UNION ALL SELECT 'desc', id, year, score, 'keyword', (row_number() OVER (ORDER BY year DESC, score DESC, pos))::INT FROM f)""")
+def search_orders(t: Tables):
+    """A timeline of the earliest hits of each year, in its own order and the other way round."""
+    p = r.Plan("fact", timeline=True, keywords="of the | with")
+    rows = docs(t)
+    found = [r.search(rows, "over time", asked=p, text="text", order=o).withColumn("way", F.lit(w)) for w, o in (("asc", None), ("desc", "desc"))]
+    return found[0].unionByName(found[1]).select("way", "id", "year", "score", "retrieval", "rank")
+
+
+@query(f"""WITH {DOCS}, k AS (SELECT id, year, text, round((len(regexp_extract_all(lower(text), 'avec')) + len(regexp_extract_all(lower(text), 'dans'))) / sqrt(len(text)::DOUBLE), 6) AS s FROM docs WHERE {_sql_holds('dans')} OR {_sql_holds('avec')})
+SELECT id, year, substr(text, 1, 600) AS excerpt, 'keyword' AS retrieval, (row_number() OVER (ORDER BY s DESC, id))::INT AS rank FROM k QUALIFY rank <= 5""")
+def search_tool(t: Tables):
+    """Five hits for either of two alternatives, as tools are given them."""
+    p = r.Plan("fact", keywords="dans | avec")
+    return r.search_tool(docs(t), "avec", limit=5, text="text", asked=p)
+
+
+@query("""WITH s AS (SELECT source, max(1965 + doc_id % 61) AS year FROM documents GROUP BY source), one AS (SELECT source FROM s ORDER BY year DESC, source LIMIT 1), c AS (SELECT doc_id, source, lang FROM documents WHERE source IN (SELECT source FROM one))
+SELECT doc_id AS ord, source, lang, (SELECT ceil(count(*) / 10)::BIGINT FROM c) AS total_pages FROM c ORDER BY doc_id LIMIT 10""")
+def document_tool(t: Tables):
+    """The first page of the source with the latest document."""
+    sources = t.documents.groupBy("source").agg(F.max(1965 + F.col("doc_id") % 61).alias("year"))
+    return r.document_tool(t.documents.select(F.col("doc_id").alias("ord"), "source", "lang"), sources)

@@ -196,3 +196,36 @@ def test_search_asks_the_raw_question_where_nothing_hits(spark):
     assert [(r.id, r.retrieval, r["rank"]) for r in found] == [(1, "keyword", 1)]
     assert retrieval.search(rows, "zzzq for").count() == 0
     assert {r.id for r in retrieval.search(rows, "was for", [0.0, 1.0]).collect()} == {1, 2}
+
+
+def test_plans_of_models_are_asked_for_longer_questions_only(spark):
+    calls = []
+
+    def model(question):
+        calls.append(question)
+        return 'Sure: {"task_type": "method", "temporal_mode": "none", "entities": ["GEICO", "Progressive"], "keyword_query": "float vs moat", "needs_retrieval": true, "confidence": 0.8}'
+
+    assert retrieval.understood(spark, "hi there", model).confidence == 0.9 and calls == []
+    p = retrieval.understood(spark, "What is said of 前进保险 and its float?", model)
+    assert calls == ["What is said of Progressive Corporation and its float?"]
+    assert (p.task, p.compare, p.entities, p.confidence) == ("method", True, ("GEICO", "Progressive"), 0.8)
+
+
+def test_anchors_and_strict_tokens():
+    assert retrieval.anchored("apple", "Is Apple a moat?") == "economic moat | Apple AAPL | apple"
+    assert retrieval.anchored(" ", "moat") == ""
+    assert retrieval.strict_tokens("float | moat", "Was the USA mentioned by GEICO?", ("See's Candies",)) == ["See's", "Candies", "float", "USA", "GEICO"]
+
+
+def test_search_in_orders_with_years_and_comparison(spark):
+    rows = [(k, 2000 + k % 3, f"insurance float number {k}", None) for k in range(9)] + [(50, 2010, "Progressive writes policies", None)]
+    df = spark.createDataFrame(rows, "id int, year int, content string, embedding array<double>")
+    timeline = retrieval.Plan(timeline=True, keywords="insurance float")
+    assert [(r.year, r.rank) for r in retrieval.search(df, "over time", asked=timeline).orderBy("rank").collect()] == [(2000, 1), (2001, 2), (2002, 3)]
+    assert [r.year for r in retrieval.search(df, "over time", asked=timeline, order="desc").orderBy("rank").collect()] == [2002, 2001, 2000]
+    both = retrieval.Plan(compare=True, keywords="insurance float", entities=("insurance", "Progressive"))
+    found = retrieval.search(df, "insurance vs Progressive", asked=both).collect()
+    assert 50 in {r.id for r in found} and sorted(r.rank for r in found) == list(range(1, len(found) + 1))
+    assert retrieval.search(df, "insurance float", asked=retrieval.Plan(needs_retrieval=False, keywords="insurance float")).count() == 0
+    mention = retrieval.Plan(timeline=True, keywords="insurance float", entities=("Progressive",))
+    assert retrieval.search(df, "is it mentioned", asked=mention).count() == 0  # no hit has the strict token
