@@ -24,6 +24,8 @@ NEVER = np.int32(2**31 - 1)
 ELEMENTS = 1 << 21
 #: Longer words are cut where no piece reaches across.
 LONG = 64
+#: Longer parts of merged vocabularies go by themselves, as they have few or no others of their length to advance with.
+LONE = 1024
 
 
 def _sieve(keys: np.ndarray) -> np.ndarray:
@@ -89,6 +91,8 @@ class Pieces:
                     usable[i] = True
                     if last:
                         self.left[i], self.right[i], self.rank[i] = last
+            self.strings = {"".join(map(chr, s)): i for i, s in self.symbols.items() if usable[i]}
+            self.automaton, self.met = None, {}
             keep = usable[self.ids]
             self.keys, self.ids = self.keys[keep], self.ids[keep]
             self.sieve = _sieve(self.keys)
@@ -150,10 +154,45 @@ class Pieces:
             count[j] = count[j - back[j], rows] + 1
         return last, back, count
 
+    def __getstate__(self):
+        return self.__dict__ | {"automaton": None, "met": {}}
+
+    def alone(self, codes: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+        """What advance() gives for one long word of a merged vocabulary, position by position: an automaton lists the pieces that
+        end there, and whether a piece fits behind another is looked up once."""
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for piece, i in self.strings.items():
+                self.automaton.add_word(piece, (len(piece), i))
+            self.automaton.make_automaton()
+        met, done = self.met, 0
+        last, back, count = ([v] * (len(codes) + 1) for v in (-1, 0, 0))
+        for end, (length, piece) in self.automaton.iter("".join(map(chr, codes.tolist()))):
+            j = end + 1
+            if j == done:
+                continue
+            pair = (last[j - length], piece)
+            fit = met.get(pair)
+            if fit is None:
+                fit = met[pair] = bool(self.fits(*(np.array([x]) for x in pair))[0])
+            if fit:
+                done, last[j], back[j], count[j] = j, piece, length, count[j - length] + 1
+        if len(met) > ELEMENTS:
+            met.clear()
+        return last, back, count
+
+    def lone(self, words: list) -> set[int]:
+        return {i for i, w in enumerate(words) if len(w) > LONE} if self.scores is None else set()
+
     def groups(self, words: list, to_codes) -> Iterator[tuple[list[int], np.ndarray]]:
-        """Indexes of words of one length, and their codes, in blocks of bounded size."""
+        """Indexes of words of one length, and their codes, in blocks of bounded size; lone ones are left out."""
         by_length: dict[int, list[int]] = {}
+        lone = self.lone(words)
         for i, w in enumerate(words):
+            if i in lone:
+                continue
             by_length.setdefault(len(w), []).append(i)
         for length, own in by_length.items():
             block = max(1, ELEMENTS // (length * min(length, self.longest)))
@@ -189,6 +228,13 @@ class Pieces:
         """The ids of each word's pieces, in the order of words."""
         parts, of = self.parts_of(words, to_codes)
         out: list = [None] * len(parts)
+        for i in self.lone(parts):
+            last, back, _ = self.alone(to_codes([parts[i]]))
+            own, at = [], len(last) - 1
+            while at > 0:
+                own.append(last[at])
+                at -= back[at]
+            out[i] = np.array(own[::-1], np.int32)
         for part, codes in self.groups(parts, to_codes):
             last, back, count = self.advance(codes)
             rows, at, steps = np.arange(len(part)), np.full(len(part), codes.shape[1]), []
@@ -205,6 +251,8 @@ class Pieces:
         """The number of pieces of every prefix of each word, the empty one first."""
         parts, of = self.parts_of(words, to_codes)
         out: list = [None] * len(parts)
+        for i in self.lone(parts):
+            out[i] = np.array(self.alone(to_codes([parts[i]]))[2], np.int32)
         for part, codes in self.groups(parts, to_codes):
             for i, x in zip(part, np.ascontiguousarray(self.advance(codes)[2].T), strict=True):
                 out[i] = x
