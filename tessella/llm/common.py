@@ -51,11 +51,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends there, lost executors recompute
-    nothing above it, and Spark knows the size of what it reads, so its own size check decides on broadcasts."""
+    nothing above it, and Spark knows the size of what it reads, so its own size check decides on broadcasts. What a caller
+    does not forget() is left to the folder's owner to clear."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes the files of a written table behind its last read: tables made from it have to be written themselves."""
+    spark = table.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_at)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Words of 64 bits of a bitmap at least and at most: 16 MB, whatever the input.

@@ -1,16 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models of words given the word before.
 
 Each class (toxic, ordinary) has counts of pairs of words. A class's estimate of a word is its number of left contexts,
-discounted, and what discounting frees goes to the counts that both classes share; its estimate of a word given the one
-before is its count of the pair, discounted, and backs off to the shared estimate of the pair, moved by what the class's
-and the shared estimate of the word differ. So an expression that is rare in both classes has nearly the same estimates.
+discounted, and what discounting frees goes to the counts that both classes share. Its estimate of a word given the one before
+interpolates between that and its discounted counts of the pair, to which the shared counts of the pair are added `prior` times.
+How much the pairs of a first word weigh is a matter of its shared counts, so it is the same in both classes: a pair that stands
+once in all has no count left after discounting in either class, and its ratio is exactly its word's. So an expression that is rare
+in both classes has nearly the same estimates, and only pairs that stand twice need a place in the table. Both estimates are
+distributions.
 
 A toxic text is a mixture: most of its words are ordinary ones and a share of them comes from the toxic model. Its
 log-likelihood less that of the ordinary model, over all words and divided by their number, is what a score grows with.
 
-Pairs whose counts hardly move the estimates back off to their words (as n-gram models are pruned). What a word or a pair
-adds is a table in files. The most frequent words' part of it, of fixed size, is in memory; other words and pairs of a text
-are joined with the table if they may stand in it.
+What a word or a pair adds is a table in files. The most frequent words' part of it, of fixed size, is in memory; other words and
+pairs of a text are joined with the table if they may stand in it.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import MOST_WORDS, held_out, maybe_among, row_id, table, texts, written
+from tessella.llm.common import MOST_WORDS, forget, held_out, maybe_among, row_id, table, texts, written
 from tessella.llm.hashes import LETTERS, word_hashes
 from tessella.llm.token_counts import _chunks
 
@@ -38,17 +40,16 @@ START, TURN = np.uint64(0x9E3779B97F4A7C15), 17
 
 @dataclass(frozen=True)
 class Smoothing:
-    """word_discount, pair_discount: taken from counts of contexts and of pairs. strength, floor: a pair backs off with the
-    weight of `strength` times the count of its first word and `floor` besides. share: of a toxic text's words that come
-    from the toxic model. pad: words added to a text's length. least: pairs that move the log ratio by less back off."""
+    """word_discount, pair_discount: taken from counts of contexts and of pairs. prior: pairs that a class has from the shared
+    counts before its own. floor: added to a first word's count, so that a rare one's pairs weigh less. share: of a toxic
+    text's words that come from the toxic model. pad: words added to a text's length."""
 
     word_discount: float = 0.75
     pair_discount: float = 1.0
-    strength: float = 0.5
+    prior: float = 1000.0
     floor: float = 20.0
     share: float = 0.005
     pad: int = 30
-    least: float = 0.5
 
 
 @dataclass(frozen=True)
@@ -106,10 +107,10 @@ def pair_counts(rows: DataFrame) -> DataFrame:
                 toxic = batch.toxic.to_numpy()[at : at + len(part)][who]
                 at += len(part)
                 keys, first, place = np.unique(pairs, return_index=True, return_inverse=True)
-                t, every = np.bincount(place, toxic, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
+                t, every = (x.astype(np.int32) for x in (np.bincount(place, toxic, len(keys)), np.bincount(place, minlength=len(keys))))
                 yield pd.DataFrame({"w": words[first].view(np.int64), "l": left[first].view(np.int64), "t": t, "o": every - t})
 
-    counted = rows.select("toxic", "text").mapInPandas(count, "w long, l long, t long, o long")
+    counted = rows.select("toxic", "text").mapInPandas(count, "w long, l long, t int, o int")
     return counted.groupBy("w", "l").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
@@ -137,21 +138,21 @@ def model_parts(pairs: DataFrame, s: Smoothing) -> tuple[DataFrame | None, float
     own = F.log(F.col("p_t") / F.col("p_o"))
     words = written(stats.select(F.col("w").alias("key"), "n", (_adds(own, s.share) - base).alias("part")), "toxicity-parts-of-words")
 
-    # a pair that stands once has no count left after discounting, so only the shared estimate, which cancels
-    met = pairs.filter(F.greatest("t", "o") > s.pair_discount).join(stats.drop("n"), "w")
-    lefts = pairs.groupBy("l").agg(F.sum("t").alias("c_t"), F.sum("o").alias("c_o"), F.count_if(F.col("t") > 0).alias("k_t"), F.count_if(F.col("o") > 0).alias("k_o"), F.count("*").alias("k"))
+    d = s.pair_discount
+    over = lambda c: F.greatest(c - d, F.lit(0.0))  # noqa: E731  what discounting leaves of a count
+    t, o = F.col("t"), F.col("o")
+    met = pairs.filter(t + o > d).join(stats.drop("n"), "w")
+    lefts = pairs.groupBy("l").agg(F.sum(t + o).alias("c"), F.sum(over(t + o)).alias("r"), F.sum(over(t)).alias("r_t"), F.sum(over(o)).alias("r_o")).filter("r > 0")
     met = met.join(lefts, "l")
-    both = (F.greatest(F.col("t") + F.col("o") - s.pair_discount, F.lit(0.0)) + s.pair_discount * F.col("k") * F.col("ps")) / (F.col("c_t") + F.col("c_o"))
+    weight = F.col("r") / (F.col("c") + s.floor)
+    shared_pair = over(t + o) / F.col("r")
 
     def given(c: str) -> Column:
-        before = both * F.col(f"p_{c}") / F.col("ps")
-        weight = s.strength * F.col(f"c_{c}") + s.floor
-        seen = (F.greatest(F.col(c) - s.pair_discount, F.lit(0.0)) + (s.pair_discount * F.col(f"k_{c}") + weight) * before) / (F.col(f"c_{c}") + weight)
-        return F.when(F.col(f"c_{c}") > 0, seen).otherwise(before)
+        own = (over(F.col(c)) + s.prior * shared_pair) / (F.col(f"r_{c}") + s.prior)
+        return weight * own + (1 - weight) * F.col(f"p_{c}")
 
-    ratio = F.log(given("t") / given("o"))
-    kept = met.select(pair_key(F.col("w"), F.col("l")).alias("key"), own.alias("own"), ratio.alias("ratio")).filter(F.abs(F.col("ratio") - F.col("own")) >= s.least)
-    return kept.select("key", (_adds(F.col("ratio"), s.share) - _adds(F.col("own"), s.share)).alias("part")), base, words
+    added = _adds(F.log(given("t") / given("o")), s.share) - _adds(own, s.share)
+    return met.select(pair_key(F.col("w"), F.col("l")).alias("key"), added.alias("part")), base, words
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -159,9 +160,10 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     n = min(MOST_WORDS, 1 << max(6, (keys.count() // 4).bit_length()))
     at, bit = F.col("key").bitwiseAND(n - 1), F.shiftrightunsigned("key", 58).cast("int")
     bits = keys.select(at.alias("at"), F.lit(1).cast("long").alias("one"), bit.alias("bit"))
-    found = bits.groupBy("at").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("m")).toArrow().to_pandas()
+    found = bits.groupBy("at").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("m")).toArrow()
     out = np.zeros(n, np.uint64)
-    out[found["at"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64).view(np.uint64)
+    for part in found.to_batches():
+        out[part["at"].to_numpy()] = part["m"].to_numpy().view(np.uint64)
     return out
 
 
@@ -183,13 +185,16 @@ def fit(docs: DataFrame, labels: DataFrame, smoothing: Smoothing = Smoothing(),
     of_pairs, base, words = model_parts(pairs, smoothing)
     if words is None:
         return ToxicModel(None)
-    top = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow().to_pandas()
-    n_last, key_last = F.lit(int(top.n.iloc[-1])), F.lit(int(top.key.iloc[-1]))
+    top = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
+    head_keys, head_n, head_parts = (top[c].to_numpy() for c in ("key", "n", "part"))
+    n_last, key_last = F.lit(int(head_n[-1])), F.lit(int(head_keys[-1]))
     rest = words.filter((F.col("n") < n_last) | (F.col("n") == n_last) & (F.col("key") > key_last)).select("key", "part")
     parts = written(rest.unionByName(of_pairs), "toxicity-parts")
-    keys = top.key.to_numpy(np.int64).view(np.uint64)
+    forget(pairs)
+    forget(words)
+    keys = head_keys.view(np.uint64)
     order = np.argsort(keys)
-    model = ToxicModel(parts, base, (keys[order], top.part.to_numpy(float)[order]), _bitmap(parts), smoothing)
+    model = ToxicModel(parts, base, (keys[order], head_parts[order]), _bitmap(parts), smoothing)
     fitted = rows.filter(F.col("nth") < 10**6)
     share = min(1.0, fit_rows / max(1, fitted.count()))
     means = _means(fitted.filter(F.col("nth") < share * 10**6), model, "toxic").select("toxic", "mean").toPandas()

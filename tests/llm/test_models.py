@@ -20,46 +20,56 @@ def pairs_of(text):
     return list(zip([None, *w], w))
 
 
-def brute_means(learned, texts, s):
-    """Mean log ratio of the mixture by text, from (text, toxic) rows."""
-    t, o = Counter(), Counter()
+def brute_model(learned, s):
+    """word(k, w), given(k, l, w) of the classes (0: toxic) and all words, from (text, toxic) rows, by the formulas of interpolated
+    absolute discounting."""
+    counts = Counter(), Counter()
     for text, toxic in learned:
-        (t if toxic else o).update(pairs_of(text))
-    pairs = set(t) | set(o)
-    n_t, n_o, n = (Counter(w for _, w in c) for c in (t, o, pairs))
-    sums = [sum(c.values()) for c in (n_t, n_o, n)]
-    free = [sum(min(v, s.word_discount) for v in c.values()) for c in (n_t, n_o)]
-    shared = lambda w: (n[w] + 0.5) / (sums[2] + 0.5 * len(n) + 1)
-    word = lambda k, w: (max((n_t, n_o)[k][w] - s.word_discount, 0) + free[k] * shared(w)) / sums[k]
-    lefts = [Counter() for _ in range(2)], [Counter() for _ in range(3)]
-    for k, c in enumerate((t, o)):
-        for (left, _), x in c.items():
-            lefts[0][k][left] += x
-            lefts[1][k][left] += 1
-    for left, _ in pairs:
-        lefts[1][2][left] += 1
-
-    def ratio(left, w):
-        own = math.log(word(0, w) / word(1, w))
-        x = (t[left, w], o[left, w])
-        if max(x) <= s.pair_discount:
-            return own
-        both = (max(sum(x) - s.pair_discount, 0) + s.pair_discount * lefts[1][2][left] * shared(w)) / (lefts[0][0][left] + lefts[0][1][left])
-        p = []
-        for k in range(2):
-            before, c = both * word(k, w) / shared(w), lefts[0][k][left]
-            weight = s.strength * c + s.floor
-            p.append((max(x[k] - s.pair_discount, 0) + (s.pair_discount * lefts[1][k][left] + weight) * before) / (c + weight) if c else before)
-        given = math.log(p[0] / p[1])
-        return given if abs(given - own) >= s.least else own
+        counts[0 if toxic else 1].update(pairs_of(text))
+    both = counts[0] + counts[1]
+    contexts = [Counter(w for _, w in c) for c in (*counts, both)]
+    total = [sum(c.values()) for c in contexts]
+    free = [sum(min(v, s.word_discount) for v in c.values()) for c in contexts]
+    rest = lambda n: max(n - s.pair_discount, 0.0)
+    lefts = {left for left, _ in both}
+    after = {left: [(w, n) for (x, w), n in both.items() if x == left] for left in lefts}
+    kept = [{left: sum(rest(c[left, w]) for w, _ in after[left]) for left in lefts} for c in (*counts, both)]
+
+    def word(k, w):
+        shared = (contexts[2][w] + 0.5) / (total[2] + 0.5 * len(contexts[2]) + 1)
+        return (max(contexts[k][w] - s.word_discount, 0.0) + free[k] * shared) / total[k]
+
+    def given(k, left, w):
+        if not kept[2].get(left):
+            return word(k, w)
+        weight = kept[2][left] / (sum(n for _, n in after[left]) + s.floor)
+        pair = (rest(counts[k][left, w]) + s.prior * rest(both[left, w]) / kept[2][left]) / (kept[k][left] + s.prior)
+        return weight * pair + (1 - weight) * word(k, w)
+
+    return word, given, list(contexts[2]), lefts
+
 
+def brute_means(learned, texts, s):
+    """Mean log ratio of the mixture by text."""
+    _, given, _, _ = brute_model(learned, s)
     out = {}
     for text in texts:
         own = pairs_of(text)
-        out[text] = sum(math.log(1 - s.share + s.share * math.exp(ratio(*x))) for x in own) / (len(own) + s.pad)
+        out[text] = sum(math.log(1 - s.share + s.share * given(0, *x) / given(1, *x)) for x in own) / (len(own) + s.pad)
     return out
 
 
+def test_estimates_are_distributions():
+    rng = random.Random(6)
+    learned = [(" ".join(rng.choices("abcdefghij", k=40)) + " vile" * (k % 3), int(k % 3 == 0)) for k in range(60)]
+    word, given, words, lefts = brute_model(learned, toxicity.Smoothing())
+    for k in range(2):
+        unseen = 1 - sum(word(k, w) for w in words)
+        assert 0 <= unseen < 0.01
+        for left in lefts:
+            assert abs(sum(given(k, left, w) for w in words) + unseen - 1) < 0.01
+
+
 @pytest.mark.parametrize("head", [1 << 19, 5])
 def test_toxic_means_against_brute_force(spark, monkeypatch, head):
     """With five words in memory, all others are joined."""
@@ -128,3 +138,18 @@ def test_queries_against_the_libraries(spark):
     payload = {k: t.encode() + b"\xff" * (max(1, -(-len(t.encode()) // 576)) * 576 - len(t.encode())) for k, t in texts.items()}
     got = {r.doc_id: (r.n_bytes, r.payload_bytes, r.tail_crc32) for r in registry.QUERIES["op4_mpeg_media"](spark, DATA).collect()}
     assert got == {k: (len(t.encode()), len(payload[k]), zlib.crc32(payload[k][-32:])) for k, t in texts.items()}
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """The registered result: each score from brute-force means and the two numbers that turn means into odds."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    learned = toxicity.labelled(docs, labels).filter(F.pmod(F.xxhash64("row_id", F.lit("fit")), F.lit(8 * 10**6)) >= 10**6).select("text", "toxic").collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    means = brute_means([tuple(r) for r in learned], set(texts.values()), model.smoothing)
+    got = registry.QUERIES["op10_toxicity"](spark, DATA).collect()
+    assert len(got) == len(texts) and {r.predicted for r in got} == {0, 1}
+    for r in got:
+        want = 1 / (1 + math.exp(-(model.slope * math.asinh(means[texts[r.doc_id]] / toxicity.SCALE) + model.offset)))
+        assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
