@@ -247,3 +247,8 @@ def only_language(c: Column, chinese: bool) -> Column:
     joined = F.array_join(F.aggregate(F.split(c, "\n"), start, step)["lines"], "\n")
     out = strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
     return once(out, lambda x: F.when(x == "", c).otherwise(x)) if chinese else out
+
+
+def first_match(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """The value of the first pattern, in the rules' order, that a text matches; null without any."""
+    return F.coalesce(*(F.when(c.rlike(pattern), F.lit(value)) for pattern, value in rules))

@@ -44,6 +44,14 @@ def duplicate_rows(rows: DataFrame, pairs: DataFrame, entity: str, cells: list[s
     return out.select("drop_id", "keep_id", F.coalesce("duplicates", F.lit(0)).alias("duplicates"), F.coalesce("blockers", F.array().cast("array<string>")).alias("blockers"))
 
 
+def backfilled(rows: DataFrame, links: DataFrame, key: str, own: str, found: str) -> DataFrame:
+    """rows with `own` filled in from links (key, found; one for each key) where it is null, and whether it was there (had) or came
+    from a link (filled)."""
+    both = rows.join(links, key, "left")
+    had = F.col(own).isNotNull()
+    return both.withColumns({"had": had, "filled": ~had & F.col(found).isNotNull(), own: F.coalesce(own, found)}).drop(found)
+
+
 def rank_in(c: Column, values: list[str], otherwise: int | None = None) -> Column:
     """The place of c among values, from 0; otherwise (null: none) for any other."""
     out = F.lit(otherwise).cast("int") if otherwise is not None else F.lit(None).cast("int")

@@ -49,6 +49,31 @@ def top_changes(changes: DataFrame, k: int = 5, key: str = "security_id") -> Dat
     return top_k(changes.filter("kind != 'unchanged'"), ["holder_id", "kind"], change_order(key), k, rank="nth")
 
 
+# What kinds of changes are called.
+LABELS = {"summary": "组合概况", "new": "新进", "add": "增持", "trim": "减持", "exit": "清仓"}
+
+
+def insight_items(cut: DataFrame, latest: DataFrame, names: DataFrame, most: int = 4) -> DataFrame:
+    """holder_id, place, kind, label, ticker, detail: a summary of each holder's latest quarter, then `most` changes of each kind.
+
+    cut: changes cut to a few of each kind (top_changes), which the summary counts. latest: the quarter's rows. names: (security_id,
+    ticker)."""
+    five = top_k(latest, ["holder_id"], [F.coalesce("pct", F.lit(0.0)).desc(), F.col("security_id")], 5).groupBy("holder_id").agg(F.round(F.sum("pct"), 2).alias("top5"))
+    changed = cut.groupBy("holder_id").agg(F.count("*").alias("changed"))
+    two = lambda c: F.format_string("%.2f", c)
+    summary = five.join(changed, "holder_id", "left").select(
+        "holder_id", F.lit(0).alias("place"), F.lit("summary").alias("kind"), F.lit(0).alias("nth"), F.lit(None).cast("string").alias("ticker"),
+        F.concat(F.lit("前五大持仓合计 "), two(F.col("top5")), F.lit("%，组合集中度"), F.when(F.col("top5") >= 60, "较高").otherwise("中等"), F.when(F.col("changed") > 0, F.concat(F.lit("，本季"), F.col("changed").cast("string"), F.lit("笔变动"))).otherwise("")).alias("detail"),
+    )
+    kind, now = F.col("kind"), two(F.col("now_pct"))
+    moved = F.concat(F.col("ticker"), F.when(kind == "add", " +").otherwise(" "), two(F.col("delta")), F.lit("pp → "), now, F.lit("%"))
+    detail = F.when(kind == "new", F.concat("ticker", F.lit(" 仓位 "), now, F.lit("%"))).when(kind == "exit", F.concat("ticker", F.lit(" 上季仓位 "), two(F.col("prev_pct")), F.lit("%"))).otherwise(moved)
+    place = F.when(kind == "new", 1).when(kind == "add", 2).when(kind == "trim", 3).otherwise(4)
+    rows = cut.filter(F.col("nth") <= most).join(names, "security_id", "left").withColumn("ticker", F.coalesce("ticker", F.col("security_id").cast("string")))
+    items = summary.unionByName(rows.select("holder_id", place.alias("place"), "kind", "nth", "ticker", detail.alias("detail")))
+    return items.withColumn("label", F.element_at(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv)), F.col("kind")))
+
+
 def share_delta_pct(prev: Column, now: Column) -> Column:
     """Change of shares in percent; null unless there were some before."""
     return F.when(prev > 0, (now - prev) / prev * 100)

@@ -110,6 +110,14 @@ def strict_tokens(keywords: str, question: str, entities: tuple[str, ...] = (),
     return list(dict.fromkeys([*of_entities, *ascii_tokens(keywords.split("|")[0].strip()), *own]))[:most]
 
 
+def allowed(override: str | None, known: tuple[str, ...], default: tuple[str, ...]) -> list[str]:
+    """The kinds that may be searched: those of a comma-separated override that are known, regardless of case and blanks, each once;
+    the default where it names none."""
+    by_name = {k.lower(): k for k in known}
+    named = [by_name[x] for x in (part.strip().lower() for part in (override or "").split(",")) if x in by_name]
+    return list(dict.fromkeys(named)) or list(default)
+
+
 def in_years(df: DataFrame, low: int | None, high: int | None) -> DataFrame:
     """Rows of the years from low to high, both inside; None is open. Nothing is added to the plan for an open end."""
     if low is not None:

@@ -90,6 +90,20 @@ def change_set_summary(t: Tables):
     return counts.join(top, "holder_id")
 
 
+@query(sql(HOLDING, COMPANY, TWO, CHANGES, TOP, """
+five AS (SELECT holder_id, round(sum(pct), 2) AS top5 FROM (SELECT *, row_number() OVER (PARTITION BY holder_id ORDER BY pct DESC, security_id) AS k FROM two WHERE nth = 1) WHERE k <= 5 GROUP BY holder_id),
+cut AS (SELECT * FROM ranked WHERE nth <= 5), n AS (SELECT holder_id, count(*) AS changed FROM cut GROUP BY holder_id)""", select="""
+SELECT f.holder_id, 0 AS place, 'summary' AS kind, 0 AS nth, NULL AS ticker, '前五大持仓合计 ' || printf('%.2f', top5) || '%，组合集中度' || CASE WHEN top5 >= 60 THEN '较高' ELSE '中等' END || CASE WHEN changed > 0 THEN '，本季' || changed::VARCHAR || '笔变动' ELSE '' END AS detail, '组合概况' AS label FROM five f LEFT JOIN n USING (holder_id)
+UNION ALL SELECT holder_id, CASE kind WHEN 'new' THEN 1 WHEN 'add' THEN 2 WHEN 'trim' THEN 3 ELSE 4 END, kind, nth::INT, ticker, ticker || CASE kind WHEN 'new' THEN ' 仓位 ' || printf('%.2f', now_pct) || '%' WHEN 'exit' THEN ' 上季仓位 ' || printf('%.2f', prev_pct) || '%' ELSE CASE kind WHEN 'add' THEN ' +' ELSE ' ' END || printf('%.2f', delta) || 'pp → ' || printf('%.2f', now_pct) || '%' END,
+  CASE kind WHEN 'new' THEN '新进' WHEN 'add' THEN '增持' WHEN 'trim' THEN '减持' ELSE '清仓' END FROM cut JOIN company USING (security_id) WHERE nth <= 4"""))
+def insight_items(t: Tables):
+    """What a holder's report says of its latest quarter: a summary and four changes of each kind."""
+    w = weight(t, latest=2)
+    cut = p.top_changes(p.change_sets(w))
+    latest = latest_ordinals(w, ["holder_id"], "q", 1)
+    return p.insight_items(cut, latest, company(t).select("security_id", "ticker")).select("holder_id", "place", "kind", "nth", "ticker", "detail", "label")
+
+
 @query(sql(HOLDING, TWO, select="""
 SELECT n.holder_id, n.security_id, n.shares, b.shares AS prev_shares, round(CASE WHEN b.shares > 0 THEN (n.shares - b.shares) / b.shares * 100 END, 6) AS delta_pct,
        CASE WHEN b.shares IS NULL THEN 'New' WHEN b.shares <= 0 OR abs((n.shares - b.shares) / b.shares * 100) < 1 THEN 'Unchanged' WHEN n.shares > b.shares THEN 'Added' ELSE 'Reduced' END AS activity

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions import numbers as num
+from tessella.functions import text as tx
 from tessella.operators import integrity
+from tessella.operators import retrieval as r
 from tessella.plans.base import Tables, query
 from tessella.sources.shared import new_folder
 
@@ -76,3 +79,72 @@ def annual_fact_choice(t: Tables):
     unit = F.when(F.col("o_orderkey") % 4 == 0, "usd").when(F.col("o_orderkey") % 4 == 1, "EUR").when(F.col("o_orderkey") % 4 == 2, "USD/shares")
     rows = t.orders.select((F.col("o_custkey") % 60).alias("entity"), F.year("o_orderdate").alias("fy"), F.col("o_orderstatus").alias("item"), F.col("o_orderpriority").alias("tag"), unit.alias("unit"), F.col("o_totalprice").alias("value"), F.to_date("o_orderdate").alias("filed"), F.col("o_orderkey").alias("pos"))
     return integrity.chosen_facts(rows.filter("pos % 3 = 0"), rows.filter("pos % 3 = 1"), rows, ["entity", "fy", "item"], TAGS, UNITS)
+
+
+@query("""SELECT o.o_orderkey, CASE WHEN o.o_orderkey % 3 > 0 THEN o.o_custkey ELSE c.c_custkey END AS security_id, o.o_orderkey % 3 > 0 AS had, o.o_orderkey % 3 = 0 AND c.c_custkey IS NOT NULL AS filled
+FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0""")
+def link_backfill(t: Tables):
+    """Orders with their customer's id where it is there, or filled in from those in credit, and which way it came."""
+    orders = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("own"))
+    links = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_custkey").alias("found"))
+    return integrity.backfilled(orders, links, "o_custkey", "own", "found").select("o_orderkey", F.col("own").alias("security_id"), "had", "filled")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (o.o_orderkey % 3 > 0) AS had, count(*) FILTER (o.o_orderkey % 3 = 0 AND c.c_custkey IS NOT NULL) AS filled, count(*) FILTER (o.o_orderkey % 3 = 0 AND c.c_custkey IS NULL) AS missing
+FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0""")
+def link_coverage(t: Tables):
+    """How many links were there, were filled in, and are missing."""
+    rows = link_backfill(t)
+    return rows.agg(F.count("*").alias("total"), F.count_if("had").alias("had"), F.count_if("filled").alias("filled"), F.count_if(F.col("security_id").isNull()).alias("missing"))
+
+
+RULES = [(r"(?i)\b(the|of)\b.*\bwith\b", "EN.L"), (r"(?i)\bthe\b", "EN"), (r"(?i)\b(und|der|die)\b", "DE"), (r"(?i)\b(les|des|une)\b", "FR"), (r"(?i)\b(los|las|una)\b", "ES")]
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{v}'" for p, v in RULES) + " END AS code FROM documents")
+def ordered_match(t: Tables):
+    """The first rule, in order, that each document matches."""
+    return t.documents.select("doc_id", tx.first_match(F.col("text"), RULES).alias("code"))
+
+
+KNOWN, DEFAULT = ("src0", "src1", "src2", "src3"), ("src0",)
+
+
+@query("SELECT 'some' AS way, source, count(*) AS n FROM documents WHERE source IN ('src2', 'src1') GROUP BY source UNION ALL SELECT 'none', source, count(*) FROM documents WHERE source = 'src0' GROUP BY source")
+def allow_list(t: Tables):
+    """Documents of the kinds that an override allows, and of the default ones where it names none that is known."""
+    ways = [("some", " SRC2,nope, src1,src2"), ("none", "nope,,")]
+    parts = [t.documents.filter(F.col("source").isin(*r.allowed(x, KNOWN, DEFAULT))).groupBy("source").agg(F.count("*").alias("n")).select(F.lit(way).alias("way"), "source", "n") for way, x in ways]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""SELECT c_nationkey, CASE WHEN abs(v) >= 1000 THEN printf('%.0f', round(v, 0)) WHEN abs(v) >= 10 THEN printf('%.1f', round(v, 1)) ELSE printf('%.2f', round(v, 2)) END || '亿' AS amount
+FROM (SELECT c_nationkey, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE * (1 + c_nationkey % 3 * 40) / 1e8 AS v FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey)""")
+def amounts_in_yi(t: Tables):
+    """Nations' orders in units of 10**8."""
+    rows = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"))
+    n = rows.groupBy("c_nationkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("n"))
+    return n.select("c_nationkey", num.yi(F.col("n") * (1 + F.col("c_nationkey") % 3 * 40)).alias("amount"))
+
+
+_MARKED = r"""list_transform(string_split_regex(text, '\n+'), lambda x, i: CASE i % 6 WHEN 1 THEN '# Title ' || i::VARCHAR || ' 标题' WHEN 2 THEN '中文' || i::VARCHAR WHEN 4 THEN '| 表 | ' || i::VARCHAR || ' |' || chr(10) || '| a | b |' ELSE x END)"""
+
+
+@query(rf"""WITH t AS (SELECT doc_id, array_to_string({_MARKED}, chr(10)) AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
+k AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM l),
+m AS (SELECT *, starts_with(s, '|') OR regexp_matches(s, '^---[\s|:]+') AS tab, NOT regexp_matches(s, '[\x{{4e00}}-\x{{9fff}}]') AS en FROM k),
+n AS (SELECT *, tab AND NOT coalesce(lag(tab) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM m),
+o AS (SELECT *, last_value(CASE WHEN opens THEN en END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS target FROM n),
+p AS (SELECT doc_id, i, CASE WHEN tab THEN CASE WHEN target THEN line END WHEN s = '' THEN line WHEN starts_with(s, '#') THEN regexp_replace(regexp_replace(s, '[\x{{4e00}}-\x{{9fff}}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}]+', '', 'g'), '^\s+|\s+$', '', 'g') WHEN en THEN line END AS kept FROM o)
+SELECT doc_id, coalesce(regexp_replace(regexp_replace(string_agg(kept, chr(10) ORDER BY i), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), '') AS text FROM p GROUP BY doc_id""")
+def english_lines(t: Tables):
+    """Documents between Chinese lines, headings and tables, without what is Chinese."""
+
+    def marked(x, k):
+        i = k + 1
+        n = i.cast("string")
+        return F.when(i % 6 == 1, F.concat(F.lit("# Title "), n, F.lit(" 标题"))).when(i % 6 == 2, F.concat(F.lit("中文"), n)).when(i % 6 == 4, F.concat(F.lit("| 表 | "), n, F.lit(" |\n| a | b |"))).otherwise(x)
+
+    text = F.array_join(F.transform(F.split("text", "\n+"), marked), "\n")
+    return t.documents.select("doc_id", tx.only_language(text, False).alias("text"))
