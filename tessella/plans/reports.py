@@ -98,7 +98,8 @@ def link_coverage(t: Tables):
     return rows.agg(F.count("*").alias("total"), F.count_if("had").alias("had"), F.count_if("filled").alias("filled"), F.count_if(F.col("security_id").isNull()).alias("missing"))
 
 
-RULES = [(r"(?i)\b(the|of)\b.*\bwith\b", "EN.L"), (r"(?i)\bthe\b", "EN"), (r"(?i)\b(und|der|die)\b", "DE"), (r"(?i)\b(les|des|une)\b", "FR"), (r"(?i)\b(los|las|una)\b", "ES")]
+_WORD = "(?i)(^|[^A-Za-z0-9_])({})($|[^A-Za-z0-9_])"
+RULES = [(_WORD.format(words), code) for words, code in (("disgusting|scum", "RUDE"), ("the|of", "EN"), ("und|der|die", "DE"), ("les|des|une", "FR"), ("los|las|una", "ES"))]
 
 
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{v}'" for p, v in RULES) + " END AS code FROM documents")
