@@ -11,8 +11,8 @@ distributions.
 A toxic text is a mixture: most of its words are ordinary ones and a share of them comes from the toxic model. Its
 log-likelihood less that of the ordinary model, over all words and divided by their number, is what a score grows with.
 
-What a word or a pair adds is a table in files. The most frequent words' part of it, of fixed size, is in memory; other words and
-pairs of a text are joined with the table if they may stand in it.
+What a word or a pair adds is a table in files. The part of the most frequent ones, of fixed size, is in memory; other
+words and pairs of a text are joined with the table if they may stand in it.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from tessella.llm.token_counts import _chunks
 
 #: Characters that a task takes at once.
 CHARS = 500_000
-#: So many of the most frequent words are in memory: 8 MB.
-HEAD = 1 << 19
+#: So many of the most frequent words and pairs are in memory: 16 MB.
+HEAD = 1 << 20
 #: Stands for the word before a text's first one. TURN: bits by which a left word's hash is turned in a pair's key.
 START, TURN = np.uint64(0x9E3779B97F4A7C15), 17
 
@@ -55,7 +55,7 @@ class Smoothing:
 @dataclass(frozen=True)
 class ToxicModel:
     """parts: (key, part), a Parquet table of what words and pairs add to a text's sum beside `base`, which each word adds;
-    None without labels of both kinds. head: keys and parts of the most frequent words. maybe: a bitmap of the keys that
+    None without labels of both kinds. head: keys and parts of the most frequent ones. maybe: a bitmap of the keys that
     are not in head. slope, offset: from the inverse hyperbolic sine of a text's mean by SCALE to the log odds of label 1."""
 
     parts: DataFrame | None
@@ -124,7 +124,7 @@ def _adds(ratio: Column, share: float) -> Column:
 
 
 def model_parts(pairs: DataFrame, s: Smoothing) -> tuple[DataFrame | None, float, DataFrame | None]:
-    """(key, part) of pairs, the base, and (key, n, part) of words from pairs' counts."""
+    """(key, n, part) of pairs, the base, and (key, n, part) of words from pairs' counts."""
     stats = pairs.groupBy("w").agg(F.count_if(F.col("t") > 0).alias("n_t"), F.count_if(F.col("o") > 0).alias("n_o"), F.count("*").alias("n"))
     stats = written(stats, "toxicity-words")
     frees = [F.sum(F.least(F.col(c).cast("double"), F.lit(s.word_discount))).alias(f"free_{c}") for c in ("n_t", "n_o")]
@@ -152,7 +152,7 @@ def model_parts(pairs: DataFrame, s: Smoothing) -> tuple[DataFrame | None, float
         return weight * own + (1 - weight) * F.col(f"p_{c}")
 
     added = _adds(F.log(given("t") / given("o")), s.share) - _adds(own, s.share)
-    return met.select(pair_key(F.col("w"), F.col("l")).alias("key"), added.alias("part")), base, words
+    return met.select(pair_key(F.col("w"), F.col("l")).alias("key"), (t + o).alias("n"), added.alias("part")), base, words
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -185,13 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, smoothing: Smoothing = Smoothing(),
     of_pairs, base, words = model_parts(pairs, smoothing)
     if words is None:
         return ToxicModel(None)
-    top = words.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
-    head_keys, head_n, head_parts = (top[c].to_numpy() for c in ("key", "n", "part"))
-    n_last, key_last = F.lit(int(head_n[-1])), F.lit(int(head_keys[-1]))
-    rest = words.filter((F.col("n") < n_last) | (F.col("n") == n_last) & (F.col("key") > key_last)).select("key", "part")
-    parts = written(rest.unionByName(of_pairs), "toxicity-parts")
+    every = written(words.unionByName(of_pairs), "toxicity-parts")
     forget(pairs)
     forget(words)
+    top = every.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
+    head_keys, head_n, head_parts = (top[c].to_numpy() for c in ("key", "n", "part"))
+    n_last, key_last = F.lit(int(head_n[-1])), F.lit(int(head_keys[-1]))
+    parts = every.filter((F.col("n") < n_last) | (F.col("n") == n_last) & (F.col("key") > key_last)).select("key", "part")
     keys = head_keys.view(np.uint64)
     order = np.argsort(keys)
     model = ToxicModel(parts, base, (keys[order], head_parts[order]), _bitmap(parts), smoothing)
@@ -230,14 +230,13 @@ def _means(rows: DataFrame, model: ToxicModel, *more: str) -> DataFrame:
                 own = batch.iloc[at : at + len(part)].drop(columns="text")
                 at += len(part)
                 who, words, _, pairs = words_of(part)
-                place = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-                known = keys[place] == words
                 n = np.bincount(who, minlength=len(part))
-                total = np.bincount(who, np.where(known, parts[place], 0.0), len(part)) + n * base
+                asked, sought = np.r_[who, who], np.r_[words, pairs]
+                place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+                known = keys[place] == sought
+                total = np.bincount(asked, np.where(known, parts[place], 0.0), len(part)) + n * base
                 yield own.assign(n=n, total=total, key=own.rid, times=0)
-                sought = np.r_[words[~known], pairs]
-                asked = np.r_[who[~known], who]
-                met = _maybe(bitmap.value, sought)
+                met = ~known & _maybe(bitmap.value, sought)
                 asked, sought = asked[met], sought[met]
                 order = np.lexsort((sought, asked))
                 asked, sought = asked[order], sought[order]
