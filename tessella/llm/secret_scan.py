@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table, texts
+from tessella.llm.common import forget, table, texts, written
 
 #: Fixed patterns of the base kinds, in the order in which spans with one start are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -35,6 +35,8 @@ IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{5,}")
 PLACEHOLDERS = "0123456789 0000000000 1111111111 xxxxxxxxxxxx ............ ------------ ============ ____________ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ changeme example placeholder undefined password secret token api_key"
 #: Characters of texts whose words are counted together.
 CHARS = 2_000_000
+#: Levels of counts between a count and its double: few in all, so they may be on the driver.
+LEVELS = 8
 
 
 @dataclass(frozen=True)
@@ -67,9 +69,18 @@ def identifier_dictionary(docs: DataFrame, novelty: Novelty = Novelty()) -> byte
                     found, held = Counter(), 0
             yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
-    counted = texts(docs).select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # a word and its blank take seven bytes at least; of a word in one text only no other text can be made up
-    top = counted.filter("n > 1 and length(word) <= 256").orderBy(F.desc("n"), "word").limit(novelty.dictionary_bytes // 7).collect()
+    found = texts(docs).select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # of a word in one text only no other text can be made up
+    counted = written(found.filter("n > 1 and length(word) <= 256").withColumn("level", F.floor(LEVELS * F.log2("n")).cast("int")), "secret-words")
+    # a word and its blank take seven bytes at least; whole levels of counts are taken while that many words fit
+    most, least, held = novelty.dictionary_bytes // 7, None, 0
+    for r in sorted(counted.groupBy("level").agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r.n
+        if held > most:
+            break
+        least = r.level
+    top = sorted(counted.filter(F.col("level") >= least).collect(), key=lambda r: (-r.n, r.word)) if least is not None else []
+    forget(counted)
     words, room = [], novelty.dictionary_bytes - len(PLACEHOLDERS) - 1
     for r in top:
         room -= len(r.word) + 1
