@@ -32,8 +32,8 @@ from tessella.llm.token_counts import _chunks
 
 #: Characters that a task takes at once.
 CHARS = 500_000
-#: So many of the most frequent words and pairs are in memory: 16 MB.
-HEAD = 1 << 20
+#: So many of the most frequent words and pairs are in memory at most: 16 MB. LEVELS: of counts between one and its double.
+HEAD, LEVELS = 1 << 20, 8
 #: Stands for the word before a text's first one. TURN: bits by which a left word's hash is turned in a pair's key.
 START, TURN = np.uint64(0x9E3779B97F4A7C15), 17
 
@@ -185,13 +185,19 @@ def fit(docs: DataFrame, labels: DataFrame, smoothing: Smoothing = Smoothing(),
     of_pairs, base, words = model_parts(pairs, smoothing)
     if words is None:
         return ToxicModel(None)
-    every = written(words.unionByName(of_pairs), "toxicity-parts")
+    every = written(words.unionByName(of_pairs).withColumn("level", F.floor(LEVELS * F.log2("n")).cast("int")), "toxicity-parts")
     forget(pairs)
     forget(words)
-    top = every.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
-    head_keys, head_n, head_parts = (top[c].to_numpy() for c in ("key", "n", "part"))
-    n_last, key_last = F.lit(int(head_n[-1])), F.lit(int(head_keys[-1]))
-    parts = every.filter((F.col("n") < n_last) | (F.col("n") == n_last) & (F.col("key") > key_last)).select("key", "part")
+    # whole levels of counts, the highest first, while so many fit: no task or driver gets more than it keeps
+    least, held = None, 0
+    for r in sorted(every.groupBy("level").agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r.n
+        if held > HEAD:
+            break
+        least = r.level
+    top = every.filter(F.col("level") >= least if least is not None else F.lit(False)).toArrow()
+    head_keys, head_parts = (top[c].to_numpy() for c in ("key", "part"))
+    parts = every.filter(F.col("level") < least if least is not None else F.lit(True)).select("key", "part")
     keys = head_keys.view(np.uint64)
     order = np.argsort(keys)
     model = ToxicModel(parts, base, (keys[order], head_parts[order]), _bitmap(parts), smoothing)
@@ -232,9 +238,9 @@ def _means(rows: DataFrame, model: ToxicModel, *more: str) -> DataFrame:
                 who, words, _, pairs = words_of(part)
                 n = np.bincount(who, minlength=len(part))
                 asked, sought = np.r_[who, who], np.r_[words, pairs]
-                place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
-                known = keys[place] == sought
-                total = np.bincount(asked, np.where(known, parts[place], 0.0), len(part)) + n * base
+                place = np.searchsorted(keys[:-1], sought)
+                known = keys[place] == sought if len(keys) else np.zeros(len(sought), bool)
+                total = np.bincount(asked[known], parts[place[known]], len(part)) + n * base
                 yield own.assign(n=n, total=total, key=own.rid, times=0)
                 met = ~known & _maybe(bitmap.value, sought)
                 asked, sought = asked[met], sought[met]
