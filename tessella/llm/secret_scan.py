@@ -61,13 +61,12 @@ def identifier_dictionary(docs: DataFrame, novelty: Novelty = Novelty()) -> byte
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found, held = Counter(), 0
-            for t in batch.text:
+            for k, t in enumerate(batch.text, 1):
                 found.update(set(IDENTIFIER.findall(t)))
                 held += len(t)
-                if held >= CHARS:
+                if found and (held >= CHARS or k == len(batch)):  # a frame without rows has no strings to be taken for
                     yield pd.DataFrame({"word": list(found), "n": list(found.values())})
                     found, held = Counter(), 0
-            yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
     found = texts(docs).select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # of a word in one text only no other text can be made up

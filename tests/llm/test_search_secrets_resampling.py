@@ -204,3 +204,12 @@ def test_resampling_with_longer_runs(spark, monkeypatch, n, chars):
     docs_df, target_df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([(x,) for x in target], "text string")
     got = importance_resampling.resample(docs_df, target_df, 30, f, 10, "7")
     assert Counter(map(tuple, got.collect())) == Counter(tuple(r[:5]) for r in rows)
+
+
+def test_dictionary_of_batches_without_identifiers(spark, monkeypatch):
+    """A batch that ends at the count's limit, or has no identifier at all, leaves no rows."""
+    monkeypatch.setattr(secret_scan, "CHARS", 20)
+    rows = [(0, "a b c"), (1, None), (2, "alpha_beta gamma_delta"), (3, "alpha_beta gamma_delta")]
+    for some in (rows, rows[:2]):
+        words = secret_scan.identifier_dictionary(spark.createDataFrame(some, "doc_id long, text string").coalesce(1)).decode().split()
+        assert ("alpha_beta" in words) == (len(some) == 4)
