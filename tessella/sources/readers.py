@@ -36,8 +36,12 @@ def ticker_dictionary(rows: DataFrame, json: str) -> DataFrame:
 def holdings_xml(spark: SparkSession, path: str) -> DataFrame:
     """The rows of 13F information tables, whatever their elements' namespace prefix; fields that lack take empty strings and 0."""
     schema = "nameOfIssuer string, titleOfClass string, cusip string, value long, shrsOrPrnAmt struct<sshPrnamt:long,sshPrnamtType:string>, investmentDiscretion string, putCall string"
-    plain = F.regexp_replace("value", r"(</?)[A-Za-z_][\w.-]*:", "$1")
-    tables = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all(plain, F.lit(r"(?s)<infoTable\b.*?</infoTable>"), F.lit(0))).alias("x"))
+    # files are cut behind each row's end, so that many tasks read a large one; a start without attributes ends as a row does, and is cut off
+    body = F.regexp_extract("value", r"(?s)^(.*)</(?:[A-Za-z_][\w.-]*:)?$", 1)
+    inside = F.regexp_replace(body, r"(?s)^.*<(?:[A-Za-z_][\w.-]*:)?infoTable\b[^>]*>", "")
+    plain = F.regexp_replace(inside, r"(</?)[A-Za-z_][\w.-]*:", "$1")
+    ended = spark.read.option("lineSep", "infoTable>").text(path).filter(F.col("value").rlike(r"</(?:[A-Za-z_][\w.-]*:)?$"))
+    tables = ended.select(F.concat(F.lit("<infoTable>"), plain, F.lit("</infoTable>")).alias("x"))
     rows = tables.select(F.from_xml("x", schema).alias("r")).select("r.*")
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return rows.select(text("nameOfIssuer"), text("titleOfClass"), text("cusip"), F.coalesce("value", F.lit(0)).alias("value"), F.coalesce("shrsOrPrnAmt.sshPrnamt", F.lit(0)).alias("shares"), text("investmentDiscretion"), "putCall")
