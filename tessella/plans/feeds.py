@@ -125,8 +125,8 @@ def paged_annual_filings(t: Tables):
     one = F.struct("o_orderkey", form.alias("form"), day.alias("day"), F.concat(F.lit("A-"), (F.col("o_orderkey") % 97).cast("string")).alias("acc"), F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("doc"))
     paged = rows.groupBy("id", F.floor(F.col("o_orderkey") / 600).cast("int").alias("page")).agg(F.array_sort(F.collect_list(one)).alias("x"))
     names = {"form": "form", "filingDate": "day", "accessionNumber": "acc", "reportDate": "day", "primaryDocument": "doc"}
-    feed = paged.select("id", "page", F.to_json(F.struct(*(F.transform("x", _field(c)).alias(n) for n, c in names.items()))).alias("value"))
-    feed.write.partitionBy("id", "page").text(at := new_folder(t.spark, "pages"))
+    feed = paged.select(F.to_json(F.struct("id", "page", *(F.transform("x", _field(c)).alias(n) for n, c in names.items()))).alias("value"))
+    feed.write.option("maxRecordsPerFile", 10_000).text(at := new_folder(t.spark, "pages"))  # a page is a few filings: many stand in a file
     found = filing_pages.newest(filing_pages.filing_pages(t.spark, at), ANNUAL)
     return found.select("id", "form", "accession", "report_date", "document", "nth")
 

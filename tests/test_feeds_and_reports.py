@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import integrity, transcripts
-from tessella.sources import filing_pages
+from tessella.sources import filing_pages, readers
 
 
 def feed(path, pages):
@@ -34,6 +34,33 @@ def test_forms_reach_the_reader(spark, tmp_path):
     assert filing_pages.newest(rows, ("20-F",)).count() == 0
 
 
+def test_many_pages_in_a_file(spark, tmp_path):
+    """Pages as lines of a file, beside pages in folders of their own; what writers keep beside their files is no page."""
+    own = {(1, 0): [("10-K", "d", "A", "2001-01-01", "x"), ("8-K", "d", "B", "2003-01-01", "y")], (2, 0): []}
+    feed(tmp_path, own)
+    lines = [(1, 1, [("10-K/A", "d", "A", "2000-01-01", "z")]), (3, 0, []), (3, 7, [("10-K", "d", "C", "2002-01-01", "w\u2028v")])]
+    text = "\n".join(json.dumps({"id": i, "page": p} | {n: [r[k] for r in rows] for k, n in enumerate(filing_pages.NAMES)}) for i, p, rows in lines)
+    for name in ("part-0.txt", "_started", ".part-0.txt.crc"):
+        (tmp_path / name).write_text(text)
+    rows = filing_pages.filing_pages(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 2
+    assert sorted((r.id, r.page, r.pos, r.document) for r in rows.filter(F.col("form").isin("10-K", "10-K/A")).collect()) == [(1, 0, 0, "x"), (1, 1, 0, "z"), (3, 7, 0, "w\u2028v")]
+
+
+def test_information_tables_are_read_by_many_tasks(spark, tmp_path):
+    """A large file is cut behind rows, whatever their starts look like."""
+    heads = ["<infoTable>", '<ns1:infoTable xmlns:ns1="urn:x">', "<a:infoTable>", '<b-2:infoTable\n k="v">']
+    rows = [h + f"<cusip>c{k}</cusip><value>{k}</value>" + re.sub(r"^<([\w-]+:)?.*$", r"</\1infoTable>", h, flags=re.S) for k, h in enumerate(heads * 30)]
+    (tmp_path / "t.xml").write_text("<?xml version='1.0'?>\n<ns1:informationTable>\n" + "\n".join(rows) + "\n</ns1:informationTable>\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 500)
+    try:
+        found = readers.holdings_xml(spark, str(tmp_path / "t.xml"))
+        assert found.rdd.getNumPartitions() > 10
+        assert sorted((r.value, r.cusip) for r in found.collect()) == [(k, f"c{k}") for k in range(120)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 HEADER = r"^\d{4} MEETING$"
 
 
