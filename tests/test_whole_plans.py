@@ -2,7 +2,7 @@
 
 import re
 
-from tessella.plans import registry
+from tessella.plans import knowledge, registry
 
 
 def test_overlap_in_every_language_at_seven_tenths(spark, tmp_path):
@@ -25,3 +25,16 @@ def test_upper_median_orders_one_slice(spark, tmp_path):
     df = registry.QUERIES["upper_median"](spark, str(tmp_path))
     assert {tuple(r) for r in df.collect()} == {(k, len(v), sorted(v)[len(v) // 2]) for k, v in groups.items()}
     assert "part" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_largest_items_of_orders_that_stand_twice(spark, tmp_path, monkeypatch):
+    """Each customer of a key has the three largest, the same item counts once, and tasks follow the number of items."""
+    monkeypatch.setattr(knowledge, "ITEMS_A_TASK", 2)
+    orders = [(1, 10), (1, 11), (1, 11), (2, 20), (3, 30)]
+    items = [(1, 5, 2.0), (1, 5, 2.0), (1, 6, 2.0), (1, 7, 9.0), (1, 8, 1.0), (2, 4, 3.0), (9, 1, 1.0), (2, 4, 3.0), (2, 4, 5.0), (9, 1, 1.0), (9, 1, 2.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = registry.QUERIES["nested_children"](spark, str(tmp_path))
+    first = ["7:9", "5:2", "6:2"]
+    assert sorted(map(tuple, found.collect())) == [(1, 10, first), (1, 11, first), (2, 20, ["4:5", "4:3"])]
+    assert "o_orderkey" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 6), REPARTITION_BY_NUM" in plan
