@@ -23,6 +23,8 @@ from tessella.sources.shared import written
 
 #: Rows of a list, and queries, that meet in one task at most (about).
 BLOCK_ROWS, BLOCK_QUERIES = 50_000, 4_096
+#: Scores that a task has in memory at a time, and rows of probed lists that it puts out at a time.
+CELLS, PROBED_ROWS = 1 << 22, 1 << 15
 #: Lists at most, whatever the table's size: their sizes and centroids fit a driver.
 MOST_LISTS = 1 << 16
 
@@ -61,7 +63,8 @@ def _units(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    out = [((centres**2).sum(1) - 2 * x[at : at + 4096] @ centres.T).argmin(1) for at in range(0, len(x), 4096)]
+    step = max(1, min(4096, CELLS // len(centres)))
+    out = [((centres**2).sum(1) - 2 * x[at : at + step] @ centres.T).argmin(1) for at in range(0, len(x), step)]
     return np.concatenate(out) if out else np.zeros(0, int)
 
 
@@ -128,9 +131,9 @@ def _first(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:most]]
 
 
-def _meet(rows: DataFrame, queries: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], most: int) -> DataFrame:
+def _meet(rows: DataFrame, queries: DataFrame, score: Callable[[pd.DataFrame], Callable[[pd.DataFrame], np.ndarray]], most: int) -> DataFrame:
     """(qid, id, score): of rows (id, list, ...) and queries (qid, list, ...) of one list the `most` best of each query, by blocks of
-    both. score(rows, queries) gives a row of scores for each query."""
+    both. score(rows)(queries) gives a row of scores for each query; it is asked for CELLS scores at a time."""
     n = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
     m = queries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("groups"))
     sizes = n.join(m, "list")
@@ -141,12 +144,15 @@ def _meet(rows: DataFrame, queries: DataFrame, score: Callable[[pd.DataFrame, pd
 
     def best(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
-            return pd.DataFrame({"qid": [], "id": [], "score": []})
-        scores, ids = score(own, asked).astype(float), own.id.to_numpy()
-        tops = [_first(s, ids, most) for s in scores]
-        at = np.concatenate(tops)
-        rows_of = np.repeat(np.arange(len(asked)), [len(t) for t in tops])
-        return pd.DataFrame({"qid": asked.qid.to_numpy()[rows_of], "id": ids[at], "score": scores[rows_of, at]})
+            return pd.DataFrame(columns=["qid", "id", "score"], dtype=object)
+        scored, ids, step = score(own), own.id.to_numpy(), max(1, CELLS // len(own))
+        rows_of, tops, kept = [], [], []
+        for at in range(0, len(asked), step):
+            for k, s in enumerate(scored(asked.iloc[at : at + step]), at):
+                tops.append(top := _first(s, ids, most))
+                kept.append(s[top].astype(float))
+                rows_of.append(np.full(len(top), k))
+        return pd.DataFrame({"qid": asked.qid.to_numpy()[np.concatenate(rows_of)], "id": ids[np.concatenate(tops)], "score": np.concatenate(kept)})
 
     keys, kinds = ["list", "block", "group"], {c: d.schema[c].dataType.simpleString() for c, d in (("id", rows), ("qid", queries))}
     found = mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(best, f"qid {kinds['qid']}, id {kinds['id']}, score double")
@@ -160,12 +166,12 @@ def probed(index: Index, queries: DataFrame, probes: int) -> DataFrame:
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x, good = _units(batch.vector)
-            if len(x):
-                far = (centroids**2).sum(1) - 2 * x @ centroids.T
+            qids, step = batch.qid[good].to_numpy(), max(1, PROBED_ROWS // min(probes, len(centroids)))
+            for start in range(0, len(x), step):
+                far = (centroids**2).sum(1) - 2 * x[start : start + step] @ centroids.T
                 near = np.argsort(far, 1, kind="stable")[:, :probes].astype(np.int32)
-                own = batch[good]
-                at = np.repeat(np.arange(len(own)), near.shape[1])
-                yield pd.DataFrame({"qid": own.qid.to_numpy()[at], "vector": [x[k] for k in at], "list": near.ravel()})
+                at = start + np.repeat(np.arange(len(near)), near.shape[1])
+                yield pd.DataFrame({"qid": qids[at], "vector": [x[k] for k in at], "list": near.ravel()})
 
     return queries.mapInPandas(choose, f"qid {queries.schema['qid'].dataType.simpleString()}, vector array<float>, list int")
 
@@ -179,14 +185,18 @@ def near(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 10, prob
     rows = index.rows.filter(F.col("list").isin(wanted))
     centroids, codebooks = index.centroids, index.codebooks
 
-    def score(own: pd.DataFrame, asked: pd.DataFrame) -> np.ndarray:
-        codes = np.frombuffer(b"".join(own.codes), np.uint8).reshape(len(own), -1)
-        q = np.stack(asked.vector.to_numpy())
-        tables = np.einsum("pqw,pcw->qpc", _parts(q, len(codebooks)), codebooks)
-        out = np.repeat((q @ centroids[own.list.iloc[0]])[:, None], len(own), 1)
-        for p in range(codes.shape[1]):
-            out += tables[:, p, codes[:, p]]
-        return out
+    def score(own: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+        codes, centre = np.frombuffer(b"".join(own.codes), np.uint8).reshape(len(own), -1), centroids[own.list.iloc[0]]
+
+        def of(asked: pd.DataFrame) -> np.ndarray:
+            q = np.stack(asked.vector.to_numpy())
+            tables = np.einsum("pqw,pcw->qpc", _parts(q, len(codebooks)), codebooks)
+            out = np.repeat((q @ centre)[:, None], len(own), 1)
+            for p in range(codes.shape[1]):
+                out += tables[:, p, codes[:, p]]
+            return out
+
+        return of
 
     found = written(_meet(rows, asked, score, k * refine).select("qid", "id"), "ann-candidates")
     exact = found.join(vectors.select(F.col(key).alias("id"), F.col(vector).alias("_v")), "id").join(queries, "qid")
@@ -198,10 +208,16 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "id",
     """The same from all rows: what recall is measured against."""
     rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(0).alias("list"))
 
-    def score(own: pd.DataFrame, asked: pd.DataFrame) -> np.ndarray:
-        x, q = (np.stack([np.asarray(v, np.float64) for v in d]) for d in (own.v, asked.vector))
-        length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-        return np.where(length > 0, np.round((q @ x.T) / np.where(length > 0, length, 1), 6), -np.inf)
+    def score(own: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+        x = np.stack([np.asarray(v, np.float64) for v in own.v])
+        lengths = np.linalg.norm(x, axis=1)
+
+        def of(asked: pd.DataFrame) -> np.ndarray:
+            q = np.stack([np.asarray(v, np.float64) for v in asked.vector])
+            length = np.linalg.norm(q, axis=1)[:, None] * lengths[None]
+            return np.where(length > 0, np.round((q @ x.T) / np.where(length > 0, length, 1), 6), -np.inf)
+
+        return of
 
     found = _meet(rows, queries.filter("vector is not null").withColumn("list", F.lit(0)), score, k).filter("score > -2")
     return top_k(found, ["qid"], [F.desc("score"), F.col("id")], k, rank="rank")

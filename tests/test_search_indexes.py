@@ -1,5 +1,7 @@
 """Stems, postings and the inverted file of vectors."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +103,29 @@ def test_nothing_to_index(spark):
     none = spark.createDataFrame([(1, None)], "id long, embedding array<float>")
     index = ann.build(none)
     assert index.rows.count() == 0
+
+
+def test_blocks_meet_a_few_scores_at_a_time(spark, monkeypatch):
+    """However large a block is, its scores are asked for in parts; ids may be of any type."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6)).round(3)
+    rows = spark.createDataFrame([(f"r{k}", v.tolist()) for k, v in enumerate(x)], "id string, embedding array<float>")
+    asked = rows.limit(40).selectExpr("id as qid", "embedding as vector")
+    want = Counter(map(tuple, ann.exact(rows, asked, 4).collect()))
+    monkeypatch.setattr(ann, "CELLS", 700)
+    monkeypatch.setattr(ann, "PROBED_ROWS", 7)
+    assert Counter(map(tuple, ann.exact(rows, asked, 4).collect())) == want and len(want) == 160
+
+    def score(own):
+        def of(part):
+            assert len(own) * len(part) <= 700
+            return np.ones((len(part), len(own)))
+
+        return of
+
+    flat = lambda df: df.withColumn("list", F.lit(0))
+    assert ann._meet(flat(rows), flat(asked), score, 2).count() == 80
+    index = ann.build(rows)
+    found = ann.near(index, rows, asked, 4, probes=index.centroids.shape[0], refine=75)  # all rows are ranked exactly
+    assert Counter(map(tuple, found.collect())) == want
+    assert ann.probed(index, asked, 2).count() == 80
