@@ -25,9 +25,6 @@ BANDS = ((5, 1), (20, 2))
 HOT = 64
 
 
-KEY = "struct<key: bigint, own: boolean, shorter: int, at: int, size: int>"
-
-
 def _places(bands: tuple[tuple[int, int], ...]) -> list[tuple[int, bool, int, int, int]]:
     """(edits, own, shorter, number, shift): where a line's segments, and its substrings that may be segments of lines
     `shorter` characters shorter, stand."""
@@ -50,32 +47,25 @@ def _edits(length: Column, bands: tuple[tuple[int, int], ...]) -> Column:
     return out
 
 
-def _keys(line: Column, n: Column, banded: Column, wanted, bands: tuple[tuple[int, int], ...], *more: Column) -> Column:
-    """array<struct<key, own, shorter, at, size>> of a line of n characters, for the wanted places. banded: the length by which
-    a band is chosen. One small expression for all places: a large one would not be compiled at run time."""
+def _keys(rows: DataFrame, line: Column, n: Column, banded: Column, wanted: Column, bands: tuple[tuple[int, int], ...], *more: Column) -> DataFrame:
+    """rows with key, own, shorter, at and size for each wanted place of a line of n characters. banded: the length by which
+    a band is chosen. Places are rows of their own, so that all is compiled at run time; functions over arrays would not be."""
     names = ("edits", "own", "shorter", "number", "shift")
     places = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, p, strict=True))) for p in _places(bands)))
-    own = F.filter(places, lambda p: wanted(p) & (p["edits"] == _edits(banded - p["shorter"], bands)))
-
-    def cut(p: Column) -> Column:
-        least, parts = n - p["shorter"], p["edits"] + 1
-        base, first_long = F.floor(least / parts).cast("int"), parts - least % parts
-        # the last least % parts segments are one longer
-        at = base * p["number"] + F.greatest(F.lit(0), p["number"] - first_long) + 1 + p["shift"]
-        return F.struct(p["own"].alias("own"), p["shorter"].alias("shorter"), p["number"].alias("number"), at.alias("at"), (base + (p["number"] >= first_long).cast("int")).alias("size"))
-
-    def key(p: Column) -> Column:
-        fits = (p["at"] >= 1) & (p["at"] + p["size"] - 1 <= n)
-        hashed = F.xxhash64(*more, n - p["shorter"], p["number"], F.substring(line, p["at"], p["size"]))
-        return F.struct(F.when(fits, hashed).alias("key"), p["own"].alias("own"), p["shorter"].alias("shorter"), p["at"].alias("at"), p["size"].alias("size"))
-
-    return F.transform(F.transform(own, cut), key).cast(f"array<{KEY}>")
+    edits, shorter, number, shift = (F.col(c) for c in ("edits", "shorter", "number", "shift"))
+    at, size = F.col("at"), F.col("size")
+    least, parts = n - shorter, edits + 1
+    base, first_long = F.floor(least / parts).cast("int"), parts - least % parts
+    own = rows.select("*", F.inline(places)).filter(wanted & (edits == _edits(banded - shorter, bands)))
+    # the last least % parts segments are one longer
+    cut = own.withColumns({"at": base * number + F.greatest(F.lit(0), number - first_long) + 1 + shift, "size": base + (number >= first_long).cast("int")})
+    keyed = cut.filter((at >= 1) & (at + size - 1 <= n)).withColumn("key", F.xxhash64(*more, least, number, F.substring(line, at, size)))
+    return keyed.select(*rows.columns, "key", "own", "shorter", "at", "size")
 
 
 def keys_of(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
     """lines (line, n, ...) with key, own, shorter, at and size for each key of each line."""
-    keys = _keys(F.col("line"), F.col("n"), F.col("n"), lambda p: F.lit(True), bands)
-    return lines.withColumn("k", F.explode(keys)).select(*lines.columns, "k.*").filter("key is not null")
+    return _keys(lines, F.col("line"), F.col("n"), F.col("n"), F.lit(True), bands)
 
 
 def _inner_keys(rows: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFrame:
@@ -85,9 +75,9 @@ def _inner_keys(rows: DataFrame, bands: tuple[tuple[int, int], ...]) -> DataFram
     rest = F.concat(F.substring(F.col("line"), F.lit(1), F.col("at") - 1), F.substring(F.col("line"), F.col("at") + size, F.col("n")))
     rows = rows.select("lid", F.col("key").alias("outer"), F.col("own").alias("index"), F.col("shorter").alias("by"), "n", rest.alias("line"), (F.col("n") - size).alias("left"))
     # a segment in place is a substring too: lines of equal length meet by it
-    keys = _keys(F.col("line"), F.col("left"), F.col("n"), lambda p: F.when(p["own"], F.lit(True)).otherwise(p["shorter"] == F.col("by")) & (~p["own"] | (F.col("by") == 0)), bands, F.col("outer"))
-    out = rows.withColumn("k", F.explode(keys)).select("lid", "k.key", (F.col("k.own") & F.col("index")).alias("own"))
-    return out.filter("key is not null").distinct()
+    wanted = F.when(F.col("own"), F.col("by") == 0).otherwise(F.col("shorter") == F.col("by"))
+    out = _keys(rows, F.col("line"), F.col("left"), F.col("n"), wanted, bands, F.col("outer"))
+    return out.select("lid", "key", (F.col("own") & F.col("index")).alias("own")).distinct()
 
 
 def _met(keys: DataFrame) -> DataFrame:

@@ -261,3 +261,16 @@ def test_folds_and_bitmap(spark):
     some = ids.filter("id % 7 = 0")
     assert common.without(ids, some, "id").count() == 200 - some.count()
     assert some.count() <= common.maybe_among(ids, some, "id").count() <= some.count() + 2
+
+
+def test_keys_of_lines_are_compiled(spark):
+    """Places of a line are rows, not arrays under functions that Spark interprets; the keys are those of substrings by hand."""
+    lines = spark.createDataFrame([(0, "abcdefg", 7), (1, "abcdefghijklmnopqrstu", 21), (2, "abcd", 4)], "lid long, line string, n int")
+    keys = line_dedup.keys_of(lines)
+    assert "lambda" not in keys._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.lid, r.own, r.shorter, r.at, r.size) for r in keys.collect()}
+    # seven characters in segments of 3 and 4; 21 in 7, 7 and 7; 20, one shorter, in 6, 7 and 7
+    assert {g for g in got if g[0] == 0} == {(0, True, 0, 1, 3), (0, True, 0, 4, 4), (0, False, 1, 1, 3), (0, False, 1, 5, 3)}
+    assert {g[2:] for g in got if g[0] == 1 and g[1]} == {(0, 1, 7), (0, 8, 7), (0, 15, 7)}
+    assert {g[2:] for g in got if g[0] == 1 and not g[1] and g[2] == 1} == {(1, 1, 6), (1, 7, 7), (1, 8, 7), (1, 15, 7)}
+    assert not any(g[0] == 2 for g in got)
