@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +50,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows that a task hands to Python at once: whole texts are long, and 10,000 of them are held several times over by both sides.
+BATCH_ROWS, BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While it lasts, batches between Spark and Python have BATCH_ROWS rows at most; fewer where the session says so."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends there, lost executors recompute
     nothing above it, and Spark knows the size of what it reads, so its own size check decides on broadcasts. What a caller
     does not forget() is left to the folder's owner to clear."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -32,8 +32,8 @@ from tessella.llm.token_counts import _chunks
 
 #: Global orders of shingles.
 ORDERS = 3
-#: Characters whose shingles a task makes at once.
-CHARS = 1_000_000
+#: Characters whose shingles a task makes at once: where what texts share is counted, and where it is not.
+CHARS, OWN_CHARS = 1_000_000, 250_000
 #: Classes in one line of neighbours at most; longer lines are cut at random.
 LINE = 4096
 #: Longs of a signature. Each shingle turns one of its bits over, so sets differ in as many shingles at least as their
@@ -116,10 +116,10 @@ def _signs(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _parts(batch: pd.DataFrame, words: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    """A batch in chunks of CHARS characters with their texts' shingle sets."""
+def _parts(batch: pd.DataFrame, words: int, chars: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """A batch in chunks of so many characters with their texts' shingle sets."""
     at = 0
-    for part in _chunks(batch.text.tolist(), CHARS):
+    for part in _chunks(batch.text.tolist(), chars):
         yield batch.iloc[at : at + len(part)], shingle_sets(part, words)
         at += len(part)
 
@@ -129,7 +129,7 @@ def described(rows: DataFrame, join: Join) -> DataFrame:
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for own, sets in _parts(batch, join.words):
+            for own, sets in _parts(batch, join.words, OWN_CHARS):
                 yield own[["doc_id", "known", "row_id"]].assign(n=[len(s) for s in sets], node=[_node(s) for s in sets], check=[_check(s) for s in sets])
 
     plain = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "row_id", "text")
@@ -144,7 +144,7 @@ def sharing(rows: DataFrame, join: Join) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marked = np.zeros(0, np.int64)
         for batch in batches:
-            for _, sets in _parts(batch, join.words):
+            for _, sets in _parts(batch, join.words, CHARS):
                 sets = {_node(s): s for s in sets if len(s)}
                 if not sets:
                     continue
@@ -178,7 +178,7 @@ def shared_sets(rows: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for own, sets in _parts(batch, join.words):
+            for own, sets in _parts(batch, join.words, OWN_CHARS):
                 # another row may have the row_id of a class's text
                 right = [(_node(s), _check(s)) == (a, b) for s, a, b in zip(sets, own.node, own.check, strict=True)]
                 yield pd.DataFrame({"cid": own.cid[right], "n": own.n[right], "signs": [_signs(s) for s, r in zip(sets, right, strict=True) if r], "keys": [s.view(np.int64) for s, r in zip(sets, right, strict=True) if r]})

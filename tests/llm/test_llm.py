@@ -274,3 +274,11 @@ def test_keys_of_lines_are_compiled(spark):
     assert {g[2:] for g in got if g[0] == 1 and g[1]} == {(0, 1, 7), (0, 8, 7), (0, 15, 7)}
     assert {g[2:] for g in got if g[0] == 1 and not g[1] and g[2] == 1} == {(1, 1, 6), (1, 7, 7), (1, 8, 7), (1, 15, 7)}
     assert not any(g[0] == 2 for g in got)
+
+
+def test_python_gets_few_texts_at_once(spark):
+    """Batches of what is written to files are small, and the session's own setting is back afterwards."""
+    sizes = spark.range(0, 5000, 1, 1).mapInPandas(lambda batches: (b.assign(id=len(b)).head(1) for b in batches), "id long")
+    before = spark.conf.get(common.BATCH)
+    assert [r.id for r in common.written(sizes, "sizes").collect()] == [1000] * 5
+    assert spark.conf.get(common.BATCH) == before
