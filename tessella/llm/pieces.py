@@ -38,6 +38,21 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return keys * SPREAD >> np.uint64(64 - SIEVE_BITS)
 
 
+def _places(keys: np.ndarray) -> np.ndarray:
+    """For each slot the place of one of its keys."""
+    out = np.zeros(1 << SIEVE_BITS, np.int32)
+    out[_slot(keys)] = np.arange(len(keys))
+    return out
+
+
+def _found(keys: np.ndarray, places: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Where each sought key is in sorted keys, or of another key where it is none: keys that share a slot are searched for."""
+    at = places[_slot(sought)]
+    other = np.flatnonzero(keys[at] != sought)
+    at[other] = np.minimum(np.searchsorted(keys, sought[other]), len(keys) - 1)
+    return at
+
+
 def prefix_hashes(codes: np.ndarray) -> np.ndarray:
     """(words, length) codes to the hashes of all prefixes, the empty one first. Arithmetic is modulo 2**64."""
     out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
@@ -81,6 +96,7 @@ class Pieces:
             pair = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
             order = np.argsort(pair)
             self.pair_keys, self.pair_rank, self.pair_sieve = pair[order], rank[order].astype(np.int32), _sieve(pair)
+            self.pair_places = _places(self.pair_keys)
             pairs = {(a, b): (r, m) for a, b, m, r in zip(left.tolist(), right.tolist(), merged.tolist(), rank.tolist(), strict=True)}
             code = {s[0]: i for i, s in self.symbols.items() if len(s) == 1}
             self.rank, self.left, self.right = (np.full(self.size, -1, np.int32) for _ in range(3))
@@ -96,13 +112,14 @@ class Pieces:
             keep = usable[self.ids]
             self.keys, self.ids = self.keys[keep], self.ids[keep]
             self.sieve = _sieve(self.keys)
+        self.places = _places(self.keys)
         del self.symbols, self.merges
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
         out = np.full(len(a), NEVER)
         maybe = np.flatnonzero(self.pair_sieve[_slot(key)])
-        at = np.minimum(np.searchsorted(self.pair_keys, key[maybe]), len(self.pair_keys) - 1)
+        at = _found(self.pair_keys, self.pair_places, key[maybe])
         hit = self.pair_keys[at] == key[maybe]
         out[maybe[hit]] = self.pair_rank[at[hit]]
         return out
@@ -139,7 +156,7 @@ class Pieces:
             spans = hashes[j] - hashes[j - m : j] * self.powers[m:0:-1, None]
             k, row = np.nonzero(self.sieve[_slot(spans)])
             key = spans[k, row]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            at = _found(self.keys, self.places, key)
             hit = np.flatnonzero(self.keys[at] == key)
             row, k, piece = row[hit], k[hit], self.ids[at[hit]]
             if self.scores is None:
@@ -226,6 +243,10 @@ class Pieces:
 
     def ids_of(self, words: list, to_codes) -> list[np.ndarray]:
         """The ids of each word's pieces, in the order of words."""
+        return [np.frombuffer(x, np.int32) for x in self.bytes_of(words, to_codes, np.int32)]
+
+    def bytes_of(self, words: list, to_codes, kind: type) -> list[bytes]:
+        """The same as bytes of numbers of a kind."""
         parts, of = self.parts_of(words, to_codes)
         out: list = [None] * len(parts)
         for i in self.lone(parts):
@@ -234,7 +255,7 @@ class Pieces:
             while at > 0:
                 own.append(last[at])
                 at -= back[at]
-            out[i] = np.array(own[::-1], np.int32)
+            out[i] = np.array(own[::-1], kind).tobytes()
         for part, codes in self.groups(parts, to_codes):
             last, back, count = self.advance(codes)
             rows, at, steps = np.arange(len(part)), np.full(len(part), codes.shape[1]), []
@@ -242,10 +263,11 @@ class Pieces:
                 steps.append(np.where(at > 0, last[at, rows], -1))
                 at = np.where(at > 0, at - back[at, rows], 0)
             ids = np.stack(steps[::-1], 1)
-            flat = np.split(ids[ids >= 0], np.cumsum(count[-1])[:-1])
-            for i, x in zip(part, flat, strict=True):
-                out[i] = x
-        return self._joined(words, of, out, np.concatenate)
+            flat = ids[ids >= 0].astype(kind).tobytes()
+            ends = (np.cumsum(count[-1]) * np.dtype(kind).itemsize).tolist()
+            for i, x, y in zip(part, [0, *ends], ends):
+                out[i] = flat[x:y]
+        return self._joined(words, of, out, b"".join)
 
     def prefixes_of(self, words: list, to_codes) -> list[np.ndarray]:
         """The number of pieces of every prefix of each word, the empty one first."""

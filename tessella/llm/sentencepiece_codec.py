@@ -97,13 +97,22 @@ class Codec:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The ids of words as 16-bit numbers, new ones encoded all at once. Words are remembered between chunks but for long
-        ones, so that what is kept is bounded in bytes."""
+        ones, so that what is kept is bounded in bytes; where they get too many, those of the chunk at hand stay. Most words have
+        nothing but known characters and one space mark at most: their ids are cut out of the search's bytes."""
         known = _remembered.setdefault(self.name, {})
         new = [w for w in words if w not in known]
         if len(known) + len(new) > REMEMBERED:
+            still = {w: known[w] for w in words if w in known}
             known.clear()
-            new = list(words)
+            known.update(still)
         split, long = [], {}
+        if strange := set("".join(new)) - self.known:
+            strange = re.compile("[" + "".join(map(re.escape, sorted(strange))) + "]").search
+        plain = [w for w in new if w != SPACE and not w.startswith(SPACE * 2) and not (strange and strange(w))]
+        if plain:
+            for w, ids in zip(plain, self.pieces.bytes_of(plain, self.codes, np.uint16), strict=True):
+                (known if len(w) <= LONGEST else long)[w] = ids
+            new = [w for w in new if w not in known and w not in long]
         for w in new:
             body = w.lstrip(SPACE)
             run = len(w) - len(body)
