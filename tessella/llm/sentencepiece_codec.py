@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ NORMAL, BYTE, UNIGRAM, BPE = 1, 6, 1, 2
 #: Words whose ids a Python worker remembers.
 REMEMBERED, LONGEST = 400_000, 256
 _remembered: dict[str, dict[str, bytes]] = {}
+#: Bytes of text that encoded() takes at once.
+PART = 1_000_000
 
 
 def default_path() -> str:
@@ -158,22 +162,25 @@ def encode(text: Column, path: str | None = None) -> Column:
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with n_tokens and token_ids in place of text; columns of these names are replaced. A null text counts as empty: no
-    ids. Repeated rows repeat; an empty table gives no rows. Ids are handed on in parts of a batch, so that memory stays bounded
-    however many tokens a batch has."""
+    ids. Repeated rows repeat; an empty table gives no rows. A batch stays in Arrow and its texts are taken in parts of about
+    PART bytes, each of whose ids is handed on, so that memory stays bounded however many tokens a batch has."""
     codec = Codec.load(path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for part in _chunks(batch.pop("text").fillna("").tolist(), 1_000_000):
-                ids = [x.astype(np.int32) for x in codec.encode(part)]
-                own = batch.iloc[at : at + len(part)]
-                yield own.assign(n_tokens=[len(x) for x in ids], token_ids=ids)
-                at += len(part)
+            *others, text = batch.columns
+            held = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PART
+            starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]).tolist() if len(held) else []
+            for start, end in zip(starts, [*starts[1:], len(held)]):
+                ids = codec.encode([x or "" for x in text.slice(start, end - start).to_pylist()])
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(x.slice(start, end - start) for x in others), pa.array(np.diff(ends)), lists], names)
 
     others = [f for f in docs.schema.fields if f.name not in ("text", "n_tokens", "token_ids")]
+    names = [*(f.name for f in others), "n_tokens", "token_ids"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "n_tokens int", "token_ids array<int>"])
-    return docs.select(*(f"`{f.name}`" for f in others), "text").mapInPandas(run, schema)
+    return docs.select(*(f"`{f.name}`" for f in others), "text").mapInArrow(run, schema)
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

@@ -153,3 +153,26 @@ def test_toxicity_query_against_brute_force(spark):
         want = 1 / (1 + math.exp(-(model.slope * math.asinh(means[texts[r.doc_id]] / toxicity.SCALE) + model.offset)))
         assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.7)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_only_odd_words_are_taken_apart(monkeypatch):
+    """Words of known characters go to the search at once, and those at hand outlast a clearing of what is remembered."""
+    import sentencepiece
+
+    texts = ["the cat sat on the mat", "náive  two   gaps \n x", "漢字 \U0001f600the", "", " ", "a" * 300 + " the"]
+    lib, codec, apart, searched = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_path()), sentencepiece_codec.Codec.load(), [], []
+    parts, search = codec._parts, codec.pieces.bytes_of
+    monkeypatch.setattr(sentencepiece_codec, "_remembered", {})
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 10)
+    monkeypatch.setattr(codec, "_parts", lambda w: apart.append(w) or parts(w))
+    monkeypatch.setattr(codec.pieces, "bytes_of", lambda words, *more: searched.extend(words) or search(words, *more))
+    assert [x.tolist() for x in codec.encode(texts[:1])] == [lib.encode(texts[0])] and apart == []
+    assert [x.tolist() for x in codec.encode(texts)] == [lib.encode(t) for t in texts]
+    assert "▁cat" not in apart and searched.count("▁cat") == searched.count("▁the") == 1
+
+
+def test_encoded_keeps_large_ids_beside_nulls(spark):
+    rows = [(2**60 + 1, "one two"), (None, None), (7, "")]
+    got = sentencepiece_codec.encoded(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    codec = sentencepiece_codec.Codec.load()
+    assert [(r.doc_id, r.n_tokens, r.token_ids) for r in got] == [(i, len(x), x) for (i, _), x in zip(rows, (x.tolist() for x in codec.encode([t or "" for _, t in rows])))]
