@@ -54,6 +54,10 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS, BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: With it, a query's shuffle files go when it ends, instead of when the driver happens to collect its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextmanager
 def small_batches(spark: SparkSession):
     """While it lasts, batches between Spark and Python have BATCH_ROWS rows at most; fewer where the session says so."""
@@ -65,13 +69,24 @@ def small_batches(spark: SparkSession):
         spark.conf.set(BATCH, before)
 
 
+@contextmanager
+def shuffles_cleared(spark: SparkSession):
+    """While it lasts, a query that ends takes its shuffle files with it: for plans that run once, as those that are written."""
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends there, lost executors recompute
     nothing above it, and Spark knows the size of what it reads, so its own size check decides on broadcasts. What a caller
     does not forget() is left to the folder's owner to clear."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with small_batches(spark), shuffles_cleared(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path

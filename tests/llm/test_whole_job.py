@@ -1,6 +1,7 @@
 """Cases of the whole job that small tables do not show."""
 
 import random
+import time
 import zlib
 
 from pyspark.sql import functions as F
@@ -50,6 +51,27 @@ def test_toxic_phrases_and_ordinary_evidence_count(spark):
     assert phrase > clean > turned and toxic > offset and toxic > clean
 
 
+def test_shuffle_files_of_a_written_table_go_with_its_query(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+
+    def made():
+        files = manager.getAllFiles().iterator()
+        names = set()
+        while files.hasNext():
+            names.add(files.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = made()
+    table = common.written(shuffled, "shuffled")
+    for _ in range(50):  # they go in the background
+        if not made() - before:
+            break
+        time.sleep(0.1)
+    assert not made() - before and spark.conf.get(common.CLEAN, "false") == "false"
+    assert table.count() == 7
+
+
 def expected_copies(own, target):
     """Expected copies by class of size: in proportion to 1 + class, three at most, until all words come to the target."""
     words = {}
