@@ -12,14 +12,15 @@ A toxic text is a mixture: most of its words are ordinary ones and a share of th
 log-likelihood less that of the ordinary model, over all words and divided by their number, is what a score grows with.
 
 What a word or a pair adds is a table in files. The part of the most frequent ones, of fixed size, is in memory; other
-words and pairs of a text are joined with the table if they may stand in it.
+words and pairs of a text are looked up in the table if they may stand in it. Both are dealt by key to buckets, and what a task
+asks of a bucket is one row of arrays, and so is the answer.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,10 @@ from tessella.llm.token_counts import _chunks
 
 #: Characters that a task takes at once.
 CHARS = 500_000
-#: So many of the most frequent words and pairs are in memory at most: 16 MB. LEVELS: of counts between one and its double.
-HEAD, LEVELS = 1 << 20, 8
+#: So many of the most frequent words and pairs are in memory at most: 8 MB. LEVELS: of counts between one and its double.
+HEAD, LEVELS = 1 << 19, 8
+#: What a task holds until it asks, and what a bucket is asked, about. TEXTS: of one answer at most, about. BUCKETS: at least.
+HELD, ASKED, TEXTS, BUCKETS = 1_000_000, 1_000_000, 20_000, 8
 #: Stands for the word before a text's first one. TURN: bits by which a left word's hash is turned in a pair's key.
 START, TURN = np.uint64(0x9E3779B97F4A7C15), 17
 
@@ -62,6 +65,7 @@ class ToxicModel:
     base: float = 0.0
     head: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0))
     maybe: np.ndarray | None = None
+    asks: float = 0.0
     smoothing: Smoothing = Smoothing()
     slope: float = 0.0
     offset: float = -math.inf
@@ -189,23 +193,25 @@ def fit(docs: DataFrame, labels: DataFrame, smoothing: Smoothing = Smoothing(),
     forget(pairs)
     forget(words)
     # whole levels of counts, the highest first, while so many fit: no task or driver gets more than it keeps
-    least, held = None, 0
-    for r in sorted(every.groupBy("level").agg(F.count("*").alias("n")).collect(), reverse=True):
+    least, held, places = None, 0, 0
+    for r in sorted(every.groupBy("level").agg(F.count("*").alias("n"), F.sum("n").alias("places")).collect(), reverse=True):
         held += r.n
-        if held > HEAD:
-            break
-        least = r.level
-    top = every.filter(F.col("level") >= least if least is not None else F.lit(False)).toArrow()
+        if held <= HEAD:
+            least = r.level
+        else:
+            places += r.places
+    top = every.filter(F.col("level") >= least if least is not None else F.lit(False)).select("key", "part").toArrow()
     head_keys, head_parts = (top[c].to_numpy() for c in ("key", "part"))
     parts = every.filter(F.col("level") < least if least is not None else F.lit(True)).select("key", "part")
     keys = head_keys.view(np.uint64)
     order = np.argsort(keys)
-    model = ToxicModel(parts, base, (keys[order], head_parts[order]), _bitmap(parts), smoothing)
     fitted = rows.filter(F.col("nth") < 10**6)
-    share = min(1.0, fit_rows / max(1, fitted.count()))
-    means = _means(fitted.filter(F.col("nth") < share * 10**6), model, "toxic").select("toxic", "mean").toPandas()
+    n = fitted.count()
+    model = ToxicModel(parts, base, (keys[order], head_parts[order]), _bitmap(parts), places / max(1, 7 * n), smoothing)
+    share = min(1.0, fit_rows / max(1, n))
+    means = _means(fitted.filter(F.col("nth") < share * 10**6), model, "toxic", n=round(share * n)).select("toxic", "mean").toPandas()
     slope, offset = _logistic(np.arcsinh(means["mean"].to_numpy(float) / SCALE), means.toxic.to_numpy(float))
-    return ToxicModel(parts, base, model.head, model.maybe, smoothing, slope, offset)
+    return replace(model, slope=slope, offset=offset)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -219,49 +225,107 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return slope, float(w[1] - slope * x.mean()) if len(x) else 0.0
 
 
-def _means(rows: DataFrame, model: ToxicModel, *more: str) -> DataFrame:
-    """(doc_id, row_id, *more, mean) for each row: the mean of what its words add.
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^32, their lowest bytes first, so that a shuffle's compression leaves little else of small ones."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    One pass gives a row for each text with what is known in memory, and a row for each of its words and pairs that may stand in
-    the table; these carry a row's number in that pass and nothing else of it.
+
+def _of_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+
+
+def _asked(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> pd.DataFrame:
+    """(bucket, rid, keys, rids, times): a row for each bucket that is asked, of arrays in the order of rows' numbers; rid is the first
+    of these, rids are differences. held: rows' numbers, keys, times."""
+    rids, keys, times = (np.concatenate(x) for x in zip(*held, strict=True))
+    own = keys.view(np.int64) % buckets
+    order = np.lexsort((rids, own))
+    rids, keys, times, own = rids[order], keys[order], times[order], own[order]
+    start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    cut = [slice(a, b) for a, b in zip(start, np.r_[start[1:], len(own)], strict=True)]
+    return pd.DataFrame({"bucket": own[start], "rid": rids[start], "keys": [keys[c].tobytes() for c in cut], "rids": [_planes(np.diff(rids[c], prepend=rids[c.start])) for c in cut], "times": [_planes(times[c]) for c in cut]})
+
+
+def _answers(own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    """Each row of own (rid, keys, rids, times) as (rid, rids, sums): what the table (key, part) adds to each text it asks for."""
+    table = table.sort_values("key")
+    keys, parts = table.key.to_numpy(), table.part.to_numpy()
+    out = []
+    for first, sought, steps, times in zip(own.rid, own["keys"], own.rids, own.times, strict=True):
+        sought = np.frombuffer(sought, np.int64)
+        place = np.searchsorted(keys[:-1], sought)
+        met = keys[place] == sought if len(keys) else np.zeros(len(sought), bool)
+        rids, whose = np.unique(np.cumsum(_of_planes(steps))[met], return_inverse=True)
+        sums = np.bincount(whose, _of_planes(times)[met] * parts[place[met]], len(rids))
+        out.append((first, _planes(np.diff(rids, prepend=0)), sums.tobytes()))
+    return pd.DataFrame(out, columns=["rid", "rids", "sums"])
+
+
+def _means(rows: DataFrame, model: ToxicModel, *more: str, n: int | None = None) -> DataFrame:
+    """(doc_id, row_id, *more, mean) for each of n rows (counted here if not given): the mean of what its words add.
+
+    One pass gives a row for each text with what is known in memory, and for each bucket of the table a row of arrays: the words and
+    pairs that may stand in it, how often they stand in a text, and the text's number in that pass and nothing else of it. Texts that
+    ask together (`lead`) get their answers together.
     """
     head, bitmap = (rows.sparkSession.sparkContext.broadcast(x) for x in (model.head, model.maybe))
-    base, by = model.base, ["doc_id", "row_id", *more]
+    base, pad, by = model.base, model.smoothing.pad, ["doc_id", "row_id", *more]
+    buckets = max(BUCKETS, round(model.asks * (rows.count() if n is None else n) / ASKED))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, parts = head.value
+        lead, held, waiting, met_texts = None, [], 0, 0
+        none = {"whole": False, "known": False, "n": 0, "total": 0.0, **dict.fromkeys(by, 0)}
         for batch in batches:
             at = 0
             for part in _chunks(batch.text.tolist(), CHARS):
                 own = batch.iloc[at : at + len(part)].drop(columns="text")
                 at += len(part)
+                lead = own.rid.iloc[0] if lead is None else lead
                 who, words, _, pairs = words_of(part)
                 n = np.bincount(who, minlength=len(part))
                 asked, sought = np.r_[who, who], np.r_[words, pairs]
                 place = np.searchsorted(keys[:-1], sought)
                 known = keys[place] == sought if len(keys) else np.zeros(len(sought), bool)
                 total = np.bincount(asked[known], parts[place[known]], len(part)) + n * base
-                yield own.assign(n=n, total=total, key=own.rid, times=0)
+                yield own.assign(whole=True, n=n, total=total, lead=lead, bucket=own.rid % buckets, keys=None, rids=None, times=None)
                 met = ~known & _maybe(bitmap.value, sought)
                 asked, sought = asked[met], sought[met]
                 order = np.lexsort((sought, asked))
                 asked, sought = asked[order], sought[order]
                 start = np.flatnonzero(np.r_[True, (asked[1:] != asked[:-1]) | (sought[1:] != sought[:-1])]) if len(asked) else np.zeros(0, int)
-                times = np.diff(np.r_[start, len(asked)])
-                none = own.iloc[:1].iloc[np.zeros(len(start), int)].assign(**{c: 0 for c in by}, known=False)
-                yield none.assign(rid=own.rid.to_numpy()[asked[start]], n=0, total=0.0, key=sought[start].view(np.int64), times=times)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+                if len(start):
+                    held.append((own.rid.to_numpy()[asked[start]], sought[start], np.diff(np.r_[start, len(asked)])))
+                waiting, met_texts = waiting + len(start), met_texts + len(part)
+                if waiting > HELD or met_texts > TEXTS:
+                    if held:
+                        yield _asked(held, buckets).assign(lead=lead, **none)
+                    lead, held, waiting, met_texts = None, [], 0, 0
+        if held:
+            yield _asked(held, buckets).assign(lead=lead, **none)
+
+    def answers(_, own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        asks = own[~own.whole].reset_index(drop=True)
+        return pd.concat([own[own.whole].assign(sums=None)[kept], asks.assign(**_answers(asks, table))[kept]])
+
+    def added(own: pd.DataFrame) -> pd.DataFrame:
+        answers, own = own[~own.whole], own[own.whole].sort_values("rid")
+        total = own.total.to_numpy(copy=True)
+        # in the order of buckets' first texts, so that the order in which answers come does not show
+        for first, steps, sums in sorted(zip(answers.rid, answers.rids, answers.sums, strict=True)):
+            total[np.searchsorted(own.rid.to_numpy(), first + np.cumsum(_of_planes(steps)))] += np.frombuffer(sums, float)
+        return own.assign(mean=total / (own.n + pad))[[*by, "known", "mean"]]
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema) + ", known boolean"
+    each = f"rid long, {kinds}, whole boolean, n long, total double, lead long"
+    kept = ["rid", *by, "known", "whole", "n", "total", "lead", "rids", "sums"]
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), *by[1:], F.col("doc_id").isNotNull().alias("known"), "text")
-    found = rows.mapInPandas(sums, f"rid long, {schema}, known boolean, n long, total double, key long, times long")
-    parts = model.parts.withColumnRenamed("key", "of")
-    met = found.join(parts, (F.col("key") == F.col("of")) & (F.col("times") > 0), "left")
-    added = F.coalesce(F.col("times") * F.col("part"), F.lit(0.0))
-    first = [F.max(F.when(F.col("times") == 0, F.col(c))).alias(c) for c in (*by, "known")]
-    out = met.groupBy("rid").agg(*first, F.sum("n").alias("n"), F.sum(F.col("total") + added).alias("total"))
+    found = rows.mapInPandas(sums, f"{each}, bucket long, keys binary, rids binary, times binary")
+    parts = model.parts.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    met = found.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInPandas(answers, f"{each}, rids binary, sums binary")
+    out = met.groupBy("lead").applyInPandas(added, f"{kinds}, mean double")
     # rounded, so that the order in which parts are added up does not show
-    mean = F.round(F.col("total") / (F.col("n") + model.smoothing.pad), 12)
-    return out.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), *by[1:], mean.alias("mean"))
+    return out.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), *by[1:], F.round("mean", 12).alias("mean"))
 
 
 def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:

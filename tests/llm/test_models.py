@@ -97,6 +97,31 @@ def test_toxic_means_against_brute_force(spark, monkeypatch, head):
     assert len({round(x, 9) for x in want.values()}) > 0.9 * len(want)
 
 
+def test_what_texts_ask_of_the_table_is_rows_of_arrays(spark, monkeypatch):
+    """With a few words in memory, rows that go to the table and back do not grow with the words of texts, nor sums with the way
+    texts are cut."""
+    monkeypatch.setattr(toxicity, "HEAD", 5)
+    rng, common = random.Random(3), [a + b for a in "bcdfghjklm" for b in ("aa", "ee", "oo", "uu", "ii")]
+    docs = [(k, " ".join(rng.choices(common, k=300) + (["vile", "scum"] if k % 3 == 0 else []))) for k in range(90)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(rows, spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in docs], "doc_id long, toxic int"))
+    asked = toxicity.texts(rows).withColumn("row_id", toxicity.row_id()).coalesce(1)
+    plain = toxicity._means(asked, model)
+    whole = sorted(tuple(r) for r in plain.collect())
+    made = {}
+    walk = [plain._jdf.queryExecution().executedPlan().finalPhysicalPlan()]
+    while walk:
+        node = walk.pop()
+        if node.nodeName() in ("MapInPandas", "FlatMapCoGroupsInPandas"):
+            made[node.nodeName()] = node.metrics().apply("pythonNumRowsReceived").value()
+        walk += [node.children().apply(k) for k in range(node.children().size())] + ([node.plan()] if node.nodeName() == "ShuffleQueryStage" else [])
+    assert len(made) == 2 and all(len(docs) < x <= len(docs) + toxicity.BUCKETS for x in made.values()), made
+    for name, most in (("HELD", 50), ("TEXTS", 3), ("CHARS", 500)):
+        monkeypatch.setattr(toxicity, name, most)
+    cut = sorted(tuple(r) for r in toxicity._means(asked, model).collect())
+    assert [r[:2] for r in cut] == [r[:2] for r in whole] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(cut, whole, strict=True))
+
+
 def test_languages_against_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()
 
